@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import packing, simhash
 
 QUERIES = {
     "op3_simhash_near_dedup": simhash.op3,
+    "op4_packing": packing.op4,
 }
 
 #: None of these can be given in SQL over whole tables in reasonable time; tests hold them against brute force.
