@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, simhash
+from . import bpe, counts, packing, simhash
 
 QUERIES = {
     "op3_simhash_near_dedup": simhash.op3,
     "op4_packing": packing.op4,
     "op5_byte_bpe": bpe.op5,
+    "op6_token_counts": counts.op6,
 }
 
 #: None of these can be given in SQL over whole tables in reasonable time; tests hold them against brute force.
