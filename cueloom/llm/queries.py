@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, counts, packing, simhash
+from . import bpe, counts, packing, simhash, toxicity
 
 QUERIES = {
     "op3_simhash_near_dedup": simhash.op3,
     "op4_packing": packing.op4,
     "op5_byte_bpe": bpe.op5,
     "op6_token_counts": counts.op6,
+    "op7_toxicity": toxicity.op7,
 }
 
 #: None of these can be given in SQL over whole tables in reasonable time; tests hold them against brute force.
