@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, counts, packing, simhash, toxicity
+from . import bpe, counts, packing, quality, simhash, toxicity
 
 QUERIES = {
     "op3_simhash_near_dedup": simhash.op3,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_byte_bpe": bpe.op5,
     "op6_token_counts": counts.op6,
     "op7_toxicity": toxicity.op7,
+    "op8_quality": quality.op8,
 }
 
 #: None of these can be given in SQL over whole tables in reasonable time; tests hold them against brute force.
