@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, counts, packing, quality, simhash, toxicity
+from . import bpe, counts, neardup, packing, quality, simhash, toxicity
 
 QUERIES = {
     "op3_simhash_near_dedup": simhash.op3,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_token_counts": counts.op6,
     "op7_toxicity": toxicity.op7,
     "op8_quality": quality.op8,
+    "op9_embedding_near_dedup": neardup.op9,
 }
 
 #: None of these can be given in SQL over whole tables in reasonable time; tests hold them against brute force.
