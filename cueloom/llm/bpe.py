@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,68 +15,96 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .vocab import default_path, pieces_of, rank_encoding, ranks, usual
 
 #: Characters of text whose distinct words are merged together; a longer document is a block of its own.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 32_000_000
+#: Words that are folded once for all blocks, at most, and texts of the sample that they are taken from, about.
+FREQUENT, FREQUENT_DOCS = 150_000, 12_000
 #: The fold looks at all pairs for every merge, so that its time grows with the square of a word; longer matches of the
 #: split pattern (junk without spaces) are encoded by the library.
 FOLD_BYTES = 256
-_AT = 1 << 20
-
-
 _GROUPS, _CELLS = 1 << 15, 1 << 18
+#: An id that no pair holds; it stands before and after every word.
+_EDGE = 65_535
+#: Values from here on are no ranks.
+_NONE = 1 << 17
+_RAISED = 1 << 60
 
 
 @lru_cache(2)
-def merge_tables(path: str) -> tuple[list[int], list[int], list[int]]:
-    """(shift, pair, merged): a perfect hash of the pairs of ids that merge; see ``merged_ids`` for the lookup.
+def merge_tables(path: str) -> tuple[int, list[int], list[int]]:
+    """(factor, shift, cells): a perfect hash of the pairs of ids that merge; see ``merged_ids`` for the lookup.
 
-    A pair of ids merges when their bytes joined are in the vocabulary; the merged id is the pair's rank too. The pairs
-    of a group share a shift under which all of them get cells of their own.
+    A pair of ids merges when their bytes joined are in the vocabulary; the merged id is the pair's rank too. A pair's
+    key is left * 65536 + right; a cell holds key * 131072 + rank. Bits of key * factor name a group and a place; the
+    pairs of a group share a shift of their places under which all of them get cells of their own.
     """
     vocabulary = ranks(path)
-    groups: dict[int, list[tuple[int, int, int]]] = {}
+    pairs = {}
     for token, rank in vocabulary.items():
         for cut in range(1, len(token)):
             left, right = vocabulary.get(token[:cut]), vocabulary.get(token[cut:])
             if left is not None and right is not None:
-                groups.setdefault((left * 8191 + right * 127) & (_GROUPS - 1), []).append(
-                    (left * 1021 + right * 8209, (left << 16) + right, rank))
-    shift, pair, merged = [0] * _GROUPS, [-1] * _CELLS, [0] * _CELLS
+                pairs[(left << 16) + right] = rank
     rng = random.Random(0)
+    while True:
+        factor = rng.randrange(1 << 28, 1 << 30) | 1
+        if len({(key * factor) >> 12 & (1 << 33) - 1 for key in pairs}) == len(pairs):
+            break
+    groups: dict[int, list[tuple[int, int]]] = {}
+    for key in pairs:
+        groups.setdefault(key * factor >> 12 & _GROUPS - 1, []).append((key * factor >> 27 & _CELLS - 1, key))
+    shift, cells = [0] * _GROUPS, [-1] * _CELLS
     for group, members in sorted(groups.items(), key=lambda kv: -len(kv[1])):
         while True:
-            at = rng.randrange(_CELLS)
-            cells = [(h + at) & (_CELLS - 1) for h, _, _ in members]
-            if len(set(cells)) == len(cells) and all(pair[c] < 0 for c in cells):
+            by = rng.randrange(_CELLS)
+            places = [(place + by) & (_CELLS - 1) for place, _ in members]
+            if all(cells[c] < 0 for c in places):
                 break
-        shift[group] = at
-        for c, (_, key, rank) in zip(cells, members):
-            pair[c], merged[c] = key, rank
-    return shift, pair, merged
+        shift[group] = by
+        for c, (_, key) in zip(places, members):
+            cells[c] = (key << 17) + pairs[key]
+    return factor, shift, [c if c >= 0 else (_EDGE << 33) + (_EDGE << 17) for c in cells]
 
 
-def _literal(values: list[int], kind: str) -> Column:
+def _literal(values: list[int]) -> Column:
     """A literal array: the string is parsed once, when the plan is made."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
 def merged_ids(word: Column, path: str) -> Column:
-    """Ids of one word, given as the ids of its single bytes: folds merges, lowest rank and then leftmost first."""
-    tables = merge_tables(path)
-    shift, pair, merged = _literal(tables[0], "int"), _literal(tables[1], "bigint"), _literal(tables[2], "int")
-
-    def rank(left: Column, right: Column) -> Column:
-        group = (left * 8191 + right * 127).bitwiseAND(_GROUPS - 1)
-        cell = (left * 1021 + right * 8209 + F.get(shift, group)).bitwiseAND(_CELLS - 1)
-        return F.when(F.get(pair, cell) == left.cast("long") * 65536 + right, F.get(merged, cell))
+    """Ids of one word, given as the ids (long) of its single bytes: folds merges, lowest rank and then leftmost first.
 
-    def step(ids: Column, _: Column) -> Column:
-        ranked = F.transform(ids, lambda x, i: rank(x, F.get(ids, i + 1)).cast("long") * _AT + i)
-        return F.get(F.transform(F.array(F.array_min(ranked)), lambda k: F.when(k.isNull(), ids).otherwise(F.concat(
-            F.slice(ids, 1, k.bitwiseAND(_AT - 1).cast("int")),
-            F.array(F.shiftright(k, 20).cast("int")),
-            F.slice(ids, k.bitwiseAND(_AT - 1).cast("int") + 3, F.size(ids))))), 0)
-
-    return F.aggregate(F.slice(word, 2, FOLD_BYTES), word, step)
+    The state alternates ids, raised by ``_RAISED``, and the values of neighbouring pairs: a pair's rank, or a number
+    from ``_NONE`` on if it doesn't merge; an edge stands at either side. The least number of the state is thus the rank
+    to merge. A merge puts the new id and the values of the two pairs that it is now in for five numbers.
+    """
+    factor, shift, cells = merge_tables(path)
+    shift, cells = _literal(shift), _literal(cells)
+
+    def value(key: Column) -> Column:
+        """The cell's key and the pair's cancel out, which leaves the rank; other pairs leave a large number."""
+        group = F.shiftright(key * factor, 12).bitwiseAND(_GROUPS - 1)
+        place = (F.shiftright(key * factor, 27) + F.get(shift, group)).bitwiseAND(_CELLS - 1)
+        return F.get(cells, place).bitwiseXOR(F.shiftleft(key, 17))
+
+    def step(state: Column, _: Column) -> Column:
+        def merged(at: Column) -> Column:
+            new = F.get(state, at - 1)
+            around = F.array((F.get(state, at - 4) - _RAISED) * 65_536 + new, new + _RAISED,
+                             new * 65_536 + (F.get(state, at + 2) - _RAISED))
+            return F.when(new >= _NONE, state).otherwise(F.concat(
+                F.slice(state, 1, at - 3),
+                F.transform(around, lambda x: F.when(x < _RAISED, value(x)).otherwise(x)),
+                F.slice(state, at + 3, 3 * FOLD_BYTES)))
+
+        lowest = F.array_position(state, F.array_min(state)).cast("int")
+        return F.get(F.transform(F.array(lowest), merged), 0)
+
+    edge = F.array(F.lit(_EDGE).cast("bigint"))
+    pairs = F.zip_with(F.concat(edge, word), F.concat(word, edge), lambda left, right: F.array(
+        left + _RAISED, value(left * 65_536 + right)))
+    start = F.concat(F.flatten(pairs), F.transform(edge, lambda x: x + _RAISED))
+    return F.aggregate(F.slice(word, 2, FOLD_BYTES), start, step, lambda state: F.transform(
+        F.filter(F.slice(state, 2, 3 * FOLD_BYTES), lambda x: (x >= _RAISED) & (x < _RAISED + _EDGE)), lambda x: (x - _RAISED).cast("int")))
 
 
 class _Block(dict):
@@ -100,27 +129,62 @@ class _Block(dict):
         return self.of(pieces_of(first)) + b"".join(map(self.__getitem__, words))
 
 
-_BLOCK = "doc_ids array<long>, matches array<binary>, words array<array<int>>, long array<struct<at int, bytes binary>>"
+def _single(path: str) -> np.ndarray:
+    vocabulary = ranks(path)
+    return np.array([vocabulary[bytes([b])] for b in range(256)], np.int64)
+
+
+def _byte_lists(words: list[bytes], path: str) -> pa.ListArray:
+    flat = _single(path)[np.frombuffer(b"".join(words), np.uint8)]
+    ends = np.concatenate(([0], np.cumsum([len(w) for w in words], dtype=np.int64))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
+def frequent_words(texts: DataFrame, path: str, words: int = FREQUENT, docs: int = FREQUENT_DOCS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(words, ends, ids) of the most frequent distinct words of a sample of about ``docs`` texts, folded once.
+
+    It spares the blocks from folding them again and has no influence on any result; its size is bounded by ``words``.
+    """
+    count = texts.count()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                seen.update(pieces_of(text))
+        often = [w for w, n in seen.items() if n > 1 and len(w.encode()) <= FOLD_BYTES]
+        for at in range(0, len(often), 50_000):
+            part = often[at: at + 50_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part), pa.array([seen[w] for w in part]), _byte_lists([w.encode() for w in part], path)], ["word", "n", "bytes"])
+
+    sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, count // docs))) == 0)
+    best = (sample.mapInArrow(counted, "word string, n long, bytes array<long>").groupBy("word")
+            .agg(F.sum("n").alias("n"), F.any_value("bytes").alias("bytes")).orderBy(F.desc("n"), "word").limit(words))
+    rows = best.repartition(8, "word").select("word", merged_ids(F.col("bytes"), path).alias("ids")).collect()
+    ends = np.concatenate(([0], np.cumsum([len(r["ids"]) for r in rows], dtype=np.int64))).astype(np.int64)
+    return [r["word"] for r in rows], ends, np.array([i for r in rows for i in r["ids"]], np.int32)
+
+
+_BLOCK = ("doc_ids array<long>, matches array<binary>, words array<array<long>>, "
+          "long array<struct<at int, bytes binary>>, known binary")
 
 
-def _blocks(path: str):
+def _blocks(path: str, frequent: list[str]):
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = ranks(path)
-        single = np.array([vocabulary[bytes([b])] for b in range(256)], np.int32)
+        place = {w: i for i, w in enumerate(frequent)}
 
         def emit(ids: list, matches: list, block: _Block) -> pa.RecordBatch:
-            words = [w.encode() for w in block.index]
+            known = np.array([place.get(w, -1) for w in block.index], np.int32)
+            words = [w.encode() for w, k in zip(block.index, known.tolist()) if k < 0]
             far = [{"at": i, "bytes": w} for i, w in enumerate(words) if len(w) > FOLD_BYTES]
             for x in far:
                 words[x["at"]] = b""
-            flat = single[np.frombuffer(b"".join(words), np.uint8)]
-            ends = np.concatenate(([0], np.cumsum([len(w) for w in words], dtype=np.int64))).astype(np.int32)
-            inner = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
             return pa.RecordBatch.from_arrays(
-                [one(pa.array(ids, pa.int64())), one(pa.array(matches, pa.binary())), one(inner),
-                 one(pa.array(far, pa.struct([("at", pa.int32()), ("bytes", pa.binary())])))],
-                ["doc_ids", "matches", "words", "long"])
+                [one(pa.array(ids, pa.int64())), one(pa.array(matches, pa.binary())), one(_byte_lists(words, path)),
+                 one(pa.array(far, pa.struct([("at", pa.int32()), ("bytes", pa.binary())]))), pa.array([known.tobytes()])],
+                ["doc_ids", "matches", "words", "long", "known"])
 
         ids, matches, chars, block = [], [], 0, _Block()
         for batch in batches:
@@ -136,30 +200,35 @@ def _blocks(path: str):
     return mapped
 
 
-def _assembled(path: str):
+def _assembled(path: str, frequent_ends: np.ndarray, frequent_ids: np.ndarray):
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 ids, matches, words, far = (batch.column(c)[row].values for c in range(4))
+                known = np.frombuffer(batch.column(4)[row].as_py(), np.int32)
                 ends = words.offsets.to_numpy().astype(np.int64)
                 flat, ends = words.values.to_numpy(zero_copy_only=False)[ends[0]: ends[-1]], ends - ends[0]
                 if len(far):
                     parts = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
                     for x in far.to_pylist():
                         parts[x["at"]] = np.array(rank_encoding(path).encode_ordinary(x["bytes"].decode()), np.int32)
-                    flat = np.concatenate(parts).astype(np.int32)
+                    flat = np.concatenate(parts)
                     ends = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-                lengths = np.diff(ends)
+                new = known < 0
+                start, stop = np.empty(len(known), np.int64), np.empty(len(known), np.int64)
+                start[new], stop[new] = ends[:-1] + len(frequent_ids), ends[1:] + len(frequent_ids)
+                start[~new], stop[~new] = frequent_ends[known[~new]], frequent_ends[known[~new] + 1]
+                flat, lengths = np.concatenate((frequent_ids, flat)).astype(np.int32), stop - start
                 for at in range(0, len(ids), 500):
                     out, sizes = [], []
                     for m in matches.slice(at, 500).to_pylist():
                         m = np.frombuffer(m, np.int32)
                         n = lengths[m]
                         total = int(n.sum())
-                        starts = np.repeat(ends[m] - np.concatenate(([0], np.cumsum(n)[:-1])), n) if total else np.zeros(0, np.int64)
-                        out.append(flat[starts + np.arange(total)]), sizes.append(total)
+                        before = np.cumsum(n) - n
+                        out.append(flat[np.repeat(start[m] - before, n) + np.arange(total)]), sizes.append(total)
                     offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-                    lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(out).astype(np.int32)))
+                    lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(out)))
                     yield pa.RecordBatch.from_arrays([ids.slice(at, 500), lists], ["doc_id", "ids"])
 
     return mapped
@@ -168,15 +237,17 @@ def _assembled(path: str):
 def encode(docs: DataFrame, rank_file: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) for every row of ``docs``, as the tiktoken library encodes without special tokens.
 
-    Blocks of documents give their distinct matches of the split pattern; Spark folds the merges over each of them;
-    the documents' ids are put together from their matches. Nothing is shuffled. A null or empty text has no ids, a
-    null id stays null, repeated rows are repeated, other columns are ignored.
+    Blocks of documents give their distinct matches of the split pattern; Spark folds the merges over each of them but
+    the most frequent ones, which are folded before; the documents' ids are put together from their matches. No text
+    is shuffled. A null or empty text has no ids, a null id stays null, repeated rows are repeated, other columns are
+    ignored.
     """
     path = rank_file or default_path("byte_bpe_multi_50k.tiktoken")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    blocks = rows.mapInArrow(_blocks(path), _BLOCK)
-    folded = blocks.select("doc_ids", "matches", F.transform("words", lambda w: merged_ids(w, path)).alias("words"), "long")
-    return folded.mapInArrow(_assembled(path), "doc_id long, ids array<int>")
+    words, ends, ids = frequent_words(rows, path)
+    blocks = rows.mapInArrow(_blocks(path, words), _BLOCK)
+    folded = blocks.select("doc_ids", "matches", F.transform("words", lambda w: merged_ids(w, path)).alias("words"), "long", "known")
+    return folded.mapInArrow(_assembled(path, ends, ids), "doc_id long, ids array<int>")
 
 
 @lru_cache(2)
