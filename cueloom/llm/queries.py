@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, counts, neardup, packing, quality, simhash, toxicity
+from . import bpe, counts, neardup, packing, quality, simhash, topk, toxicity
 
 QUERIES = {
     "op3_simhash_near_dedup": simhash.op3,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_toxicity": toxicity.op7,
     "op8_quality": quality.op8,
     "op9_embedding_near_dedup": neardup.op9,
+    "op10_exact_top_k": topk.op10,
 }
 
 #: None of these can be given in SQL over whole tables in reasonable time; tests hold them against brute force.
