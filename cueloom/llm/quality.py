@@ -122,7 +122,8 @@ def vote(latent: np.ndarray, model: Model, neighbours: int = NEIGHBOURS) -> np.n
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds quality, 0 to 1, to every row; a null text counts as empty, and other columns stay as they are."""
+    """Adds quality, 0 to 1, to every row, in place of any such column; a null text counts as empty, other columns stay."""
+    docs = docs.drop("quality")
     names = list(docs.columns)
     out = docs.withColumn("quality", F.lit(0.0)).schema
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, counts, neardup, packing, quality, simhash, topk, toxicity
+from . import bpe, chat, counts, extract, neardup, packing, quality, simhash, topk, toxicity
 
 QUERIES = {
+    "op1_html_extraction": extract.op1,
+    "op2_chat_formatting": chat.op2,
     "op3_simhash_near_dedup": simhash.op3,
     "op4_packing": packing.op4,
     "op5_byte_bpe": bpe.op5,

@@ -226,7 +226,8 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, s
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds toxicity, 0 to 1, to every row; a null text counts as empty, and other columns stay as they are."""
+    """Adds toxicity, 0 to 1, to every row, in place of any such column; a null text counts as empty, other columns stay."""
+    docs = docs.drop("toxicity")
     bias, slope, length = model.curve
     names = list(docs.columns)
     out = docs.withColumn("toxicity", F.lit(0.0)).schema
