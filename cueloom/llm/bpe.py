@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .vocab import default_path, pieces_of, rank_encoding, ranks, usual
 
 #: Characters of text whose distinct words are merged together; a longer document is a block of its own.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 8_000_000
 #: Words that are folded once for all blocks, at most, and texts of the sample that they are taken from, about.
 FREQUENT, FREQUENT_DOCS = 150_000, 12_000
 #: The fold looks at all pairs for every merge, so that its time grows with the square of a word; longer matches of the
@@ -134,8 +134,9 @@ def _single(path: str) -> np.ndarray:
     return np.array([vocabulary[bytes([b])] for b in range(256)], np.int64)
 
 
-def _byte_lists(words: list[bytes], path: str) -> pa.ListArray:
-    flat = _single(path)[np.frombuffer(b"".join(words), np.uint8)]
+def _byte_lists(words: list[bytes], single: np.ndarray) -> pa.ListArray:
+    """The ids of each word's single bytes."""
+    flat = single[np.frombuffer(b"".join(words), np.uint8)]
     ends = np.concatenate(([0], np.cumsum([len(w) for w in words], dtype=np.int64))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
@@ -145,7 +146,7 @@ def frequent_words(texts: DataFrame, path: str, words: int = FREQUENT, docs: int
 
     It spares the blocks from folding them again and has no influence on any result; its size is bounded by ``words``.
     """
-    count = texts.count()
+    count, single = texts.count(), _single(path)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -156,7 +157,7 @@ def frequent_words(texts: DataFrame, path: str, words: int = FREQUENT, docs: int
         for at in range(0, len(often), 50_000):
             part = often[at: at + 50_000]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part), pa.array([seen[w] for w in part]), _byte_lists([w.encode() for w in part], path)], ["word", "n", "bytes"])
+                [pa.array(part), pa.array([seen[w] for w in part]), _byte_lists([w.encode() for w in part], single)], ["word", "n", "bytes"])
 
     sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, count // docs))) == 0)
     best = (sample.mapInArrow(counted, "word string, n long, bytes array<long>").groupBy("word")
@@ -170,7 +171,7 @@ _BLOCK = ("doc_ids array<long>, matches array<binary>, words array<array<long>>,
           "long array<struct<at int, bytes binary>>, known binary")
 
 
-def _blocks(path: str, frequent: list[str]):
+def _blocks(single: np.ndarray, frequent: list[str]):
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {w: i for i, w in enumerate(frequent)}
 
@@ -182,7 +183,7 @@ def _blocks(path: str, frequent: list[str]):
                 words[x["at"]] = b""
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
             return pa.RecordBatch.from_arrays(
-                [one(pa.array(ids, pa.int64())), one(pa.array(matches, pa.binary())), one(_byte_lists(words, path)),
+                [one(pa.array(ids, pa.int64())), one(pa.array(matches, pa.binary())), one(_byte_lists(words, single)),
                  one(pa.array(far, pa.struct([("at", pa.int32()), ("bytes", pa.binary())]))), pa.array([known.tobytes()])],
                 ["doc_ids", "matches", "words", "long", "known"])
 
@@ -245,7 +246,7 @@ def encode(docs: DataFrame, rank_file: str | None = None, id_col: str = "doc_id"
     path = rank_file or default_path("byte_bpe_multi_50k.tiktoken")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     words, ends, ids = frequent_words(rows, path)
-    blocks = rows.mapInArrow(_blocks(path, words), _BLOCK)
+    blocks = rows.mapInArrow(_blocks(_single(path), words), _BLOCK)
     folded = blocks.select("doc_ids", "matches", F.transform("words", lambda w: merged_ids(w, path)).alias("words"), "long", "known")
     return folded.mapInArrow(_assembled(path, ends, ids), "doc_id long, ids array<int>")
 
