@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType
 
 
 def common_length(a: str, b: str) -> int:
@@ -23,7 +24,7 @@ def ratio(a: str, b: str) -> float:
     return 2 * common_length(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 

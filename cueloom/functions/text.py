@@ -174,6 +174,6 @@ def format_color(rgb: Column) -> Column:
 
 
 def ass_color(rgb: Column, opacity: Column) -> Column:
-    """&HAABBGGRR; alpha is how transparent the colour is."""
+    """&HAABBGGRR, alpha being how transparent it is; null for a null colour."""
     alpha = F.rint((100 - F.greatest(F.lit(0), F.least(F.lit(100), opacity))) * 255 / 100).cast("int")
-    return F.format_string("&H%02X%02X%02X%02X", alpha, rgb["b"], rgb["g"], rgb["r"])
+    return F.when(rgb.isNotNull(), F.format_string("&H%02X%02X%02X%02X", alpha, rgb["b"], rgb["g"], rgb["r"]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
+from pyspark.sql.window import WindowSpec
 
 from ..functions import text as tx
 from ..functions.timecode import format_srt, strip
@@ -12,8 +13,14 @@ from ..functions.timecode import format_srt, strip
 MIN_DURATION = 0.05
 CUE = ["doc_id", "idx", "start_s", "end_s", "text", "translation", "speaker"]
 
-in_order = Window.partitionBy("doc_id").orderBy("idx")
-by_time = Window.partitionBy("doc_id").orderBy("start_s", "end_s", "idx")
+def in_order() -> WindowSpec:
+    """A document's cues in list order."""
+    return Window.partitionBy("doc_id").orderBy("idx")
+
+
+def by_time() -> WindowSpec:
+    """A document's cues by start, end and list order."""
+    return Window.partitionBy("doc_id").orderBy("start_s", "end_s", "idx")
 
 
 def duration() -> Column:
@@ -83,7 +90,7 @@ def cue_table_view(cues: DataFrame) -> DataFrame:
 
 def sort_cues(cues: DataFrame) -> DataFrame:
     """By start, end and former position within each document, renumbered from 0."""
-    return cues.withColumn("idx", F.row_number().over(by_time) - 1)
+    return cues.withColumn("idx", F.row_number().over(by_time()) - 1)
 
 
 # ---- filters
@@ -166,7 +173,7 @@ def update_cues(cues: DataFrame, edits: DataFrame) -> DataFrame:
 
 def delete_cues(cues: DataFrame, chosen: DataFrame) -> DataFrame:
     """Without the chosen (doc_id, idx), renumbered."""
-    return cues.join(chosen.select("doc_id", "idx"), ["doc_id", "idx"], "left_anti").withColumn("idx", F.row_number().over(in_order) - 1)
+    return cues.join(chosen.select("doc_id", "idx"), ["doc_id", "idx"], "left_anti").withColumn("idx", F.row_number().over(in_order()) - 1)
 
 
 def insert_cues(cues: DataFrame, times: DataFrame, seconds: float = 2.0) -> DataFrame:

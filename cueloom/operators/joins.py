@@ -97,7 +97,7 @@ def assign_speakers(cues: DataFrame, pitches: DataFrame) -> DataFrame:
     """cues with the speaker of pitches (doc_id, idx, pitch) unless it is unknown, and whether it was assigned."""
     label = pitch_label(F.col("pitch"))
     joined = cues.join(pitches.select("doc_id", "idx", "pitch"), ["doc_id", "idx"], "left")
-    known = F.coalesce(label != "?", F.lit(False))
+    known = F.col("pitch").isNotNull() & (label != "?")
     return joined.withColumns({"assigned": known, "speaker": F.when(known, label).otherwise(F.col("speaker"))}).drop("pitch")
 
 

@@ -11,10 +11,10 @@ MAX_CPS, LEAST, MOST, MAX_GAP, MAX_RATIO = 21.0, 0.5, 8.0, 15.0, 1.6
 
 def remove_overlaps(cues: DataFrame, min_gap: float = 0.04) -> DataFrame:
     """Sorted cues whose ends keep ``min_gap`` from the next start; fixed tells which were changed."""
-    following = F.lead("start_s").over(by_time)
+    following = F.lead("start_s").over(by_time())
     cut = F.greatest(F.col("start_s") + MIN_DURATION, following - min_gap)
     end = F.when(F.col("end_s") > following - min_gap, cut).otherwise(F.col("end_s"))
-    return (cues.withColumns({"new_end": end, "at": F.row_number().over(by_time) - 1})
+    return (cues.withColumns({"new_end": end, "at": F.row_number().over(by_time()) - 1})
             .select("doc_id", F.col("at").alias("idx"), "start_s",
                     F.when(F.abs(F.col("new_end") - F.col("end_s")) > 1e-6, F.col("new_end")).otherwise(F.col("end_s")).alias("end_s"),
                     "text", "translation", "speaker", (F.abs(F.col("new_end") - F.col("end_s")) > 1e-6).alias("fixed")))
@@ -23,7 +23,7 @@ def remove_overlaps(cues: DataFrame, min_gap: float = 0.04) -> DataFrame:
 def check_timing(cues: DataFrame, max_cps: float = MAX_CPS, least: float = LEAST, most: float = MOST, max_gap: float = MAX_GAP,
                  max_ratio: float = MAX_RATIO) -> DataFrame:
     """(doc_id, idx, kind, severity, message): the issues of each cue; the next cue is the next in list order."""
-    m = cue_metrics(cues).withColumn("following", F.lead("start_s").over(in_order))
+    m = cue_metrics(cues).withColumn("following", F.lead("start_s").over(in_order()))
     d, gap = F.col("duration_s"), F.col("following") - F.col("end_s")
     issue = lambda kind, severity, message: F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), message.alias("message"))
     place = (F.col("idx") + 2).cast("long")
@@ -53,17 +53,17 @@ def issue_summary(issues: DataFrame) -> DataFrame:
 
 def make_continuous(cues: DataFrame, max_gap: float = 1.5) -> DataFrame:
     """Ends moved to the next start over gaps of at most ``max_gap``."""
-    following = F.lead("start_s").over(in_order)
+    following = F.lead("start_s").over(in_order())
     gap = following - F.col("end_s")
     return cues.withColumn("end_s", F.when((gap > 0) & (gap <= max_gap), following).otherwise(F.col("end_s")))
 
 
 def merge_exact_repeats(cues: DataFrame, max_gap: float = 0.2) -> DataFrame:
     """Neighbours of equal text at most ``max_gap`` apart become one: islands, for start-sorted cues with end >= start."""
-    before_text, before_end = F.lag("text").over(in_order), F.lag("end_s").over(in_order)
+    before_text, before_end = F.lag("text").over(in_order()), F.lag("end_s").over(in_order())
     gap = F.col("start_s") - before_end
     new = F.coalesce(~((F.col("text") == before_text) & (gap >= 0) & (gap <= max_gap)), F.lit(True))
-    grouped = cues.withColumn("new", new.cast("int")).withColumn("island", F.sum("new").over(in_order))
+    grouped = cues.withColumn("new", new.cast("int")).withColumn("island", F.sum("new").over(in_order()))
     first = lambda c: F.min_by(c, "idx").alias(c)
     return (grouped.groupBy("doc_id", "island").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), first("text"), first("translation"), first("speaker"))
             .withColumn("idx", F.col("island") - 1).select(CUE))
@@ -77,13 +77,13 @@ def voice_timeline(cues: DataFrame, voices: DataFrame, totals: DataFrame) -> tup
     lengths: (doc_id, total_s) of the result, with the rest after the last span. Starts must increase strictly, so that
     no span depends on another.
     """
-    following = F.lead("start_s").over(in_order)
+    following = F.lead("start_s").over(in_order())
     rows = cues.select("doc_id", "idx", "start_s", "end_s").join(voices.select("doc_id", "idx", "voice_s"), ["doc_id", "idx"], "left")
     src_end = F.coalesce(following, F.greatest(F.col("end_s"), F.col("start_s") + 0.04))
     target = F.greatest(F.lit(0.04), F.col("src_end") - F.col("start_s"), F.coalesce("voice_s", F.lit(0.0)))
-    first = F.first("start_s").over(in_order)
+    first = F.first("start_s").over(in_order())
     rows = (rows.withColumn("src_end", src_end).withColumn("lead_in", F.when(first > 0.001, first).otherwise(0.0)).withColumn("target_s", target))
-    before = F.coalesce(F.sum("target_s").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) + F.col("lead_in")
+    before = F.coalesce(F.sum("target_s").over(in_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) + F.col("lead_in")
     r6 = lambda c: F.rint(c * 1e6) / 1e6
     placed = rows.withColumn("at", before)
     timings = placed.select("doc_id", "idx", F.col("start_s").alias("src_start"), "src_end", "target_s",
@@ -95,7 +95,7 @@ def voice_timeline(cues: DataFrame, voices: DataFrame, totals: DataFrame) -> tup
 
 def dub_fit_plan(cues: DataFrame, voices: DataFrame, must_fit: bool = False, avoid_overlap: bool = True, most: float = 2.5) -> DataFrame:
     """(doc_id, idx, slot_s, voice_s, tempo, apply, over): how much faster each voice has to be to fit its slot."""
-    following = F.lead("start_s").over(in_order)
+    following = F.lead("start_s").over(in_order())
     slot_end = F.when(following > F.col("start_s"), F.least(F.col("end_s"), following)).otherwise(F.col("end_s"))
     slot = F.greatest(F.lit(0.1), slot_end - F.col("start_s"))
     need = F.lit(must_fit) | (F.lit(avoid_overlap) & (F.col("voice_s") > F.col("slot_s")))
@@ -112,7 +112,7 @@ def translation_batches(cues: DataFrame, size: int = 25) -> DataFrame:
     """(doc_id, batch, texts, context_before, context_after): non-blank texts in order, with the texts around each batch."""
     size = max(1, size)
     rows = cues.where(~blank("text")).withColumns({
-        "n": F.row_number().over(in_order) - 1, "before": F.lag("text").over(in_order), "after": F.lead("text").over(in_order)})
+        "n": F.row_number().over(in_order()) - 1, "before": F.lag("text").over(in_order()), "after": F.lead("text").over(in_order())})
     return (rows.withColumn("batch", F.floor(F.col("n") / size)).groupBy("doc_id", "batch")
             .agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]).alias("texts"),
                  F.coalesce(F.min_by("before", "n"), F.lit("")).alias("context_before"), F.coalesce(F.max_by("after", "n"), F.lit("")).alias("context_after")))
