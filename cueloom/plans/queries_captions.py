@@ -1 +1,95 @@
+"""Queries on boxes, frame reads, captions and segments."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import geometry as geo
+from ..operators import captions as cp, joins as j, segments as sg
+from .registry import MS, cues_out, ms, register, sql
+from .relations import table, v_boxes, v_cues, v_lines, v_reads
+
+
+def m(e: str) -> str:
+    return MS.format(e)
+
+
+def _frame_boxes(s, d):
+    return v_boxes(s, d).groupBy("frame").agg(F.array_sort(F.collect_list(F.struct(F.col("box").alias("n"), "text", "score", "rect"))).alias("boxes"))
+
+
+register("filter_detections", lambda s, d: cp.filter_detections(v_boxes(s, d).withColumn("score", F.when(F.col("box") % 5 > 0, F.col("score")))).select("frame", "box", "text"),
+         sql("SELECT frame, box, text FROM v_boxes WHERE box % 5 = 0 OR score >= 0.7::DOUBLE", "v_boxes"))
+register("filter_height_fill", lambda s, d: cp.filter_height_fill(v_boxes(s, d).withColumns({"height": F.col("rect.y2") - F.col("rect.y1"), "fill": F.col("rect.x1") / 900}), 32, 0).select("frame", "box"),
+         sql("SELECT frame, box FROM v_boxes WHERE y2 - y1 >= 32 AND x1 / 900 BETWEEN 0.008::DOUBLE AND 0.92::DOUBLE", "v_boxes"))
+register("filter_color", lambda s, d: cp.filter_color(table(s, d, "part").select("p_partkey", (F.col("p_size") * 5).alias("r"), (F.col("p_partkey") % 256).alias("g"), F.lit(200).alias("b")), (250, 240, 210), 30.0).select("p_partkey"),
+         "SELECT p_partkey FROM part WHERE sqrt((p_size * 5 - 250) ** 2 + (p_partkey % 256 - 240) ** 2 + 100) <= 0.3::DOUBLE * sqrt(3 * 255.0::DOUBLE ** 2)")
+register("box_geometry", lambda s, d: v_boxes(s, d).withColumn("poly", F.array(F.array("rect.x2", "rect.y1"), F.array("rect.x1", "rect.y2"))).select("frame", "box", geo.area(geo.bbox(F.col("poly"))).alias("area"), geo.box_order(F.col("poly"))["y"].alias("y"), geo.box_order(F.col("poly"))["x"].alias("x")),
+         sql("SELECT frame, box, (x2 - x1) * (y2 - y1) AS area, y1 AS y, x1 AS x FROM v_boxes", "v_boxes"))
+
+
+def _box_pairs(s, d):
+    a = v_boxes(s, d).select("frame", F.col("box").alias("a"), F.col("rect").alias("ra"))
+    b = v_boxes(s, d).select("frame", F.col("box").alias("b"), F.col("rect").alias("rb"))
+    return a.join(b, "frame").where("a < b")
+
+
+PAIR = "WITH p AS (SELECT x.frame, x.box AS a, y.box AS b, greatest(0, least(x.x2, y.x2) - greatest(x.x1, y.x1)) AS ox, least(x.y2, y.y2) - greatest(x.y1, y.y1) AS oy, (x.x2 - x.x1) * (x.y2 - x.y1) AS area, least(x.y2 - x.y1, y.y2 - y.y1) AS low FROM v_boxes x JOIN v_boxes y ON x.frame = y.frame AND x.box < y.box)"
+register("covered", lambda s, d: _box_pairs(s, d).select("frame", "a", "b", F.round(geo.covered(F.col("ra"), F.col("rb")), 6).alias("share")), sql(PAIR + " SELECT frame, a, b, round(ox * greatest(0, oy) / area, 6) AS share FROM p", "v_boxes"))
+register("same_line", lambda s, d: _box_pairs(s, d).select("frame", "a", "b", geo.same_line(F.col("ra"), F.col("rb")).alias("same"), geo.overlap_x(F.col("ra"), F.col("rb")).alias("overlap")), sql(PAIR + " SELECT frame, a, b, low > 0 AND oy > 0.5 * low AS same, ox AS overlap FROM p", "v_boxes"))
+register("drop_overlaps", lambda s, d: _frame_boxes(s, d).select("frame", F.explode(cp.drop_overlaps(F.col("boxes"))).alias("b")).select("frame", F.col("b.n").alias("box")),
+         sql("""o AS (SELECT *, (x2 - x1) * (y2 - y1) AS area, row_number() OVER (PARTITION BY frame ORDER BY (x2 - x1) * (y2 - y1) DESC, box) AS k FROM v_boxes), l AS (SELECT frame, list({'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'box': box, 'area': area} ORDER BY k) AS bs FROM o GROUP BY frame),
+ f AS (SELECT frame, bs, 2 AS k, [bs[1]] AS kept FROM l UNION ALL SELECT frame, bs, k + 1, CASE WHEN len(list_filter(kept, lambda g: greatest(0, least(g.x2, bs[k].x2) - greatest(g.x1, bs[k].x1)) * greatest(0, least(g.y2, bs[k].y2) - greatest(g.y1, bs[k].y1)) / bs[k].area >= 0.7::DOUBLE)) > 0 THEN kept ELSE list_append(kept, bs[k]) END FROM f WHERE k <= len(bs))
+ SELECT frame, unnest(kept).box AS box FROM f WHERE k = len(bs) + 1""".join(["WITH ", ""]), "v_boxes", recursive=True))
+register("reading_order", lambda s, d: _frame_boxes(s, d).select("frame", F.posexplode(cp.reading_order(F.col("boxes"))).alias("at", "b")).select("frame", F.col("at").cast("long").alias("at"), F.col("b.b.n").alias("box")))
+register("join_rows", lambda s, d: _frame_boxes(s, d).select("frame", cp.join_rows(F.col("boxes")).alias("r")).select("frame", "r.text", F.round("r.score", 6).alias("score")))
+
+
+def _stills(s, d):
+    return v_boxes(s, d).select((F.col("frame") % 10).alias("video_id"), F.col("frame").alias("frame_idx"), F.col("box").alias("n"), "text", (F.col("rect.x1") % 3 * 100).alias("x"), F.col("rect.y1").alias("y"))
+
+
+register("static_texts", lambda s, d: cp.static_texts(_stills(s, d), _stills(s, d).groupBy("video_id").agg((F.count_distinct("frame_idx") / 4).cast("long").alias("frames"))))
+register("height_range", lambda s, d: cp.height_range(v_boxes(s, d).select(F.col("frame").alias("video_id"), (F.col("rect.y2") - F.col("rect.y1")).alias("height"))),
+         sql("SELECT frame AS video_id, round(median(y2 - y1) * 0.62::DOUBLE, 1) AS low, round(median(y2 - y1) * 1.75::DOUBLE, 1) AS high, list_sort(list(y2 - y1))[count(*) // 2 + 1] AS middle FROM v_boxes GROUP BY frame", "v_boxes"))
+register("dominant_color", lambda s, d: cp.dominant_color(table(s, d, "part").select((F.col("p_partkey") % 20).alias("video_id"), F.col("p_partkey").alias("pos"), (F.col("p_size") * 5).alias("r"), (F.col("p_size") * 3).alias("g"), F.lit(100).alias("b"), F.col("p_retailprice").alias("weight"))).select("video_id", "rgb.*"))
+register("downsample_min_gap", lambda s, d: cp.downsample_min_gap(v_reads(s, d).select("video_id", "stamp_s"), 0.25).select("video_id", ms("stamp_s").alias("stamp_ms")),
+         sql(f"""o AS (SELECT video_id, list(stamp_s ORDER BY stamp_s) AS ts FROM v_reads GROUP BY video_id), f AS (SELECT video_id, ts, 1 AS k, ts[1] AS last, [ts[1]] AS kept FROM o UNION ALL
+ SELECT video_id, ts, k + 1, CASE WHEN ts[k + 1] >= last + (4.0::DOUBLE - 0.005::DOUBLE) THEN ts[k + 1] ELSE last END, CASE WHEN ts[k + 1] >= last + (4.0::DOUBLE - 0.005::DOUBLE) THEN list_append(kept, ts[k + 1]) ELSE kept END FROM f WHERE k < len(ts)),
+ u AS (SELECT video_id, unnest(kept) AS t FROM f WHERE k = len(ts)) SELECT video_id, {m('t')} AS stamp_ms FROM u""".join(["WITH ", ""]), "v_reads", recursive=True))
+register("drop_flicker", lambda s, d: cp.drop_flicker(v_reads(s, d), 0.99).select("video_id", "frame_idx", "text", F.round("score", 6).alias("score")),
+         sql("""WITH q AS (SELECT *, lag(text) OVER w AS bt, lag(score) OVER w AS bs, lead(text) OVER w AS at_, lead(score) OVER w AS as_ FROM v_reads WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx)),
+ o AS (SELECT *, bt IS NOT NULL AND at_ IS NOT NULL AND text <> '' AND text <> bt AND text <> at_ AS odd FROM q), z AS (SELECT *, odd AND bt <> '' AND bt = at_ AS fill, odd AND NOT (bt <> '' AND bt = at_) AND length(text) < 12 AND 2 * length(text) < greatest(length(bt), length(at_)) AS speck,
+ CASE WHEN abs(bs - as_) > 0.015::DOUBLE THEN bs > as_ ELSE false END AS first FROM o)
+ SELECT video_id, frame_idx, CASE WHEN fill THEN bt WHEN speck THEN '' ELSE text END AS text, round(CASE WHEN fill THEN CASE WHEN first THEN bs ELSE as_ END WHEN speck THEN 0 ELSE score END, 6) AS score FROM z""", "v_reads"))
+register("stabilize_reads", lambda s, d: cp.stabilize_reads(v_reads(s, d)).select("video_id", "frame_idx", "text", F.round("score", 6).alias("score")))
+register("best_caption", lambda s, d: cp.best_caption(v_reads(s, d).withColumn("g", F.floor(F.col("frame_idx") / 10)), ["video_id", "g"], 0.99).select("video_id", "g", F.length("text").alias("n")))
+register("merge_captions", lambda s, d: cp.merge_captions(v_reads(s, d), votes=3).select("doc_id", "idx", ms("start_s").alias("start_ms"), ms("end_s").alias("end_ms"), "text"))
+register("merge_captions_exact", lambda s, d: cp.merge_captions_exact(v_reads(s, d)).select("doc_id", "idx", ms("start_s").alias("start_ms"), ms("end_s").alias("end_ms"), "text"),
+         sql(f"""WITH q AS (SELECT *, CASE WHEN text = lag(text) OVER w THEN 0 ELSE 1 END AS new FROM v_reads WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx)), g AS (SELECT *, sum(new) OVER (PARTITION BY video_id ORDER BY frame_idx) AS island FROM q),
+ r AS (SELECT video_id, island, min(stamp_s) AS start_s, max(stamp_s) AS last, first(text) AS text FROM g GROUP BY ALL), e AS (SELECT *, coalesce(lead(start_s) OVER (PARTITION BY video_id ORDER BY island), last + 1.0::DOUBLE / 15) AS end_s FROM r),
+ k AS (SELECT * FROM e WHERE text <> '' AND end_s - start_s >= 0.2::DOUBLE) SELECT video_id AS doc_id, row_number() OVER (PARTITION BY video_id ORDER BY island) - 1 AS idx, {m('start_s')} AS start_ms, {m('end_s')} AS end_ms, text FROM k""", "v_reads"))
+
+
+def _detections(s, d):
+    return v_boxes(s, d).select((F.col("frame") % 50).alias("video_id"), F.col("frame").alias("frame_idx"), (F.col("frame") / 15).alias("stamp_s"), F.col("box").alias("n"), "text", "score", "rect")
+
+
+register("captions_from_detections", lambda s, d: cp.captions_from_detections(_detections(s, d)).select("doc_id", "idx", ms("start_s").alias("start_ms"), "text"))
+register("fuzzy_anti_join", lambda s, d: j.fuzzy_anti_join(v_reads(s, d), v_reads(s, d).select("video_id", F.when(F.col("video_id") % 2 == 0, "Clicks").otherwise("SIGNUP").alias("item")).distinct()).select("video_id", "frame_idx", "text"),
+         sql("SELECT video_id, frame_idx, text FROM v_reads WHERE NOT (text = CASE WHEN video_id % 2 = 0 THEN 'click' ELSE 'signup' END)", "v_reads"))
+
+
+def _fine(s, d):
+    samples = [F.struct((F.col("start_s") + k).alias("stamp_s"), (F.col("text") if k < 0.9 else F.lit("")).alias("text")) for k in (-0.3, 0.1, 0.5, 1.0)]
+    return v_cues(s, d, blanks=False).select("doc_id", F.explode(F.array(*samples)).alias("f")).select("doc_id", "f.*")
+
+
+register("refine_boundaries", lambda s, d: j.refine_boundaries(v_cues(s, d, blanks=False), _fine(s, d), 0.5, 0.99).select("doc_id", "idx", ms("start_s").alias("start_ms"), ms("end_s").alias("end_ms")))
+register("merge_short", lambda s, d: cues_out(sg.merge_short(v_cues(s, d).where("text <> ''"), 1.5, 12.0, 84)),
+         sql("""n AS (SELECT *, row_number() {ORDER} AS k, greatest(0, end_s - start_s) AS dur FROM v_cues WHERE text <> ''), c AS (SELECT doc_id, max(k) AS m FROM n GROUP BY doc_id),
+ f AS (SELECT n.doc_id, 1::BIGINT AS k, start_s, end_s, text, translation, speaker, 0::BIGINT AS idx FROM n WHERE k = 1 UNION ALL
+ SELECT n.doc_id, n.k, CASE WHEN j THEN f.start_s ELSE n.start_s END, n.end_s, CASE WHEN j THEN trim(f.text || ' ' || n.text) ELSE n.text END, CASE WHEN j THEN f.translation ELSE n.translation END, CASE WHEN j THEN f.speaker ELSE n.speaker END, CASE WHEN j THEN f.idx ELSE f.idx + 1 END
+ FROM f JOIN n ON n.doc_id = f.doc_id AND n.k = f.k + 1, LATERAL (SELECT n.dur < 1.5 AND greatest(0, f.end_s - f.start_s) + n.dur <= 12 AND length(f.text) + length(n.text) + 1 <= 84 AND n.start_s - f.end_s < 0.4::DOUBLE AS j)),
+ x AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, idx ORDER BY k DESC) = 1) SELECT {CUES} FROM x""".join(["WITH ", ""]), "v_cues", recursive=True))
+register("resegment", lambda s, d: cues_out(sg.resegment(v_lines(s, d))))
