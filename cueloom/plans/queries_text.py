@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fuzzy, geometry as geo, text as x, timecode as tc
 from ..operators import audit, joins
-from ..sources import sinks, subtitles
+from ..sources import decoding, sinks, subtitles
 from .registry import MS, cues_out, ms, register, sql
 from .relations import table, v_configs, v_cues, v_lines
 
@@ -249,3 +249,6 @@ register("parse_region", lambda s, d: table(s, d, "part").select("p_partkey", ge
          "SELECT p_partkey, CASE WHEN p_size % 5 > 0 THEN p_size END AS x, CASE WHEN p_size % 5 > 0 THEN p_partkey END AS y, CASE WHEN p_size % 5 > 0 THEN p_size % 5 END AS w, CASE WHEN p_size % 5 > 0 THEN 9 END AS h FROM part")
 register("default_region", lambda s, d: table(s, d, "part").select("p_partkey", geo.default_region(F.col("p_size") * 30, F.col("p_size") * 20).alias("r")).select("p_partkey", "r.*"),
          "SELECT p_partkey, CAST(round_even(p_size * 30 * 0.1::DOUBLE, 0) AS INT) AS x, CAST(round_even(p_size * 20 * 0.74::DOUBLE, 0) AS INT) AS y, CAST(round_even(p_size * 30 * 0.8::DOUBLE, 0) AS INT) AS w, CAST(round_even(p_size * 20 * 0.2::DOUBLE, 0) AS INT) AS h FROM part")
+
+register("decode_text", lambda s, d: table(s, d, "documents").select("doc_id", decoding.decode_text(F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE")))).alias("text")),
+         "SELECT doc_id, text FROM documents")

@@ -136,3 +136,12 @@ def test_boxes_of_a_frame(spark):
     assert r.text == "tren duoi" and r.score == pytest.approx(.9)
     split = spark.createDataFrame([([(1, "Hai b", 1., (348., 0., 449., 30.)), (2, "ba bon nam", 1., (424., 1., 679., 31.))],)], f"b {box}")
     assert split.select(cp.join_rows(F.col("b")).alias("r")).first().r.text == "Hai ba bon nam"
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "utf-16", "gb18030", "big5", "cp1252"])
+def test_encodings(spark, tmp_path, encoding):
+    from cueloom.sources.decoding import read_encoded_files
+
+    text = "Café déjà vu, naïve" if encoding == "cp1252" else "你好，今天天氣很好。我們去公園"
+    (tmp_path / "a.srt").write_bytes(text.encode(encoding))
+    assert read_encoded_files(spark, str(tmp_path)).first().value == text
