@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..operators import captions as cp, joins as j, segments as sg
 from .registry import MS, cues_out, ms, register, sql
+from ..streaming import captions as st, run as streams
 from .relations import table, v_boxes, v_cues, v_lines, v_reads
 
 
@@ -93,3 +94,36 @@ register("merge_short", lambda s, d: cues_out(sg.merge_short(v_cues(s, d).where(
  FROM f JOIN n ON n.doc_id = f.doc_id AND n.k = f.k + 1, LATERAL (SELECT n.dur < 1.5 AND greatest(0, f.end_s - f.start_s) + n.dur <= 12 AND length(f.text) + length(n.text) + 1 <= 84 AND n.start_s - f.end_s < 0.4::DOUBLE AS j)),
  x AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, idx ORDER BY k DESC) = 1) SELECT {CUES} FROM x""".join(["WITH ", ""]), "v_cues", recursive=True))
 register("resegment", lambda s, d: cues_out(sg.resegment(v_lines(s, d))))
+
+
+def _stream(s, d, name):
+    """A table as a stream; the braces make its path a pattern, as a stream takes a single file by pattern only."""
+    return s.readStream.schema(table(s, d, name).schema).parquet(f"{d}/{{{name}}}.parquet")
+
+
+def _streamed_captions(s, d):
+    """Captions that have ended, from a stream of events; the place of a read is its time."""
+    e = _stream(s, d, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    stamp = (at - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))) / 3.6e9
+    reads = e.select(F.col("user_id").alias("video_id"), at.alias("frame_idx"), stamp.alias("stamp_s"), F.when(F.col("event_type") == "view", "").otherwise(F.col("event_type")).alias("text"),
+                     F.least(F.col("value") / 500, F.lit(1.0)).alias("score"), F.timestamp_seconds(stamp).alias("at"))
+    ended = streams.rows_of_stream(st.stream_merge_captions(reads, idle="1000 days"), "captions")
+    return ended.select("video_id", ms("start_s").alias("start_ms"), ms("end_s").alias("end_ms"), "text")
+
+
+register("stream_merge_captions", _streamed_captions,
+         sql(f"""WITH q AS (SELECT *, CASE WHEN text = lag(text) OVER w THEN 0 ELSE 1 END AS new FROM v_reads WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx)), g AS (SELECT *, sum(new) OVER (PARTITION BY video_id ORDER BY frame_idx) AS island FROM q),
+ r AS (SELECT video_id, island, min(stamp_s) AS start_s, first(text) AS text FROM g GROUP BY ALL), e AS (SELECT *, lead(start_s) OVER (PARTITION BY video_id ORDER BY island) AS end_s FROM r)
+ SELECT video_id, {m('start_s')} AS start_ms, {m('end_s')} AS end_ms, text FROM e WHERE text <> '' AND end_s - start_s >= 0.2::DOUBLE""", "v_reads"))
+
+
+def _streamed_issues(s, d):
+    """Timing issues of documents as plain text files that land in a stream."""
+    files = _stream(s, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("doc_id"), F.col("text").alias("value"))
+    found = streams.rows_of_batches(lambda sink: st.stream_subtitle_qc(files, sink), s, "issues", "doc_id string, idx long, kind string, severity string, message string")
+    return found.select("doc_id", "idx", "kind", "severity")
+
+
+register("stream_subtitle_qc", _streamed_issues,
+         sql("SELECT doc_id || '.txt' AS doc_id, idx, 'fast' AS kind, 'warning' AS severity FROM v_lines WHERE length(text) > 63", "v_lines"))

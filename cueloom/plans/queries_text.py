@@ -58,7 +58,8 @@ register("wrap_lines", lambda s, d: v_lines(s, d).where(SHORT).select("doc_id",
 register("translation_key", lambda s, d: v_lines(s, d).select("doc_id", "idx", x.translation_key(F.lit("g"), F.lit("en"), F.lit("vi"), F.col("text")).alias("key")), sql(L.format("sha256('g|en|vi|' || text) AS key"), "v_lines"))
 register("voice_key", lambda s, d: v_cues(s, d).select("doc_id", "idx", x.voice_key(F.lit("p"), F.lit(0), F.col("text"), F.col("speaker"), F.lit(100)).alias("key")),
          sql("""SELECT doc_id, idx, sha256('{"provider": "p", "rate": 0, "text": "' || text || '", "voice": "' || speaker || '", "volume": 100}') AS key FROM v_cues""", "v_cues"))
-register("frame_cache_key", lambda s, d: table(s, d, "part").select("p_partkey", x.frame_cache_key(video=F.col("p_name"), fps=F.round("p_retailprice", 6), region=F.array("p_size")).alias("key")))
+register("frame_cache_key", lambda s, d: table(s, d, "part").select("p_partkey", x.frame_cache_key(video=F.col("p_name"), fps=F.round("p_retailprice", 6), region=F.array("p_size")).alias("key")),
+         sql("""SELECT p_partkey, sha256('{"fps":' || round(p_retailprice::DOUBLE, 6)::VARCHAR || ',"region":[' || p_size || '],"video":' || to_json(p_name)::VARCHAR || '}') AS key FROM part"""))
 register("pause_ms", lambda s, d: v_lines(s, d).select("doc_id", "idx", x.pause_ms(F.when(F.col("idx") % 3 == 0, F.concat("text", F.lit("\nx"))).otherwise(F.col("text"))).alias("pause")),
          sql(L.format("CASE WHEN idx % 3 = 0 THEN 400 WHEN regexp_matches(text, '[.!?]$') THEN 300 ELSE 250 END AS pause"), "v_lines"))
 register("pitch_label", lambda s, d: v_cues(s, d).select("doc_id", "idx", joins.pitch_label(F.col("value") * 3 - 10).alias("label")), sql("SELECT doc_id, idx, CASE WHEN value * 3 - 10 <= 0 THEN '?' WHEN value * 3 - 10 < 165 THEN 'Nam' ELSE 'Nu' END AS label FROM v_cues", "v_cues"))
@@ -132,7 +133,10 @@ def _manifest(s, d):
     return sinks.export_manifest(p, v_cues(s, d))
 
 
-register("export_manifest", _manifest)
+register("export_manifest", _manifest,
+         sql("""SELECT doc_id, '{"name":"p' || doc_id || '","duration":' || round_even(max(end_s) * 1000, 0) / 1000 || ',"language":"en","target_language":"vi","cues":[' || string_agg(
+ '{"start":' || round_even(start_s * 1000, 0) / 1000 || ',"end":' || round_even(end_s * 1000, 0) / 1000 || ',"text":' || to_json(text) || ',"translation":' || to_json(translation) || ',"speaker":"' || speaker || '"}', ',' ORDER BY idx)
+ || ']}' AS value FROM v_cues GROUP BY doc_id""", "v_cues"))
 register("read_project_json", lambda s, d: cues_out(subtitles.read_project_json(_manifest(s, d))[1]), sql("SELECT {CUES} FROM v_cues", "v_cues"))
 register("to_timeline_json", lambda s, d: sinks.timeline_segments(v_cues(s, d)).select("doc_id", "idx", "text", F.col("start_us").alias("start_us"), "duration_us", "render_index", F.col("style_end").cast("long").alias("style_end")),
          sql("""WITH q AS (SELECT *, CASE WHEN translation <> '' THEN translation ELSE text END AS shown FROM v_cues) SELECT doc_id, idx, shown AS text, CAST(round_even(start_s * 1e6, 0) AS BIGINT) AS start_us, greatest(1, CAST(round_even((end_s - start_s) * 1e6, 0) AS BIGINT)) AS duration_us,
