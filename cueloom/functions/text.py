@@ -56,8 +56,9 @@ def split_text(text: Column, ratio: Column) -> Column:
     count = F.size(lines)
     at_line = F.greatest(F.lit(1), F.least(count - 1, F.rint(count * ratio).cast("int")))
     target = F.greatest(F.lit(1), F.least(n - 1, F.rint(n * ratio).cast("int")))
-    spaces = F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(t, i + 1, 1) == " ")
-    left, right = F.array_max(F.filter(spaces, lambda i: i < target)), F.array_min(F.filter(spaces, lambda i: i >= target))
+    head = F.substring(t, F.lit(1), target)
+    before, after = F.length(head) - F.length(F.substring_index(head, " ", -1)) - 1, F.position(F.lit(" "), t, target + 1) - 1
+    left, right = F.when(before > 0, before), F.when(after > 0, after)
     cut = F.when(left.isNull(), right).when(right.isNull(), left).otherwise(F.when(target - left <= right - target, left).otherwise(right))
     by_line = F.struct(strip(F.array_join(F.slice(lines, 1, at_line), "\n")).alias("left"),
                        strip(F.array_join(F.slice(lines, at_line + 1, F.greatest(count - at_line, F.lit(0))), "\n")).alias("right"))
