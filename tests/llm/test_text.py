@@ -201,6 +201,17 @@ def test_repeated_boilerplate_without_article():
     assert extract._texts([extract.blocks_of(p) for p in pages]) == [f"unique words number {i} in page {i * 7} here" for i in range(6)]
 
 
+def test_repeated_boilerplate_inside_article():
+    rng = random.Random(1)
+    words = [[f"w{rng.randint(0, 9999)}" for _ in range(60)] for _ in range(5)]
+    bodies = [" ".join(w) for w in words]
+    near = [" ".join(words[0][:k] + ["edited"] + words[0][k + 1:]) for k in (20, 30, 40)]
+    texts = bodies + near + [bodies[0]]
+    pages = [f"<body><aside>advert number {i}</aside><article><p>{t}</p><div>read also our ten best stories of this week</div></article></body>" for i, t in enumerate(texts)]
+    assert extract._texts([extract.blocks_of(p) for p in pages]) == texts
+    assert extract._texts([extract.blocks_of(p) for p in pages[:2]]) == [f"{t}\nread also our ten best stories of this week" for t in texts[:2]]
+
+
 def test_repeated_runs_against_brute_force():
     rng = np.random.default_rng(0)
     page = np.repeat(np.arange(8), 40)
