@@ -212,6 +212,16 @@ def test_repeated_boilerplate_inside_article():
     assert extract._texts([extract.blocks_of(p) for p in pages[:2]]) == [f"{t}\nread also our ten best stories of this week" for t in texts[:2]]
 
 
+def test_repeats_are_counted_over_the_whole_host(spark):
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randint(0, 99999)}" for _ in range(30)) for _ in range(600)]
+    notice = "<div>read also our ten best stories of this week</div>"
+    rows = [(i, f"http://h/{i}", f"<body><article><p>{t}</p>{notice if i % 20 == 0 else ''}</article></body>") for i, t in enumerate(texts)]
+    rows += [(1000 + i, f"http://h/m{i}", f"<body><article><p>{texts[1]}</p></article></body>") for i in range(100)]
+    got = {r.page_id: r.text for r in extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == dict(enumerate(texts)) | {1000 + i: texts[1] for i in range(100)}
+
+
 def test_repeated_runs_against_brute_force():
     rng = np.random.default_rng(0)
     page = np.repeat(np.arange(8), 40)
