@@ -129,31 +129,63 @@ def unit_counts(text: str, path: str) -> tuple[list[str], list[int]]:
     return units, [table[u[1:]] if u[0] == _SPACE else table.merges.prefixes(u)[-1] for u in units]
 
 
+class _UnitPrefixes(dict):
+    """The token counts of a unit's prefixes, from one character on, as bytes of int32."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.merges = merges(path)
+
+    def __missing__(self, unit: str) -> bytes:
+        found = np.array(self.merges.prefixes(unit)[1:], np.int32).tobytes()
+        if len(self) < KEPT_WORDS and len(unit) <= 64:
+            self[unit] = found
+        return found
+
+
+@lru_cache(2)
+def _unit_prefixes(path: str) -> _UnitPrefixes:
+    return _UnitPrefixes(path)
+
+
+def every_prefix(text: str, path: str) -> np.ndarray:
+    """The token count of each of a text's prefixes, from one character on."""
+    if not text:
+        return np.zeros(0, np.int32)
+    found = list(map(_unit_prefixes(path).__getitem__, _UNITS.findall(_SPACE + text.replace(" ", _SPACE))))
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    counts = np.frombuffer(b"".join(found), np.int32)
+    totals = np.cumsum(counts[np.cumsum(sizes) - 1], dtype=np.int32)
+    # the first place is the space that the model puts before the text
+    return (counts + np.repeat(np.concatenate(([0], totals[:-1])).astype(np.int32), sizes))[1:]
+
+
 def prefix_counts(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text",
                   table: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, ends, counts) for every row of ``docs``.
 
-    ends[k] is the number of characters up to the end of the k-th unit and counts[k] the exact token count of that
-    prefix; with ``table`` false both are null and only the totals are returned. A null or empty text has no tokens,
+    ends[k] is k + 1 characters and counts[k] the exact token count of the prefix of that length, inside words as well;
+    with ``table`` false both are null and only the totals are returned. A null or empty text has no tokens,
     a null id stays null, repeated rows are repeated, other columns are ignored.
     """
     path = model or default_path("piece_bpe_32k.model")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = pa.list_(pa.int32())
+    rows_at_once = 50 if table else 1000
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, rows_at_once):
+                batch = whole.slice(at, rows_at_once)
                 n_bytes, totals, ends, counts = [], [], [], []
                 for text in batch.column(1).to_pylist():
-                    units, found = unit_counts(text, path)
-                    n_bytes.append(len(text.encode())), totals.append(sum(found))
+                    n_bytes.append(len(text.encode()))
                     if table:
-                        # a unit of the table of words stands for a space and the word; the text's first space is added
-                        spaced = units and not units[0].startswith(_SPACE)
-                        sizes = np.fromiter(map(len, units), np.int32, len(units)) + (1 if spaced else 0)
-                        ends.append(np.maximum(np.cumsum(sizes) - 1, 0).astype(np.int32) if units else []), counts.append(np.cumsum(found, dtype=np.int32))
+                        found = every_prefix(text, path)
+                        totals.append(int(found[-1]) if text else 0)
+                        ends.append(np.arange(1, len(text) + 1, dtype=np.int32)), counts.append(found)
+                    else:
+                        totals.append(sum(unit_counts(text, path)[1]))
                 empty = pa.nulls(batch.num_rows, kind)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(totals, pa.int64()),
@@ -164,10 +196,9 @@ def prefix_counts(docs: DataFrame, model: str | None = None, id_col: str = "doc_
 
 
 def fitting_chars(budget: int | Column, ends: Column | str = "ends", counts: Column | str = "counts") -> Column:
-    """Characters of the longest prefix of whole units within a token budget, from the table alone."""
+    """Characters of the longest prefix within a token budget, from the table alone; a longer prefix may have fewer tokens."""
     budget = F.lit(budget) if isinstance(budget, int) else budget
-    kept = F.size(F.filter(counts, lambda c: c <= budget))
-    return F.when(kept > 0, F.get(ends, kept - 1)).otherwise(0)
+    return F.coalesce(F.array_max(F.zip_with(ends, counts, lambda end, count: F.when(count <= budget, end))), F.lit(0))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -57,6 +57,21 @@ def test_counts_at_every_prefix(docs, empty):
     assert len(library.encode(TEXTS[8][:fit])) <= 3 < len(library.encode(TEXTS[8]))
 
 
+def test_budget_inside_long_units(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=vocab.default_path("piece_bpe_32k.model"))
+    texts = ["漢字仮名交じり文" * 900, "aGVsbG8gd29ybGQ" * 400, "first = 1\nsecond\n" * 300, "  two  spaces \n\tx ▁y", "internationalization of words "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in counts.prefix_counts(docs).withColumn("fit", counts.fitting_chars(500)).collect():
+        text = texts[r.doc_id]
+        assert len(r.counts) == len(text) and r.n_tokens == len(library.encode(text)) == r.counts[-1]
+        for end in [*range(1, min(len(text), 60) + 1), *range(997, len(text), 997)]:
+            assert r.counts[end - 1] == len(library.encode(text[:end])), (text[:end],)
+        assert 0 < len(library.encode(text[: r.fit])) <= 500
+        assert r.fit == len(text) or all(len(library.encode(text[:n])) > 500 for n in range(r.fit + 1, r.fit + 20))
+
+
 def test_packing_covers_all_tokens(docs, empty):
     library = vocab.json_tokenizer(vocab.default_path("byte_bpe_50k.json"))
     rows = packing.pack(docs).collect()
