@@ -27,8 +27,14 @@ KEPT_WORDS = 400_000
 #: What a character may stand for besides itself.
 STANDS_FOR = {"0": "o", "1": "il", "!": "il", "|": "il", "3": "e", "4": "a", "@": "a", "5": "s", "$": "s", "7": "t", "+": "t", "8": "b", "9": "g"}
 SUBSTITUTION, DROPPED, UNCHANGED = 1.0, 0.5, 6.0
-_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*][^\W\d_]){3,}(?![^\W_])")
-_ODD = re.compile(r"[^\W\d_][0134578@$!|+9]+[^\W\d_]|([^\W\d_])\1\1|[^\W\d_][.\-_*][^\W\d_][.\-_*][^\W\d_]")
+_SIGN = r"[^\W_]|[@$!|+]"
+_SPACED = re.compile(rf"(?<![^\W_])(?:{_SIGN})(?:[ .\-_*]{{1,3}}(?:{_SIGN})){{3,}}(?![^\W_])")
+_LETTER = re.compile(r"[^\W\d_]")
+_LEET = re.compile(r"[0134578@$!|+9]")
+_ODD = re.compile(r"([^\W\d_])\1\1|[^\W\d_][.\-_*]+[^\W\d_]")
+_DOUBLED = re.compile(r"([^\W\d_])\1")
+#: Characters that are one letter together.
+TOGETHER = {"|\\|": "n"}
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _KINDS = 28
 
@@ -71,7 +77,10 @@ def decode(word: str, cost: np.ndarray) -> str:
     """
     states: dict[tuple[int, int], tuple[float, list]] = {(0, 0): (0.0, None)}
     before = ""
-    for char in word.lower():
+    word = word.lower()
+    for several, letter in TOGETHER.items():
+        word = word.replace(several, letter)
+    for char in word:
         options = []
         if char.isalpha():
             options.append((char, 0.0))
@@ -102,10 +111,20 @@ def decode(word: str, cost: np.ndarray) -> str:
     return "".join(reversed(letters))
 
 
+def joined(text: str, cost: np.ndarray) -> str:
+    """The text with words spelt apart joined; a row of numbers stays."""
+    return _SPACED.sub(lambda m: decode(m[0], cost) if len(_LETTER.findall(m[0])) > 1 else m[0], text)
+
+
+def is_odd(word: str) -> bool:
+    """Whether a word may be obfuscated: it has letters and a character that may stand for one, repetitions or separators."""
+    return bool(_LEET.search(word) and _LETTER.search(word) or _ODD.search(word))
+
+
 def restore(text: str, cost: np.ndarray) -> str:
     """The text with words spelt apart joined and every odd word decoded; the others are as they were."""
-    text = _SPACED.sub(lambda m: decode(m[0], cost), text)
-    return " ".join(decode(w, cost) if _ODD.search(w) else w for w in text.split())
+    text = joined(text, cost)
+    return " ".join(decode(w, cost) if is_odd(w) else w for w in text.split())
 
 
 def traits(word: str) -> list[str]:
@@ -114,16 +133,23 @@ def traits(word: str) -> list[str]:
     return [word, *(f"{word[:n]}-" for n in (4, 5, 6) if len(word) > n)] if len(word) > 2 else []
 
 
+def readings(low: str, cost: np.ndarray) -> list[str]:
+    """Traits of a word as written and, if it is odd or has a doubled letter, as decoded."""
+    found = traits(low)
+    if is_odd(low) or _DOUBLED.search(low):
+        found += [t for t in traits(decode(low, cost)) if t not in found]
+    return found
+
+
 class _Traits(dict):
-    """Traits of each word as written, decoded first if it is odd."""
+    """Traits of each word as written and as decoded."""
 
     def __init__(self, cost: np.ndarray):
         super().__init__()
         self.cost = cost
 
     def __missing__(self, word: str) -> list[str]:
-        low = word.lower()
-        found = traits(decode(low, self.cost) if _ODD.search(low) else low)
+        found = readings(word.lower(), self.cost)
         if len(self) < KEPT_WORDS:
             self[word] = found
         return found
@@ -134,7 +160,7 @@ def _counted(cost: np.ndarray):
         table, counts = _Traits(cost), {}
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text = _SPACED.sub(lambda m: decode(m[0], cost), text)
+                text = joined(text, cost)
                 for trait in {t for w in set(text.split()) for t in table[w]}:
                     counts.setdefault(trait, [0, 0])[label] += 1
         some = [(t, c[0], c[1]) for t, c in counts.items()]
@@ -162,8 +188,7 @@ class _Weights(dict):
         self.model = model
 
     def __missing__(self, word: str) -> float:
-        low = word.lower()
-        found = traits(decode(low, self.model.cost) if _ODD.search(low) else low)
+        found = readings(word.lower(), self.model.cost)
         weight = max((self.model.weights.get(t, 0.0) for t in found), default=0.0)
         if len(self) < KEPT_WORDS:
             self[word] = weight
@@ -172,7 +197,7 @@ class _Weights(dict):
 
 def evidence(text: str, table: _Weights) -> tuple[float, float]:
     """(sum of the strongest distinct words' log-odds, log of the number of words) of one text."""
-    text = _SPACED.sub(lambda m: decode(m[0], table.model.cost), text)
+    text = joined(text, table.model.cost)
     words = text.split()
     found = sorted(filter(None, map(table.__getitem__, set(words))), reverse=True)[:STRONGEST]
     return sum(found), math.log1p(len(words))

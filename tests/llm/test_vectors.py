@@ -64,6 +64,18 @@ def test_viterbi_restores_words(spark):
     assert toxicity.restore("an i d i o t and a l0s3r", cost) == "an idiot and a loser"
 
 
+def test_obfuscation_at_any_place_is_decoded(spark):
+    plain = "the idiot is a stupid clown and trash talk of scum at the good town hall will tell all"
+    cost = toxicity.language_model(spark.createDataFrame([(i, plain) for i in range(50)], "doc_id long, text string"))
+    for written, word in [("1diot", "idiot"), ("$tupid", "stupid"), ("7rash", "trash"), ("idi0+", "idiot"), ("clow|\\|", "clown"), ("stuupid", "stupid"), ("$cum", "scum")]:
+        assert word in toxicity.readings(written, cost), written
+    for written in ("i d 1 o t", "1 d 1 0 t", "i  d  i  o  t", "i--d--i--o--t", "i-d-i-0-t"):
+        assert toxicity.joined(f"an {written} here", cost) == "an idiot here", written
+    assert toxicity.joined("rows 1 2 3 4 5", cost) == "rows 1 2 3 4 5"
+    for word in ("good", "hall", "stop!", "town-hall"):
+        assert toxicity.traits(word)[0] in toxicity.readings(word, cost)
+
+
 SF = "/root/testdata/sf0.01"
 
 
