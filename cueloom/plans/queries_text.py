@@ -55,6 +55,9 @@ register("split_by_length", lambda s, d: v_lines(s, d).where(SHORT).select("doc_
 register("wrap_lines", lambda s, d: v_lines(s, d).where(SHORT).select("doc_id", "idx", x.wrap_lines(x.collapse_ws(F.col("text")), 42, 3, "truncate").alias("wrapped"), x.wrap_lines(x.collapse_ws(F.col("text")), 42, 3).alias("kept")),
          sql("WITH " + PACK.format(where=SHORT, limit=42) + """ SELECT doc_id, idx, array_to_string(parts[1:3], chr(10)) AS wrapped,
  array_to_string(parts[1:3], chr(10)) || CASE WHEN len(parts) > 3 THEN ' ' || array_to_string(parts[4:], ' ') ELSE '' END AS kept FROM p""", "v_lines", recursive=True))
+# the same on every line; a recursive CTE is too slow there
+register("split_by_length_all", lambda s, d: v_lines(s, d).select("doc_id", "idx", F.array_join(x.split_by_length(F.col("text"), 60), "|").alias("parts")))
+register("wrap_lines_all", lambda s, d: v_lines(s, d).select("doc_id", "idx", x.wrap_lines(x.collapse_ws(F.col("text")), 42, 3, "truncate").alias("wrapped"), x.wrap_lines(x.collapse_ws(F.col("text")), 42, 3).alias("kept")))
 register("translation_key", lambda s, d: v_lines(s, d).select("doc_id", "idx", x.translation_key(F.lit("g"), F.lit("en"), F.lit("vi"), F.col("text")).alias("key")), sql(L.format("sha256('g|en|vi|' || text) AS key"), "v_lines"))
 register("voice_key", lambda s, d: v_cues(s, d).select("doc_id", "idx", x.voice_key(F.lit("p"), F.lit(0), F.col("text"), F.col("speaker"), F.lit(100)).alias("key")),
          sql("""SELECT doc_id, idx, sha256('{"provider": "p", "rate": 0, "text": "' || text || '", "voice": "' || speaker || '", "volume": 100}') AS key FROM v_cues""", "v_cues"))

@@ -40,3 +40,12 @@ def test_query(spark, duck, sf_dir, name):
 
 def test_flagship(spark, sf_dir):
     assert registry.flagship(spark, sf_dir).count() > 0
+
+
+@pytest.mark.parametrize("name", ["split_by_length_all", "wrap_lines_all"])
+def test_long_and_unspaced_lines_are_not_left_out(spark, sf_dir, name):
+    from cueloom.plans.relations import v_lines
+
+    lines = v_lines(spark, sf_dir)
+    assert lines.where("length(text) >= 400 or text not like '% %'").count() > 0
+    assert registry.QUERIES[name](spark, sf_dir).count() == lines.count()
