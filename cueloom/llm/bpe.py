@@ -1,26 +1,26 @@
-"""Byte-level BPE as higher-order functions over the distinct words of document blocks."""
+"""Byte-level BPE as higher-order functions over the distinct words of a whole corpus."""
 
 from __future__ import annotations
 
+import hashlib
 import random
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute as compute
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .vocab import default_path, pieces_of, rank_encoding, ranks, usual
+from .distinct import Documents, over_distinct_words
+from .vocab import default_path, pieces_of, ranks, usual
 
-#: Characters of text whose distinct words are merged together; a longer document is a block of its own.
-BLOCK_CHARS = 8_000_000
-#: Words that are folded once for all blocks, at most, and texts of the sample that they are taken from, about.
-FREQUENT, FREQUENT_DOCS = 150_000, 12_000
-#: The fold looks at all pairs for every merge, so that its time grows with the square of a word; longer matches of the
-#: split pattern (junk without spaces) are encoded by the library.
-FOLD_BYTES = 256
+#: The fold looks at all pairs for every merge, so that its time grows with the square of a word. Longer matches of the
+#: split pattern (junk without spaces) are folded in parts of so many bytes, whose seams are then mended.
+FOLD_BYTES = 128
+#: Marks the number of a part that goes on with the match of the part before it.
+_GOES_ON = 1 << 30
 _GROUPS, _CELLS = 1 << 15, 1 << 18
 #: An id that no pair holds; it stands before and after every word.
 _EDGE = 65_535
@@ -107,166 +107,188 @@ def merged_ids(word: Column, path: str) -> Column:
         F.filter(F.slice(state, 2, 3 * FOLD_BYTES), lambda x: (x >= _RAISED) & (x < _RAISED + _EDGE)), lambda x: (x - _RAISED).cast("int")))
 
 
-class _Block(dict):
-    """Distinct matches of the split pattern, and for every word with the space before it the indexes of its matches."""
+class _Index(dict):
+    """Numbers of the distinct matches of the split pattern, and for every word with the space before it those of its matches.
+
+    A match is known by a string with one character, U+0000 to U+00FF, for each of its bytes.
+    """
 
     def __init__(self):
         super().__init__()
-        self.index: dict[str, int] = {}
+        self.places: dict[str, int] = {}
 
     def of(self, pieces: list[str]) -> bytes:
-        return array("i", [self.index.setdefault(p, len(self.index)) for p in pieces]).tobytes()
+        places, out = self.places, []
+        for piece in pieces:
+            coded = piece if piece.isascii() else piece.encode().decode("latin-1")
+            out.append(places.setdefault(coded[:FOLD_BYTES], len(places)))
+            for at in range(FOLD_BYTES, len(coded), FOLD_BYTES):
+                out.append(places.setdefault(coded[at: at + FOLD_BYTES], len(places)) | _GOES_ON)
+        return array("i", out).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         found = self[word] = self.of(pieces_of(" " + word))
         return found
 
     def text(self, text: str) -> bytes:
-        """Indexes of all matches of a text. Where single spaces part the words, no match goes beyond a word."""
+        """Numbers of all matches of a text. Where single spaces part the words, no match goes beyond a word."""
         if not text or "  " in text or text[0] == " " or text[-1] == " " or not usual(text):
             return self.of(pieces_of(text))
         first, *words = text.split(" ")
         return self.of(pieces_of(first)) + b"".join(map(self.__getitem__, words))
 
 
-def _single(path: str) -> np.ndarray:
+def _single(path: str) -> list[int]:
     vocabulary = ranks(path)
-    return np.array([vocabulary[bytes([b])] for b in range(256)], np.int64)
-
-
-def _byte_lists(words: list[bytes], single: np.ndarray) -> pa.ListArray:
-    """The ids of each word's single bytes."""
-    flat = single[np.frombuffer(b"".join(words), np.uint8)]
-    ends = np.concatenate(([0], np.cumsum([len(w) for w in words], dtype=np.int64))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-
-
-def frequent_words(texts: DataFrame, path: str, words: int = FREQUENT, docs: int = FREQUENT_DOCS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(words, ends, ids) of the most frequent distinct words of a sample of about ``docs`` texts, folded once.
-
-    It spares the blocks from folding them again and has no influence on any result; its size is bounded by ``words``.
-    """
-    count, single = texts.count(), _single(path)
+    return [vocabulary[bytes([b])] for b in range(256)]
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(1).to_pylist():
-                seen.update(pieces_of(text))
-        often = [w for w, n in seen.items() if n > 1 and len(w.encode()) <= FOLD_BYTES]
-        for at in range(0, len(often), 50_000):
-            part = often[at: at + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part), pa.array([seen[w] for w in part]), _byte_lists([w.encode() for w in part], single)], ["word", "n", "bytes"])
-
-    sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, count // docs))) == 0)
-    best = (sample.mapInArrow(counted, "word string, n long, bytes array<long>").groupBy("word")
-            .agg(F.sum("n").alias("n"), F.any_value("bytes").alias("bytes")).orderBy(F.desc("n"), "word").limit(words))
-    rows = best.repartition(8, "word").select("word", merged_ids(F.col("bytes"), path).alias("ids")).collect()
-    ends = np.concatenate(([0], np.cumsum([len(r["ids"]) for r in rows], dtype=np.int64))).astype(np.int64)
-    return [r["word"] for r in rows], ends, np.array([i for r in rows for i in r["ids"]], np.int32)
 
+def _folded(path: str):
+    def value_of(entries: DataFrame) -> DataFrame:
+        """The first row of each word folds its merges; the others take the ids over."""
+        single = _literal(_single(path))
+        rows = Window.partitionBy("word").orderBy("block")
+        folded = (entries.withColumn("first", F.row_number().over(rows) == 1)
+                  .withColumn("ids", F.when(F.col("first"), merged_ids(F.transform(F.split("word", ""), lambda c: F.get(single, F.ascii(c))), path))))
+        return folded.select("block", "place", F.first("ids", ignorenulls=True).over(rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("value"))
 
-_BLOCK = ("doc_ids array<long>, matches array<binary>, words array<array<long>>, "
-          "long array<struct<at int, bytes binary>>, known binary")
+    return value_of
 
 
-def _blocks(single: np.ndarray, frequent: list[str]):
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {w: i for i, w in enumerate(frequent)}
-
-        def emit(ids: list, matches: list, block: _Block) -> pa.RecordBatch:
-            known = np.array([place.get(w, -1) for w in block.index], np.int32)
-            words = [w.encode() for w, k in zip(block.index, known.tolist()) if k < 0]
-            far = [{"at": i, "bytes": w} for i, w in enumerate(words) if len(w) > FOLD_BYTES]
-            for x in far:
-                words[x["at"]] = b""
-            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            return pa.RecordBatch.from_arrays(
-                [one(pa.array(ids, pa.int64())), one(pa.array(matches, pa.binary())), one(_byte_lists(words, single)),
-                 one(pa.array(far, pa.struct([("at", pa.int32()), ("bytes", pa.binary())]))), pa.array([known.tobytes()])],
-                ["doc_ids", "matches", "words", "long", "known"])
-
-        ids, matches, chars, block = [], [], 0, _Block()
-        for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids.append(i), matches.append(block.text(text))
-                chars += len(text)
-                if chars >= BLOCK_CHARS:
-                    yield emit(ids, matches, block)
-                    ids, matches, chars, block = [], [], 0, _Block()
-        if ids:
-            yield emit(ids, matches, block)
-
-    return mapped
+class Seams:
+    """Mends the ids where the parts of one long match meet.
 
+    Ids are an encoding if and only if every two neighbours are the encoding of their own joined bytes. So a seam is
+    done if the two ids at it pass that test; else as many ids around it as are needed are merged anew.
+    """
 
-def _assembled(path: str, frequent_ends: np.ndarray, frequent_ids: np.ndarray):
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                ids, matches, words, far = (batch.column(c)[row].values for c in range(4))
-                known = np.frombuffer(batch.column(4)[row].as_py(), np.int32)
-                ends = words.offsets.to_numpy().astype(np.int64)
-                flat, ends = words.values.to_numpy(zero_copy_only=False)[ends[0]: ends[-1]], ends - ends[0]
-                if len(far):
-                    parts = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
-                    for x in far.to_pylist():
-                        parts[x["at"]] = np.array(rank_encoding(path).encode_ordinary(x["bytes"].decode()), np.int32)
-                    flat = np.concatenate(parts)
-                    ends = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-                new = known < 0
-                start, stop = np.empty(len(known), np.int64), np.empty(len(known), np.int64)
-                start[new], stop[new] = ends[:-1] + len(frequent_ids), ends[1:] + len(frequent_ids)
-                start[~new], stop[~new] = frequent_ends[known[~new]], frequent_ends[known[~new] + 1]
-                flat, lengths = np.concatenate((frequent_ids, flat)).astype(np.int32), stop - start
-                for at in range(0, len(ids), 500):
-                    out, sizes = [], []
-                    for m in matches.slice(at, 500).to_pylist():
-                        m = np.frombuffer(m, np.int32)
-                        n = lengths[m]
-                        total = int(n.sum())
-                        before = np.cumsum(n) - n
-                        out.append(flat[np.repeat(start[m] - before, n) + np.arange(total)]), sizes.append(total)
-                    offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-                    lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(out)))
-                    yield pa.RecordBatch.from_arrays([ids.slice(at, 500), lists], ["doc_id", "ids"])
+    def __init__(self, path: str):
+        self.rank = ranks(path)
+        self.bytes = {r: t for t, r in self.rank.items()}
+        self.known: dict[tuple[int, int], bool] = {}
 
-    return mapped
+    def merged(self, text: bytes) -> list[int]:
+        parts = [text[i: i + 1] for i in range(len(text))]
+        while len(parts) > 1:
+            best, at = min((self.rank.get(a + b, _NONE), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            if best == _NONE:
+                break
+            parts[at: at + 2] = [parts[at] + parts[at + 1]]
+        return [self.rank[p] for p in parts]
 
+    def fits(self, left: int, right: int) -> bool:
+        found = self.known.get((left, right))
+        if found is None:
+            found = self.known[left, right] = self.merged(self.bytes[left] + self.bytes[right]) == [left, right]
+        return found
 
-def encode(docs: DataFrame, rank_file: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def extend(self, left: list[int], right: list[int]) -> None:
+        """Puts the ids of the next part behind those so far."""
+        around = 1
+        if not left or not right or self.fits(left[-1], right[0]):
+            left += right
+            return
+        while True:
+            middle = self.merged(b"".join(map(self.bytes.__getitem__, left[-around:] + right[:around])))
+            before, after = left[-around - 1: -around], right[around: around + 1]
+            if (not before or self.fits(before[0], middle[0])) and (not after or self.fits(middle[-1], after[0])):
+                left[-around:] = middle
+                left += right[around:]
+                return
+            around *= 2
+
+
+def _assembled(path: str):
+    def assemble(docs: Documents, values: pa.Array) -> pa.Table:
+        edges = values.offsets.to_numpy().astype(np.int64)
+        flat, starts = values.values.to_numpy(zero_copy_only=False), edges[:-1]
+        lengths = np.diff(edges)
+        goes_on = (docs.words & _GOES_ON) != 0
+        words = docs.words & (_GOES_ON - 1)
+        n = lengths[words]
+        before = np.cumsum(n) - n
+        ids = flat[np.repeat(starts[words] - before, n) + np.arange(int(n.sum()))].astype(np.int32)
+        ends = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], docs.ends))]
+        if goes_on.any():
+            ids, ends = _mended(ids, ends, before, n, goes_on, Seams(path))
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+        return pa.table({"doc_id": docs.ids, "ids": lists})
+
+    return assemble
+
+
+def _mended(ids: np.ndarray, ends: np.ndarray, before: np.ndarray, n: np.ndarray, goes_on: np.ndarray, seams: Seams) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and where the documents end in them, after the parts of every long match are joined."""
+    out, at, gone = [], 0, np.zeros(len(ids) + 1, np.int64)
+    firsts = np.flatnonzero(~goes_on)
+    for first, after in zip(firsts, np.append(firsts[1:], len(goes_on))):
+        if after - first > 1:
+            begin, end = int(before[first]), int(before[after - 1] + n[after - 1])
+            whole: list[int] = []
+            for k in range(first, after):
+                seams.extend(whole, ids[before[k]: before[k] + n[k]].tolist())
+            out += [ids[at:begin], np.array(whole, np.int32)]
+            gone[end:] += end - begin - len(whole)
+            at = end
+    out.append(ids[at:])
+    return np.concatenate(out), ends - gone[ends]
+
+
+def encode(docs: DataFrame, rank_file: str | None = None, id_col: str = "doc_id", text_col: str = "text",
+           **blocks: int) -> DataFrame:
     """(doc_id, ids array<int>) for every row of ``docs``, as the tiktoken library encodes without special tokens.
 
-    Blocks of documents give their distinct matches of the split pattern; Spark folds the merges over each of them but
-    the most frequent ones, which are folded before; the documents' ids are put together from their matches. No text
-    is shuffled. A null or empty text has no ids, a null id stays null, repeated rows are repeated, other columns are
-    ignored.
+    Each match of the split pattern that occurs anywhere in ``docs`` has its merges folded once, by Spark; documents'
+    ids are put together from their matches' ids (see ``distinct``). A null or empty text has no ids, a null id stays
+    null, repeated rows are repeated, other columns are ignored, an empty table gives an empty result.
+    ``blocks`` may set the sizes of ``over_distinct_words``.
     """
     path = rank_file or default_path("byte_bpe_multi_50k.tiktoken")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    words, ends, ids = frequent_words(rows, path)
-    blocks = rows.mapInArrow(_blocks(_single(path), words), _BLOCK)
-    folded = blocks.select("doc_ids", "matches", F.transform("words", lambda w: merged_ids(w, path)).alias("words"), "long", "known")
-    return folded.mapInArrow(_assembled(path, ends, ids), "doc_id long, ids array<int>")
+    return over_distinct_words(rows, _Index, _folded(path), _assembled(path), "doc_id long, ids array<int>", **blocks)
 
 
 @lru_cache(2)
-def _hex_pieces(path: str) -> str:
+def _pieces(path: str) -> pa.Array:
     by_rank = {r: t for t, r in ranks(path).items()}
-    return ",".join(by_rank.get(i, b"").hex() for i in range(max(by_rank) + 1))
+    return pa.array([by_rank.get(i, b"") for i in range(max(by_rank) + 1)], pa.large_binary())
+
+
+def joined_pieces(ids: pa.ListArray, pieces: pa.Array) -> pa.Array:
+    """The binary pieces of each list of ids, concatenated: taken one after another they lie so in memory already."""
+    edges = ids.offsets.to_numpy()
+    taken = pieces.take(ids.values.slice(edges[0], edges[-1] - edges[0]))
+    offsets = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset: taken.offset + len(taken) + 1]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(offsets[edges - edges[0]].tobytes()), taken.buffers()[2]])
 
 
 def decode(ids: Column | str, rank_file: str | None = None) -> Column:
-    """The bytes of an array of ids: the pieces' hexadecimal forms, joined and read back. A null array gives null."""
-    pieces = F.split(F.lit(_hex_pieces(rank_file or default_path("byte_bpe_multi_50k.tiktoken"))), ",")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
+    """The bytes of an array of ids: its binary pieces, concatenated. A null array gives null."""
+    path = rank_file or default_path("byte_bpe_multi_50k.tiktoken")
+
+    @F.arrow_udf("binary")
+    def decoded(lists: pa.Array) -> pa.Array:
+        whole = joined_pieces(lists, _pieces(path)).cast(pa.binary())
+        return compute.if_else(lists.is_valid(), whole, pa.scalar(None, pa.binary()))
+
+    return decoded(ids)
+
+
+def _digests(path: str):
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _pieces(path)
+        numbers = pa.array([f"{i},".encode() for i in range(len(pieces))], pa.large_binary())
+        for batch in batches:
+            ids = batch.column(1)
+            texts = [t[:-1] for t in joined_pieces(ids, numbers).to_pylist()]
+            digests = [[hashlib.sha256(t).hexdigest() for t in column] for column in (texts, joined_pieces(ids, pieces).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ids.offsets.to_numpy()).astype(np.int64)), *map(pa.array, digests)],
+                                             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return mapped
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    """Query: encodes and decodes the whole ``documents`` table."""
+    """Query: encodes the whole ``documents`` table, decodes the ids and gives digests of both."""
     encoded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return encoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(decode("ids"), 256).alias("decoded_sha256"))
+    return encoded.mapInArrow(_digests(default_path("byte_bpe_multi_50k.tiktoken")), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

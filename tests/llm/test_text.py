@@ -40,6 +40,28 @@ def test_bpe_is_the_library(docs, empty):
     want = sorted((-1 if i is None else i, library.encode_ordinary(t or ""), (t or "").encode()) for i, t in [(r.doc_id, r.text) for r in docs.collect()])
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.ids, bytes(r.bytes)) for r in rows) == want
     assert bpe.encode(empty).count() == 0
+    assert docs.sparkSession.sql("select cast(null as array<int>) ids").select(bpe.decode("ids").alias("b")).first().b is None
+
+
+def test_bpe_of_long_matches(spark):
+    """Matches of the split pattern beyond one fold's length, whose parts are joined at seams."""
+    rng = random.Random(5)
+    library = vocab.rank_encoding(vocab.default_path("byte_bpe_multi_50k.tiktoken"))
+    words = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "abcdefghijklmnopqrstuvwxyz", "aeinorst", "漢字仮名交", "=-_", "é", "the") for n in (127, 128, 129, 700, 3000)]
+    texts = [*words, "a" * 20_000, " ".join(words), "x\n\n" + "internationalisation" * 200 + " end", " " * 1000, "\n" * 513]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in bpe.encode(docs).withColumn("bytes", bpe.decode("ids")).collect()}
+    for i, text in enumerate(texts):
+        assert got[i].ids == library.encode_ordinary(text) and bytes(got[i].bytes) == text.encode(), i
+
+
+def test_blocks_of_documents(spark):
+    """Many blocks and rows give what one gives."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randint(0, 300)}" for _ in range(rng.randint(0, 90))) for _ in range(300)]
+    library = vocab.rank_encoding(vocab.default_path("byte_bpe_multi_50k.tiktoken"))
+    got = bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block_chars=3000, row_chars=500).collect()
+    assert {r.doc_id: r.ids for r in got} == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
 
 
 def test_counts_at_every_prefix(docs, empty):
