@@ -11,10 +11,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as compute
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .distinct import Documents, over_distinct_words
-from .vocab import default_path, pieces_of, ranks, usual
+from .distinct import Documents, Values, over_distinct_words
+from .vocab import default_path, pieces_of, ranks, usual, usual_pieces
 
 #: The fold looks at all pairs for every merge, so that its time grows with the square of a word. Longer matches of the
 #: split pattern (junk without spaces) are folded in parts of so many bytes, whose seams are then mended.
@@ -127,7 +127,11 @@ class _Index(dict):
         return array("i", out).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        found = self[word] = self.of(pieces_of(" " + word))
+        if word.isalpha() and word.isascii() and len(word) < FOLD_BYTES:
+            found = self.places.setdefault(" " + word, len(self.places)).to_bytes(4, "little")
+        else:
+            found = self.of(usual_pieces(" " + word))
+        self[word] = found
         return found
 
     def text(self, text: str) -> bytes:
@@ -144,13 +148,10 @@ def _single(path: str) -> list[int]:
 
 
 def _folded(path: str):
-    def value_of(entries: DataFrame) -> DataFrame:
-        """The first row of each word folds its merges; the others take the ids over."""
+    def value_of(words: DataFrame) -> DataFrame:
         single = _literal(_single(path))
-        rows = Window.partitionBy("word").orderBy("block")
-        folded = (entries.withColumn("first", F.row_number().over(rows) == 1)
-                  .withColumn("ids", F.when(F.col("first"), merged_ids(F.transform(F.split("word", ""), lambda c: F.get(single, F.ascii(c))), path))))
-        return folded.select("block", "place", F.first("ids", ignorenulls=True).over(rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("value"))
+        ids = merged_ids(F.transform(F.split("word", ""), lambda c: F.get(single, F.ascii(c))), path)
+        return words.select("blocks", "places", ids.alias("value"))
 
     return value_of
 
@@ -199,39 +200,34 @@ class Seams:
 
 
 def _assembled(path: str):
-    def assemble(docs: Documents, values: pa.Array) -> pa.Table:
-        edges = values.offsets.to_numpy().astype(np.int64)
-        flat, starts = values.values.to_numpy(zero_copy_only=False), edges[:-1]
-        lengths = np.diff(edges)
+    def assemble(docs: Documents, values: Values) -> pa.Table:
         goes_on = (docs.words & _GOES_ON) != 0
-        words = docs.words & (_GOES_ON - 1)
-        n = lengths[words]
-        before = np.cumsum(n) - n
-        ids = flat[np.repeat(starts[words] - before, n) + np.arange(int(n.sum()))].astype(np.int32)
-        ends = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], docs.ends))]
+        ids, n = values.of(docs.words & (_GOES_ON - 1))
+        after = np.concatenate(([0], np.cumsum(n)))
+        ends = after[docs.edges]
         if goes_on.any():
-            ids, ends = _mended(ids, ends, before, n, goes_on, Seams(path))
-        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
-        return pa.table({"doc_id": docs.ids, "ids": lists})
+            ids, ends = _mended(ids, ends, after, goes_on, Seams(path))
+        return pa.table({"doc_id": docs.ids, "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))})
 
     return assemble
 
 
-def _mended(ids: np.ndarray, ends: np.ndarray, before: np.ndarray, n: np.ndarray, goes_on: np.ndarray, seams: Seams) -> tuple[np.ndarray, np.ndarray]:
+def _mended(ids: np.ndarray, ends: np.ndarray, after: np.ndarray, goes_on: np.ndarray, seams: Seams) -> tuple[np.ndarray, np.ndarray]:
     """The ids and where the documents end in them, after the parts of every long match are joined."""
     out, at, gone = [], 0, np.zeros(len(ids) + 1, np.int64)
-    firsts = np.flatnonzero(~goes_on)
-    for first, after in zip(firsts, np.append(firsts[1:], len(goes_on))):
-        if after - first > 1:
-            begin, end = int(before[first]), int(before[after - 1] + n[after - 1])
-            whole: list[int] = []
-            for k in range(first, after):
-                seams.extend(whole, ids[before[k]: before[k] + n[k]].tolist())
-            out += [ids[at:begin], np.array(whole, np.int32)]
-            gone[end:] += end - begin - len(whole)
-            at = end
+    parts = np.flatnonzero(goes_on)
+    lasts = parts[np.append(np.diff(parts) > 1, True)]
+    firsts = parts[np.append(True, np.diff(parts) > 1)] - 1
+    for first, last in zip(firsts.tolist(), lasts.tolist()):
+        begin, end = int(after[first]), int(after[last + 1])
+        whole: list[int] = []
+        for k in range(first, last + 1):
+            seams.extend(whole, ids[after[k]: after[k + 1]].tolist())
+        out += [ids[at:begin], np.array(whole, np.int32)]
+        gone[end] += end - begin - len(whole)
+        at = end
     out.append(ids[at:])
-    return np.concatenate(out), ends - gone[ends]
+    return np.concatenate(out), ends - np.cumsum(gone)[ends]
 
 
 def encode(docs: DataFrame, rank_file: str | None = None, id_col: str = "doc_id", text_col: str = "text",
