@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -199,7 +199,7 @@ class Seams:
             around *= 2
 
 
-def _assembled(path: str):
+def _assembled(path: str, finish: Callable[[pa.Table], pa.Table] | None = None):
     def assemble(docs: Documents, values: Values) -> pa.Table:
         goes_on = (docs.words & _GOES_ON) != 0
         ids, n = values.of(docs.words & (_GOES_ON - 1))
@@ -207,7 +207,8 @@ def _assembled(path: str):
         ends = after[docs.edges]
         if goes_on.any():
             ids, ends = _mended(ids, ends, after, goes_on, Seams(path))
-        return pa.table({"doc_id": docs.ids, "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))})
+        encoded = pa.table({"doc_id": docs.ids, "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))})
+        return finish(encoded) if finish else encoded
 
     return assemble
 
@@ -240,8 +241,13 @@ def encode(docs: DataFrame, rank_file: str | None = None, id_col: str = "doc_id"
     ``blocks`` may set the sizes of ``over_distinct_words``.
     """
     path = rank_file or default_path("byte_bpe_multi_50k.tiktoken")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return over_distinct_words(rows, _Index, _folded(path), _assembled(path), "doc_id long, ids array<int>", **blocks)
+    return _encoded(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), path, None, "doc_id long, ids array<int>", **blocks)
+
+
+def _encoded(docs: DataFrame, path: str, finish: Callable[[pa.Table], pa.Table] | None, schema: str, **blocks: int) -> DataFrame:
+    """The encoded documents, or what ``finish`` makes of some of them at a time, in the task that encodes them."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return over_distinct_words(rows, _Index, _folded(path), _assembled(path, finish), schema, **blocks)
 
 
 @lru_cache(2)
@@ -271,20 +277,19 @@ def decode(ids: Column | str, rank_file: str | None = None) -> Column:
 
 
 def _digests(path: str):
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _pieces(path)
+    def finish(encoded: pa.Table) -> pa.Table:
+        """Digests of each document's ids and of its ids' bytes."""
+        ids, pieces = encoded["ids"].chunk(0), _pieces(path)
         numbers = pa.array([f"{i},".encode() for i in range(len(pieces))], pa.large_binary())
-        for batch in batches:
-            ids = batch.column(1)
-            texts = [t[:-1] for t in joined_pieces(ids, numbers).to_pylist()]
-            digests = [[hashlib.sha256(t).hexdigest() for t in column] for column in (texts, joined_pieces(ids, pieces).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ids.offsets.to_numpy()).astype(np.int64)), *map(pa.array, digests)],
-                                             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        sha = lambda texts: pa.array([hashlib.sha256(t).hexdigest() for t in texts])
+        return pa.table({"doc_id": encoded["doc_id"], "n_tokens": pa.array(np.diff(ids.offsets.to_numpy()).astype(np.int64)),
+                         "ids_sha256": sha(t[:-1] for t in joined_pieces(ids, numbers).to_pylist()),
+                         "decoded_sha256": sha(joined_pieces(ids, pieces).to_pylist())})
 
-    return mapped
+    return finish
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
     """Query: encodes the whole ``documents`` table, decodes the ids and gives digests of both."""
-    encoded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return encoded.mapInArrow(_digests(default_path("byte_bpe_multi_50k.tiktoken")), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"), path := default_path("byte_bpe_multi_50k.tiktoken"), _digests(path),
+                    "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
