@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as compute
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .distinct import Documents, Values, over_distinct_words
+from .distinct import Documents, Values, in_spark, over_distinct_words
 from .vocab import default_path, pieces_of, ranks, usual, usual_pieces
 
 #: The fold looks at all pairs for every merge, so that its time grows with the square of a word. Longer matches of the
@@ -147,13 +147,9 @@ def _single(path: str) -> list[int]:
     return [vocabulary[bytes([b])] for b in range(256)]
 
 
-def _folded(path: str):
-    def value_of(words: DataFrame) -> DataFrame:
-        single = _literal(_single(path))
-        ids = merged_ids(F.transform(F.split("word", ""), lambda c: F.get(single, F.ascii(c))), path)
-        return words.select("blocks", "places", ids.alias("value"))
-
-    return value_of
+def _folded(path: str) -> Callable[[Column], Column]:
+    single = _literal(_single(path))
+    return lambda word: merged_ids(F.transform(F.split(word, ""), lambda c: F.get(single, F.ascii(c))), path)
 
 
 class Seams:
@@ -247,7 +243,7 @@ def encode(docs: DataFrame, rank_file: str | None = None, id_col: str = "doc_id"
 def _encoded(docs: DataFrame, path: str, finish: Callable[[pa.Table], pa.Table] | None, schema: str, **blocks: int) -> DataFrame:
     """The encoded documents, or what ``finish`` makes of some of them at a time, in the task that encodes them."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return over_distinct_words(rows, _Index, _folded(path), _assembled(path, finish), schema, **blocks)
+    return over_distinct_words(rows, _Index, in_spark(_folded(path)), _assembled(path, finish), schema, **blocks)
 
 
 @lru_cache(2)

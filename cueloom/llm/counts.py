@@ -3,20 +3,19 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from array import array
+from functools import lru_cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .distinct import Documents, Values, in_task, over_distinct_words
 from .vocab import default_path
 
 LIMIT = 4096
-#: Words whose counts a Python worker keeps; further ones are counted each time, so that memory is bounded.
-KEPT_WORDS = 600_000
 _SPACE = "▁"
-_UNITS = re.compile(f"{_SPACE}+[^{_SPACE}]*|[^{_SPACE}]+")
 
 
 class Merges:
@@ -98,110 +97,118 @@ def merges(path: str) -> Merges:
     return Merges(path)
 
 
-class _WordCounts(dict):
-    """The token count of a word with the space before it."""
-
-    def __init__(self, path: str):
-        super().__init__()
-        self.merges = merges(path)
-
-    def __missing__(self, word: str) -> int:
-        count = self.merges.prefixes(_SPACE + word)[-1]
-        if len(self) < KEPT_WORDS:
-            self[word] = count
-        return count
-
-
 @lru_cache(2)
-def _word_counts(path: str) -> _WordCounts:
-    return _WordCounts(path)
-
+def _units(path: str):
+    """Finds the units of a text, after the model's own changes to spaces: no piece of the model goes beyond a unit.
 
-def unit_counts(text: str, path: str) -> tuple[list[str], list[int]]:
-    """The units of a text and the token count of each. No piece goes beyond a unit: spaces and what follows them."""
-    if not text:
-        return [], []
-    table = _word_counts(path)
-    if "  " not in text and _SPACE not in text and text[0] != " " and text[-1] != " ":
-        words = text.split(" ")
-        return words, list(map(table.__getitem__, words))
-    units = _UNITS.findall(_SPACE + text.replace(" ", _SPACE))
-    return units, [table[u[1:]] if u[0] == _SPACE else table.merges.prefixes(u)[-1] for u in units]
+    Units end before spaces, and where letters and other characters meet, as far as no piece holds two such neighbours.
+    """
+    inside = {a + b for piece in merges(path).score for a, b in zip(piece, piece[1:])}
+    letter = re.compile(r"[^\W\d_]")
+    kinds = {("letter" if letter.match(a) else "space" if a == _SPACE else "other", "letter" if letter.match(b) else "space" if b == _SPACE else "other") for a, b in inside}
+    if ("letter", "space") in kinds or ("other", "space") in kinds:
+        return lambda text: [text]
+    if ("letter", "other") in kinds or ("other", "letter") in kinds:
+        return re.compile(f"{_SPACE}+[^{_SPACE}]*|[^{_SPACE}]+").findall
+    return re.compile(rf"{_SPACE}*[^\W\d_]+|{_SPACE}*(?:[\W\d_](?<!{_SPACE}))+|{_SPACE}+").findall
 
 
-class _UnitPrefixes(dict):
-    """The token counts of a unit's prefixes, from one character on, as bytes of int32."""
+class _Index(dict):
+    """Numbers of the distinct units, and for every word with the space before it those of its units."""
 
     def __init__(self, path: str):
         super().__init__()
-        self.merges = merges(path)
+        self.places: dict[str, int] = {}
+        self.units = _units(path)
+
+    def of(self, units: list[str]) -> bytes:
+        return array("i", [self.places.setdefault(u, len(self.places)) for u in units]).tobytes()
 
-    def __missing__(self, unit: str) -> bytes:
-        found = np.array(self.merges.prefixes(unit)[1:], np.int32).tobytes()
-        if len(self) < KEPT_WORDS and len(unit) <= 64:
-            self[unit] = found
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = self.of(self.units(_SPACE + word))
         return found
 
+    def text(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if "  " in text or _SPACE in text or text[0] == " " or text[-1] == " ":
+            return self.of(self.units(_SPACE + text.replace(" ", _SPACE)))
+        return b"".join(map(self.__getitem__, text.split(" ")))
 
-@lru_cache(2)
-def _unit_prefixes(path: str) -> _UnitPrefixes:
-    return _UnitPrefixes(path)
 
+def _prefix_values(path: str):
+    def value(units: list[str]) -> pa.ListArray:
+        """The token counts of each unit's prefixes, from one character on."""
+        counts = [merges(path).prefixes(u)[1:] for u in units]
+        edges = np.concatenate(([0], np.cumsum([len(c) for c in counts])))
+        return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(np.fromiter(chain.from_iterable(counts), np.int32, int(edges[-1]))))
 
-def every_prefix(text: str, path: str) -> np.ndarray:
-    """The token count of each of a text's prefixes, from one character on."""
-    if not text:
-        return np.zeros(0, np.int32)
-    found = list(map(_unit_prefixes(path).__getitem__, _UNITS.findall(_SPACE + text.replace(" ", _SPACE))))
-    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-    counts = np.frombuffer(b"".join(found), np.int32)
-    totals = np.cumsum(counts[np.cumsum(sizes) - 1], dtype=np.int32)
-    # the first place is the space that the model puts before the text
-    return (counts + np.repeat(np.concatenate(([0], totals[:-1])).astype(np.int32), sizes))[1:]
+    return value
 
 
-def prefix_counts(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text",
-                  table: bool = True) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, ends, counts) for every row of ``docs``.
+class Prefixes:
+    """The prefix table of some documents: counts[i] is the token count up to the i-th character of all of them.
 
-    ends[k] is k + 1 characters and counts[k] the exact token count of the prefix of that length, inside words as well;
-    with ``table`` false both are null and only the totals are returned. A null or empty text has no tokens,
-    a null id stays null, repeated rows are repeated, other columns are ignored.
+    The space that the model puts before a text is the first character of each document's part.
+    """
+
+    def __init__(self, docs: Documents, values: Values):
+        within, n = values.of(docs.words)
+        unit_ends = np.cumsum(n)
+        totals = np.cumsum(within[unit_ends - 1], dtype=np.int64)  # at the end of each unit, over all documents
+        before = np.concatenate(([0], totals))
+        self.edges = np.concatenate(([0], unit_ends))[docs.edges]
+        base = before[docs.edges]
+        self.totals = np.diff(base)
+        units = np.diff(docs.edges)
+        self.counts = within + np.repeat(before[:-1] - np.repeat(base[:-1], units), n)
+
+    def fitting(self, budget: int) -> np.ndarray:
+        """Characters of each document's longest prefix within the budget."""
+        place = np.arange(len(self.counts))
+        fits = np.where(self.counts <= budget, place, -1)
+        last = np.maximum.reduceat(np.append(fits, -1), self.edges[:-1])
+        return np.where((np.diff(self.edges) > 0) & (last >= self.edges[:-1]), last - self.edges[:-1], 0)
+
+
+def _counted(table: bool, budget: int):
+    def assemble(docs: Documents, values: Values) -> pa.Table:
+        prefixes = Prefixes(docs, values)
+        columns = {"doc_id": docs.ids, "n_bytes": docs.n_bytes, "n_tokens": pa.array(prefixes.totals),
+                   "fitting_chars": pa.array(prefixes.fitting(budget))}
+        if table:
+            keep = np.ones(len(prefixes.counts), bool)
+            keep[prefixes.edges[:-1][np.diff(prefixes.edges) > 0]] = False  # the space before each text
+            edges = np.concatenate(([0], np.cumsum(keep)))[prefixes.edges]
+            columns["counts"] = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(prefixes.counts[keep].astype(np.int32)))
+        return pa.table(columns)
+
+    return assemble
+
+
+def prefix_counts(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", table: bool = True,
+                  budget: int = LIMIT, **blocks: int) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, fitting_chars, counts) for every row of ``docs``.
+
+    counts[k] is the exact token count of the prefix of k + 1 characters, inside words as well; it is absent if ``table``
+    is false. n_tokens is its last number, and fitting_chars the characters of the longest prefix of at most ``budget``
+    tokens, both read from the same table. The counts of each distinct unit's prefixes are found once for all documents
+    (see ``distinct``, also for ``blocks``) and added up. A null or empty text has no tokens, a null id stays null,
+    repeated rows are repeated, other columns are ignored, an empty table gives an empty result.
     """
     path = model or default_path("piece_bpe_32k.model")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    kind = pa.list_(pa.int32())
-    rows_at_once = 50 if table else 1000
-
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, rows_at_once):
-                batch = whole.slice(at, rows_at_once)
-                n_bytes, totals, ends, counts = [], [], [], []
-                for text in batch.column(1).to_pylist():
-                    n_bytes.append(len(text.encode()))
-                    if table:
-                        found = every_prefix(text, path)
-                        totals.append(int(found[-1]) if text else 0)
-                        ends.append(np.arange(1, len(text) + 1, dtype=np.int32)), counts.append(found)
-                    else:
-                        totals.append(sum(unit_counts(text, path)[1]))
-                empty = pa.nulls(batch.num_rows, kind)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(totals, pa.int64()),
-                     pa.array(ends, kind) if table else empty, pa.array(counts, kind) if table else empty],
-                    ["doc_id", "n_bytes", "n_tokens", "ends", "counts"])
-
-    return rows.mapInArrow(mapped, "doc_id long, n_bytes long, n_tokens long, ends array<int>, counts array<int>")
-
-
-def fitting_chars(budget: int | Column, ends: Column | str = "ends", counts: Column | str = "counts") -> Column:
+    schema = "doc_id long, n_bytes long, n_tokens long, fitting_chars long" + (", counts array<int>" if table else "")
+    return over_distinct_words(rows, partial(_Index, path), in_task(_prefix_values(path)), _counted(table, budget), schema, **blocks)
+
+
+def fitting_chars(budget: int | Column, counts: Column | str = "counts") -> Column:
     """Characters of the longest prefix within a token budget, from the table alone; a longer prefix may have fewer tokens."""
     budget = F.lit(budget) if isinstance(budget, int) else budget
-    return F.coalesce(F.array_max(F.zip_with(ends, counts, lambda end, count: F.when(count <= budget, end))), F.lit(0))
+    return F.coalesce(F.array_max(F.transform(counts, lambda count, at: F.when(count <= budget, at + 1))), F.lit(0))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
-    """Query: token counts of the whole ``documents`` table."""
+    """Query: token counts of the whole ``documents`` table, and how much of each text is within the limit."""
     counted = prefix_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), table=False)
-    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"), "fitting_chars")

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Characters of text of one block, about; a longer document is a block of its own. It bounds a task's memory.
 BLOCK_CHARS = 10_000_000
@@ -63,7 +63,7 @@ def _blocks(new_index: Callable, buckets: int, block_chars: int, row_chars: int)
                               pa.compress("".join(some).encode(), codec="zstd", asbytes=True) + sum(len(w.encode()) for w in some).to_bytes(8, "little"))
 
         index, chars, now, ids, n_bytes, matches = new_index(), 0, 0, [], [], []
-        for batch in batches:
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids.append(i), n_bytes.append(len(text.encode())), matches.append(index.text(text))
                 now += len(text)
@@ -100,36 +100,66 @@ def _distinct(key: tuple, rows: pa.Table) -> pa.Table:
                      "places": pa.ListArray.from_arrays(edges, pa.array(np.concatenate(places)[order]))})
 
 
+def _packed(blocks: pa.ListArray, places: pa.ListArray, value: pa.ListArray) -> pa.RecordBatch:
+    """The values of some words, put together by block."""
+    of = np.repeat(np.arange(len(blocks)), np.diff(blocks.offsets.to_numpy()))
+    block, place = blocks.flatten().to_numpy(), places.flatten().to_numpy()
+    order = np.lexsort((place, block))
+    starts, flat = value.offsets.to_numpy()[:-1].astype(np.int64), value.values.to_numpy(zero_copy_only=False)
+    sizes = np.diff(value.offsets.to_numpy())
+    out = []
+    for mine in np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(order) else []:
+        words = of[mine]
+        n = sizes[words].astype(np.int64)
+        at = np.repeat(starts[words] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        out.append((int(block[mine[0]]), packed(np.diff(place[mine], prepend=0)), packed(n), packed(flat[at])))
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 4, kinds)], ["key", "places", "sizes", "flat"])
+
+
 def _packed_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The values of words, (blocks, places, value), put together by block."""
+    some, held = [], 0
 
-    def rows(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def rows() -> pa.RecordBatch:
         table = pa.Table.from_batches(some).combine_chunks()
-        blocks, places, value = (table[c].chunk(0) for c in ("blocks", "places", "value"))
-        of = np.repeat(np.arange(len(blocks)), np.diff(blocks.offsets.to_numpy()))
-        block, place = blocks.flatten().to_numpy(), places.flatten().to_numpy()
-        order = np.lexsort((place, block))
-        starts, flat = value.offsets.to_numpy()[:-1].astype(np.int64), value.values.to_numpy(zero_copy_only=False)
-        sizes = np.diff(value.offsets.to_numpy())
-        out = []
-        for mine in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
-            words = of[mine]
-            n = sizes[words].astype(np.int64)
-            at = np.repeat(starts[words] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            out.append((int(block[mine[0]]), packed(np.diff(place[mine], prepend=0)), packed(n), packed(flat[at])))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
-                                          ["key", "places", "sizes", "flat"])
+        return _packed(*(table[c].chunk(0) for c in ("blocks", "places", "value")))
 
-    some, held = [], 0
     for batch in batches:
         if batch.num_rows:
             some.append(batch)
             held += len(batch.column(0).flatten())
             if held >= PACKED_WORDS:
-                yield rows(some)
+                yield rows()
                 some, held = [], 0
     if some:
-        yield rows(some)
+        yield rows()
+
+
+def in_task(value: Callable[[list[str]], pa.ListArray]):
+    """For ``over_distinct_words``: the values come from a Python function of some words, in the task that gathers them."""
+
+    def values_of(blocks: DataFrame) -> DataFrame:
+        def valued(key: tuple, rows: pa.Table) -> pa.Table:
+            words = _distinct(key, rows).combine_chunks()
+            parts = [words.slice(at, 20_000).combine_chunks() for at in range(0, len(words), 20_000)]
+            return pa.Table.from_batches([_packed(p["blocks"].chunk(0), p["places"].chunk(0), value(p["word"].to_pylist())) for p in parts], _arrow_values)
+
+        return blocks.groupBy("key").applyInArrow(valued, _VALUES)
+
+    return values_of
+
+
+_arrow_values = pa.schema([("key", pa.int64()), ("places", pa.binary()), ("sizes", pa.binary()), ("flat", pa.binary())])
+
+
+def in_spark(value: Callable[[Column], Column]):
+    """For ``over_distinct_words``: the values are a column expression of the word, array<int>."""
+
+    def values_of(blocks: DataFrame) -> DataFrame:
+        words = blocks.groupBy("key").applyInArrow(_distinct, "word string, blocks array<long>, places array<int>")
+        return words.select("blocks", "places", value(F.col("word")).alias("value")).mapInArrow(_packed_values, _VALUES)
+
+    return values_of
 
 
 class Values:
@@ -158,21 +188,20 @@ class Documents:
         self.edges = np.concatenate(([0], np.cumsum(unpacked(rows["sizes"][row].as_py()), dtype=np.int64)))
 
 
-def over_distinct_words(docs: DataFrame, new_index: Callable, value_of: Callable[[DataFrame], DataFrame],
+def over_distinct_words(docs: DataFrame, new_index: Callable, values_of: Callable[[DataFrame], DataFrame],
                         assemble: Callable[[Documents, Values], pa.Table], schema: str, buckets: int | None = None,
                         block_chars: int = BLOCK_CHARS, row_chars: int = ROW_CHARS) -> DataFrame:
     """Rows of ``schema`` for the documents (doc_id long, text string, never null), put together from their words' values.
 
     ``new_index()`` is the index of a block: ``text(text)`` gives the numbers of a text's words as bytes of int32 and
-    ``places`` the words in the order of their numbers. ``value_of`` turns (word, blocks, places), one row for each
-    distinct word, into (blocks, places, value array<int>). ``assemble`` gets the documents of one row and the values of
-    its block. There are as many buckets as shuffle partitions, so that a bucket's size is set as that of partitions is.
+    ``places`` the words in the order of their numbers. ``values_of`` is ``in_spark`` or ``in_task`` of what gives a
+    distinct word's value, some whole numbers. ``assemble`` gets the documents of one row and the values of its block.
+    There are as many buckets as shuffle partitions, so that a bucket's size is set as that of partitions is.
     """
     buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # one exchange: both uses below read the same shuffle files (a reused exchange), so texts are split once
     blocks = docs.mapInArrow(_blocks(new_index, buckets, block_chars, row_chars), _ROW).repartition("key")
-    words = blocks.groupBy("key").applyInArrow(_distinct, "word string, blocks array<long>, places array<int>")
-    values = value_of(words).mapInArrow(_packed_values, _VALUES)
+    values = values_of(blocks)
 
     def together(rows: pa.Table, found: pa.Table) -> pa.Table:
         values = Values(found)

@@ -72,7 +72,8 @@ def test_counts_at_every_prefix(docs, empty):
     for r in counts.prefix_counts(docs).join(docs.where("doc_id > 0").select("doc_id", "text"), "doc_id").collect():
         text = r.text or ""
         assert r.n_tokens == len(library.encode(text)) and r.n_bytes == len(text.encode())
-        for end, n in list(zip(r.ends, r.counts))[:20]:
+        assert len(r.counts) == len(text)
+        for end, n in enumerate(r.counts[:20], 1):
             assert n == len(library.encode(text[:end])), (text, end)
     assert counts.prefix_counts(empty).count() == 0
     fit = counts.prefix_counts(docs.where("doc_id = 8")).select(counts.fitting_chars(3).alias("n")).first().n
@@ -83,14 +84,17 @@ def test_budget_inside_long_units(spark):
     import sentencepiece
 
     library = sentencepiece.SentencePieceProcessor(model_file=vocab.default_path("piece_bpe_32k.model"))
-    texts = ["漢字仮名交じり文" * 900, "aGVsbG8gd29ybGQ" * 400, "first = 1\nsecond\n" * 300, "  two  spaces \n\tx ▁y", "internationalization of words "]
+    texts = ["漢字仮名交じり文" * 900, "aGVsbG8gd29ybGQ" * 400, "first = 1\nsecond\n" * 300, "  two  spaces \n\tx ▁y", "internationalization of words ", "a-b_c2d (e) f'g <h> 12,3.4 x² ½ e\u0301 ñ", "▁▁ a ▁b", ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for r in counts.prefix_counts(docs).withColumn("fit", counts.fitting_chars(500)).collect():
+    for r in counts.prefix_counts(docs, budget=500, block_chars=2000, row_chars=200).withColumn("fit", counts.fitting_chars(500)).collect():
         text = texts[r.doc_id]
-        assert len(r.counts) == len(text) and r.n_tokens == len(library.encode(text)) == r.counts[-1]
+        assert len(r.counts) == len(text) and r.n_tokens == len(library.encode(text)) and r.fit == r.fitting_chars
+        if not text:
+            assert r.n_tokens == r.fit == 0
+            continue
         for end in [*range(1, min(len(text), 60) + 1), *range(997, len(text), 997)]:
             assert r.counts[end - 1] == len(library.encode(text[:end])), (text[:end],)
-        assert 0 < len(library.encode(text[: r.fit])) <= 500
+        assert r.n_tokens == r.counts[-1] and 0 < len(library.encode(text[: r.fit])) <= 500
         assert r.fit == len(text) or all(len(library.encode(text[:n])) > 500 for n in range(r.fit + 1, r.fit + 20))
 
 
