@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Characters of text of one block, about; a longer document is a block of its own. It bounds a task's memory.
-BLOCK_CHARS = 10_000_000
+BLOCK_CHARS = 5_000_000
 #: Characters of the documents of one row of a block, about, and words that are packed for their blocks at once.
 ROW_CHARS, PACKED_WORDS = 1_000_000, 250_000
 
