@@ -283,6 +283,27 @@ def test_repeated_runs_against_brute_force():
     assert want.sum() == 27 and (extract.repeated(tokens, page) == want).all()
 
 
+def test_tags_take_linear_time():
+    import time
+
+    n = 100_000
+    for page in ("<a title='" + '"' * n, "<a b" * n, '<a b="' * n + ">", "<p>" + "<b>" * n + "</i><div></div>" * n, '<a "<b "' * n + ">", "<!--" * n, "<![CDATA[" * n, "<div>" * n + "x", "</p>" * n,
+                 "<x" + '"<b>"' * n, "<ul>" + "<li><b>" * n, '<a "><' * n, "<p>" * n + "<li>" * n, "&lt;" * n):
+        begun = time.time()
+        extract.blocks_of(page)
+        assert time.time() - begun < 3, page[:30]
+
+
+def test_class_names_and_teasers():
+    long = " ".join(f"word{i}" for i in range(60))
+    texts = lambda page: [t for t, k in extract.blocks_of(page) if k != extract.DROPPED]
+    assert texts('<article><p class="ad-hoc">a</p><div class="menu-card">b</div><section class="social-policy">c</section><div class="ad-box">x</div></article>') == ["a", "b", "c"]
+    assert texts('<p>a</p><div class="kommentare">x</div><div id="Seitenleiste">x</div><div class="werbung">x</div><div class="share-buttons">x</div>') == ["a"]
+    assert texts(f"<p>{long}</p><article>teaser</article>") == [long, "teaser"]
+    assert texts(f"<p>less</p><article>{long}</article>") == [long]
+    assert texts('<p title="a > b">x</p><p title="open>y</p>') == ["x", "y"]
+
+
 def test_extract_edge_cases(spark):
     rows = [(1, "http://h/a", PAGE, "x"), (2, None, None, "x"), (None, "http://h/b", "", "x"), (1, "http://h/a", PAGE, "x"), (3, "bad", "<p>a < b &unknown; <b", "x"), (4, "http://u@h:80/c", "x" * 100_000, "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
