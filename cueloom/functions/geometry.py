@@ -55,6 +55,19 @@ def default_region(width: Column, height: Column) -> Column:
     return F.struct(share(width, 0.1).alias("x"), share(height, 0.74).alias("y"), share(width, 0.8).alias("w"), share(height, 0.2).alias("h"))
 
 
+def scale_region(region: Column, from_width: Column, from_height: Column, width: Column, height: Column) -> Column:
+    """A region (struct of x, y, w, h) of one frame size in another, clamped; null for a frame without size.
+
+    Without a region or a size to scale from it is 90 % by 28 % of the frame, at 5 % and 70 % (fixed values).
+    """
+    known = region.isNotNull() & (from_width > 0) & (from_height > 0)
+    wide, high = width.cast("double"), height.cast("double")
+    part = lambda name, side, old, share: F.when(known, F.rint(region[name] * side / old)).otherwise(F.rint(side * share)).cast("int")
+    x, y = part("x", wide, from_width, 0.05), part("y", high, from_height, 0.70)
+    w, h = part("w", wide, from_width, 0.90), part("h", high, from_height, 0.28)
+    return F.when((width > 0) & (height > 0), clamp_region(x, y, w, h, width, height))
+
+
 def parse_region(text: Column) -> Column:
     """struct(x, y, w, h) of ``a,b,c,d`` or a JSON list, null unless w and h are over 0."""
     parts = F.transform(F.split(F.regexp_replace(text, r"[\[\]\s]", ""), ","), lambda p: p.try_cast("double").cast("int"))

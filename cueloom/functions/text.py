@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from .timecode import strip
@@ -67,18 +68,35 @@ def split_text(text: Column, ratio: Column) -> Column:
     return F.when(n == 0, whole).when(t.contains("\n"), by_line).when(cut.isNull(), whole).otherwise(by_space)
 
 
-def _pack(parts: Column, limit: int, joint: str) -> Column:
+def packed(parts: list[str], limit: int, joint: str) -> list[str]:
     """Greedy packing of parts into strings of at most ``limit`` characters; a longer part stands alone."""
-    gap = len(joint)
+    out: list[str] = []
+    held: list[str] = []
+    size = 0
+    for part in parts:
+        if held and size + len(joint) + len(part) > limit:
+            out.append(joint.join(held))
+            held, size = [], 0
+        size += len(part) + (len(joint) if held else 0)
+        held.append(part)
+    return [*out, joint.join(held)] if held else out
 
-    def step(done: Column, part: Column) -> Column:
-        last = F.element_at(done, -1)
-        fits = (F.size(done) > 0) & (F.length(F.try_element_at(done, F.lit(-1))) + gap + F.length(part) <= limit)
-        grown = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat_ws(joint, F.try_element_at(done, F.lit(-1)), part)))
-        del last
-        return F.when(fits, grown).otherwise(F.concat(done, F.array(part)))
 
-    return F.aggregate(parts, F.array().cast("array<string>"), step)
+def _packed(text: Column, limit: int, unspaced: Column) -> Column:
+    """Packed words of a text, or the clauses of an unspaced one, cut where they are too long. Over Arrow batches, as it
+    is linear in the text so, where a fold of native arrays copies them at every word."""
+    clause = re.compile(f"(?<=[{_CLAUSE_END}])")
+
+    def parts(t: str, whole: bool) -> list[str]:
+        if not whole:
+            return packed([w for w in t.split(" ") if w], limit, " ")
+        return packed([c[at: at + limit] for c in clause.split(t) for at in range(0, len(c), limit)], limit, "")
+
+    @F.pandas_udf("array<string>")
+    def pack(texts: pd.Series, wholes: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else parts(t, bool(u)) for t, u in zip(texts, wholes)], dtype=object)
+
+    return pack(text, unspaced)
 
 
 def _slices(part: Column, limit: int) -> Column:
@@ -88,23 +106,19 @@ def _slices(part: Column, limit: int) -> Column:
 
 def split_by_length(text: Column, limit: int) -> Column:
     """Parts of at most ``limit`` characters: words packed greedily; a text without spaces is cut after clause marks."""
-    words = F.filter(F.split(collapse_ws(text), " "), lambda w: w != "")
-    clauses = F.filter(F.split(collapse_ws(text), f"(?<=[{_CLAUSE_END}])"), lambda c: c != "")
-    hard = F.flatten(F.transform(clauses, lambda c: F.when(F.length(c) > limit, _slices(c, limit)).otherwise(F.array(c))))
     unspaced = ~strip(text).contains(" ") & (F.length(strip(text)) > limit)
-    return F.when(unspaced, _pack(hard, limit, "")).otherwise(_pack(words, limit, " "))
+    return _packed(collapse_ws(text), limit, unspaced)
 
 
 def wrap_lines(text: Column, max_chars: int, max_lines: int, on_overflow: str = "keep") -> Column:
     """Lines of at most ``max_chars``; words beyond the last line are kept on it, or cut off with 'truncate'."""
-    lines = F.when(text.contains(" "), _pack(F.filter(F.split(text, " "), lambda w: w != ""), max_chars, " ")).otherwise(_slices(text, max_chars))
-    first = F.slice(lines, 1, max_lines)
-    if on_overflow == "truncate":
-        out = F.array_join(first, "\n")
-    else:
-        joint = F.when(text.contains(" "), F.lit(" ")).otherwise(F.lit(""))
-        rest = F.aggregate(F.slice(lines, max_lines + 1, 1_000_000), F.lit(""), lambda a, x: F.concat(a, joint, x))
-        out = F.concat(F.array_join(first, "\n"), rest)
+    spaced = text.contains(" ")
+    lines = F.when(spaced, _packed(text, max_chars, F.lit(False))).otherwise(_slices(text, max_chars))
+    out = F.array_join(F.slice(lines, 1, max_lines), "\n")
+    if on_overflow != "truncate":
+        more = F.slice(lines, max_lines + 1, F.size(lines))
+        rest = F.when(spaced, F.concat(F.lit(" "), F.array_join(more, " "))).otherwise(F.array_join(more, ""))
+        out = F.concat(out, F.when(F.size(lines) > max_lines, rest).otherwise(""))
     return F.when((F.length(text) <= max_chars) | F.lit(max_lines <= 1), text).otherwise(out)
 
 
@@ -174,6 +188,17 @@ def format_color(rgb: Column) -> Column:
     return F.when(rgb.isNotNull(), F.format_string("#%02X%02X%02X", rgb["r"], rgb["g"], rgb["b"])).otherwise(F.lit(""))
 
 
+def color_name(rgb: Column) -> Column:
+    """A colour's name: grey tones by their lightness, the others by the first range of channels that fits (fixed values)."""
+    r, g, b = rgb["r"], rgb["g"], rgb["b"]
+    light, dark = F.greatest(r, g, b), F.least(r, g, b)
+    grey = F.when(light >= 200, "trang").when(light <= 60, "den").otherwise("xam")
+    return (F.when(rgb.isNull(), "chua ro").when(light - dark <= 32, grey)
+            .when((r >= 180) & (g >= 150) & (b <= 120), "vang").when((r >= 150) & (F.greatest(g, b) <= 120), "do")
+            .when((g >= 150) & (r <= 140), "xanh la").when((b >= 150) & (r <= 150), "xanh duong")
+            .when(F.least(r, b) >= 150, "tim").otherwise("mau khac"))
+
+
 def ass_color(rgb: Column, opacity: Column) -> Column:
     """&HAABBGGRR, alpha being how transparent it is; null for a null colour."""
     alpha = F.rint((100 - F.greatest(F.lit(0), F.least(F.lit(100), opacity))) * 255 / 100).cast("int")

@@ -42,6 +42,10 @@ def format_srt(seconds: Column) -> Column:
     return _clock(seconds, "%02d", ",")
 
 
+#: What a table of cues shows is the SRT form.
+format_display = format_srt
+
+
 def format_vtt(seconds: Column) -> Column:
     """hh:mm:ss.mmm"""
     return _clock(seconds, "%02d", ".")

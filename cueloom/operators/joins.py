@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
+from .folds import fold_in_order
 from ..functions.fuzzy import text_ratio
 from ..functions.text import translation_key
 from ..functions.timecode import strip
@@ -111,7 +112,7 @@ def match_voice_profile(cues: DataFrame, profiles: DataFrame) -> DataFrame:
         F.min_by("name", F.when(default, F.col("pos"))).alias("d"), F.min_by("name", "pos").alias("a")).withColumn("_one", F.lit(1))
     who = F.lower(strip(F.col("speaker")))
     fit = F.when(who == "nam", F.col("m")).when(who.isin("nu", "nữ"), F.col("f"))
-    return cues.withColumn("_one", F.lit(1)).join(best, "_one", "left").select("doc_id", "idx", F.coalesce(fit, "d", "a").alias("profile"))
+    return cues.withColumn("_one", F.lit(1)).join(F.broadcast(best), "_one", "left").select("doc_id", "idx", F.coalesce(fit, "d", "a").alias("profile"))
 
 
 def refine_boundaries(cues: DataFrame, fine: DataFrame, step: float, threshold: float = 0.8) -> DataFrame:
@@ -135,18 +136,24 @@ def refine_boundaries(cues: DataFrame, fine: DataFrame, step: float, threshold:
     bounds = told.groupBy("doc_id", "idx").agg(F.min(F.when(F.col("early") & F.col("same"), F.col("stamp_s"))).alias("appeared"),
                                               F.min(F.when(F.col("late") & ~F.col("same") & F.col("matched"), F.col("stamp_s"))).alias("gone"))
     rows = cues.join(bounds, ["doc_id", "idx"], "left")
-    listed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "start_s", "end_s", "appeared", "gone", "text", "translation", "speaker"))).alias("rows"))
-    kind = "struct<last:double,out:array<struct<idx:bigint,start_s:double,end_s:double,text:string,translation:string,speaker:string>>>"
-
-    def fold(state: Column, r: Column) -> Column:
-        moved = F.when(r["appeared"].isNotNull(), F.least(r["appeared"], r["end_s"] - 0.05)).otherwise(r["start_s"])
-        start = F.greatest(state["last"], moved)
-        end = F.when(r["gone"] > start + 0.05, r["gone"]).otherwise(r["end_s"])
-        row = F.struct(r["idx"].cast("bigint").alias("idx"), start.alias("start_s"), end.alias("end_s"), r["text"].alias("text"), r["translation"].alias("translation"), r["speaker"].alias("speaker"))
-        return F.struct(end.alias("last"), F.concat(state["out"], F.array(row)).alias("out")).cast(kind)
-
-    start = F.struct(F.lit(0.0).alias("last"), F.array().alias("out")).cast(kind)
-    return listed.select("doc_id", F.explode(F.aggregate("rows", start, fold)["out"]).alias("r")).select("doc_id", "r.*")
+    schema = f"doc_id {cues.schema['doc_id'].dataType.simpleString()}, idx long, start_s double, end_s double, text string, translation string, speaker string"
+    return fold_in_order(rows.select("doc_id", "idx", "start_s", "end_s", "text", "translation", "speaker", "appeared", "gone"), "doc_id", "idx", lambda _: _Refined(), schema)
+
+
+class _Refined:
+    """Carries the end of the cue before."""
+
+    def __init__(self):
+        self.last = 0.0
+
+    def take(self, row: dict):
+        moved = row["start_s"] if row["appeared"] is None else min(row["appeared"], row["end_s"] - 0.05)
+        start, gone = max(self.last, moved), row["gone"]
+        self.last = gone if gone is not None and gone > start + 0.05 else row["end_s"]
+        yield row["doc_id"], row["idx"], start, self.last, row["text"], row["translation"], row["speaker"]
+
+    def end(self):
+        return ()
 
 
 def apply_timing(cues: DataFrame, timing: DataFrame) -> DataFrame:

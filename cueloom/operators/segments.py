@@ -2,51 +2,44 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from ..functions.text import collapse_ws, split_by_length, wrap_lines
 from .cues import CUE
+from .folds import fold_in_order
 
-_ROW = "struct<idx:bigint,start_s:double,end_s:double,text:string,translation:string,speaker:string>"
-#: Cues of a document that the native fold takes; longer ones are folded by row, as the native state is copied at each step.
-NATIVE = 500
+class _Joining:
+    """The cue that may still grow, and how many are out."""
+
+    def __init__(self, doc_id, least: float, most: float, limit: int):
+        self.doc_id, self.least, self.most, self.limit, self.cue, self.count = doc_id, least, most, limit, None, 0
+
+    def takes(self, row: dict) -> bool:
+        """Whether a short row continues the open cue: near enough, and neither too long in time nor in characters."""
+        spans = [max(0.0, c["end_s"] - c["start_s"]) for c in (self.cue, row)]
+        near = row["start_s"] - self.cue["end_s"] < 0.4
+        return near and spans[1] < self.least and sum(spans) <= self.most and len(self.cue["text"]) + 1 + len(row["text"]) <= self.limit
+
+    def take(self, row: dict):
+        if self.cue is not None and self.takes(row):
+            self.cue |= {"end_s": row["end_s"], "text": f"{self.cue['text']} {row['text']}".strip()}
+            return
+        yield from self.end()
+        self.cue = row
+
+    def end(self):
+        if self.cue is not None:
+            yield (self.doc_id, self.count, *(self.cue[c] for c in CUE[2:]))
+            self.count += 1
 
 
 def merge_short(cues: DataFrame, least: float = 0.6, most: float = 7.0, limit: int = 84) -> DataFrame:
     """Short cues are appended to the one before where the length, duration and gap of the result allow it."""
-    def add(done: Column, c: Column) -> Column:
-        p = F.try_element_at(done, F.lit(-1))
-        length = lambda x: F.greatest(F.lit(0.0), x["end_s"] - x["start_s"])
-        joins = ((F.size(done) > 0) & (length(c) < least) & (length(p) + length(c) <= most)
-                 & (F.length(p["text"]) + F.length(c["text"]) + 1 <= limit) & (c["start_s"] - p["end_s"] < 0.4))
-        both = F.struct(p["idx"].alias("idx"), p["start_s"].alias("start_s"), c["end_s"].alias("end_s"), F.trim(F.concat(p["text"], F.lit(" "), c["text"])).alias("text"),
-                        p["translation"].alias("translation"), p["speaker"].alias("speaker"))
-        return F.when(F.coalesce(joins, F.lit(False)), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(both))).otherwise(F.concat(done, F.array(c))).cast(f"array<{_ROW}>")
-
-    def by_row(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        for c in pdf.sort_values("idx").to_dict("records"):
-            p = out[-1] if out else None
-            long = max(0.0, c["end_s"] - c["start_s"])
-            if (p and long < least and max(0.0, p["end_s"] - p["start_s"]) + long <= most and len(p["text"]) + len(c["text"]) + 1 <= limit
-                    and c["start_s"] - p["end_s"] < 0.4):
-                p["end_s"], p["text"] = c["end_s"], f"{p['text']} {c['text']}".strip()
-            else:
-                out.append(c)
-        return pd.DataFrame(out, columns=CUE).assign(idx=range(len(out)))
-
-    sized = cues.select(*CUE, F.count("*").over(Window.partitionBy("doc_id")).alias("_n"))
-    row = F.struct(F.col("idx").cast("long").alias("idx"), *CUE[2:])
-    small = (sized.where(F.col("_n") <= NATIVE).groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).cast(f"array<{_ROW}>").alias("rows"))
-             .select("doc_id", F.posexplode(F.aggregate("rows", F.array().cast(f"array<{_ROW}>"), add)).alias("at", "r"))
-             .select("doc_id", F.col("at").cast("long").alias("idx"), "r.start_s", "r.end_s", "r.text", "r.translation", "r.speaker"))
     schema = f"doc_id {cues.schema['doc_id'].dataType.simpleString()}, idx long, start_s double, end_s double, text string, translation string, speaker string"
-    large = sized.where(F.col("_n") > NATIVE).drop("_n").groupBy("doc_id").applyInPandas(by_row, schema)
-    return small.unionByName(large)
+    return fold_in_order(cues.select(*CUE), "doc_id", "idx", lambda doc_id: _Joining(doc_id, least, most, limit), schema)
 
 
-def split_long(cues: DataFrame, max_chars: int = 42, max_lines: int = 2) -> DataFrame:
+def split_long(cues: DataFrame, max_chars: int = 42, max_lines: int = 2, on_overflow: str = "keep") -> DataFrame:
     """Cues with a text in parts of at most max_chars * max_lines, wrapped; a part's time is its share of the characters.
 
     Translations of split cues are cleared; blank cues go.
@@ -69,9 +62,10 @@ def split_long(cues: DataFrame, max_chars: int = 42, max_lines: int = 2) -> Data
     out = rows.select("doc_id", "idx", "translation", "speaker", F.posexplode(F.when(F.size("parts") > 1, placed).otherwise(whole)).alias("k", "p"), (F.size("parts") > 1).alias("cut"))
     w = Window.partitionBy("doc_id").orderBy("idx", "k")
     return out.select("doc_id", (F.row_number().over(w) - 1).cast("long").alias("idx"), F.col("p.s").alias("start_s"), F.col("p.e").alias("end_s"),
-                      wrap_lines(F.col("p.t"), max_chars, max_lines).alias("text"), F.when(F.col("cut"), "").otherwise(F.col("translation")).alias("translation"), "speaker")
+                      wrap_lines(F.col("p.t"), max_chars, max_lines, on_overflow).alias("text"), F.when(F.col("cut"), "").otherwise(F.col("translation")).alias("translation"), "speaker")
 
 
-def resegment(cues: DataFrame, max_chars: int = 42, max_lines: int = 2, least: float = 0.6, most: float = 7.0) -> DataFrame:
+def resegment(cues: DataFrame, max_chars: int = 42, max_lines: int = 2, least: float = 0.6, most: float = 7.0, on_overflow: str = "keep") -> DataFrame:
+    """Long cues split and wrapped (``on_overflow`` as in ``wrap_lines``), then short ones joined to the one before."""
     limit = max(10, max_chars * max(1, max_lines))
-    return merge_short(split_long(cues, max_chars, max_lines), least, most, limit)
+    return merge_short(split_long(cues, max_chars, max_lines, on_overflow), least, most, limit)

@@ -199,13 +199,15 @@ register("apply_timing", lambda s, d: cues_out(j.apply_timing(v_cues(s, d), v_cu
 
 
 def _replies(s, d):
-    rows = v_cues(s, d).where("idx < 20").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("r"), F.count("*").cast("int").alias("expected"))
-    body = F.to_json(F.struct(F.transform(F.filter("r", lambda x: x["idx"] % 3 != 0), lambda x: F.struct(x["idx"].cast("string").alias("id"), x["text"].alias("text"))).alias("translations")))
-    return rows.select(F.col("doc_id").alias("batch"), F.concat(F.lit("```json\n"), body, F.lit("\n```")).alias("response"), "expected")
+    """Replies to batches of 20 cues."""
+    batched = v_cues(s, d).withColumns({"part": F.floor(F.col("idx") / 20), "at": F.col("idx") % 20})
+    rows = batched.groupBy("doc_id", "part").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("r"), F.count("*").cast("int").alias("expected"))
+    body = F.to_json(F.struct(F.transform(F.filter("r", lambda x: x["at"] % 3 != 0), lambda x: F.struct(x["at"].cast("string").alias("id"), x["text"].alias("text"))).alias("translations")))
+    return rows.select((F.col("doc_id") * 1_000_000 + F.col("part")).alias("batch"), F.concat(F.lit("```json\n"), body, F.lit("\n```")).alias("response"), "expected")
 
 
 register("scatter_results", lambda s, d: j.scatter_results(_replies(s, d)).select("batch", F.array_join("texts", "|").alias("texts")),
-         sql("SELECT doc_id AS batch, string_agg(CASE WHEN idx % 3 <> 0 THEN text ELSE '' END, '|' ORDER BY idx) AS texts FROM v_cues WHERE idx < 20 GROUP BY doc_id", "v_cues"))
+         sql("SELECT doc_id * 1000000 + idx // 20 AS batch, string_agg(CASE WHEN idx % 20 % 3 <> 0 THEN text ELSE '' END, '|' ORDER BY idx) AS texts FROM v_cues GROUP BY ALL", "v_cues"))
 register("language_names", lambda s, d: j.language_names(table(s, d, "documents"), {"en": "English", "de": "German", "fr": "French"}).groupBy("lang", "language_name").count().withColumnRenamed("count", "documents"),
          "SELECT lang, coalesce(CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' END, lang) AS language_name, count(*) AS documents FROM documents GROUP BY lang")
 register("union_ignore_lists", lambda s, d: table(s, d, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_set("c_mktsegment")).alias("a")).select("c_nationkey", F.array_join(F.array_union("a", F.array(F.lit("LOGO"), F.lit("BUILDING"))), "|").alias("items")),

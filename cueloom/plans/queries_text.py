@@ -20,9 +20,9 @@ def clock(e: str, mark: str, hours: str = "%02d") -> str:
 
 
 # ---- timecodes
-register("format_timecodes", lambda s, d: v_cues(s, d).select("doc_id", "idx", tc.format_srt(F.col("start_s")).alias("srt"), tc.format_vtt(F.col("start_s") - 50).alias("vtt"), tc.format_ass(F.col("end_s")).alias("ass")),
+register("format_timecodes", lambda s, d: v_cues(s, d).select("doc_id", "idx", tc.format_srt(F.col("start_s")).alias("srt"), tc.format_vtt(F.col("start_s") - 50).alias("vtt"), tc.format_ass(F.col("end_s")).alias("ass"), tc.format_display(F.col("end_s")).alias("display")),
          sql(f"""WITH q AS (SELECT doc_id, idx, {m('start_s')} AS a, {m('greatest(start_s - 50, 0)')} AS b, {m('end_s')} AS c FROM v_cues)
- SELECT doc_id, idx, {clock('a', ',')} AS srt, {clock('b', '.')} AS vtt, printf('%d:%02d:%02d.%02d', c // 3600000, c % 3600000 // 60000, c % 60000 // 1000, c % 1000 // 10) AS ass FROM q""", "v_cues"))
+ SELECT doc_id, idx, {clock('a', ',')} AS srt, {clock('b', '.')} AS vtt, printf('%d:%02d:%02d.%02d', c // 3600000, c % 3600000 // 60000, c % 60000 // 1000, c % 1000 // 10) AS ass, {clock('c', ',')} AS display FROM q""", "v_cues"))
 register("parse_timecode", lambda s, d: v_cues(s, d).select("doc_id", "idx", ms(tc.parse_timecode(
     F.when(F.col("idx") % 4 == 0, tc.format_srt(F.col("start_s"))).when(F.col("idx") % 4 == 1, F.concat(F.lit(" "), F.col("value").cast("string"))).when(F.col("idx") % 4 == 2, F.concat(F.lit("00:75:0"), (F.col("idx") % 10).cast("string"))).otherwise(F.concat((F.col("idx") % 60).cast("string"), F.lit(":07.5"))))).alias("t_ms")),
     sql(f"SELECT doc_id, idx, CASE idx % 4 WHEN 0 THEN {m('start_s')} WHEN 1 THEN {m('value')} WHEN 3 THEN (idx % 60 * 60 + 7) * 1000 + 500 END AS t_ms FROM v_cues", "v_cues"))
@@ -40,24 +40,14 @@ register("apply_glossary", lambda s, d: v_lines(s, d).select("doc_id", "idx", x.
          sql(L.format("regexp_replace(regexp_replace(regexp_replace(text, 'the', 'DER', 'gi'), 'of', '$1', 'gi'), 'ing', '\\\\', 'gi') AS done"), "v_lines"))
 register("apply_dictionary", lambda s, d: v_lines(s, d).select("doc_id", "idx", x.apply_dictionary(F.col("text"), [("th", "1"), ("then", "2"), ("the", "3")]).alias("done")),
          sql(L.format("regexp_replace(regexp_replace(regexp_replace(text, 'then', '2', 'gi'), 'the', '3', 'gi'), 'th', '1', 'gi') AS done"), "v_lines"))
-register("split_text", lambda s, d: v_lines(s, d).where("text not like '%  %'").select("doc_id", "idx", x.split_text(F.col("text"), F.lit(0.4)).alias("t")).select("doc_id", "idx", "t.left", "t.right"),
-         sql("""WITH q AS (SELECT doc_id, idx, text, length(text) AS n, greatest(1, least(length(text) - 1, CAST(round_even(length(text) * 0.4::DOUBLE, 0) AS INT))) AS g FROM v_lines WHERE text NOT LIKE '%  %'),
+register("split_text", lambda s, d: v_lines(s, d).select("doc_id", "idx", x.split_text(F.col("text"), F.lit(0.4)).alias("t")).select("doc_id", "idx", "t.left", "t.right"),
+         sql("""WITH q AS (SELECT doc_id, idx, text, length(text) AS n, greatest(1, least(length(text) - 1, CAST(round_even(length(text) * 0.4::DOUBLE, 0) AS INT))) AS g FROM v_lines),
  p AS (SELECT *, list_filter(range(1, n), lambda i: substring(text, i + 1, 1) = ' ') AS sp FROM q), c AS (SELECT *, list_max(list_filter(sp, lambda i: i < g)) AS a, list_min(list_filter(sp, lambda i: i >= g)) AS b FROM p),
  z AS (SELECT *, CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a WHEN g - a <= b - g THEN a ELSE b END AS cut FROM c)
  SELECT doc_id, idx, CASE WHEN cut IS NULL THEN text ELSE trim(text[1:cut]) END AS left, CASE WHEN cut IS NULL THEN '' ELSE trim(text[cut + 1:]) END AS right FROM z""", "v_lines"))
-PACK = """w AS (SELECT doc_id, idx, list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS ws FROM v_lines WHERE {where}),
- f AS (SELECT doc_id, idx, ws, 1 AS k, ws[1] AS cur, []::VARCHAR[] AS done FROM w WHERE len(ws) > 0 UNION ALL
- SELECT doc_id, idx, ws, k + 1, CASE WHEN length(cur) + 1 + length(ws[k + 1]) <= {limit} THEN cur || ' ' || ws[k + 1] ELSE ws[k + 1] END, CASE WHEN length(cur) + 1 + length(ws[k + 1]) <= {limit} THEN done ELSE list_append(done, cur) END FROM f WHERE k < len(ws)),
- p AS (SELECT doc_id, idx, list_append(done, cur) AS parts FROM f WHERE k = len(ws))"""
-SHORT = "length(text) < 400 AND text LIKE '% %'"
-register("split_by_length", lambda s, d: v_lines(s, d).where(SHORT).select("doc_id", "idx", F.array_join(x.split_by_length(F.col("text"), 60), "|").alias("parts")),
-         sql("WITH " + PACK.format(where=SHORT, limit=60) + " SELECT doc_id, idx, array_to_string(parts, '|') AS parts FROM p", "v_lines", recursive=True))
-register("wrap_lines", lambda s, d: v_lines(s, d).where(SHORT).select("doc_id", "idx", x.wrap_lines(x.collapse_ws(F.col("text")), 42, 3, "truncate").alias("wrapped"), x.wrap_lines(x.collapse_ws(F.col("text")), 42, 3).alias("kept")),
-         sql("WITH " + PACK.format(where=SHORT, limit=42) + """ SELECT doc_id, idx, array_to_string(parts[1:3], chr(10)) AS wrapped,
- array_to_string(parts[1:3], chr(10)) || CASE WHEN len(parts) > 3 THEN ' ' || array_to_string(parts[4:], ' ') ELSE '' END AS kept FROM p""", "v_lines", recursive=True))
-# the same on every line; a recursive CTE is too slow there
-register("split_by_length_all", lambda s, d: v_lines(s, d).select("doc_id", "idx", F.array_join(x.split_by_length(F.col("text"), 60), "|").alias("parts")))
-register("wrap_lines_all", lambda s, d: v_lines(s, d).select("doc_id", "idx", x.wrap_lines(x.collapse_ws(F.col("text")), 42, 3, "truncate").alias("wrapped"), x.wrap_lines(x.collapse_ws(F.col("text")), 42, 3).alias("kept")))
+# greedy packing over lines of thousands of words is too slow in a recursive CTE; tests hold these against brute force
+register("split_by_length", lambda s, d: v_lines(s, d).select("doc_id", "idx", F.array_join(x.split_by_length(F.col("text"), 60), "|").alias("parts")))
+register("wrap_lines", lambda s, d: v_lines(s, d).select("doc_id", "idx", x.wrap_lines(x.collapse_ws(F.col("text")), 42, 3, "truncate").alias("wrapped"), x.wrap_lines(x.collapse_ws(F.col("text")), 42, 3).alias("kept")))
 register("translation_key", lambda s, d: v_lines(s, d).select("doc_id", "idx", x.translation_key(F.lit("g"), F.lit("en"), F.lit("vi"), F.col("text")).alias("key")), sql(L.format("sha256('g|en|vi|' || text) AS key"), "v_lines"))
 register("voice_key", lambda s, d: v_cues(s, d).select("doc_id", "idx", x.voice_key(F.lit("p"), F.lit(0), F.col("text"), F.col("speaker"), F.lit(100)).alias("key")),
          sql("""SELECT doc_id, idx, sha256('{"provider": "p", "rate": 0, "text": "' || text || '", "voice": "' || speaker || '", "volume": 100}') AS key FROM v_cues""", "v_cues"))
@@ -189,7 +179,7 @@ def _frames(s, d):
     return v_cues(s, d).select((F.col("doc_id") % 3).cast("string").alias("cache_key"), F.col("event_id").alias("frame_idx"), F.when(F.col("idx") % 5 == 0, "{bad").otherwise(F.to_json(F.array(box))).alias("rows_json"))
 
 
-register("read_frame_cache", lambda s, d: audit.read_frame_cache(_frames(s, d), "1", 500).select("frame_idx", F.get("boxes", F.lit(0))["text"].alias("text")), sql("SELECT event_id AS frame_idx, text FROM v_cues WHERE doc_id % 3 = 1 AND event_id < 500 AND idx % 5 <> 0", "v_cues"))
+register("read_frame_cache", lambda s, d: audit.read_frame_cache(_frames(s, d), "1", 1 << 40).select("frame_idx", F.get("boxes", F.lit(0))["text"].alias("text")), sql("SELECT event_id AS frame_idx, text FROM v_cues WHERE doc_id % 3 = 1 AND idx % 5 <> 0", "v_cues"))
 
 
 def _probe(s, d):
@@ -240,18 +230,32 @@ register("read_asr_segments", lambda s, d: audit.read_asr_segments(_segments(s,
 
 
 def _series(s, d):
-    return v_cues(s, d).where("idx < 40").select(F.col("doc_id").alias("track_id"), F.col("idx").alias("seg"), (F.col("idx") * 0.5).alias("start_s"), F.lit(10).alias("rate"), F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: (F.col("event_id") * 37 % 40000 - 12000 + k * 100).cast("int")).alias("samples"))
+    """Every cue as a segment of its document's track; the track ends with the last one's half."""
+    segments = v_cues(s, d).select(F.col("doc_id").alias("track_id"), F.col("idx").alias("seg"), (F.col("idx") * 0.5).alias("start_s"), F.lit(10).alias("rate"), F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: (F.col("event_id") * 37 % 40000 - 12000 + k * 100).cast("int")).alias("samples"))
+    return segments, segments.groupBy("track_id").agg((F.max("start_s") + 0.6).alias("total_s"))
 
 
-TRACK = "WITH q AS (SELECT doc_id AS track_id, idx AS seg, CAST(round_even(idx * 5.0, 0) AS BIGINT) + k AS pos, event_id * 37 % 40000 - 12000 + k * 100 AS v FROM v_cues, range(12) r(k) WHERE idx < 40), z AS (SELECT * FROM q WHERE pos < 150)"
-register("overlay_series", lambda s, d: audit.overlay_series(_series(s, d), table(s, d, "customer").select(F.col("c_custkey").alias("track_id"), F.lit(15.0).alias("total_s"))), sql(TRACK + " SELECT track_id, pos, CAST(arg_max(v, seg) AS INT) AS v FROM z GROUP BY ALL", "v_cues"))
-register("overlay_series_mix", lambda s, d: audit.overlay_series(_series(s, d), table(s, d, "customer").select(F.col("c_custkey").alias("track_id"), F.lit(15.0).alias("total_s")), mix=True),
+TRACK = """WITH q AS (SELECT doc_id AS track_id, idx AS seg, idx * 5 + k AS pos, event_id * 37 % 40000 - 12000 + k * 100 AS v FROM v_cues, range(12) r(k)),
+ n AS (SELECT doc_id AS track_id, max(idx) * 5 + 6 AS n FROM v_cues GROUP BY doc_id), z AS (SELECT q.* FROM q JOIN n USING (track_id) WHERE pos < n)"""
+register("overlay_series", lambda s, d: audit.overlay_series(*_series(s, d)), sql(TRACK + " SELECT track_id, pos, CAST(arg_max(v, seg) AS INT) AS v FROM z GROUP BY ALL", "v_cues"))
+register("overlay_series_mix", lambda s, d: audit.overlay_series(*_series(s, d), mix=True),
          sql(TRACK + ", l AS (SELECT track_id, pos, list_prepend(0::BIGINT, list(v ORDER BY seg)) AS vs FROM z GROUP BY ALL) SELECT track_id, pos, CAST(list_reduce(vs, lambda a, b: greatest(-32768, least(32767, a + b))) AS INT) AS v FROM l", "v_cues"))
 register("estimate_pitch", lambda s, d: table(s, d, "part").select("p_partkey", audit.estimate_pitch(F.transform(F.sequence(F.lit(0), F.lit(7999)), lambda k: (F.sin(k * 2 * 3.141592653589793 * (F.col("p_size") * 4 + 80) / 16000) * 9000).cast("int")), F.lit(16000)).alias("pitch")))
 
 # ---- regions
 register("clamp_region", lambda s, d: table(s, d, "part").select("p_partkey", geo.clamp_region(F.col("p_partkey") - 50, F.col("p_size") * 40, F.col("p_size") * 3, F.lit(10), F.lit(640), F.lit(480)).alias("r")).select("p_partkey", "r.*"),
          """WITH q AS (SELECT p_partkey, greatest(24, least(p_size * 3, 640)) AS w, 24 AS h, p_size FROM part) SELECT p_partkey, greatest(0, least(p_partkey - 50, 640 - w)) AS x, greatest(0, least(p_size * 40, 480 - h)) AS y, w, h FROM q""")
+register("scale_region", lambda s, d: table(s, d, "part").select("p_partkey", geo.scale_region(
+    F.when(F.col("p_partkey") % 3 > 0, F.struct((F.col("p_size") * 4).alias("x"), (F.col("p_size") * 9).alias("y"), (F.col("p_size") * 20).alias("w"), (F.col("p_size") * 2).alias("h"))), F.lit(1920), F.lit(1080), F.col("p_size") * 40, F.lit(720)).alias("r")).select("p_partkey", "r.*"),
+         """WITH q AS (SELECT p_partkey, p_size * 40 AS wide, p_partkey % 3 > 0 AS known, p_size AS z FROM part),
+ s AS (SELECT p_partkey, wide, CASE WHEN known THEN round_even(z * 4 * wide / 1920.0::DOUBLE, 0) ELSE round_even(wide * 0.05::DOUBLE, 0) END AS x, CASE WHEN known THEN round_even(z * 9 * 720 / 1080.0::DOUBLE, 0) ELSE 504 END AS y,
+ CASE WHEN known THEN round_even(z * 20 * wide / 1920.0::DOUBLE, 0) ELSE round_even(wide * 0.9::DOUBLE, 0) END AS w, CASE WHEN known THEN round_even(z * 2 * 720 / 1080.0::DOUBLE, 0) ELSE round_even(720 * 0.28::DOUBLE, 0) END AS h FROM q),
+ c AS (SELECT p_partkey, x, y, wide, greatest(24, least(w, wide)) AS w, greatest(24, least(h, 720)) AS h FROM s)
+ SELECT p_partkey, CAST(greatest(0, least(x, wide - w)) AS INT) AS x, CAST(greatest(0, least(y, 720 - h)) AS INT) AS y, CAST(w AS INT) AS w, CAST(h AS INT) AS h FROM c""")
+register("color_name", lambda s, d: table(s, d, "part").select("p_partkey", x.color_name(F.when(F.col("p_partkey") % 50 > 0, F.struct((F.col("p_partkey") * 37 % 256).alias("r"), (F.col("p_partkey") * 101 % 256).alias("g"), (F.col("p_partkey") * 7 % 256).alias("b")))).alias("name")),
+         """WITH q AS (SELECT p_partkey, p_partkey * 37 % 256 AS r, p_partkey * 101 % 256 AS g, p_partkey * 7 % 256 AS b FROM part)
+ SELECT p_partkey, CASE WHEN p_partkey % 50 = 0 THEN 'chua ro' WHEN greatest(r, g, b) - least(r, g, b) <= 32 THEN CASE WHEN greatest(r, g, b) >= 200 THEN 'trang' WHEN greatest(r, g, b) <= 60 THEN 'den' ELSE 'xam' END
+ WHEN r >= 180 AND g >= 150 AND b <= 120 THEN 'vang' WHEN r >= 150 AND g <= 120 AND b <= 120 THEN 'do' WHEN g >= 150 AND r <= 140 THEN 'xanh la' WHEN b >= 150 AND r <= 150 THEN 'xanh duong' WHEN r >= 150 AND b >= 150 THEN 'tim' ELSE 'mau khac' END AS name FROM q""")
 register("parse_region", lambda s, d: table(s, d, "part").select("p_partkey", geo.parse_region(F.concat(F.lit("["), F.concat_ws(", ", F.col("p_size"), F.col("p_partkey"), F.col("p_size") % 5, F.lit(9)), F.lit("]"))).alias("r")).select("p_partkey", "r.*"),
          "SELECT p_partkey, CASE WHEN p_size % 5 > 0 THEN p_size END AS x, CASE WHEN p_size % 5 > 0 THEN p_partkey END AS y, CASE WHEN p_size % 5 > 0 THEN p_size % 5 END AS w, CASE WHEN p_size % 5 > 0 THEN 9 END AS h FROM part")
 register("default_region", lambda s, d: table(s, d, "part").select("p_partkey", geo.default_region(F.col("p_size") * 30, F.col("p_size") * 20).alias("r")).select("p_partkey", "r.*"),

@@ -6,47 +6,56 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType
 
-_OTHERS = ("shift_jis", "cp949", "cp1258", "cp1252")
+#: Lead bytes of the frequent characters in each standard: level 1 of GB 2312 (rows 16 to 55), level 1 of
+#: Big5 (A440 to C67E), kana and level 1 kanji of Shift JIS, Hangul of KS X 1001 (rows 16 to 40).
+FREQUENT = {
+    "gb18030": ((0xB0, 0xD7),),
+    "big5": ((0xA4, 0xC6),),
+    "shift_jis": ((0x82, 0x83), (0x88, 0x97)),
+    "cp949": ((0xB0, 0xC8),),
+}
+#: Share of the characters beyond ASCII that must be frequent ones for an encoding to be taken at its word.
+LIKELY = 0.5
+SINGLE_BYTE = ("cp1258", "cp1252")
 
 
-def _strange(text: str) -> int:
-    """Characters that a wrong Chinese decoding tends to give: private use, kana and bopomofo."""
-    return sum("" <= c <= "" or "぀" <= c <= "ヿ" or "㄀" <= c <= "ㄯ" for c in text)
-
-
-def _chinese(data: bytes) -> str | None:
-    """The better of GB18030 and Big5, the first on ties; none if what comes out isn't mostly ideographs."""
-    found = []
-    for name in ("gb18030", "big5"):
-        try:
-            text = data.decode(name)
-        except UnicodeDecodeError:
-            continue
-        far = [c for c in text if ord(c) > 127]
-        if far and sum("㐀" <= c <= "鿿" or "　" <= c <= "〿" or "＀" <= c <= "￯" for c in far) >= 0.7 * len(far):
-            found.append((_strange(text), len(found), text))
-    return min(found)[2] if found else None
+def _plausibility(data: bytes, encoding: str) -> float:
+    """Share of frequent characters among those beyond ASCII, as the encoding reads them; -1 if it can't read them."""
+    try:
+        text = data.decode(encoding)
+    except UnicodeDecodeError:
+        return -1.0
+    leads = [c.encode(encoding)[0] for c in text if not c.isascii()]
+    hits = sum(any(low <= lead <= high for low, high in FREQUENT[encoding]) for lead in leads)
+    return hits / len(leads) if leads else 0.0
 
 
-def decode_bytes(data: bytes | None) -> str | None:
-    """UTF-8 or UTF-16 by its mark, else a Chinese encoding that fits, else the first other one that can be read."""
-    if data is None:
-        return None
-    if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return data.decode("utf-16", "replace")
+def encoding_of(data: bytes) -> str:
+    """The encoding of some bytes: by their mark, UTF-8 if valid, else the East Asian one whose frequent characters fit
+    best, on ties that with the fewest of them, else the first that reads them at all."""
+    if data.startswith((b"\xff\xfe", b"\xfe\xff")):
+        return "utf-16"
     try:
-        return data.decode("utf-8-sig")
+        data.decode("utf-8")
+        return "utf-8-sig"
     except UnicodeDecodeError:
         pass
-    text = _chinese(data)
-    if text is not None:
-        return text
-    for name in _OTHERS:
+    shares = {name: _plausibility(data, name) for name in FREQUENT}
+    best = max(shares, key=lambda name: (shares[name], -sum(high - low for low, high in FREQUENT[name])))
+    if shares[best] >= LIKELY:
+        return best
+    for name in SINGLE_BYTE:
         try:
-            return data.decode(name)
+            data.decode(name)
+            return name
         except UnicodeDecodeError:
             continue
-    return data.decode("utf-8", "replace")
+    readable = [name for name, share in shares.items() if share >= 0]
+    return readable[0] if readable else "utf-8"
+
+
+def decode_bytes(data: bytes | None) -> str | None:
+    return None if data is None else data.decode(encoding_of(data), "replace")
 
 
 @F.pandas_udf(StringType())

@@ -9,38 +9,36 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.captions import CaptionState
+from ..operators.captions import OnScreen
 from ..operators.timing import check_timing
 from ..sources.subtitles import read_subtitles
 
 _OUT = "video_id long, start_s double, end_s double, text string"
-_STATE = "text string, variants string, start double, last double"
+_STATE = "said string, start double, last double"
 
 
 def stream_merge_captions(reads: DataFrame, fps: float = 15.0, threshold: float = 0.8, least: float = 0.2, idle: str = "10 minutes", time_column: str = "at") -> DataFrame:
     """Captions of an unbounded stream of reads (video_id, frame_idx, stamp_s, text, score, at), emitted as each one ends.
 
-    Each video's state is the caption that is on. Reads are taken in frame order within a batch; those later than the
+    Each video's state is the caption that is on, as counts of its distinct texts. Reads are taken in frame order within a batch; those later than the
     watermark of ``idle`` on ``at`` are dropped; a video without reads for as long is flushed. In-order data give what
     ``merge_captions`` gives without smoothing.
     """
     step = 1.0 / max(0.2, fps)
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        text, variants, start, last = state.get if state.exists else ("", "[]", 0.0, 0.0)
-        now = CaptionState(threshold, least, text, [tuple(v) for v in json.loads(variants)], start)
+        said, start, last = state.get if state.exists else ("[]", 0.0, 0.0)
+        on = OnScreen(threshold, least, start, [tuple(x) for x in json.loads(said)])
         out = []
         if state.hasTimedOut:
-            if done := now.close(last + step):
-                out.append(done)
+            out += on.until(last + step)
             state.remove()
         else:
             rows = pd.concat(list(batches)).sort_values("frame_idx")
-            for stamp, said, score in zip(rows["stamp_s"], rows["text"], rows["score"]):
-                if done := now.read(float(stamp), said, float(score)):
-                    out.append(done)
+            for stamp, text, score in zip(rows["stamp_s"], rows["text"], rows["score"]):
+                out += on.read(float(stamp), text, float(score))
                 last = float(stamp)
-            state.update((now.text, json.dumps(now.variants), float(now.start), last))
+            state.update((json.dumps(on.support.dump()), float(on.start), last))
             ends = int(pd.to_datetime(rows[time_column]).max().timestamp() * 1000)
             state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs()) + 1000)
         yield pd.DataFrame([(key[0], *row) for row in out], columns=["video_id", "start_s", "end_s", "text"])

@@ -42,7 +42,7 @@ def test_flagship(spark, sf_dir):
     assert registry.flagship(spark, sf_dir).count() > 0
 
 
-@pytest.mark.parametrize("name", ["split_by_length_all", "wrap_lines_all"])
+@pytest.mark.parametrize("name", ["split_by_length", "wrap_lines"])
 def test_long_and_unspaced_lines_are_not_left_out(spark, sf_dir, name):
     from cueloom.plans.relations import v_lines
 
