@@ -6,11 +6,27 @@ from pyspark.sql import DataFrame, functions as F
 
 from .staging import stage
 
+#: Rows (root, name) that are broadcast, at most.
+BROADCAST_ROWS = 200_000
+
 
 def _turned(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
+def named_by_least(nodes: DataFrame) -> DataFrame:
+    """(uid, component_id) for nodes (uid, least, root or null): the smallest ``least`` of each component.
+
+    Only components of several nodes are joined, on their root. Their names are broadcast where they are few; beyond
+    that the adaptive skew join splits a giant component.
+    """
+    several = nodes.where("root is not null")
+    names = stage(several.groupBy("root").agg(F.min("least").alias("component_id")), "names")
+    near = F.broadcast if names.count() <= BROADCAST_ROWS else lambda df: df
+    return (several.join(near(names), "root").select("uid", "component_id")
+            .unionByName(nodes.where("root is null").select("uid", F.col("least").alias("component_id"))))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(u, v) links of ids to (node, root), root being the smallest id reachable; nodes without links are absent.
 

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .components import connected_components
+from .components import connected_components, named_by_least
 from .staging import stage
 
 THRESHOLD = 0.98
@@ -130,11 +130,13 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, tile: int = T
     null or non-finite components link with nothing, nor do rows with a null vec_id or label. Equal vectors are compared once and counted
     as often as they occur. Two vectors of cosine ``threshold`` or more are no further apart on the first principal
     axis than the square root of 2 - 2 * threshold, so that a band of that width is compared with itself and the next
-    one; a band with many vectors is cut into tiles, and each pair of tiles is a cell. Repeated rows count as others.
+    one; a band with many vectors is cut into tiles, and each pair of tiles is a cell. Repeated rows count as others, and so
+    do rows that share a vec_id but not the vector or label.
     """
     base = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
     valid = base.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable())
-    distinct = stage(valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("uid"), F.count("*").alias("copies")), "vectors")
+    distinct = stage(valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+                     .withColumn("uid", F.monotonically_increasing_id()), "vectors")
     axes = principal_axes(distinct.select("embedding"))
     width = math.sqrt(2 - 2 * threshold) + 1e-9
     firsts = {d: a[:, 0].tolist() for d, a in axes.items()}
@@ -167,9 +169,10 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, tile: int = T
                   .groupBy("label", "d", "b", "i", "c", "j").applyInArrow(_cell(axes, threshold), "u long, v long, n long"), "links")
     counts = found.where("v is null").groupBy("u").agg(F.sum("n").alias("others"))
     roots = connected_components(found.where("v is not null"))
-    of = (distinct.join(counts, distinct["uid"] == counts["u"], "left").join(roots, distinct["uid"] == roots["node"], "left")
+    named = named_by_least(distinct.select("uid", "least").join(roots.select(F.col("node").alias("uid"), "root"), "uid", "left"))
+    of = (distinct.join(counts, distinct["uid"] == counts["u"], "left").join(named, "uid")
           .select(F.col("label").alias("_l"), F.col("embedding").alias("_e"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-                  F.coalesce("root", "uid").alias("component_id")))
+                  "component_id"))
     linked = (valid.join(of, (valid["label"] == of["_l"]) & (valid["embedding"] == of["_e"])).select("vec_id", "n_links", "component_id"))
     alone = (base.where(~(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable()))
              .select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))

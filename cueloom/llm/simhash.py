@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .components import connected_components
+from .components import connected_components, named_by_least
 from .staging import stage
 
 #: (first bit, width, radius) of each segment. Two fingerprints at distance 4 or less lie within these radii of one
@@ -185,11 +185,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fps = stage(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = connected_components(links(distinct)).withColumnsRenamed({"node": "fp"})
-    named = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.where("root <> fp").groupBy("root").agg(F.min("least").alias("other"))
-    of_root = named.where("root = fp").join(least, "root", "left").select("root", F.least("least", "other").alias("component_id"))
-    # a root's own entry always exists: it is one of the distinct fingerprints
-    component = named.select("fp", "root").join(of_root, "root").select("fp", "component_id")
+    component = named_by_least(distinct.join(roots, "fp", "left").withColumnRenamed("fp", "uid")).withColumnRenamed("uid", "fp")
     return fps.join(component, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -38,6 +38,12 @@ def test_near_duplicates(vectors, tile):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_one_id_of_several_vectors(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (3, [0.01, 1.0], 1), (1, [1.0, 0.0], 2), (0, [1.0, 0.0], 2)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(0, 1, 0), (1, 1, 0), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
 def test_no_vectors(vectors):
     assert neardup.near_duplicates(vectors.limit(0)).count() == 0
     assert topk.top_k(vectors.limit(0), F.col("vec_id") % 50 == 0).count() == 0
@@ -45,16 +51,30 @@ def test_no_vectors(vectors):
 
 @pytest.mark.parametrize("size", [16_384, 10])
 def test_top_k(vectors, size):
-    rows = {}
-    for r in vectors.collect():
-        if r.embedding and None not in r.embedding and np.isfinite(r.embedding).all():
-            rows[r.vec_id] = [int(np.floor(256 * np.float64(np.float32(v)))) for v in r.embedding]
-    want = set()
-    for q in [i for i in rows if i % 50 == 0]:
-        scores = sorted((-sum(a * b for a, b in zip(rows[q], v)), i) for i, v in rows.items() if i != q and len(v) == len(rows[q]))[:5]
-        want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)}
+    """Repeated rows are candidates and queries of their own."""
+    vectors = vectors.unionByName(vectors.where("vec_id = 50")).unionByName(vectors.where("vec_id = 7").withColumn("embedding", F.transform("embedding", lambda x: -x)))
+    rows = [(r.vec_id, [int(np.floor(256 * np.float64(np.float32(v)))) for v in r.embedding]) for r in vectors.collect()
+            if r.embedding and None not in r.embedding and np.isfinite(r.embedding).all()]
+    want = []
+    for i, q in rows:
+        if i % 50 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in rows if j != i and len(v) == len(q))[:5]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(scores)]
     got = topk.top_k(vectors, F.col("vec_id") % 50 == 0, candidates=size, queries=size)
-    assert {tuple(r) for r in got.collect()} == want
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_top_k_of_clusters(spark):
+    """Cells that cannot matter are not met, and the result is whole all the same."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.standard_normal(24) * 3 + rng.standard_normal((60, 24)) * 0.2 for _ in range(12)])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    q = np.floor(256 * x).astype(np.int64)
+    want = []
+    for i in range(0, len(x), 50):
+        order = sorted((-int(q[i] @ q[k]), k) for k in range(len(x)) if k != i)[:5]
+        want += [(i, k + 1, v, -s) for k, (s, v) in enumerate(order)]
+    assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, candidates=25).collect()) == sorted(want)
 
 
 def test_viterbi_restores_words(spark):
