@@ -78,8 +78,12 @@ def merged_ids(word: Column, path: str) -> Column:
     to merge. A merge puts the new id and the values of the two pairs that it is now in for five numbers.
     """
     factor, shift, cells = merge_tables(path)
-    shift, cells = _literal(shift), _literal(cells)
+    # the literal is bound once by a function of one element: in the plan, and in what it costs the driver, it counts once
+    tables = F.array(F.struct(_literal(shift).alias("shift"), _literal(cells).alias("cells")))
+    return F.get(F.transform(tables, lambda t: _fold(word, factor, t["shift"], t["cells"])), 0)
 
+
+def _fold(word: Column, factor: int, shift: Column, cells: Column) -> Column:
     def value(key: Column) -> Column:
         """The cell's key and the pair's cancel out, which leaves the rank; other pairs leave a large number."""
         group = F.shiftright(key * factor, 12).bitwiseAND(_GROUPS - 1)
