@@ -17,7 +17,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, rows: int)
     """(text, label, part) of at most ``rows`` labelled ids outside the held-out fold; part is a hash in [0, 1000).
 
     The ids with the smallest hashes are taken, so that the sample is the same on every run. It is bounded, and so may
-    be broadcast: the documents are scanned once and not shuffled. Null ids and null labels are left out.
+    be broadcast: the documents are scanned once, and only the sample's are shuffled. An id that occurs more than once
+    has its highest label and, of its texts, the least one. Null ids and null labels are left out.
     """
     label = F.when(F.col(label_col) > 0, 1).otherwise(0)
     known = (labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull())
@@ -25,5 +26,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, rows: int)
              .where(~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(known), "doc_id").select(
+    one = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return one.select(
         "text", "label", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1000)).cast("int").alias("part"))
