@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cueloom.llm import packing, quality, simhash, staging, toxicity
 
@@ -22,9 +22,13 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group, once; rows without an id stay."""
+    """The document with the smallest id of each near-duplicate group, once; rows without an id stay.
+
+    Of rows that share the id the first one by text and then by the other columns stays.
+    """
     kept = simhash.simhash_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    order = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    first = docs.join(kept, "doc_id", "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
     return first.unionByName(docs.where("doc_id is null")).select(docs.columns)
 
 
