@@ -16,8 +16,8 @@ from .vocab import default_path, json_tokenizer, rank_encoding, usual
 
 WINDOW = 2048
 END_ID = 1
-#: Words whose ids a Python worker keeps; further ones are encoded each time, so that memory is bounded.
-KEPT_WORDS = 700_000
+#: Words whose ids a Python worker keeps; further ones are encoded each time: it bounds memory and changes no result.
+KEPT_WORDS = 250_000
 
 
 class _WordIds(dict):
