@@ -17,5 +17,21 @@ QUERIES = {
     "op10_exact_top_k": topk.op10,
 }
 
-#: None of these can be given in SQL over whole tables in reasonable time; tests hold them against brute force.
-ORACLES: dict[str, str] = {}
+_LENGTH = "length({0}) + length({0}) - length(replace({0}, chr(27), ''))" + "".join(
+    f" + 2 * ((length({{0}}) - length(replace({{0}}, '{c}', ''))) // {len(c)})" for c in chat.CONTROLS)
+
+#: The others cannot be given in SQL over whole tables in reasonable time; tests hold them against brute force.
+ORACLES: dict[str, str] = {
+    "op2_chat_formatting": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+ CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ CAST(7 + sum(23 + {_LENGTH.format('role')} + {_LENGTH.format('text')}) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id""",
+    "op10_exact_top_k": """WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS q FROM embeddings
+ WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ p AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
+ FROM b a JOIN b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0)
+ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM p
+ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
+}
