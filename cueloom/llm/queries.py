@@ -28,6 +28,15 @@ ORACLES: dict[str, str] = {
  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
  CAST(7 + sum(23 + {_LENGTH.format('role')} + {_LENGTH.format('text')}) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id""",
+    "op9_embedding_near_dedup": """WITH RECURSIVE b AS MATERIALIZED (SELECT row_number() OVER () AS uid, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ ok AS MATERIALIZED (SELECT * FROM b WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0
+ AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+ links AS MATERIALIZED (SELECT a.uid AS u, b.uid AS v FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.uid <> b.uid
+ WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+ reach AS (SELECT uid, vec_id AS least FROM ok UNION SELECT l.u, r.least FROM links l JOIN reach r ON r.uid = l.v),
+ c AS (SELECT uid, min(least) AS component_id FROM reach GROUP BY uid), n AS (SELECT u, count(*) AS n_links FROM links GROUP BY u)
+ SELECT b.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, coalesce(c.component_id, b.vec_id) AS component_id,
+ coalesce(b.vec_id = coalesce(c.component_id, b.vec_id), false) AS kept FROM b LEFT JOIN c USING (uid) LEFT JOIN n ON n.u = b.uid""",
     "op10_exact_top_k": """WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS q FROM embeddings
  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
  p AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests on one machine), a temporary one is set."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset, a temporary one if the session runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = getattr(spark, "_cueloom_root", None)
         if root is None:
             root = tempfile.mkdtemp(prefix="spark-")

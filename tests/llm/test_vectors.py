@@ -1,5 +1,6 @@
 """Vector operators against brute force, classifiers by held-out accuracy, the pipeline by its own parts."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -146,5 +147,24 @@ def test_pipeline(spark):
         tuple(r) for r in pieces.groupBy("doc_id").agg(F.sum("length").alias("n")).orderBy("doc_id").collect()]
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_with_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("conversations", "embeddings"):
+        con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    found = con.execute(f"select {', '.join(df.columns)} from ({queries.ORACLES[name]})").fetchall()
+    assert sorted(tuple(r) for r in df.collect()) == sorted(found)
+
+
+def test_sql_of_links_with_odd_vectors(spark, vectors, tmp_path):
+    path = str(tmp_path / "embeddings.parquet")
+    vectors.coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{path}/*.parquet'")
+    found = con.execute(queries.ORACLES["op9_embedding_near_dedup"]).fetchall()
+    assert sorted(tuple(r) for r in neardup.near_duplicates(vectors).collect()) == sorted(found)
+
+
 def test_registered():
     assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
