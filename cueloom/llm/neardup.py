@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .components import connected_components, named_by_least
+from .components import BROADCAST_ROWS, connected_components, named_by_least
 from .staging import stage
 
 THRESHOLD = 0.98
@@ -155,8 +155,10 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, tile: int = T
     tiles = placed.groupBy(*key).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
     after = tiles.select("label", "d", (F.col("band") - 1).alias("band"), F.col("tiles").alias("next"))
     before = tiles.select("label", "d", (F.col("band") + 1).alias("band"), F.col("tiles").alias("previous"))
-    sizes = tiles.join(after, key, "left").join(before, key, "left")
-    dealt = placed.join(sizes, key).withColumn("t", F.pmod(F.xxhash64("uid"), F.col("tiles")).cast("int"))
+    sizes = stage(tiles.join(after, key, "left").join(before, key, "left"), "tiles")
+    # a few bands a label; where labels are so many that their bands pass this, the join is left to a shuffle
+    near = F.broadcast if sizes.count() <= BROADCAST_ROWS else lambda df: df
+    dealt = placed.join(near(sizes), key).withColumn("t", F.pmod(F.xxhash64("uid"), F.col("tiles")).cast("int"))
     upto = lambda n: F.sequence(F.lit(0), n - 1)
     none = F.array().cast("array<struct<b:int,i:int,c:int,j:int,side:int>>")
     place = lambda b, i, c, j, side: F.struct(b.alias("b"), i.alias("i"), c.alias("c"), j.alias("j"), F.lit(side).alias("side"))
