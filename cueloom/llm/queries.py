@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, counts, extract, neardup, packing, quality, simhash, topk, toxicity
+from . import bpe, chat, counts, extract, neardup, packing, quality, simhash, topk, toxicity, trie
 
 QUERIES = {
     "op1_html_extraction": extract.op1,
@@ -15,11 +15,15 @@ QUERIES = {
     "op8_quality": quality.op8,
     "op9_embedding_near_dedup": neardup.op9,
     "op10_exact_top_k": topk.op10,
+    "op11_conversation_trie": trie.op11,
 }
 
 _LENGTH = "length({0}) + length({0}) - length(replace({0}, chr(27), ''))" + "".join(
     f" + 2 * ((length({{0}}) - length(replace({{0}}, '{c}', ''))) // {len(c)})" for c in chat.CONTROLS)
 
+_CRC32 = ("4294967295 - list_reduce([4294967295] || list_transform(string_split({0}, ''), lambda c: CAST(ord(c) AS BIGINT)), lambda crc, byte: "
+          "list_reduce([xor(crc, byte)] || range(8), lambda v, i: xor(v >> 1, 3988292384 * (v & 1))))")
+
 #: The others cannot be given in SQL over whole tables in reasonable time; tests hold them against brute force.
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -43,4 +47,22 @@ ORACLES: dict[str, str] = {
  FROM b a JOIN b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0)
  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM p
  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
+    "op11_conversation_trie": f"""WITH t AS (SELECT conv_id, turn, md5(length(role) || ':' || role || text) AS digest, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS w
+ FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+ o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS pos FROM t),
+ c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, ({_CRC32.format('CAST(conv_id AS VARCHAR)')}) % 4 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+ b AS MATERIALIZED (SELECT c.*, coalesce(least(h, n), 0) AS lent FROM c LEFT JOIN (SELECT conv_id AS base, count(*) AS n FROM o GROUP BY conv_id) USING (base)),
+ s AS (SELECT b.conv_id, o.pos, o.digest, o.w FROM b JOIN o ON o.conv_id = b.base AND o.pos <= b.h
+ UNION ALL SELECT b.conv_id, o.pos - b.h + b.lent, o.digest, o.w FROM b JOIN o ON o.conv_id = b.conv_id AND o.pos > b.h),
+ k AS (SELECT conv_id, pos AS depth, w, md5(string_agg(digest, '' ORDER BY pos) OVER (PARTITION BY conv_id ORDER BY pos)) AS key FROM s
+ UNION ALL SELECT conv_id, 0, 0, '' FROM b),
+ m AS MATERIALIZED (SELECT *, lag(key) OVER (PARTITION BY conv_id ORDER BY depth) AS up, lead(key) OVER (PARTITION BY conv_id ORDER BY depth) IS NULL AS ends FROM k),
+ n AS MATERIALIZED (SELECT key, any_value(up) AS up, any_value(depth) AS depth, any_value(w) AS w, min(conv_id) AS conv_id, count(*) AS n_convs,
+ sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY key),
+ ch AS MATERIALIZED (SELECT up AS key, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+ sub AS (SELECT m.key, count(*) FILTER (ch.key IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.w) AS saved_tokens
+ FROM n LEFT JOIN ch USING (key) JOIN m ON m.conv_id = n.conv_id AND m.depth <= n.depth GROUP BY m.key)
+ SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(ch.n_children, 0) AS n_children,
+ sub.n_leaves, CAST(sub.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+ FROM n JOIN sub USING (key) LEFT JOIN ch USING (key) LEFT JOIN n p ON p.key = n.up""",
 }
