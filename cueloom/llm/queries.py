@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, counts, extract, neardup, packing, quality, simhash, topk, toxicity, trie, whitening
+from . import bpe, chat, counts, extract, neardup, packing, quality, sentences, simhash, topk, toxicity, trie, whitening
 
 QUERIES = {
     "op1_html_extraction": extract.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_embedding_near_dedup": neardup.op9,
     "op10_exact_top_k": topk.op10,
     "op11_conversation_trie": trie.op11,
+    "op12_sentencepiece": sentences.op12,
     "op13_embedding_whitening": whitening.op13,
 }
 

@@ -167,4 +167,4 @@ def test_sql_of_links_with_odd_vectors(spark, vectors, tmp_path):
 
 
 def test_registered():
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
