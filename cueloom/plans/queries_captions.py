@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..operators import captions as cp, joins as j, segments as sg
 from .registry import MS, cues_out, ms, register, sql
+from ..sources import sinks, subtitles as sub
 from ..streaming import captions as st, run as streams
 from .relations import table, v_boxes, v_cues, v_lines, v_reads
 
@@ -101,20 +102,22 @@ def _stream(s, d, name):
     return s.readStream.schema(table(s, d, name).schema).parquet(f"{d}/{{{name}}}.parquet")
 
 
-def _streamed_captions(s, d):
-    """Captions that have ended, from a stream of events; the place of a read is its time."""
+def _streamed_captions(s, d, **smoothing):
+    """Captions from a stream of events; the place of a read is its time. A row of another table, years later, moves the watermark past all reads."""
     e = _stream(s, d, "events")
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     stamp = (at - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))) / 3.6e9
     reads = e.select(F.col("user_id").alias("video_id"), at.alias("frame_idx"), stamp.alias("stamp_s"), F.when(F.col("event_type") == "view", "").otherwise(F.col("event_type")).alias("text"),
-                     F.least(F.col("value") / 500, F.lit(1.0)).alias("score"), F.timestamp_seconds(stamp).alias("at"))
-    ended = streams.rows_of_stream(st.stream_merge_captions(reads, idle="1000 days"), "captions")
-    return ended.select("video_id", ms("start_s").alias("start_ms"), ms("end_s").alias("end_ms"), "text")
+                     F.least(F.col("value") / 500, F.lit(1.0)).alias("score"), F.timestamp_seconds(stamp + 86_400).alias("at"))
+    nothing = [(F.lit(-1) if f.name == "video_id" else F.lit(None)).cast(f.dataType).alias(f.name) for f in reads.schema.fields[:-1]]
+    end = _stream(s, d, "region").where("r_regionkey = 0").select(*nothing, F.timestamp_seconds(F.lit(8 * 10 ** 9)).alias("at"))
+    found = streams.rows_of_stream(st.stream_merge_captions(reads.unionByName(end), idle="1000 days", **smoothing), "captions")
+    return found.select("video_id", ms("start_s").alias("start_ms"), ms("end_s").alias("end_ms"), "text")
 
 
 register("stream_merge_captions", _streamed_captions,
          sql(f"""WITH q AS (SELECT *, CASE WHEN text = lag(text) OVER w THEN 0 ELSE 1 END AS new FROM v_reads WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx)), g AS (SELECT *, sum(new) OVER (PARTITION BY video_id ORDER BY frame_idx) AS island FROM q),
- r AS (SELECT video_id, island, min(stamp_s) AS start_s, first(text) AS text FROM g GROUP BY ALL), e AS (SELECT *, lead(start_s) OVER (PARTITION BY video_id ORDER BY island) AS end_s FROM r)
+ r AS (SELECT video_id, island, min(stamp_s) AS start_s, max(stamp_s) AS last, first(text) AS text FROM g GROUP BY ALL), e AS (SELECT *, coalesce(lead(start_s) OVER (PARTITION BY video_id ORDER BY island), last + 1.0::DOUBLE / 15) AS end_s FROM r)
  SELECT video_id, {m('start_s')} AS start_ms, {m('end_s')} AS end_ms, text FROM e WHERE text <> '' AND end_s - start_s >= 0.2::DOUBLE""", "v_reads"))
 
 
@@ -127,3 +130,32 @@ def _streamed_issues(s, d):
 
 register("stream_subtitle_qc", _streamed_issues,
          sql("SELECT doc_id || '.txt' AS doc_id, idx, 'fast' AS kind, 'warning' AS severity FROM v_lines WHERE length(text) > 63", "v_lines"))
+
+
+# ---- files that are written, and read back or streamed
+def _saved(s, d):
+    """Cues written as files of their own, half of them in each of two formats."""
+    named = v_cues(s, d, blanks=False).withColumn("doc_id", F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".srt").otherwise(".vtt")))
+    folder = streams.shared_folder(s, "saved")
+    sinks.save_subtitles(named, folder)
+    return folder
+
+
+SAVED = f"""WITH f AS (SELECT doc_id || CASE WHEN doc_id % 2 = 0 THEN '.srt' ELSE '.vtt' END AS doc_id, v_cues.idx AS n, {m('start_s')} AS a, {m('end_s')} AS b, event_type AS said FROM v_cues JOIN events USING (event_id)),
+ r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a, b, n) - 1 AS idx, a, b, said FROM f)"""
+register("save_subtitles", lambda s, d: sub.read_subtitles(sub.read_saved(s, _saved(s, d)))[0].select("doc_id", "idx", ms("start_s").alias("start_ms"), ms("end_s").alias("end_ms"), "text"),
+         sql(SAVED + " SELECT doc_id, idx, a AS start_ms, b AS end_ms, said AS text FROM r", "v_cues"))
+
+
+def _streamed_files(s, d):
+    """Timing issues of files that land in a folder, in about three triggers."""
+    folder = _saved(s, d)
+    a_trigger = table(s, d, "events").select("user_id").distinct().count() // 3 + 1
+    files = sub.subtitle_file_stream(s, folder, a_trigger, saved=True)
+    found = streams.rows_of_batches(lambda sink: st.stream_subtitle_qc(files, sink), s, "issues", "doc_id string, idx long, kind string, severity string, message string, batch_id int")
+    return found.select("doc_id", "idx", "kind", "severity")
+
+
+register("stream_subtitle_files", _streamed_files, sql(SAVED + """, q AS (SELECT doc_id, idx, a, b, b - a AS dur, 1000 * length(said) / (b - a) AS cps, lead(a) OVER (PARTITION BY doc_id ORDER BY idx) AS n FROM r),
+ i AS (SELECT doc_id, idx, unnest([CASE WHEN b <= a THEN 'negative' WHEN dur < 500 THEN 'short' WHEN dur > 8000 THEN 'long' END, CASE WHEN dur > 0 AND cps > 21 THEN 'fast' END, CASE WHEN b > n THEN 'overlap' WHEN n - b > 15000 THEN 'gap' END]) AS kind FROM q)
+ SELECT doc_id, idx, kind, CASE WHEN kind IN ('negative', 'overlap') THEN 'error' ELSE 'warning' END AS severity FROM i WHERE kind IS NOT NULL""", "v_cues"))

@@ -43,9 +43,20 @@ def to_ass(cues: DataFrame, mode: str = "original", font: str = "Arial", font_si
     return _joined(rows, line, "idx", head, "\n", "\n")
 
 
-def save_subtitles(cues: DataFrame, path: str, kind: str = "srt", mode: str = "original") -> None:
-    """Writes one text a document under doc_id=...; the commit protocol makes it all or nothing."""
-    made = {"srt": to_srt, "vtt": to_vtt, "ass": to_ass}[kind](cues, mode)
+def to_text(cues: DataFrame, mode: str = "original") -> DataFrame:
+    """(doc_id, value): each document in the format that its id's ending names, .srt for any other."""
+    name = F.lower(F.col("doc_id").cast("string"))
+    kind = F.when(name.endswith(".vtt"), "vtt").when(name.rlike(r"\.(ass|ssa)$"), "ass").otherwise("srt")
+    out = None
+    for k, made in (("srt", to_srt), ("vtt", to_vtt), ("ass", to_ass)):
+        one = made(cues.where(kind == k), mode)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def save_subtitles(cues: DataFrame, path: str, kind: str | None = None, mode: str = "original") -> None:
+    """Writes one text a document under doc_id=..., in the format of the id's ending unless ``kind`` names one; the commit protocol makes it all or nothing."""
+    made = to_text(cues, mode) if kind is None else {"srt": to_srt, "vtt": to_vtt, "ass": to_ass}[kind](cues, mode)
     made.repartition("doc_id").write.partitionBy("doc_id").mode("overwrite").text(path)
 
 

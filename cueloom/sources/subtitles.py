@@ -19,6 +19,23 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc_id"), "value")
 
 
+def read_saved(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, value) of texts that ``save_subtitles`` wrote."""
+    return spark.read.schema("value string, doc_id string").option("wholetext", True).format("text").load(path).select("doc_id", "value")
+
+
+def subtitle_file_stream(spark: SparkSession, path: str, files_a_trigger: int | None = None, saved: bool = False) -> DataFrame:
+    """(doc_id, value) of UTF-8 files as they land in a folder, each whole and in one batch only.
+
+    doc_id is the file's path, or with ``saved`` the id under which ``save_subtitles`` wrote it. A file that is still being
+    written must not be in the folder yet: move it there, as Spark's own writers do.
+    """
+    reader = spark.readStream.format("text").schema("value string, doc_id string" if saved else "value string").option("wholetext", True)
+    if files_a_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_a_trigger)
+    return reader.load(path).select(F.col("doc_id") if saved else F.col("_metadata.file_path").alias("doc_id"), "value")
+
+
 def _lines(text: Column) -> Column:
     return F.filter(F.split(text, r"\r?\n"), lambda x: strip(x) != "")
 

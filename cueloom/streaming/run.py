@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,11 +20,27 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root}/cueloom/{name}-{uuid.uuid4().hex}"
 
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started inside keep their state in RocksDB, in the executors' own scratch space, with changes in the checkpoint."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
+
+
 def rows_of_stream(stream: DataFrame, name: str) -> DataFrame:
     """All rows that an append stream emits for the input there is now; the file sink takes each batch exactly once."""
     spark, folder = stream.sparkSession, shared_folder(stream.sparkSession, name)
-    (stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state")
-     .outputMode("append").trigger(availableNow=True).start().awaitTermination())
+    with state_on_disk(spark):
+        query = (stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state")
+                 .outputMode("append").trigger(availableNow=True).start())
+    query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 

@@ -1,0 +1,57 @@
+"""Votes and flicker removal over reads that come one by one: each is given out once the reads that it depends on are there."""
+
+from __future__ import annotations
+
+from ..operators.captions import unflickered, voted
+
+
+class Smoothing:
+    """The reads (stamp, text, score) of a video in order, delayed by the radius of ``stabilize_reads`` and of ``drop_flicker``.
+
+    What it remembers is plain data (``memory``), at most 2 * votes + 1 reads.
+    """
+
+    def __init__(self, votes: int, flicker: bool, threshold: float, memory: dict | None = None):
+        self.need, self.flicker, self.threshold = max(1, min(5, votes)), flicker, threshold
+        self.memory = memory or {"near": [], "done": 0, "seen": 0, "before": None, "this": None}
+
+    def take(self, read: tuple[float, str, float]) -> list[tuple[float, str, float]]:
+        """The smoothed reads that are settled with this one."""
+        m = self.memory
+        m["near"].append(list(read))
+        m["seen"] += 1
+        return self._settled(lambda: len(m["near"]) - m["done"] >= self.need)
+
+    def end(self) -> list[tuple[float, str, float]]:
+        """The smoothed reads that are left when no read follows."""
+        m = self.memory
+        out = self._settled(lambda: m["done"] < len(m["near"]))
+        if m["this"] is not None:
+            out.append(tuple(m["this"]))
+            m["this"] = None
+        return out
+
+    def _settled(self, more) -> list[tuple[float, str, float]]:
+        m, out = self.memory, []
+        while more():
+            at = m["done"]
+            stamp, text, score = m["near"][at]
+            if self.need > 1 and m["seen"] >= self.need:
+                around = [tuple(r[1:]) for r in m["near"][max(0, at - self.need + 1): at + self.need]]
+                text, score = voted((text, score), around, self.need, self.threshold)
+            m["done"] += 1
+            if m["done"] >= self.need:
+                del m["near"][0]
+                m["done"] -= 1
+            out += self._unflickered([stamp, text, score])
+        return out
+
+    def _unflickered(self, read: list) -> list[tuple[float, str, float]]:
+        if not self.flicker:
+            return [tuple(read)]
+        m = self.memory
+        before, this = m["before"], m["this"]
+        m["before"], m["this"] = this, read
+        if this is None:
+            return []
+        return [(this[0], *unflickered(before and tuple(before[1:]), (this[1], this[2]), (read[1], read[2]), self.threshold))]
