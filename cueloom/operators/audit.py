@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 from pyspark.sql.types import DoubleType, StringType
 
@@ -131,6 +133,11 @@ def map_project_config(configs: DataFrame) -> DataFrame:
 _BOXES = "array<struct<order:array<double>,text:string,score:double,rect:array<double>>>"
 
 
+def open_frame_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The frame cache that ``sinks.save_frame_cache`` keeps under a path; a filter on cache_key reads that key's folder only."""
+    return spark.read.schema("frame_idx long, version long, rows_json string, cache_key string").parquet(path)
+
+
 def read_frame_cache(cache: DataFrame, cache_key: str, total: int) -> DataFrame:
     """(frame_idx, boxes) of one key's frames below ``total`` whose rows_json can be read."""
     rows = cache.where((F.col("cache_key") == cache_key) & (F.col("frame_idx") < total)).withColumn("boxes", F.from_json("rows_json", _BOXES))
@@ -162,17 +169,55 @@ def parse_frame_log(lines: DataFrame, frames: DataFrame, gap: float) -> DataFram
     return wanted.join(got, ["video_id", "frame_idx"], "left").select("video_id", "frame_idx", F.when(F.coalesce("exact", F.lit(False)), F.col("pts")).otherwise(F.col("frame_idx") * gap).alias("stamp_s"))
 
 
+#: Chunks of a file that are looked at first; only files with more before their samples are walked again, to their end.
+_CHUNKS = 32
+_PCM, _EXTENSIBLE = 1, 65534
+
+
 def read_wav_headers(files: DataFrame) -> DataFrame:
-    """(path, rate, channels, bits, frames, seconds, label) from the first 44 bytes of (path, content)."""
-    def number(first: int, size: int) -> Column:
-        return F.conv(F.concat(*[F.hex(F.substring(F.col("content"), first + k, 1)) for k in reversed(range(size))]), 16, 10).cast("long")
+    """(path, rate, channels, bits, frames, seconds, label) of WAV files (path, content); unreadable ones have 0 frames.
 
-    good = (F.length("content") >= 44) & (F.hex(F.substring("content", 1, 4)) == "52494646") & (F.hex(F.substring("content", 9, 4)) == "57415645")
-    rows = files.select("path", F.when(good, number(25, 4)).alias("rate"), F.when(good, number(23, 2)).alias("channels"), F.when(good, number(35, 2)).alias("bits"), F.when(good, number(41, 4)).alias("bytes"))
-    ok = (F.col("rate") > 0) & (F.col("channels") > 0) & (F.col("bits") > 0)
-    frames = F.floor(F.col("bytes") / (F.col("channels") * F.col("bits") / 8))
-    return rows.select("path", "rate", "channels", "bits", F.when(ok, frames).otherwise(0).cast("long").alias("frames"), F.when(ok, frames / F.col("rate")).otherwise(0.0).alias("seconds"),
-                       F.when(ok, F.concat(F.col("rate").cast("string"), F.lit("Hz/"), F.col("channels").cast("string"), F.lit("ch/"), F.col("bits").cast("string"), F.lit("bit"))).otherwise("unreadable").alias("label"))
+    The RIFF chunks are walked from the first one on: ``fmt `` and then ``data`` may stand anywhere among others, chunks
+    of odd size are padded. Plain and extensible PCM is read, whole bytes a sample; any other format, ``data`` without
+    ``fmt `` before it, and files that are cut in their heads are unreadable. Only a few bytes of each chunk's head are
+    looked at; null content is unreadable.
+    """
+    content = F.col("content")
+
+    def number(first: Column, size: int) -> Column:
+        """The unsigned little-endian number of some bytes, of which the first is byte ``first`` from 0."""
+        return sum((F.conv(F.hex(F.substring(content, (first + k + 1).cast("int"), F.lit(1))), 16, 10).cast("long") * (1 << 8 * k) for k in range(size)), F.lit(0).cast("long"))
+
+    def word(first: Column) -> Column:
+        return F.hex(F.substring(content, (first + 1).cast("int"), F.lit(4)))
+
+    kind = "struct<at:bigint,form:bigint,rate:bigint,channels:bigint,bits:bigint,bytes:bigint,done:boolean>"
+    none = F.lit(None).cast("long")
+    start = F.struct(F.lit(12).cast("long").alias("at"), *[none.alias(c) for c in ("form", "rate", "channels", "bits", "bytes")], F.lit(False).alias("done")).cast(kind)
+
+    def step(s: Column, _: Column) -> Column:
+        at, size = s["at"], number(s["at"] + 4, 4)
+        cut = at + 8 > F.length(content)
+        is_format = (word(at) == "666D7420") & (size >= 16) & (at + 24 <= F.length(content))
+        form = number(at + 8, 2)
+        form = F.when((form == _EXTENSIBLE) & (size >= 40), number(at + 32, 2)).otherwise(form)
+        told = lambda name, found: F.when(is_format, found).otherwise(s[name]).alias(name)
+        data = word(at) == "64617461"
+        after = F.struct((at + 8 + size + size % 2).alias("at"), told("form", form), told("rate", number(at + 12, 4)), told("channels", number(at + 10, 2)), told("bits", number(at + 22, 2)),
+                         F.when(data & s["form"].isNotNull(), size).alias("bytes"), data.alias("done")).cast(kind)
+        stopped = F.struct(*[s[c].alias(c) for c in ("at", "form", "rate", "channels", "bits", "bytes")], F.lit(True).alias("done")).cast(kind)
+        return F.when(s["done"], s).when(cut, stopped).otherwise(after)
+
+    riff = (F.length("content") >= 12) & (word(F.lit(0)) == "52494646") & (word(F.lit(8)) == "57415645")
+    begun = files.select("path", "content", F.when(riff, F.aggregate(F.sequence(F.lit(1), F.lit(_CHUNKS)), start, step)).alias("s"))
+    more = F.aggregate(F.sequence(F.lit(1).cast("long"), F.floor(F.length("content") / 8) + 1), F.col("s"), step)
+    walked = begun.select("path", F.when(F.col("s.done"), F.col("s")).when(F.col("s").isNotNull(), more).alias("s"))
+    rows = walked.select("path", "s.rate", "s.channels", (F.floor((F.col("s.bits") + 7) / 8)).cast("long").alias("width"), "s.bytes", "s.form")
+    ok = (F.col("form") == _PCM) & (F.col("rate") > 0) & (F.col("channels") > 0) & (F.col("width") > 0) & F.col("bytes").isNotNull()
+    frames = F.floor(F.col("bytes") / (F.col("channels") * F.col("width")))
+    bits = F.col("width") * 8
+    return rows.select("path", "rate", "channels", bits.alias("bits"), F.when(ok, frames).otherwise(0).cast("long").alias("frames"), F.when(ok, frames / F.col("rate")).otherwise(0.0).alias("seconds"),
+                       F.when(ok, F.concat(F.col("rate").cast("string"), F.lit("Hz/"), F.col("channels").cast("string"), F.lit("ch/"), bits.cast("string"), F.lit("bit"))).otherwise("unreadable").alias("label"))
 
 
 def wav_summary(headers: DataFrame) -> DataFrame:
@@ -262,16 +307,57 @@ def estimate_pitch(samples: pd.Series, rate: pd.Series) -> pd.Series:
     return pd.Series([0.0 if s is None else pitch_of(s, int(r)) for s, r in zip(samples, rate)])
 
 
-def overlay_series(segments: DataFrame, totals: DataFrame, mix: bool = False) -> DataFrame:
-    """(track_id, pos, v): samples of segments (track_id, seg, start_s, rate, samples) placed on a silent track (track_id, total_s).
+#: Samples of one chunk of a track.
+CHUNK = 1 << 14
 
-    Where segments overlap the later one counts, or with ``mix`` all are added in order, held to 16 bits after each.
-    Only positions that a segment covers are rows; the rest of the track is silent.
+
+def overlay_chunks(segments: DataFrame, totals: DataFrame, mix: bool = False) -> DataFrame:
+    """(track_id, chunk, samples): tracks (track_id, total_s) in chunks of 16,384 samples, null where no segment is.
+
+    Segments (track_id, seg, start_s, rate, samples) are cut at the chunks' edges as arrays, and overlaid chunk by chunk
+    in the order of seg: where they overlap the later one counts, or with ``mix`` all are added in order, held to 16 bits
+    after each. No sample is a row of a shuffle; a task holds one chunk, so that a long track is spread over tasks.
     """
-    placed = segments.select("track_id", "seg", "rate", F.rint(F.col("start_s") * F.col("rate")).cast("long").alias("at"), F.posexplode("samples").alias("k", "v"))
-    sized = placed.join(totals, "track_id").where((F.col("at") + F.col("k") >= 0) & (F.col("at") + F.col("k") < F.ceil(F.greatest(F.lit(0.1), F.col("total_s")) * F.col("rate"))))
-    keyed = sized.groupBy("track_id", (F.col("at") + F.col("k")).alias("pos"))
-    if not mix:
-        return keyed.agg(F.max_by("v", "seg").cast("int").alias("v"))
-    added = F.aggregate(F.array_sort(F.collect_list(F.struct("seg", "v"))), F.lit(0), lambda a, x: F.greatest(F.lit(-32768), F.least(F.lit(32767), a + x["v"].cast("int"))))
-    return keyed.agg(added.alias("v"))
+    placed = segments.join(totals, "track_id").select(
+        "track_id", "seg", "samples", F.rint(F.col("start_s") * F.col("rate")).cast("long").alias("at"),
+        F.ceil(F.greatest(F.lit(0.1), F.col("total_s")) * F.col("rate")).cast("long").alias("ends"))
+    first, last = F.greatest("at", F.lit(0)), F.least(F.col("at") + F.size("samples"), "ends") - 1
+    placed = placed.withColumns({"first": first, "last": last}).where("last >= first")
+    cut = placed.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("first") / CHUNK), F.floor(F.col("last") / CHUNK))))
+    begin, end = F.greatest("first", F.col("chunk") * CHUNK), F.least("last", F.col("chunk") * CHUNK + CHUNK - 1)
+    pieces = cut.select("track_id", "chunk", "seg", (begin - F.col("chunk") * CHUNK).cast("int").alias("offset"),
+                        F.slice("samples", (begin - F.col("at") + 1).cast("int"), (end - begin + 1).cast("int")).cast("array<int>").alias("piece"))
+
+    def overlaid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, covered = None, np.zeros(CHUNK, np.int32), np.zeros(CHUNK, bool)
+
+        def chunk() -> pa.RecordBatch:
+            values = pa.array(held, pa.int32(), mask=~covered)
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], track), pa.array([now[1]], pa.int64()), pa.ListArray.from_arrays(pa.array([0, CHUNK], pa.int32()), values)], ["track_id", "chunk", "samples"])
+
+        for batch in batches:
+            track = batch.schema.field("track_id").type
+            pieces = batch.column(3)
+            for row, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if key != now:
+                    if now is not None:
+                        yield chunk()
+                    now = key
+                    held[:], covered[:] = 0, False
+                offset = batch.column(2)[row].as_py()
+                piece = pieces[row].values.to_numpy(zero_copy_only=False)
+                place = slice(offset, offset + len(piece))
+                held[place] = np.clip(held[place] + piece, -32768, 32767) if mix else piece
+                covered[place] = True
+        if now is not None:
+            yield chunk()
+
+    ordered = pieces.repartition("track_id", "chunk").sortWithinPartitions("track_id", "chunk", "seg").select("track_id", "chunk", "offset", "piece")
+    kind = dict(segments.dtypes)["track_id"]
+    return ordered.mapInArrow(overlaid, f"track_id {kind}, chunk long, samples array<int>")
+
+
+def overlay_series(segments: DataFrame, totals: DataFrame, mix: bool = False) -> DataFrame:
+    """(track_id, pos, v): the samples of ``overlay_chunks`` that a segment covers, a row each; the rest of a track is silent."""
+    samples = overlay_chunks(segments, totals, mix).select("track_id", "chunk", F.posexplode("samples").alias("k", "v"))
+    return samples.where("v is not null").select("track_id", (F.col("chunk") * CHUNK + F.col("k")).alias("pos"), "v")

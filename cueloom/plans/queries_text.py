@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fuzzy, geometry as geo, text as x, timecode as tc
 from ..operators import audit, joins
 from ..sources import decoding, sinks, subtitles
+from ..streaming import run as streams
 from .registry import MS, cues_out, ms, register, sql
 from .relations import table, v_configs, v_cues, v_lines
 
@@ -142,8 +143,44 @@ def _cache(s, d, part):
 
 register("upsert_frame_cache", lambda s, d: sinks.upsert_frame_cache(_cache(s, d, "idx % 2 = 0"), _cache(s, d, "idx % 2 = 1")),
          sql("SELECT doc_id AS cache_key, idx % 20 AS frame_idx, event_id AS version, text FROM v_cues QUALIFY row_number() OVER (PARTITION BY doc_id, idx % 20 ORDER BY event_id DESC) = 1", "v_cues"))
-register("output_names", lambda s, d: sinks.output_names(table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("folder"), F.concat(F.lit(" "), F.replace("p_name", F.lit(" "), F.lit("  ?")), F.lit(". ")).alias("name")), table(s, d, "part").where("p_partkey < 0").select(F.col("p_size").alias("folder"), F.col("p_name").alias("stem"))),
-         """WITH q AS (SELECT p_partkey AS id, p_size AS folder, replace(p_name, ' ', ' _') AS stem FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY folder, stem ORDER BY id) - 1 AS n FROM q) SELECT id, folder, CASE WHEN n = 0 THEN stem ELSE stem || '_' || n END AS file_name FROM r""")
+
+
+def _asked(s, d):
+    """Few stems in few folders, some with numbers, decomposed letters and odd characters; some names are remembered."""
+    p = table(s, d, "part")
+    word = F.concat(F.substring_index("p_name", " ", 1), F.when(F.col("p_partkey") % 3 == 0, "e\u0301 ?").otherwise(""))
+    number = F.when(F.col("p_partkey") % 4 == 0, "_1").when(F.col("p_partkey") % 11 == 0, "_2").when(F.col("p_partkey") % 13 == 0, "_1_1").otherwise("")
+    return p.select(F.col("p_partkey").alias("id"), (F.col("p_size") % 5).alias("folder"), F.concat(F.lit(" "), word, number, F.lit(". ")).alias("name"),
+                    F.when(F.col("p_partkey") % 17 == 0, F.concat(F.substring_index("p_name", " ", 1), F.lit("_3"))).alias("remembered"))
+
+
+def _taken(s, d):
+    p = table(s, d, "part").where("p_partkey % 7 = 0")
+    return p.select((F.col("p_size") % 5).alias("folder"), F.concat(F.substring_index("p_name", " ", 1), F.when(F.col("p_partkey") % 2 == 0, "_2").otherwise("")).alias("stem"))
+
+
+ASKED = """WITH RECURSIVE p AS (SELECT p_partkey AS id, p_size % 5 AS folder, split_part(p_name, ' ', 1) AS word FROM part),
+ q AS (SELECT id, folder, word || CASE WHEN id % 3 = 0 THEN '\u00e9 _' ELSE '' END || CASE WHEN id % 4 = 0 THEN '_1' WHEN id % 11 = 0 THEN '_2' WHEN id % 13 = 0 THEN '_1_1' ELSE '' END AS stem, CASE WHEN id % 17 = 0 THEN word || '_3' END AS remembered FROM p),
+ taken AS (SELECT folder, word || CASE WHEN id % 2 = 0 THEN '_2' ELSE '' END AS stem FROM p WHERE id % 7 = 0 UNION SELECT folder, remembered FROM q WHERE remembered IS NOT NULL),
+ t AS (SELECT folder, list(stem) AS names FROM taken GROUP BY folder), r AS MATERIALIZED (SELECT q.id, q.folder, stem, row_number() OVER (PARTITION BY q.folder ORDER BY q.id) AS k FROM q WHERE remembered IS NULL),
+ f AS (SELECT folder, 0::BIGINT AS k, coalesce(names, []) AS names, NULL::BIGINT AS id, NULL::VARCHAR AS file_name FROM (SELECT DISTINCT folder FROM r) LEFT JOIN t USING (folder)
+ UNION ALL SELECT f.folder, r.k, list_append(names, n), r.id, n FROM f JOIN r ON r.folder = f.folder AND r.k = f.k + 1,
+ LATERAL (SELECT CASE WHEN NOT list_contains(f.names, r.stem) THEN r.stem ELSE r.stem || '_' || list_min(list_filter(range(1, len(f.names) + 2), lambda i: NOT list_contains(f.names, r.stem || '_' || i))) END AS n))
+ SELECT id, folder, file_name FROM f WHERE k > 0 UNION ALL SELECT id, folder, remembered FROM q WHERE remembered IS NOT NULL"""
+register("output_names", lambda s, d: sinks.output_names(_asked(s, d), _taken(s, d)), ASKED)
+
+
+def _stored_cache(s, d):
+    """A cache that is written, upserted twice on storage, and read again."""
+    rows = v_cues(s, d).select(F.col("doc_id").cast("string").alias("cache_key"), (F.col("idx") % 20).alias("frame_idx"), F.col("event_id").alias("version"), F.to_json(F.array(F.struct("text"))).alias("rows_json"), "doc_id", "idx")
+    folder = streams.shared_folder(s, "frame-cache")
+    for n, part in enumerate(("idx % 3 = 0", "idx % 3 = 1 and doc_id % 2 = 0", "idx % 3 = 2 and doc_id % 5 > 0")):
+        sinks.save_frame_cache(f"{folder}/cache", rows.where(part), f"{folder}/staging-{n}")
+    return audit.open_frame_cache(s, f"{folder}/cache")
+
+
+register("save_frame_cache", lambda s, d: _stored_cache(s, d).select("cache_key", "frame_idx", "version", F.get(F.from_json("rows_json", "array<struct<text string>>"), F.lit(0))["text"].alias("text")),
+         sql("SELECT doc_id::VARCHAR AS cache_key, idx % 20 AS frame_idx, event_id AS version, text FROM v_cues WHERE idx % 3 = 0 OR idx % 3 = 1 AND doc_id % 2 = 0 OR idx % 3 = 2 AND doc_id % 5 > 0 QUALIFY row_number() OVER (PARTITION BY doc_id, idx % 20 ORDER BY event_id DESC) = 1", "v_cues"))
 register("read_glossary", lambda s, d: subtitles.read_glossary(table(s, d, "customer").groupBy(F.col("c_nationkey").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_mktsegment"))), lambda r: F.concat(r["c_mktsegment"], F.lit("="), r["c_custkey"].cast("string"))), "\n").alias("value"))).select("doc_id", F.col("pos").cast("long").alias("pos"), "src", "dst"),
          "WITH q AS (SELECT c_nationkey AS doc_id, c_mktsegment AS src, c_custkey::VARCHAR AS dst, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS pos FROM customer) SELECT doc_id, min(pos) AS pos, src, arg_max(dst, pos) AS dst FROM q GROUP BY doc_id, src")
 
@@ -199,8 +236,13 @@ register("parse_frame_log", lambda s, d: audit.parse_frame_log(v_cues(s, d).wher
 
 def _wavs(s, d):
     le = lambda c, n: F.unhex(F.concat(*[F.substring(F.lpad(F.hex(c), 2 * n, "0"), 2 * n - 2 * k - 1, 2) for k in range(n)]))
-    head = F.concat(F.unhex(F.lit("52494646")), le(F.col("p_partkey"), 4), F.unhex(F.lit("57415645666D742010000000")), F.unhex(F.lit("0100")), le(F.lit(1).cast("long"), 2), le((F.col("p_size") % 3 * 8000 + 8000).cast("long"), 4),
-                    F.unhex(F.lit("00000000")), F.unhex(F.lit("0200")), F.unhex(F.lit("1000")), F.unhex(F.lit("64617461")), le((F.col("p_partkey") * 1000).cast("long"), 4))
+    wide = F.col("p_partkey") % 5 == 0  # the extensible format
+    odd = F.col("p_partkey") % 2 == 0
+    other = lambda name, size: F.concat(F.unhex(F.lit(name)), le(size.cast("long"), 4), F.unhex(F.repeat(F.lit("00"), (size + size % 2).cast("int"))))
+    head = F.concat(F.unhex(F.lit("52494646")), le(F.col("p_partkey"), 4), F.unhex(F.lit("57415645")), F.when(odd, other("62657874", F.col("p_size"))).otherwise(F.unhex(F.lit(""))), F.unhex(F.lit("666D7420")), le(F.when(wide, 40).otherwise(16).cast("long"), 4),
+                    F.unhex(F.when(wide, "FEFF").otherwise("0100")), le(F.lit(1).cast("long"), 2), le((F.col("p_size") % 3 * 8000 + 8000).cast("long"), 4), F.unhex(F.lit("00000000")), F.unhex(F.lit("0200")), F.unhex(F.lit("1000")),
+                    F.unhex(F.when(wide, "1600100004000000" + "0100000000001000800000AA00389B71").otherwise("")), F.when(F.col("p_partkey") % 3 == 0, other("4C495354", F.col("p_size") + 1)).otherwise(F.unhex(F.lit(""))),
+                    F.unhex(F.lit("64617461")), le((F.col("p_partkey") * 1000).cast("long"), 4))
     return table(s, d, "part").select(F.col("p_partkey").cast("string").alias("path"), F.when(F.col("p_partkey") % 7 == 0, F.unhex(F.lit("00"))).otherwise(head).alias("content"))
 
 

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F, Window
+from pyspark.sql.types import StringType
 
 from ..functions.timecode import format_ass, format_srt, format_vtt
 from ..operators.cues import display_text
+from ..operators.folds import fold_in_order
 
 #: The head of a script and its one style.
 ASS_HEAD = ("[Script Info]\nScriptType: v4.00+\nPlayResX: {x}\nPlayResY: {y}\nWrapStyle: 0\nScaledBorderAndShadow: yes\n\n[V4+ Styles]\n"
@@ -92,23 +99,122 @@ def upsert_frame_cache(cache: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_side")
 
 
+def save_frame_cache(path: str, new: DataFrame, staging: str) -> None:
+    """Upserts new rows (cache_key, frame_idx, version, rows_json) into the cache kept under a path, a folder for each cache_key.
+
+    Only the folders of keys in ``new`` are read and written again (dynamic partition overwrite); the merged rows are
+    written under ``staging`` first, so that a task that is run again reads nothing that is being replaced. The keys of
+    the folders to read are few beside their rows: a semi join filters the scan by them.
+    """
+    from ..operators.audit import open_frame_cache
+
+    spark = new.sparkSession
+    rows = new.select(F.col("frame_idx").cast("long").alias("frame_idx"), F.col("version").cast("long").alias("version"), "rows_json", F.col("cache_key").cast("string").alias("cache_key"))
+    try:
+        known = open_frame_cache(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        merged = upsert_frame_cache(rows.limit(0), rows)
+    else:
+        keys = rows.select("cache_key").distinct()
+        merged = upsert_frame_cache(known.join(keys, "cache_key", "left_semi"), rows)
+    merged.write.mode("overwrite").parquet(staging)
+    staged = spark.read.schema(merged.schema).parquet(staging)
+    (staged.repartition("cache_key", F.floor(F.col("frame_idx") / CACHE_FRAMES)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("cache_key").parquet(path))
+
+
+#: Frames of one file of a key, about, so that a long video's folder is written by many tasks.
+CACHE_FRAMES = 100_000
+
+
+@F.pandas_udf(StringType())
+def _composed(name: pd.Series) -> pd.Series:
+    return name.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+
 def safe_name(name: Column, fallback: str = "project") -> Column:
-    """A file name: composed, without invalid characters, at most 80 long, no device name."""
+    """A file name: composed (NFC), without invalid characters, at most 80 long, no device name."""
+    plain = ~name.rlike(r"[^\x00-\x7f]")
+    name = F.when(plain, name).otherwise(_composed(F.when(~plain, name)))
     t = F.regexp_replace(name, r'[<>:"/\\|?*\x00-\x1f]', "_")
     t = F.regexp_replace(F.regexp_replace(t, r"(?U)\s+", " "), r"^[. ]+|[. ]+$", "")
     t = F.when(F.upper(t).rlike(r"^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])(\..*)?$"), F.concat(F.lit("_"), t)).otherwise(t)
     t = F.regexp_replace(F.left(t, F.lit(80)), r"[. ]+$", "")
-    return F.when(t == "", F.lit(fallback)).otherwise(t)
+    return F.when(F.coalesce(t, F.lit("")) == "", F.lit(fallback)).otherwise(t)
+
+
+_NUMBERED = re.compile(r"(.+)_([1-9][0-9]*)", re.S)
+
+
+class _Names:
+    """The names of one family in one folder: stems that differ by ending numbers only, such as a, a_1 and a_1_2.
+
+    A stem's numbers are handed out in rising order, so that one number a distinct stem tells all that were handed out;
+    besides, names that were taken before are remembered.
+    """
+
+    def __init__(self):
+        self.taken: set[str] = set()
+        self.next: dict[str, int] = {}
+
+    def free(self, name: str) -> bool:
+        numbered = _NUMBERED.fullmatch(name)
+        return not (name in self.taken or self.next.get(name, 0) > 0 or numbered and self.next.get(numbered[1], 0) > int(numbered[2]))
+
+    def take(self, row: dict):
+        if row["id"] is None and row["number"] is None:
+            self.taken.add(row["stem"])
+            return
+        n, stem = self.next.get(row["stem"], 0), row["stem"]
+        while not self.free(f"{stem}_{n}" if n else stem):
+            n += 1
+        self.next[stem] = n + 1
+        yield row["id"], row["folder"], f"{stem}_{n}" if n else stem
+
+    def end(self):
+        return ()
 
 
 def output_names(rows: DataFrame, existing: DataFrame) -> DataFrame:
-    """rows (id, folder, name) with a file name of their own: the first gets its stem, later ones stem_1, stem_2 …
+    """(id, folder, file_name) of rows (id, folder, name, and remembered if there is such a column): a name of its own for each in its folder.
+
+    In the order of id, each row gets its safe name, or the first of name_1, name_2 ... that is free: neither in existing
+    (folder, stem), nor remembered, nor given to an earlier row. A row with a remembered name keeps it.
 
-    existing (folder, stem) are names that are taken; numbering goes on after them.
+    A name can clash only with those that differ by ending numbers. Where only one stem of such a family is asked for, the
+    r-th row gets the r-th number that isn't taken, found from the gaps between the taken ones by windows; the other
+    families are folded in order, with one number a distinct stem in memory.
     """
-    named = rows.withColumn("stem", safe_name(F.col("name")))
-    taken = existing.groupBy("folder", "stem").agg(F.count("*").alias("taken"))
-    w = Window.partitionBy("folder", "stem").orderBy("id")
-    n = F.row_number().over(w) - 1 + F.coalesce("taken", F.lit(0))
-    return (named.join(taken, ["folder", "stem"], "left").withColumn("n", n)
-            .select("id", "folder", F.when(F.col("n") == 0, F.col("stem")).otherwise(F.concat("stem", F.lit("_"), F.col("n").cast("string"))).alias("file_name")))
+    remembered = F.col("remembered") if "remembered" in rows.columns else F.lit(None).cast("string")
+    kept = rows.where(remembered.isNotNull()).select("id", "folder", remembered.alias("file_name"))
+    named = rows.where(remembered.isNull()).select("id", "folder", safe_name(F.col("name")).alias("stem"))
+    family = lambda name: F.regexp_replace(name, r"(_[1-9][0-9]*)+$", "").alias("family")
+    taken = existing.select("folder", "stem").unionByName(kept.select("folder", F.col("file_name").alias("stem"))).where("stem is not null").distinct()
+    asked = named.select("*", family(F.col("stem")))
+    several = asked.groupBy("folder", "family").agg((F.min("stem") != F.max("stem")).alias("several"))
+    asked = asked.join(several, ["folder", "family"])
+    one = asked.where("not several").select("id", "folder", "stem", (F.row_number().over(Window.partitionBy("folder", "stem").orderBy("id")) - 1).cast("long").alias("rank"))
+
+    # the number of a taken name for every stem that it may be one of: the name itself has 0, stem_7 has 7
+    ending = F.regexp_extract("stem", r"(?s)^.+_([1-9][0-9]*)$", 1)
+    numbers = taken.select("folder", "stem", F.lit(0).cast("long").alias("number")).unionByName(
+        taken.where(ending != "").select("folder", F.regexp_extract("stem", r"(?s)^(.+)_[1-9][0-9]*$", 1).alias("stem"), ending.try_cast("long").alias("number")).where("number is not null"))
+    stem = Window.partitionBy("folder", "stem")
+    gaps = numbers.join(one.select("folder", "stem").distinct(), ["folder", "stem"], "left_semi").select(
+        "folder", "stem", (F.col("number") - F.row_number().over(stem.orderBy("number")) + 1).alias("rank"), F.lit(None).cast(dict(named.dtypes)["id"]).alias("id"), F.lit(1).alias("gap"))
+    both = one.withColumn("gap", F.lit(0)).unionByName(gaps)
+    before = F.sum("gap").over(stem.orderBy("rank", F.desc("gap"), "id").rowsBetween(Window.unboundedPreceding, 0))
+    number = F.col("rank") + F.col("before")
+    single = (both.withColumn("before", before).where("gap = 0")
+              .select("id", "folder", F.when(number == 0, F.col("stem")).otherwise(F.concat("stem", F.lit("_"), number.cast("string"))).alias("file_name")))
+
+    crowded = asked.where("several")
+    known = taken.select("*", family(F.col("stem"))).join(crowded.select("folder", "family").distinct(), ["folder", "family"], "left_semi")
+    in_order = crowded.select("id", "folder", "family", "stem", F.lit(1).alias("number")).unionByName(
+        known.select(F.lit(None).cast(dict(named.dtypes)["id"]).alias("id"), "folder", "family", "stem", F.lit(None).cast("int").alias("number")))
+    keyed = in_order.withColumns({"of": F.struct("folder", "family"), "at": F.struct("number", "id", "stem")})
+    kinds = dict(named.dtypes)
+    folded = fold_in_order(keyed, "of", "at", lambda _: _Names(), f"id {kinds['id']}, folder {kinds['folder']}, file_name string")
+    return single.unionByName(folded).unionByName(kept)
