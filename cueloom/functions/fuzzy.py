@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 
@@ -53,3 +55,45 @@ def better_read(text: Column, score: Column, current: Column, current_score: Col
     """Whether a read replaces the current one: the current is empty, else the higher score, else the longer text."""
     gap = F.abs(score - current_score) > 0.015
     return F.when(current == "", True).when(gap, score > current_score).otherwise(F.length(text) > F.length(current))
+
+
+def rare_characters(text: str | None, threshold: float) -> list[str] | None:
+    """So many of a text's numbered characters (the third a is a3) that any text as alike as ``threshold`` has one of them among its own.
+
+    A text of n characters shares at least threshold * n / (2 - threshold) with such a text, as their longest common
+    subsequence is that long. So of the characters in any fixed order one of the first n + 1 less that must be shared;
+    the order puts later occurrences and higher characters first, which fewer texts have.
+    """
+    if text is None:
+        return None
+    seen: dict[str, int] = {}
+    numbered = []
+    for c in text:
+        seen[c] = seen.get(c, 0) + 1
+        numbered.append((seen[c], c))
+    numbered.sort(reverse=True)
+    shared = ceil(threshold * len(text) / (2 - threshold) - 1e-9)
+    return [f"{c}{n}" for n, c in numbered[: len(text) + 1 - max(1, shared)]]
+
+
+def alike_pairs(left: DataFrame, right: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """(keys, a, b, ratio) of the distinct texts a of left (keys, a) and b of right (keys, b) with a ratio of ``threshold`` (over 0) or more.
+
+    An exact set-similarity join: only pairs that share a rare character (``rare_characters``) and whose lengths allow the
+    ratio are compared, each once. Null and empty texts are like nothing.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("a threshold over 0 and up to 1 is needed")
+
+    @F.pandas_udf("array<string>")
+    def rare(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: rare_characters(t, threshold))
+
+    def indexed(rows: DataFrame, text: str, marks: str) -> DataFrame:
+        found = rows.where(F.col(text) != "").select(*keys, text).distinct().withColumn(marks, rare(F.col(text)))
+        return found.withColumn("_mark", F.explode(marks))
+
+    la, lb = F.length("a"), F.length("b")
+    met = indexed(left, "a", "_a").join(indexed(right, "b", "_b"), [*keys, "_mark"])
+    once = met.where((F.get(F.array_intersect("_a", "_b"), F.lit(0)) == F.col("_mark")) & (2 * F.least(la, lb) >= F.lit(threshold - 1e-9) * (la + lb)))
+    return once.select(*keys, "a", "b", text_ratio(F.col("a"), F.col("b")).alias("ratio")).where(F.col("ratio") >= threshold)

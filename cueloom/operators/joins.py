@@ -5,41 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from .folds import fold_in_order
-from ..functions.fuzzy import text_ratio
+from ..functions.fuzzy import alike_pairs, text_ratio
 from ..functions.text import translation_key
 from ..functions.timecode import strip
 from .cues import blank
 
 
-def _buckets(start: Column, end: Column, width: float) -> Column:
-    return F.sequence(F.floor(start / width), F.floor(F.greatest(start, end) / width))
+#: Levels of time cells: 2 ** -6 s to 2 ** 55 s, by what is added to make them numbers from 0 to 61.
+_FINEST, _COARSEST = -6, 55
 
 
-def cue_at(cues: DataFrame, probes: DataFrame, width: float = 4.0) -> DataFrame:
-    """(doc_id, t, idx): the first cue in list order with start <= t < end, -1 if there is none.
+def _level(start: Column, end: Column) -> Column:
+    """The level of the smallest cells that are as long as a span, so that it touches two of them, or by rounding three."""
+    return F.greatest(F.lit(_FINEST), F.least(F.lit(_COARSEST), F.ceil(F.log2(F.greatest(end - start, F.lit(2.0 ** _FINEST)))))).cast("int")
 
-    An interval join on buckets of time: a cue stands in every bucket that it touches, a probe in its own.
+
+def _cell(t: Column, level: Column) -> Column:
+    return F.floor(t / F.pow(F.lit(2.0), level.cast("double")))
+
+
+def stabbed(points: DataFrame, at: str, spans: DataFrame) -> DataFrame:
+    """Each point (doc_id, ...) with each span (doc_id, start_s, end_s, ...) of its document for which start_s <= at < end_s.
+
+    An interval join on cells of time at levels of their own: a span of any length is a row in each of the two cells that
+    it touches at the level of its length, a point one in its cell at each level that occurs. Which levels those are is
+    one number, told to all tasks; there is no width to choose.
     """
-    spans = (cues.where(F.col("end_s") > F.col("start_s"))
-             .select("doc_id", "idx", "start_s", "end_s", F.explode(_buckets(F.col("start_s"), F.col("end_s"), width)).alias("b")))
-    asked = probes.select("doc_id", "t").distinct().withColumn("b", F.floor(F.col("t") / width))
-    hits = (asked.join(spans, ["doc_id", "b"]).where((F.col("start_s") <= F.col("t")) & (F.col("t") < F.col("end_s")))
-            .groupBy("doc_id", "t").agg(F.min("idx").alias("idx")))
-    return asked.select("doc_id", "t").join(hits, ["doc_id", "t"], "left").select("doc_id", "t", F.coalesce("idx", F.lit(-1)).alias("idx"))
+    real = (F.col("end_s") > F.col("start_s")) & ~F.isnan("end_s") & (F.abs("start_s") < 1e15)
+    leveled = spans.where(real).withColumn("_level", _level(F.col("start_s"), F.col("end_s")))
+    placed = leveled.withColumn("_cell", F.explode(F.sequence(_cell(F.col("start_s"), F.col("_level")), _cell(F.least("end_s", F.lit(1e15)), F.col("_level")))))
+    occurring = leveled.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_level") - _FINEST)).alias("_levels")).withColumn("_one", F.lit(1))  # one row
+    levels = F.filter(F.sequence(F.lit(_FINEST), F.lit(_COARSEST)), lambda n: F.call_function("shiftright", F.col("_levels"), n - _FINEST).bitwiseAND(F.lit(1).cast("long")) == 1)
+    asked = (points.where(F.abs(at) < 1e15).withColumn("_one", F.lit(1)).join(F.broadcast(occurring), "_one").withColumn("_level", F.explode(levels))
+             .withColumn("_cell", _cell(F.col(at), F.col("_level"))).drop("_one", "_levels"))
+    return asked.join(placed, ["doc_id", "_level", "_cell"]).where((F.col("start_s") <= F.col(at)) & (F.col(at) < F.col("end_s"))).drop("_level", "_cell")
+
+
+def cue_at(cues: DataFrame, probes: DataFrame) -> DataFrame:
+    """(doc_id, t, idx): the first cue in list order with start <= t < end, -1 if there is none."""
+    asked = probes.select("doc_id", "t").distinct()
+    hits = stabbed(asked, "t", cues.select("doc_id", "idx", "start_s", "end_s")).groupBy("doc_id", "t").agg(F.min("idx").alias("idx"))
+    return asked.join(hits, ["doc_id", "t"], "left").select("doc_id", "t", F.coalesce("idx", F.lit(-1)).alias("idx"))
 
 
-def align_translations(cues: DataFrame, source: DataFrame, width: float = 4.0, reach: float = 2.0) -> DataFrame:
+def align_translations(cues: DataFrame, source: DataFrame, reach: float = 2.0) -> DataFrame:
     """(doc_id, idx, source_idx, translation): the source row that each cue's middle falls in, else the nearest in reach.
 
-    Hits come from a bucketed interval join, the first in source order; the others from the nearest middles before and
-    after in one ordered pass, the first on ties. Cues without either keep their translation.
+    Hits come from an interval join, the first in source order; the others from the nearest middles before and after in
+    one ordered pass, the first on ties. Cues without either keep their translation.
     """
     mid = lambda: (F.col("start_s") + F.col("end_s")) / 2
     asked = cues.select("doc_id", "idx", "translation", mid().alias("mid"))
     rows = source.select("doc_id", F.col("idx").alias("source_idx"), "start_s", "end_s", F.col("text").alias("source_text"), mid().alias("source_mid"))
-    spans = (rows.where(F.col("end_s") > F.col("start_s")).select("doc_id", "source_idx", "source_text", "start_s", "end_s", F.explode(_buckets(F.col("start_s"), F.col("end_s"), width)).alias("b")))
-    hits = (asked.withColumn("b", F.floor(F.col("mid") / width)).join(spans, ["doc_id", "b"])
-            .where((F.col("start_s") <= F.col("mid")) & (F.col("mid") < F.col("end_s")))
+    hits = (stabbed(asked.select("doc_id", "idx", "mid"), "mid", rows.select("doc_id", "source_idx", "source_text", "start_s", "end_s"))
             .groupBy("doc_id", "idx").agg(F.min(F.struct("source_idx", "source_text")).alias("hit")))
     # as-of: rows of one middle are reduced to the first in source order, then carried to the cues from both sides
     marks = rows.groupBy("doc_id", F.col("source_mid").alias("at")).agg(F.min(F.struct("source_idx", "source_text")).alias("row"))
@@ -62,17 +80,16 @@ def align_translations(cues: DataFrame, source: DataFrame, width: float = 4.0, r
 
 
 def fuzzy_anti_join(rows: DataFrame, ignore: DataFrame, key: str = "video_id", threshold: float = 0.85) -> DataFrame:
-    """Rows whose text is not like any ignored text (key, item) of their video.
+    """Rows whose text is not like any ignored text (key, item) of their video; rows without a text stay.
 
     Alike: equal whatever the case, or lengths within max(4, len(item) / 2) and a ratio of ``threshold``. Distinct texts
-    are tested once, by lengths before the ratio.
+    are joined through an index of their rare characters (``alike_pairs``), so that few pairs are compared.
     """
-    texts = rows.select(key, F.lower("text").alias("low")).distinct()
-    items = ignore.select(key, F.lower("item").alias("item")).where("item <> ''").distinct()
-    li, lt = F.length("item"), F.length("low")
-    close = (F.abs(li - lt) <= F.greatest(F.lit(4), F.floor(li / 2))) & (2 * F.least(li, lt) >= threshold * (li + lt))
-    pairs = texts.join(items, key).where((F.col("low") == F.col("item")) | close)
-    bad = pairs.where((F.col("low") == F.col("item")) | (text_ratio(F.col("low"), F.col("item")) >= threshold)).select(key, "low").distinct()
+    texts = rows.select(key, F.lower("text").alias("a"))
+    items = ignore.select(key, F.lower("item").alias("b"))
+    li, lt = F.length("b"), F.length("a")
+    pairs = alike_pairs(texts, items, [key], threshold)
+    bad = pairs.where((F.col("a") == F.col("b")) | (F.abs(li - lt) <= F.greatest(F.lit(4), F.floor(li / 2)))).select(key, F.col("a").alias("low")).distinct()
     return rows.withColumn("low", F.lower("text")).join(bad, [key, "low"], "left_anti").drop("low")
 
 

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..operators import captions as cp, joins as j, segments as sg
-from .registry import MS, cues_out, ms, register, sql
+from .registry import MS, cues_out, lcs, ms, register, sql
 from ..sources import sinks, subtitles as sub
 from ..streaming import captions as st, run as streams
-from .relations import table, v_boxes, v_cues, v_lines, v_reads
+from .relations import table, v_boxes, v_cues, v_lines, v_noisy, v_reads
 
 
 def m(e: str) -> str:
@@ -48,24 +48,60 @@ register("join_rows", lambda s, d: _frame_boxes(s, d).select("frame", cp.join_ro
 
 
 def _stills(s, d):
-    return v_boxes(s, d).select((F.col("frame") % 10).alias("video_id"), F.col("frame").alias("frame_idx"), F.col("box").alias("n"), "text", (F.col("rect.x1") % 3 * 100).alias("x"), F.col("rect.y1").alias("y"))
-
-
-register("static_texts", lambda s, d: cp.static_texts(_stills(s, d), _stills(s, d).groupBy("video_id").agg((F.count_distinct("frame_idx") / 4).cast("long").alias("frames"))))
+    """Boxes of videos of 128 order numbers each: the first box of a frame hardly moves, and in a third of the videos says nearly the same."""
+    b = v_boxes(s, d).withColumn("video_id", F.floor(F.col("frame") / 128).cast("long"))
+    said = F.when(F.col("video_id") % 3 == 0, F.when(F.col("frame") % 7 == 0, "Live newz").otherwise("Live news")).when(F.col("video_id") % 3 == 1, F.concat(F.lit("scene "), F.col("frame").cast("string"))).otherwise(F.col("text"))
+    first = F.col("box") == 1
+    return b.select("video_id", F.col("frame").alias("frame_idx"), F.col("box").alias("n"), F.when(first, said).otherwise(F.col("text")).alias("text"),
+                    F.when(first, F.col("frame") % 5 * 3).otherwise(F.col("rect.x1")).alias("x"), F.when(first, 10 + F.col("frame") % 3).otherwise(100 + F.col("rect.y1")).alias("y"))
+
+
+STILLS = """WITH s AS (SELECT frame // 128 AS video_id, frame, box, CASE WHEN box > 1 OR (frame // 128) % 3 = 2 THEN text WHEN (frame // 128) % 3 = 1 THEN 'scene ' || frame WHEN frame % 7 = 0 THEN 'Live newz' ELSE 'Live news' END AS text,
+ CASE WHEN box = 1 THEN frame % 5 * 3 ELSE x1 END::DOUBLE AS x, CASE WHEN box = 1 THEN 10 + frame % 3 ELSE 100 + y1 END::DOUBLE AS y FROM v_boxes),
+ n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame, box) AS k FROM s WHERE length(text) >= 2),
+ f AS (SELECT video_id, 0::BIGINT AS k, []::STRUCT(x DOUBLE, y DOUBLE)[] AS heads, NULL::BIGINT AS spot, NULL::BIGINT AS frame, NULL::VARCHAR AS text FROM (SELECT DISTINCT video_id FROM n)
+ UNION ALL SELECT n.video_id, n.k, CASE WHEN hit IS NULL THEN list_append(heads, {'x': n.x, 'y': n.y}) ELSE heads END, coalesce(hit, len(heads) + 1), n.frame, n.text FROM f JOIN n ON n.video_id = f.video_id AND n.k = f.k + 1,
+ LATERAL (SELECT list_position(list_transform(f.heads, lambda h: abs(n.x - h.x) <= 14 AND abs(n.y - h.y) <= 10), true) AS hit)),
+ c AS (SELECT video_id, spot, text, count(*) AS n FROM f WHERE k > 0 GROUP BY ALL), o AS (SELECT video_id, spot, count(DISTINCT frame) AS seen, count(*) AS total FROM f WHERE k > 0 GROUP BY ALL),
+ m AS (SELECT video_id, spot, arg_max(text, {'n': n, 'text': text}) AS common, max(n) AS most FROM c GROUP BY ALL), v AS (SELECT video_id, count(DISTINCT frame) AS frames FROM s GROUP BY ALL),
+ g AS (SELECT * FROM o JOIN m USING (video_id, spot) JOIN v USING (video_id) WHERE frames >= 8 AND seen >= greatest(8, floor(frames * 0.6::DOUBLE)) AND most >= 0.55::DOUBLE * total),
+ q AS (SELECT DISTINCT text AS a, common AS b FROM c JOIN g USING (video_id, spot)), """
+register("static_texts", lambda s, d: cp.static_texts(_stills(s, d), _stills(s, d).groupBy("video_id").agg(F.count_distinct("frame_idx").alias("frames"))),
+         sql(STILLS + lcs("q") + """, w AS (SELECT video_id, spot FROM c JOIN g USING (video_id, spot) JOIN ratios r ON r.a = c.text AND r.b = g.common
+ GROUP BY ALL HAVING sum(CASE WHEN c.text = g.common OR r.r >= 0.7::DOUBLE THEN c.n ELSE 0 END) >= 0.75::DOUBLE * any_value(g.total)) SELECT DISTINCT video_id, lower(text) AS text FROM c JOIN w USING (video_id, spot)""", "v_boxes", recursive=True))
 register("height_range", lambda s, d: cp.height_range(v_boxes(s, d).select(F.col("frame").alias("video_id"), (F.col("rect.y2") - F.col("rect.y1")).alias("height"))),
          sql("SELECT frame AS video_id, round(median(y2 - y1) * 0.62::DOUBLE, 1) AS low, round(median(y2 - y1) * 1.75::DOUBLE, 1) AS high, list_sort(list(y2 - y1))[count(*) // 2 + 1] AS middle FROM v_boxes GROUP BY frame", "v_boxes"))
-register("dominant_color", lambda s, d: cp.dominant_color(table(s, d, "part").select((F.col("p_partkey") % 20).alias("video_id"), F.col("p_partkey").alias("pos"), (F.col("p_size") * 5).alias("r"), (F.col("p_size") * 3).alias("g"), F.lit(100).alias("b"), F.col("p_retailprice").alias("weight"))).select("video_id", "rgb.*"))
+register("dominant_color", lambda s, d: cp.dominant_color(table(s, d, "part").select(F.floor(F.col("p_partkey") / 50).cast("long").alias("video_id"), F.col("p_partkey").alias("pos"), (F.col("p_size") * 5).alias("r"), (F.col("p_size") * 3).alias("g"), F.lit(100).alias("b"), (F.col("p_partkey") % 9 + 1).alias("weight"))).select("video_id", "rgb.*"),
+         """WITH RECURSIVE n AS MATERIALIZED (SELECT p_partkey // 50 AS video_id, row_number() OVER (PARTITION BY p_partkey // 50 ORDER BY p_partkey) AS k, (p_size * 5)::DOUBLE AS r, (p_size * 3)::DOUBLE AS g, (p_partkey % 9 + 1)::DOUBLE AS w FROM part),
+ f AS (SELECT video_id, 0::BIGINT AS k, []::STRUCT(r DOUBLE, g DOUBLE, w DOUBLE)[] AS cs FROM (SELECT DISTINCT video_id FROM n)
+ UNION ALL SELECT n.video_id, n.k, CASE WHEN hit IS NULL THEN list_append(cs, {'r': n.r, 'g': n.g, 'w': n.w}) ELSE list_transform(cs, lambda c, i: CASE WHEN i = hit THEN {'r': (c.r * c.w + n.r * n.w) / (c.w + n.w), 'g': (c.g * c.w + n.g * n.w) / (c.w + n.w), 'w': c.w + n.w} ELSE c END) END
+ FROM f JOIN n ON n.video_id = f.video_id AND n.k = f.k + 1, LATERAL (SELECT list_position(list_transform(f.cs, lambda c: (c.r - n.r) ** 2 + (c.g - n.g) ** 2 <= 3600), true) AS hit)),
+ l AS (SELECT video_id, cs FROM f QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY k DESC) = 1), t AS (SELECT video_id, cs[list_position(list_transform(cs, lambda c: c.w), list_max(list_transform(cs, lambda c: c.w)))] AS c FROM l)
+ SELECT video_id, round_even(c.r, 0)::INT AS r, round_even(c.g, 0)::INT AS g, 100 AS b FROM t""")
 register("downsample_min_gap", lambda s, d: cp.downsample_min_gap(v_reads(s, d).select("video_id", "stamp_s"), 0.25).select("video_id", ms("stamp_s").alias("stamp_ms")),
          sql(f"""o AS (SELECT video_id, list(stamp_s ORDER BY stamp_s) AS ts FROM v_reads GROUP BY video_id), f AS (SELECT video_id, ts, 1 AS k, ts[1] AS last, [ts[1]] AS kept FROM o UNION ALL
  SELECT video_id, ts, k + 1, CASE WHEN ts[k + 1] >= last + (4.0::DOUBLE - 0.005::DOUBLE) THEN ts[k + 1] ELSE last END, CASE WHEN ts[k + 1] >= last + (4.0::DOUBLE - 0.005::DOUBLE) THEN list_append(kept, ts[k + 1]) ELSE kept END FROM f WHERE k < len(ts)),
  u AS (SELECT video_id, unnest(kept) AS t FROM f WHERE k = len(ts)) SELECT video_id, {m('t')} AS stamp_ms FROM u""".join(["WITH ", ""]), "v_reads", recursive=True))
-register("drop_flicker", lambda s, d: cp.drop_flicker(v_reads(s, d), 0.99).select("video_id", "frame_idx", "text", F.round("score", 6).alias("score")),
-         sql("""WITH q AS (SELECT *, lag(text) OVER w AS bt, lag(score) OVER w AS bs, lead(text) OVER w AS at_, lead(score) OVER w AS as_ FROM v_reads WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx)),
- o AS (SELECT *, bt IS NOT NULL AND at_ IS NOT NULL AND text <> '' AND text <> bt AND text <> at_ AS odd FROM q), z AS (SELECT *, odd AND bt <> '' AND bt = at_ AS fill, odd AND NOT (bt <> '' AND bt = at_) AND length(text) < 12 AND 2 * length(text) < greatest(length(bt), length(at_)) AS speck,
- CASE WHEN abs(bs - as_) > 0.015::DOUBLE THEN bs > as_ ELSE false END AS first FROM o)
- SELECT video_id, frame_idx, CASE WHEN fill THEN bt WHEN speck THEN '' ELSE text END AS text, round(CASE WHEN fill THEN CASE WHEN first THEN bs ELSE as_ END WHEN speck THEN 0 ELSE score END, 6) AS score FROM z""", "v_reads"))
-register("stabilize_reads", lambda s, d: cp.stabilize_reads(v_reads(s, d)).select("video_id", "frame_idx", "text", F.round("score", 6).alias("score")))
-register("best_caption", lambda s, d: cp.best_caption(v_reads(s, d).withColumn("g", F.floor(F.col("frame_idx") / 10)), ["video_id", "g"], 0.99).select("video_id", "g", F.length("text").alias("n")))
+#: Ratios of all pairs of the distinct noisy texts, and those alike at 0.8 as strings of both.
+NOISY = "WITH q AS (SELECT x.text AS a, y.text AS b FROM (SELECT DISTINCT text FROM v_noisy WHERE text <> '') x, (SELECT DISTINCT text FROM v_noisy WHERE text <> '') y), " + lcs("q") + ", al AS MATERIALIZED (SELECT list(a || chr(1) || b) AS pairs FROM ratios WHERE r >= 0.8::DOUBLE)"
+STABLE = """, w AS (SELECT video_id, frame_idx, text, score, count(*) OVER (PARTITION BY video_id) AS total, list_filter(list({'t': text, 's': score}) OVER (PARTITION BY video_id ORDER BY frame_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), lambda x: x.t <> '') AS said FROM v_noisy),
+ g AS (SELECT w.*, list_transform(said, lambda c: list_filter(said, lambda x: list_contains(pairs, x.t || chr(1) || c.t))) AS groups FROM w, al),
+ h AS (SELECT *, list_transform(groups, lambda x, i: {'n': len(x), 's': round(list_sum(list_transform(x, lambda y: y.s)), 9), 'i': -i, 'x': x}) AS ranked FROM g),
+ best AS (SELECT *, CASE WHEN text <> '' AND total >= 3 AND len(ranked) > 0 THEN list_sort(ranked, 'DESC')[1].x END AS top FROM h),
+ stable AS (SELECT video_id, frame_idx, CASE WHEN len(top) >= 3 THEN list_reduce(top, lambda a, x: CASE WHEN CASE WHEN abs(x.s - a.s) > 0.015::DOUBLE THEN x.s > a.s ELSE length(x.t) > length(a.t) END THEN x ELSE a END) ELSE {'t': text, 's': score} END AS v FROM best)"""
+FLICKER = """, near AS (SELECT *, lag(v) OVER o AS b, lead(v) OVER o AS a FROM stable WINDOW o AS (PARTITION BY video_id ORDER BY frame_idx)),
+ odd AS (SELECT near.*, b IS NOT NULL AND a IS NOT NULL AND v.t <> '' AND NOT list_contains(pairs, v.t || chr(1) || b.t) AND NOT list_contains(pairs, v.t || chr(1) || a.t) AS odd, coalesce(b.t <> '' AND list_contains(pairs, b.t || chr(1) || a.t), false) AS same FROM near, al),
+ calm AS (SELECT video_id, frame_idx, CASE WHEN odd AND same THEN CASE WHEN CASE WHEN abs(b.s - a.s) > 0.015::DOUBLE THEN b.s > a.s ELSE length(b.t) > length(a.t) END THEN b ELSE a END
+ WHEN odd AND length(v.t) < 12 AND 2 * length(v.t) < greatest(length(b.t), length(a.t)) THEN {'t': '', 's': 0.0::DOUBLE} ELSE v END AS v FROM odd)"""
+RAW = ", stable AS (SELECT video_id, frame_idx, {'t': text, 's': score} AS v FROM v_noisy)"
+register("drop_flicker", lambda s, d: cp.drop_flicker(v_noisy(s, d)).select("video_id", "frame_idx", "text", F.round("score", 6).alias("score")),
+         sql(NOISY + RAW + FLICKER + " SELECT video_id, frame_idx, v.t AS text, round(v.s, 6) AS score FROM calm", "v_cues", "v_noisy"))
+register("stabilize_reads", lambda s, d: cp.stabilize_reads(v_noisy(s, d)).select("video_id", "frame_idx", "text", F.round("score", 6).alias("score")),
+         sql(NOISY + STABLE + " SELECT video_id, frame_idx, v.t AS text, round(v.s, 6) AS score FROM stable", "v_cues", "v_noisy"))
+register("best_caption", lambda s, d: cp.best_caption(v_noisy(s, d).withColumn("g", F.floor(F.col("frame_idx") / 10)), ["video_id", "g"]).select("video_id", "g", "text", F.round("score", 6).alias("score")),
+         sql(NOISY + """, t AS (SELECT video_id, frame_idx // 10 AS g, text, count(*) AS n, avg(score) AS mean, min(frame_idx) AS first FROM v_noisy WHERE text <> '' GROUP BY ALL),
+ p AS (SELECT t.*, sum(CASE WHEN r >= 0.8::DOUBLE THEN o.n ELSE 0 END) AS alike, round(sum(r * o.n), 9) AS near FROM t JOIN t o ON o.video_id = t.video_id AND o.g = t.g JOIN ratios ON a = t.text AND b = o.text GROUP BY ALL)
+ SELECT video_id, g, text, round(mean, 6) AS score FROM p QUALIFY row_number() OVER (PARTITION BY video_id, g ORDER BY n DESC, alike DESC, near DESC, mean DESC, length(text) DESC, first) = 1""", "v_cues", "v_noisy"))
 register("merge_captions", lambda s, d: cp.merge_captions(v_reads(s, d), votes=3).select("doc_id", "idx", ms("start_s").alias("start_ms"), ms("end_s").alias("end_ms"), "text"))
 register("merge_captions_exact", lambda s, d: cp.merge_captions_exact(v_reads(s, d)).select("doc_id", "idx", ms("start_s").alias("start_ms"), ms("end_s").alias("end_ms"), "text"),
          sql(f"""WITH q AS (SELECT *, CASE WHEN text = lag(text) OVER w THEN 0 ELSE 1 END AS new FROM v_reads WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx)), g AS (SELECT *, sum(new) OVER (PARTITION BY video_id ORDER BY frame_idx) AS island FROM q),
@@ -74,12 +110,13 @@ register("merge_captions_exact", lambda s, d: cp.merge_captions_exact(v_reads(s,
 
 
 def _detections(s, d):
-    return v_boxes(s, d).select((F.col("frame") % 50).alias("video_id"), F.col("frame").alias("frame_idx"), (F.col("frame") / 15).alias("stamp_s"), F.col("box").alias("n"), "text", "score", "rect")
+    return v_boxes(s, d).select(F.floor(F.col("frame") / 200).cast("long").alias("video_id"), F.col("frame").alias("frame_idx"), (F.col("frame") / 15).alias("stamp_s"), F.col("box").alias("n"), "text", "score", "rect")
 
 
 register("captions_from_detections", lambda s, d: cp.captions_from_detections(_detections(s, d)).select("doc_id", "idx", ms("start_s").alias("start_ms"), "text"))
-register("fuzzy_anti_join", lambda s, d: j.fuzzy_anti_join(v_reads(s, d), v_reads(s, d).select("video_id", F.when(F.col("video_id") % 2 == 0, "Clicks").otherwise("SIGNUP").alias("item")).distinct()).select("video_id", "frame_idx", "text"),
-         sql("SELECT video_id, frame_idx, text FROM v_reads WHERE NOT (text = CASE WHEN video_id % 2 = 0 THEN 'click' ELSE 'signup' END)", "v_reads"))
+register("fuzzy_anti_join", lambda s, d: j.fuzzy_anti_join(v_noisy(s, d), v_noisy(s, d).select("video_id", F.when(F.col("video_id") % 2 == 0, "Paper lantern").otherwise("RAIN at noom").alias("item")).distinct()).select("video_id", "frame_idx", "text"),
+         sql("WITH i AS (SELECT DISTINCT video_id, lower(CASE WHEN video_id % 2 = 0 THEN 'Paper lantern' ELSE 'RAIN at noom' END) AS item FROM v_noisy), q AS (SELECT DISTINCT lower(text) AS a, item AS b FROM v_noisy JOIN i USING (video_id) WHERE text <> ''), " + lcs("q") +
+             " SELECT video_id, frame_idx, text FROM v_noisy JOIN i USING (video_id) WHERE text = '' OR NOT EXISTS (SELECT 1 FROM ratios WHERE a = lower(text) AND b = item AND (a = b OR abs(length(a) - length(b)) <= greatest(4, length(b) // 2) AND r >= 0.85::DOUBLE))", "v_cues", "v_noisy"))
 
 
 def _fine(s, d):

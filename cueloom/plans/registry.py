@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.timecode import millis
-from .relations import V_BOXES, V_CUES, V_LINES, V_READS, V_SOURCE
+from .relations import V_BOXES, V_CUES, V_LINES, V_NOISY, V_READS, V_SOURCE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-BASES = {"v_cues": V_CUES, "v_source": V_SOURCE, "v_reads": V_READS, "v_lines": V_LINES, "v_boxes": V_BOXES}
+BASES = {"v_cues": V_CUES, "v_source": V_SOURCE, "v_reads": V_READS, "v_noisy": V_NOISY, "v_lines": V_LINES, "v_boxes": V_BOXES}
 
 
 def ms(column: str | Column) -> Column:
@@ -37,6 +37,13 @@ def sql(body: str, *bases: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{parts}" + (f",\n{body[5:]}" if body.startswith("WITH ") else f"\n{body}")
 
 
+def lcs(pairs: str) -> str:
+    """A relation ratios (a, b, r) for a relation of texts (a, b): twice the longest common subsequence over both lengths."""
+    return f"""lengths AS (SELECT a, b, list_last(list_reduce(list_prepend([0 for x in range(length(b) + 1)], [[i] for i in range(1, length(a) + 1)]), lambda row, i: list_reduce(list_prepend([0], [[j] for j in range(1, length(b) + 1)]),
+ lambda acc, j: list_append(acc, CASE WHEN substring(a, i[1]::INT, 1) = substring(b, j[1]::INT, 1) THEN row[j[1]] + 1 ELSE greatest(row[j[1] + 1], list_last(acc)) END)))) AS n FROM {pairs}),
+ ratios AS MATERIALIZED (SELECT a, b, 2 * n / (length(a) + length(b)) AS r FROM lengths)"""
+
+
 def register(name: str, query: Callable[[SparkSession, str], DataFrame], oracle: str | None = None) -> None:
     QUERIES[name] = query
     if oracle:

@@ -49,6 +49,26 @@ V_READS = """v_reads AS (SELECT user_id AS video_id, row_number() OVER (PARTITIO
  least(value / 500, 1.0) AS score FROM events)"""
 
 
+SAID = ["paper lantern", "rain at noon", "call me later", "", "nobody home"]
+
+
+def v_noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frame reads whose captions last some frames, with odd letters, scraps and blanks in them."""
+    c = v_cues(spark, sf_dir, blanks=False)
+    said = F.get(F.array(*map(F.lit, SAID)), ((F.col("doc_id") * 7 + F.floor(F.col("idx") / 5)) % len(SAID)).cast("int"))
+    at = F.col("event_id") % 9 + 2
+    odd = F.concat(F.substring(said, F.lit(1), (at - 1).cast("int")), F.lit("x"), F.substring(said, (at + 1).cast("int"), F.lit(100)))
+    text = (F.when(said == "", "").when(F.col("event_id") % 19 == 0, "").when(F.col("event_id") % 17 == 0, "C.15").when(F.col("event_id") % 3 == 0, odd)
+            .when(F.col("event_id") % 11 == 0, F.concat(said, F.lit(" and so on"))).otherwise(said))
+    return c.select(F.col("doc_id").alias("video_id"), F.col("idx").alias("frame_idx"), F.col("start_s").alias("stamp_s"), text.alias("text"), F.round(F.least(F.col("value") / 500, F.lit(1.0)), 3).alias("score"))
+
+
+_SAID = "['" + "', '".join(SAID) + "']"
+V_NOISY = f"""v_noisy AS (SELECT doc_id AS video_id, idx AS frame_idx, start_s AS stamp_s, CASE WHEN said = '' OR event_id % 19 = 0 THEN '' WHEN event_id % 17 = 0 THEN 'C.15'
+ WHEN event_id % 3 = 0 THEN substring(said, 1, event_id % 9 + 1) || 'x' || substring(said, event_id % 9 + 3) WHEN event_id % 11 = 0 THEN said || ' and so on' ELSE said END AS text,
+ round(least(value / 500, 1.0), 3) AS score FROM (SELECT *, {_SAID}[1 + (doc_id * 7 + idx // 5) % {len(SAID)}] AS said FROM v_cues))"""
+
+
 def v_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-blank lines of documents as cues of 3 s back to back."""
     from ..sources.subtitles import read_plain_text
