@@ -57,43 +57,68 @@ def better_read(text: Column, score: Column, current: Column, current_score: Col
     return F.when(current == "", True).when(gap, score > current_score).otherwise(F.length(text) > F.length(current))
 
 
-def rare_characters(text: str | None, threshold: float) -> list[str] | None:
-    """So many of a text's numbered characters (the third a is a3) that any text as alike as ``threshold`` has one of them among its own.
+def _numbered(pieces: list[str]) -> list[tuple[int, str]]:
+    """The pieces with how often each has come so far (the third a is (3, a)), those that fewer texts have first."""
+    seen: dict[str, int] = {}
+    out = []
+    for p in pieces:
+        seen[p] = seen.get(p, 0) + 1
+        out.append((seen[p], p))
+    return sorted(out, reverse=True)
+
+
+def rare_characters(text: str, threshold: float) -> list[str]:
+    """So many of a text's numbered characters that any text as alike as ``threshold`` has one of them among its own.
 
     A text of n characters shares at least threshold * n / (2 - threshold) with such a text, as their longest common
-    subsequence is that long. So of the characters in any fixed order one of the first n + 1 less that must be shared;
-    the order puts later occurrences and higher characters first, which fewer texts have.
+    subsequence is that long. So of the characters in a fixed order one of the first n + 1 less that must be shared.
     """
-    if text is None:
-        return None
-    seen: dict[str, int] = {}
-    numbered = []
-    for c in text:
-        seen[c] = seen.get(c, 0) + 1
-        numbered.append((seen[c], c))
-    numbered.sort(reverse=True)
     shared = ceil(threshold * len(text) / (2 - threshold) - 1e-9)
-    return [f"{c}{n}" for n, c in numbered[: len(text) + 1 - max(1, shared)]]
+    return [f"{c}{n}" for n, c in _numbered(list(text))[: len(text) + 1 - max(1, shared)]]
+
+
+def _shared_pairs(n: int, threshold: float) -> int:
+    """Neighbouring characters that a text of n characters shares at least with one as alike as ``threshold``.
+
+    Of its n - 1 pairs each character that isn't common to both breaks two, each one of the other text between breaks one.
+    """
+    return ceil((1.5 * threshold - 1) * 2 * n / (2 - threshold) - 1 - 1e-9)
+
+
+def rare_pairs(text: str, threshold: float) -> list[str]:
+    """As ``rare_characters`` for pairs of neighbouring characters, which fewer texts have; only where some must be shared."""
+    pairs = _numbered([text[i: i + 2] for i in range(len(text) - 1)])
+    return [f"{c}{n}" for n, c in pairs[: len(pairs) + 1 - _shared_pairs(len(text), threshold)]]
 
 
 def alike_pairs(left: DataFrame, right: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     """(keys, a, b, ratio) of the distinct texts a of left (keys, a) and b of right (keys, b) with a ratio of ``threshold`` (over 0) or more.
 
-    An exact set-similarity join: only pairs that share a rare character (``rare_characters``) and whose lengths allow the
-    ratio are compared, each once. Null and empty texts are like nothing.
+    An exact set-similarity join: only pairs whose lengths allow the ratio and that share a rare pair of characters, or
+    where one text is too short for that a rare character, are compared, each once. Null and empty texts are like nothing.
     """
     if not 0 < threshold <= 1:
         raise ValueError("a threshold over 0 and up to 1 is needed")
+    # from this length on pairs of characters must be shared; below 2 / 3 at no length
+    long = next((n for n in range(2, 10_000) if _shared_pairs(n, threshold) >= 1), None) if threshold > 2 / 3 else None
 
-    @F.pandas_udf("array<string>")
-    def rare(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: rare_characters(t, threshold))
+    def indexed(rows: DataFrame, text: str, marks: str, rare) -> DataFrame:
+        @F.pandas_udf("array<string>")
+        def of(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: None if t is None else rare(t, threshold))
 
-    def indexed(rows: DataFrame, text: str, marks: str) -> DataFrame:
-        found = rows.where(F.col(text) != "").select(*keys, text).distinct().withColumn(marks, rare(F.col(text)))
+        found = rows.where(F.col(text) != "").select(*keys, text).distinct().withColumn(marks, of(F.col(text)))
         return found.withColumn("_mark", F.explode(marks))
 
+    def met(some_left: DataFrame, some_right: DataFrame, rare) -> DataFrame:
+        both = indexed(some_left, "a", "_a", rare).join(indexed(some_right, "b", "_b", rare), [*keys, "_mark"])
+        return both.where(F.get(F.array_intersect("_a", "_b"), F.lit(0)) == F.col("_mark")).select(*keys, "a", "b")
+
     la, lb = F.length("a"), F.length("b")
-    met = indexed(left, "a", "_a").join(indexed(right, "b", "_b"), [*keys, "_mark"])
-    once = met.where((F.get(F.array_intersect("_a", "_b"), F.lit(0)) == F.col("_mark")) & (2 * F.least(la, lb) >= F.lit(threshold - 1e-9) * (la + lb)))
-    return once.select(*keys, "a", "b", text_ratio(F.col("a"), F.col("b")).alias("ratio")).where(F.col("ratio") >= threshold)
+    if long is None:
+        candidates = met(left, right, rare_characters)
+    else:
+        candidates = (met(left.where(la >= long), right.where(lb >= long), rare_pairs)
+                      .unionByName(met(left.where(la < long), right, rare_characters)).unionByName(met(left.where(la >= long), right.where(lb < long), rare_characters)))
+    close = candidates.where(2 * F.least(la, lb) >= F.lit(threshold - 1e-9) * (la + lb))
+    return close.withColumn("ratio", text_ratio(F.col("a"), F.col("b"))).where(F.col("ratio") >= threshold)

@@ -12,7 +12,13 @@ class _Joining:
     """The cue that may still grow, and how many are out."""
 
     def __init__(self, doc_id, least: float, most: float, limit: int):
-        self.doc_id, self.least, self.most, self.limit, self.cue, self.count = doc_id, least, most, limit, None, 0
+        self.doc_id, self.least, self.most, self.limit, self.cue, self.count, self.last = doc_id, least, most, limit, None, 0, 0.0
+
+    def whole(self, row: dict) -> dict:
+        """The row without nulls."""
+        start = self.last if row["start_s"] is None else row["start_s"]
+        self.last = start if row["end_s"] is None else row["end_s"]
+        return row | {"start_s": start, "end_s": self.last} | {c: row[c] or "" for c in ("text", "translation", "speaker")}
 
     def takes(self, row: dict) -> bool:
         """Whether a short row continues the open cue: near enough, and neither too long in time nor in characters."""
@@ -21,6 +27,7 @@ class _Joining:
         return near and spans[1] < self.least and sum(spans) <= self.most and len(self.cue["text"]) + 1 + len(row["text"]) <= self.limit
 
     def take(self, row: dict):
+        row = self.whole(row)
         if self.cue is not None and self.takes(row):
             self.cue |= {"end_s": row["end_s"], "text": f"{self.cue['text']} {row['text']}".strip()}
             return
@@ -34,7 +41,10 @@ class _Joining:
 
 
 def merge_short(cues: DataFrame, least: float = 0.6, most: float = 7.0, limit: int = 84) -> DataFrame:
-    """Short cues are appended to the one before where the length, duration and gap of the result allow it."""
+    """Short cues are appended to the one before where the length, duration and gap of the result allow it.
+
+    Null texts count as empty, a null start as the end of the row before (0 at first), a null end as the start.
+    """
     schema = f"doc_id {cues.schema['doc_id'].dataType.simpleString()}, idx long, start_s double, end_s double, text string, translation string, speaker string"
     return fold_in_order(cues.select(*CUE), "doc_id", "idx", lambda doc_id: _Joining(doc_id, least, most, limit), schema)
 

@@ -102,7 +102,25 @@ register("best_caption", lambda s, d: cp.best_caption(v_noisy(s, d).withColumn("
          sql(NOISY + """, t AS (SELECT video_id, frame_idx // 10 AS g, text, count(*) AS n, avg(score) AS mean, min(frame_idx) AS first FROM v_noisy WHERE text <> '' GROUP BY ALL),
  p AS (SELECT t.*, sum(CASE WHEN r >= 0.8::DOUBLE THEN o.n ELSE 0 END) AS alike, round(sum(r * o.n), 9) AS near FROM t JOIN t o ON o.video_id = t.video_id AND o.g = t.g JOIN ratios ON a = t.text AND b = o.text GROUP BY ALL)
  SELECT video_id, g, text, round(mean, 6) AS score FROM p QUALIFY row_number() OVER (PARTITION BY video_id, g ORDER BY n DESC, alike DESC, near DESC, mean DESC, length(text) DESC, first) = 1""", "v_cues", "v_noisy"))
-register("merge_captions", lambda s, d: cp.merge_captions(v_reads(s, d), votes=3).select("doc_id", "idx", ms("start_s").alias("start_ms"), ms("end_s").alias("end_ms"), "text"))
+#: The fold of reads to captions: what is on is a list of distinct texts with their reads and scores; its best one is found anew with each read.
+FOLD = """, rr AS MATERIALIZED (SELECT map(list(a || chr(1) || b), list(r)) AS rs FROM ratios), ns AS (SELECT list(DISTINCT text) AS known FROM v_noisy),
+ k AS MATERIALIZED (SELECT video_id, stamp_s, v.t AS text, v.s AS score, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS k FROM {reads} JOIN v_noisy USING (video_id, frame_idx)),
+ f AS (SELECT video_id, 0::BIGINT AS k, 0.0::DOUBLE AS start_s, []::STRUCT(t VARCHAR, n BIGINT, s DOUBLE)[] AS said, ''::VARCHAR AS shown, NULL::DOUBLE AS from_s, NULL::DOUBLE AS until_s, NULL::VARCHAR AS done, 0.0::DOUBLE AS last FROM (SELECT DISTINCT video_id FROM k)
+ UNION ALL SELECT x.video_id, x.k, CASE WHEN x.go THEN x.start_s ELSE x.stamp_s END, x.now, coalesce(best.t, ''), CASE WHEN NOT x.go AND x.shown <> '' THEN x.start_s END, CASE WHEN NOT x.go AND x.shown <> '' THEN x.stamp_s END, CASE WHEN NOT x.go AND x.shown <> '' THEN x.shown END, x.stamp_s
+ FROM (SELECT y.*, CASE WHEN text = '' THEN kept WHEN list_contains(list_transform(kept, lambda c: c.t), text) THEN list_transform(kept, lambda c: CASE WHEN c.t = text THEN {{'t': c.t, 'n': c.n + 1, 's': c.s + score}} ELSE c END)
+ ELSE list_append(kept, {{'t': text, 'n': 1::BIGINT, 's': score}}) END AS now FROM (SELECT z.*, CASE WHEN go THEN said ELSE [] END AS kept FROM (SELECT f.video_id, f.start_s, f.said, f.shown, k.k, k.stamp_s, k.text, k.score, rs,
+ CASE WHEN k.text = '' OR f.shown = '' THEN k.text = f.shown ELSE rs[k.text || chr(1) || f.shown] >= 0.8::DOUBLE OR (least(length(replace(k.text, ' ', '')), length(replace(f.shown, ' ', ''))) >= 3
+ AND greatest(length(replace(k.text, ' ', '')), length(replace(f.shown, ' ', ''))) <= 2 * least(length(replace(k.text, ' ', '')), length(replace(f.shown, ' ', '')))
+ AND (contains(replace(k.text, ' ', ''), replace(f.shown, ' ', '')) OR contains(replace(f.shown, ' ', ''), replace(k.text, ' ', '')))) END AS go FROM f JOIN k ON k.video_id = f.video_id AND k.k = f.k + 1, rr) z) y) x,
+ LATERAL (SELECT list_sort(list_transform(x.now, lambda c, i: {{'n': c.n, 'alike': list_sum(list_transform(x.now, lambda o: CASE WHEN x.rs[c.t || chr(1) || o.t] >= 0.8::DOUBLE THEN o.n ELSE 0 END)),
+ 'near': round(list_sum(list_transform(x.now, lambda o: x.rs[c.t || chr(1) || o.t] * o.n)), 9), 'mean': c.s / c.n, 'len': length(c.t), 'i': -i, 't': c.t}}), 'DESC')[1] AS best)),
+ o AS (SELECT video_id, from_s AS start_s, until_s AS end_s, done AS text FROM f WHERE done IS NOT NULL
+ UNION ALL SELECT video_id, start_s, last + 1.0::DOUBLE / 15, shown FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY k DESC) = 1) WHERE shown <> '')"""
+FOLDED = f" SELECT video_id AS doc_id, row_number() OVER (PARTITION BY video_id ORDER BY start_s) - 1 AS idx, {m('start_s')} AS start_ms, {m('end_s')} AS end_ms, text FROM o WHERE end_s - start_s >= 0.2::DOUBLE"
+register("merge_captions", lambda s, d: cp.merge_captions(v_noisy(s, d), votes=3).select("doc_id", "idx", ms("start_s").alias("start_ms"), ms("end_s").alias("end_ms"), "text"),
+         sql(NOISY + STABLE + FLICKER + FOLD.format(reads="calm") + FOLDED, "v_cues", "v_noisy", recursive=True))
+register("merge_captions_unsmoothed", lambda s, d: cp.merge_captions(v_noisy(s, d), flicker=False).select("doc_id", "idx", ms("start_s").alias("start_ms"), ms("end_s").alias("end_ms"), "text"),
+         sql(NOISY + RAW + FOLD.format(reads="stable") + FOLDED, "v_cues", "v_noisy", recursive=True))
 register("merge_captions_exact", lambda s, d: cp.merge_captions_exact(v_reads(s, d)).select("doc_id", "idx", ms("start_s").alias("start_ms"), ms("end_s").alias("end_ms"), "text"),
          sql(f"""WITH q AS (SELECT *, CASE WHEN text = lag(text) OVER w THEN 0 ELSE 1 END AS new FROM v_reads WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx)), g AS (SELECT *, sum(new) OVER (PARTITION BY video_id ORDER BY frame_idx) AS island FROM q),
  r AS (SELECT video_id, island, min(stamp_s) AS start_s, max(stamp_s) AS last, first(text) AS text FROM g GROUP BY ALL), e AS (SELECT *, coalesce(lead(start_s) OVER (PARTITION BY video_id ORDER BY island), last + 1.0::DOUBLE / 15) AS end_s FROM r),
@@ -158,6 +176,22 @@ register("stream_merge_captions", _streamed_captions,
  SELECT video_id, {m('start_s')} AS start_ms, {m('end_s')} AS end_ms, text FROM e WHERE text <> '' AND end_s - start_s >= 0.2::DOUBLE""", "v_reads"))
 
 
+def _smoothed_stream(s, d):
+    """Noisy reads that land as files in no order, one a trigger, and then a row that moves the watermark past all of them."""
+    folder = streams.shared_folder(s, "noisy")
+    reads = v_noisy(s, d).withColumn("at", F.timestamp_seconds(F.col("stamp_s") + 86_400))
+    reads.repartition(3, F.xxhash64("frame_idx")).write.parquet(folder)
+    end = s.range(1).select(*[(F.lit(-1) if f.name == "video_id" else F.lit(None)).cast(f.dataType).alias(f.name) for f in reads.schema.fields[:-1]], F.timestamp_seconds(F.lit(8 * 10 ** 9)).alias("at"))
+    end.write.mode("append").parquet(folder)
+    stream = s.readStream.schema(reads.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    found = streams.rows_of_stream(st.stream_merge_captions(stream, idle="1000 days", delay="100 days", votes=3, flicker=True), "captions")
+    return found.select("video_id", ms("start_s").alias("start_ms"), ms("end_s").alias("end_ms"), "text")
+
+
+register("stream_merge_captions_smoothed", _smoothed_stream,
+         sql(NOISY + STABLE + FLICKER + FOLD.format(reads="calm") + f" SELECT video_id, {m('start_s')} AS start_ms, {m('end_s')} AS end_ms, text FROM o WHERE end_s - start_s >= 0.2::DOUBLE", "v_cues", "v_noisy", recursive=True))
+
+
 def _streamed_issues(s, d):
     """Timing issues of documents as plain text files that land in a stream."""
     files = _stream(s, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("doc_id"), F.col("text").alias("value"))

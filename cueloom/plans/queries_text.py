@@ -8,7 +8,7 @@ from ..functions import fuzzy, geometry as geo, text as x, timecode as tc
 from ..operators import audit, joins
 from ..sources import decoding, sinks, subtitles
 from ..streaming import run as streams
-from .registry import MS, cues_out, ms, register, sql
+from .registry import MS, cues_out, lcs, ms, register, sql
 from .relations import table, v_configs, v_cues, v_lines
 
 
@@ -84,8 +84,10 @@ LCS = """WITH q AS (SELECT p_partkey, p_name AS a, reverse(left(p_type, 3)) || l
  r AS (SELECT p_partkey, a, b, 2 * n / (length(a) + length(b)) AS r FROM l)"""
 register("text_ratio", lambda s, d: _pairs(s, d).select("p_partkey", F.round(fuzzy.text_ratio(F.col("a"), F.col("b")), 6).alias("r")), LCS + " SELECT p_partkey, round(r, 6) AS r FROM r")
 register("similar", lambda s, d: _pairs(s, d).select("p_partkey", fuzzy.similar(F.col("a"), F.col("b"), 0.5).alias("same")), LCS + " SELECT p_partkey, a = b OR r >= 0.5 AS same FROM r")
-register("same_caption_version", lambda s, d: table(s, d, "part").select("p_partkey", fuzzy.same_caption_version(F.col("p_name"), F.substring("p_name", 3, 100), 0.99).alias("same")),
-         "SELECT p_partkey, length(replace(p_name[3:], ' ', '')) >= 3 AND 2 * length(replace(p_name[3:], ' ', '')) >= length(replace(p_name, ' ', '')) AS same FROM part")
+register("same_caption_version", lambda s, d: table(s, d, "part").select("p_partkey", fuzzy.same_caption_version(F.col("p_name"), F.when(F.col("p_partkey") % 3 == 0, F.substring("p_name", 3, 100)).otherwise(F.concat(F.lit("x"), F.substring_index("p_name", " ", 1 ), F.lit(" "), F.substring("p_name", 4, 100))), 0.8).alias("same")),
+         "WITH p AS (SELECT p_partkey, p_name AS a, CASE WHEN p_partkey % 3 = 0 THEN p_name[3:] ELSE 'x' || split_part(p_name, ' ', 1) || ' ' || p_name[4:] END AS b FROM part), q AS (SELECT DISTINCT a, b FROM p), " + lcs("q") + """,
+ s AS (SELECT p_partkey, a, b, replace(a, ' ', '') AS x, replace(b, ' ', '') AS y FROM p) SELECT p_partkey, a = b OR r >= 0.8::DOUBLE
+ OR (least(length(x), length(y)) >= 3 AND 2 * least(length(x), length(y)) >= greatest(length(x), length(y)) AND CASE WHEN length(x) <= length(y) THEN contains(y, x) ELSE contains(x, y) END) AS same FROM s JOIN ratios USING (a, b)""")
 register("better_read", lambda s, d: v_cues(s, d).select("doc_id", "idx", fuzzy.better_read(F.col("text"), F.col("value") / 500, F.lit("click"), F.lit(0.1)).alias("better")),
          sql("SELECT doc_id, idx, CASE WHEN abs(value / 500 - 0.1::DOUBLE) > 0.015::DOUBLE THEN value / 500 > 0.1::DOUBLE ELSE length(text) > 5 END AS better FROM v_cues", "v_cues"))
 
