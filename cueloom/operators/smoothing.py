@@ -2,7 +2,55 @@
 
 from __future__ import annotations
 
-from ..operators.captions import unflickered, voted
+from functools import lru_cache
+
+from ..functions.fuzzy import ratio
+
+#: Characters from which on a read is no mere speck.
+SPECK = 12
+
+
+@lru_cache(100_000)
+def pair_ratio(a: str, b: str) -> float:
+    return ratio(a, b)
+
+
+def alike(a: str, b: str, threshold: float) -> bool:
+    if a == b:
+        return True
+    if not a or not b or 2 * min(len(a), len(b)) < threshold * (len(a) + len(b)):
+        return False
+    return pair_ratio(a, b) >= threshold
+
+
+def replaces(new: tuple[str, float], old: tuple[str, float]) -> bool:
+    if abs(new[1] - old[1]) > 0.015:
+        return new[1] > old[1]
+    return len(new[0]) > len(old[0])
+
+
+def voted(own: tuple[str, float], near: list[tuple[str, float]], need: int, threshold: float) -> tuple[str, float]:
+    """A read (text, score), or the best of the largest group of alike ones among it and those around it, if that has enough members."""
+    said = [x for x in near if x[0]]
+    groups = [[x for x in said if alike(x[0], c[0], threshold)] for c in said] if own[0] else []
+    group = max(groups, key=lambda g: (len(g), sum(x[1] for x in g)), default=[])
+    if len(group) < need:
+        return own
+    best = group[0]
+    for x in group[1:]:
+        if replaces(x, best):
+            best = x
+    return best
+
+
+def unflickered(before: tuple[str, float] | None, read: tuple[str, float], after: tuple[str, float] | None, threshold: float) -> tuple[str, float]:
+    """What ``drop_flicker`` makes of one read (text, score) between two others; null for a neighbour that isn't there."""
+    text = read[0]
+    if before is None or after is None or not text or alike(text, before[0], threshold) or alike(text, after[0], threshold):
+        return read
+    if before[0] and after[0] and alike(before[0], after[0], threshold):
+        return before if replaces(before, after) else after
+    return ("", 0.0) if len(text) < SPECK and 2 * len(text) < max(len(before[0]), len(after[0])) else read
 
 
 class Smoothing:

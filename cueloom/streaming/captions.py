@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.captions import OnScreen
+from ..operators.smoothing import Smoothing
 from ..operators.timing import check_timing
 from ..sources.subtitles import read_subtitles
-from .smoothing import Smoothing
 
 _OUT = "video_id long, start_s double, end_s double, text string"
 _COLUMNS = ["video_id", "start_s", "end_s", "text"]

@@ -6,12 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from cueloom.operators.captions import merge_captions
+from cueloom.operators.smoothing import Smoothing
 from cueloom.operators.timing import check_timing
 from cueloom.plans.relations import v_cues
 from cueloom.sources import sinks, subtitles
 from cueloom.streaming import run
 from cueloom.streaming.captions import stream_merge_captions, stream_subtitle_qc
-from cueloom.streaming.smoothing import Smoothing
 
 READS = "video_id long, frame_idx long, stamp_s double, text string, score double, at timestamp"
 
