@@ -26,11 +26,17 @@ KEPT_WORDS = 250_000
 
 #: What a character may stand for besides itself.
 STANDS_FOR = {"0": "o", "1": "il", "!": "il", "|": "il", "3": "e", "4": "a", "@": "a", "5": "s", "$": "s", "7": "t", "+": "t", "8": "b", "9": "g"}
-SUBSTITUTION, DROPPED, UNCHANGED = 1.0, 0.5, 6.0
+#: Costs in nats beside the character model's: a letter for a sign that stands for it, a vowel or another letter for a star, a digit or
+#: sign that stays, a separator that goes, one that ends a word (a space, or another), and a letter that goes from a pair
+#: of the same, or goes from or stays in a longer row of them.
+SUBSTITUTION, VOWEL, CONSONANT, UNCHANGED, SEPARATOR, SPACE, STOP, OF_TWO, OF_MANY, MANY = 1.0, 1.0, 3.0, 4.0, 0.5, 1.5, 4.0, 2.0, 0.3, 1.0
+SEPARATORS = " .-_*"
 _SIGN = r"[^\W_]|[@$!|+]"
 _SPACED = re.compile(rf"(?<![^\W_])(?:{_SIGN})(?:[ .\-_*]{{1,3}}(?:{_SIGN})){{3,}}(?![^\W_])")
 _LETTER = re.compile(r"[^\W\d_]")
-_LEET = re.compile(r"[0134578@$!|+9]")
+_SIGNED = re.compile(r"[@$!|+]")
+_INSIDE = re.compile(r"[^\W\d_][\W_]*[0134578]+[\W_]*[^\W\d_]")
+_DIGIT = re.compile(r"[0134578]")
 _ODD = re.compile(r"([^\W\d_])\1\1|[^\W\d_][.\-_*]+[^\W\d_]")
 _DOUBLED = re.compile(r"([^\W\d_])\1")
 #: Characters that are one letter together.
@@ -60,55 +66,73 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def language_model(docs: DataFrame) -> np.ndarray:
-    """-log P(third | first two) of the characters of all texts, [28, 28, 28]; its size does not depend on the input."""
+    """-log P(third | first two) of the characters of all texts, less its mean, [28, 28, 28]; its size does not depend on the input.
+
+    As the mean is taken off, a reading costs no less for being shorter.
+    """
     counts = np.full(_KINDS ** 3, 0.5)
     sums = docs.select(F.col("text").cast("string")).mapInArrow(_trigrams, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
     for row in sums.collect():
         counts[row["code"]] += row["n"]
     cube = counts.reshape(_KINDS, _KINDS, _KINDS)
-    return -np.log(cube / cube.sum(axis=2, keepdims=True))
+    cost = -np.log(cube / cube.sum(axis=2, keepdims=True))
+    return cost - (cost * cube).sum() / cube.sum()
+
+
+def _choices(word: str) -> Iterator[list[tuple[str, float]]]:
+    """For each character of a word, the letters that it may be and their costs; "" is none, " " the end of a word."""
+    rows = [m.end() - m.start() for m in _ROW.finditer(word) for _ in range(m.end() - m.start())]
+    before = ""
+    for char, row in zip(word, rows):
+        again = char == before
+        if char == "*":
+            yield [*((letter, VOWEL if letter in "aeiou" else CONSONANT) for letter in "abcdefghijklmnopqrstuvwxyz"), ("", SEPARATOR)]
+        elif char in SEPARATORS:
+            yield [("", SEPARATOR), (" ", SPACE if char == " " else STOP)]
+        else:
+            found = [(char, 0.0)] if char.isalpha() else [*((letter, SUBSTITUTION) for letter in STANDS_FOR.get(char, "")), (char, UNCHANGED)]
+            if row > 2:
+                found = [(letter, extra + MANY * again) for letter, extra in found]
+            if again and (char.isalpha() or row > 2):
+                found.append(("", OF_MANY if row > 2 else OF_TWO))
+            yield found
+        before = char
+
 
+_ROW = re.compile(r"(.)\1*", re.S)
 
-def decode(word: str, cost: np.ndarray) -> str:
-    """The likeliest plain word behind an obfuscated one.
 
-    Each character is kept, replaced by a letter that it may stand for, or dropped as a separator or a repetition; a
-    state is the last two kinds of characters, so that a step looks at a few states whatever the word's length.
+def decode(word: str, cost) -> str:
+    """The likeliest plain words behind an obfuscated one, by Viterbi's algorithm; cost is the model's, as an array or nested lists.
+
+    Each character is kept, replaced by a letter that it may stand for, or dropped if it is a separator or a repetition;
+    a separator may also end a word. A state is the last two kinds of characters, so that a step looks at a bounded number
+    of states whatever the word's length. Of equal readings the first by state is taken.
     """
-    states: dict[tuple[int, int], tuple[float, list]] = {(0, 0): (0.0, None)}
-    before = ""
     word = word.lower()
     for several, letter in TOGETHER.items():
         word = word.replace(several, letter)
-    for char in word:
-        options = []
-        if char.isalpha():
-            options.append((char, 0.0))
-            if char == before:
-                options.append(("", DROPPED))
-        else:
-            options += [(letter, SUBSTITUTION) for letter in STANDS_FOR.get(char, "")]
-            options.append(("", DROPPED if char in " .-_*" else UNCHANGED / 2))
-            if char not in " .-_*":
-                options.append((char, UNCHANGED))
-        after: dict[tuple[int, int], tuple[float, list]] = {}
+    states: dict[tuple[int, int], tuple[float, object]] = {(0, 0): (0.0, None)}
+    for options in _choices(word):
+        after: dict[tuple[int, int], tuple[float, object]] = {}
         for (a, b), (so_far, path) in states.items():
+            costs = cost[a][b]
             for letter, extra in options:
-                if letter:
-                    kind = _kind(letter)
-                    now = (so_far + extra + float(cost[a, b, kind]), (path, letter))
-                    key = (b, kind)
+                kind = _kind(letter) if letter else -1
+                if not letter or letter == " " and b == 0:
+                    key, total, way = (a, b), so_far + extra, path
                 else:
-                    now, key = (so_far + extra, path), (a, b)
-                if key not in after or now[0] < after[key][0]:
-                    after[key] = now
-        states, before = after, char
-    _, path = min(((so_far + float(cost[a, b, 0]), path) for (a, b), (so_far, path) in states.items()), key=lambda x: x[0])
+                    # a digit or sign that stays has no cost of its own in the model
+                    key, total, way = (b, kind), so_far + extra + (costs[kind] if kind or letter == " " else 0.0), (path, letter)
+                if key not in after or total < after[key][0]:
+                    after[key] = (total, way)
+        states = after
+    _, path = min(((so_far + (cost[a][b][0] if b else 0.0), path) for (a, b), (so_far, path) in states.items()), key=lambda x: x[0])
     letters = []
     while path:
         path, letter = path
         letters.append(letter)
-    return "".join(reversed(letters))
+    return "".join(reversed(letters)).strip()
 
 
 def joined(text: str, cost: np.ndarray) -> str:
@@ -117,8 +141,14 @@ def joined(text: str, cost: np.ndarray) -> str:
 
 
 def is_odd(word: str) -> bool:
-    """Whether a word may be obfuscated: it has letters and a character that may stand for one, repetitions or separators."""
-    return bool(_LEET.search(word) and _LETTER.search(word) or _ODD.search(word))
+    """Whether a word may be obfuscated: it has letters and a sign or digit that may stand for one, repetitions or separators.
+
+    Digits count between letters, or beside three letters or more: 3rd, 10th and mp3 are what they are.
+    """
+    if _ODD.search(word) or _INSIDE.search(word):
+        return True
+    letters = len(_LETTER.findall(word))
+    return bool(letters and _SIGNED.search(word) or letters > 2 and _DIGIT.search(word))
 
 
 def restore(text: str, cost: np.ndarray) -> str:
@@ -137,7 +167,7 @@ def readings(low: str, cost: np.ndarray) -> list[str]:
     """Traits of a word as written and, if it is odd or has a doubled letter, as decoded."""
     found = traits(low)
     if is_odd(low) or _DOUBLED.search(low):
-        found += [t for t in traits(decode(low, cost)) if t not in found]
+        found += [t for word in decode(low, cost).split() for t in traits(word) if t not in found]
     return found
 
 
@@ -146,7 +176,7 @@ class _Traits(dict):
 
     def __init__(self, cost: np.ndarray):
         super().__init__()
-        self.cost = cost
+        self.cost = cost.tolist()
 
     def __missing__(self, word: str) -> list[str]:
         found = readings(word.lower(), self.cost)
@@ -158,9 +188,10 @@ class _Traits(dict):
 def _counted(cost: np.ndarray):
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, counts = _Traits(cost), {}
+        known = table.cost
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text = joined(text, cost)
+                text = joined(text, known)
                 for trait in {t for w in set(text.split()) for t in table[w]}:
                     counts.setdefault(trait, [0, 0])[label] += 1
         some = [(t, c[0], c[1]) for t, c in counts.items()]
@@ -185,10 +216,10 @@ class _Weights(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model = model
+        self.model, self.cost = model, model.cost.tolist()
 
     def __missing__(self, word: str) -> float:
-        found = readings(word.lower(), self.model.cost)
+        found = readings(word.lower(), self.cost)
         weight = max((self.model.weights.get(t, 0.0) for t in found), default=0.0)
         if len(self) < KEPT_WORDS:
             self[word] = weight
@@ -197,7 +228,7 @@ class _Weights(dict):
 
 def evidence(text: str, table: _Weights) -> tuple[float, float]:
     """(sum of the strongest distinct words' log-odds, log of the number of words) of one text."""
-    text = joined(text, table.model.cost)
+    text = joined(text, table.cost)
     words = text.split()
     found = sorted(filter(None, map(table.__getitem__, set(words))), reverse=True)[:STRONGEST]
     return sum(found), math.log1p(len(words))

@@ -78,23 +78,56 @@ def test_top_k_of_clusters(spark):
     assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, candidates=25).collect()) == sorted(want)
 
 
-def test_viterbi_restores_words(spark):
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["the idiot is a total idiot and a loser"] * 50)], "doc_id long, text string")
-    cost = toxicity.language_model(docs)
-    assert toxicity.decode("1d10t", cost) == "idiot" and toxicity.decode("i.d.i.o.t", cost) == "idiot" and toxicity.decode("looooser", cost) == "loser"
-    assert toxicity.restore("an i d i o t and a l0s3r", cost) == "an idiot and a loser"
-
-
-def test_obfuscation_at_any_place_is_decoded(spark):
-    plain = "the idiot is a stupid clown and trash talk of scum at the good town hall will tell all"
-    cost = toxicity.language_model(spark.createDataFrame([(i, plain) for i in range(50)], "doc_id long, text string"))
-    for written, word in [("1diot", "idiot"), ("$tupid", "stupid"), ("7rash", "trash"), ("idi0+", "idiot"), ("clow|\\|", "clown"), ("stuupid", "stupid"), ("$cum", "scum")]:
-        assert word in toxicity.readings(written, cost), written
-    for written in ("i d 1 o t", "1 d 1 0 t", "i  d  i  o  t", "i--d--i--o--t", "i-d-i-0-t"):
-        assert toxicity.joined(f"an {written} here", cost) == "an idiot here", written
-    assert toxicity.joined("rows 1 2 3 4 5", cost) == "rows 1 2 3 4 5"
-    for word in ("good", "hall", "stop!", "town-hall"):
-        assert toxicity.traits(word)[0] in toxicity.readings(word, cost)
+@pytest.fixture(scope="module")
+def cost(spark):
+    """The model of a whole table's texts and of some thousand sentences with the words to restore."""
+    import random
+
+    rng = random.Random(1)
+    words = "idiot stupid asshole fuck shit ass bitch leet good hall scum trash clown loser".split()
+    plain = [(" ".join(rng.choice(words) for _ in range(8)),) for _ in range(3000)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").unionByName(spark.createDataFrame(plain, "text string"))
+    return toxicity.language_model(docs)
+
+
+OBFUSCATED = {"1diot": "idiot", "!diot": "idiot", "@sshole": "asshole", "id10t": "idiot", "f*ck": "fuck", "sh*t": "shit", "a$$": "ass", "b!tch": "bitch", "l33t": "leet", "$tup1d": "stupid", "looooser": "loser",
+              "i.d.i.o.t": "idiot", "s t u p i d i d i o t": "stupid idiot", "clow|\\|": "clown", "7rash": "trash", "i-d-i-0-t": "idiot", "an i  d  1 o t and a l0s3r": "an idiot and a loser", "$cum": "scum"}
+
+
+@pytest.mark.parametrize("written", sorted(OBFUSCATED))
+def test_viterbi_restores_words(cost, written):
+    assert toxicity.restore(written, cost) == OBFUSCATED[written]
+
+
+@pytest.mark.parametrize("word", ["good", "hall", "3rd", "10th", "mp3", "stop", "4k", "town", "rows 1 2 3 4 5"])
+def test_clean_words_stay(cost, word):
+    assert toxicity.restore(word, cost) == word and toxicity.traits(word)[:1] == [t for t in toxicity.readings(word, cost)[:1]]
+
+
+def test_viterbi_is_the_best_of_all_readings(cost):
+    """Every reading of short words is priced; none is cheaper than the decoded one."""
+    import itertools
+    import random
+
+    def price(letters, extras):
+        a = b = 0
+        total = sum(extras)
+        for letter in letters:
+            if not letter or letter == " " and b == 0:
+                continue
+            kind = toxicity._kind(letter)
+            total += cost[a, b, kind] if kind or letter == " " else 0.0
+            a, b = b, kind
+        return total + (cost[a, b, 0] if b else 0.0)
+
+    rng = random.Random(5)
+    words = ["1d10t", "a$$", "oo", "ooo", "f*k", "l33t", "a b c", "x.y", "3rd", "!!", "4", "*", "", "a--b"] + ["".join(rng.choice("aeist10!$*. -b") for _ in range(rng.randrange(1, 6))) for _ in range(120)]
+    for word in words:
+        every = [price(*zip(*way)) if way else price((), ()) for way in itertools.product(*toxicity._choices(word))]
+        found = toxicity.decode(word, cost)
+        ways = [("".join(x for x, _ in way), price(*zip(*way)) if way else price((), ())) for way in itertools.product(*toxicity._choices(word))]
+        mine = min(p for text, p in ways if " ".join(text.split(" ")).strip() == found or " ".join(text.split()) == found)
+        assert mine <= min(every) + 1e-9, (word, found)
 
 
 SF = "/root/testdata/sf0.01"
