@@ -167,11 +167,13 @@ def assign_sequences(pieces: DataFrame, window: int = WINDOW, rows_per_group: in
 
     The histogram has at most ``window`` rows, so the plan is made on the driver; what it sends back is bounded by
     the window too, never by the documents. Pieces of one length are told apart by their rank among that length:
-    ranked inside groups of (length, hash), which no frequent length can make large, plus the group's offset.
-    Pieces that are alike in doc_id and start are interchangeable. An empty table gives an empty result.
+    ranked inside groups of (length, hash), which no frequent length can make large, plus the group's offset. The hash is
+    of a number that each staged row has of its own, so that neither null ids nor repeated rows gather in a group, and a
+    task that runs again gives the same places. An empty table gives an empty result.
     """
     spark = pieces.sparkSession
-    pieces = stage(pieces, "pieces")
+    columns = pieces.columns
+    pieces = stage(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     slots, base, used = [], 0, dict.fromkeys(counts, 0)
@@ -184,17 +186,17 @@ def assign_sequences(pieces: DataFrame, window: int = WINDOW, rows_per_group: in
         base += times
     slot = spark.createDataFrame(slots, "slot_length long, lo long, hi long, each long, base long, first long")
     groups = max(1, math.ceil(total / rows_per_group))
-    keyed = pieces.withColumn("_g", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
+    keyed = pieces.withColumn("_g", F.pmod(F.xxhash64("_row"), F.lit(groups)))
     before = (keyed.groupBy("length", "_g").count()
               .withColumn("_before", F.sum("count").over(Window.partitionBy("length").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)))
               .select("length", "_g", F.coalesce("_before", F.lit(0)).alias("_before")))
-    ranked = (keyed.withColumn("_r", F.row_number().over(Window.partitionBy("length", "_g").orderBy("doc_id", "start")))
+    ranked = (keyed.withColumn("_r", F.row_number().over(Window.partitionBy("length", "_g").orderBy("_row")))
               .join(before, ["length", "_g"]).withColumn("_rank", F.col("_before") + F.col("_r") - 1))
     # at most a few rows for each of the window's lengths
     placed = ranked.join(F.broadcast(slot), (F.col("length") == F.col("slot_length")) & (F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi")))
     at = F.col("_rank") - F.col("lo")
     return placed.select(
-        *[F.col(c) for c in pieces.columns],
+        *[F.col(c) for c in columns],
         (F.col("base") + F.floor(at / F.col("each"))).cast("long").alias("sequence_id"),
         (F.col("first") + F.pmod(at, F.col("each")) * F.col("length")).cast("long").alias("offset"))
 

@@ -121,11 +121,11 @@ def vote(latent: np.ndarray, model: Model, neighbours: int = NEIGHBOURS) -> np.n
     return np.clip(out, 0.0, 1.0)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds quality, 0 to 1, to every row, in place of any such column; a null text counts as empty, other columns stay."""
-    docs = docs.drop("quality")
+def score(docs: DataFrame, model: Model, column: str = "quality") -> DataFrame:
+    """Adds a column of quality, 0 to 1, to every row, in place of any of that name; a null text counts as empty, other columns stay."""
+    docs = docs.drop(column)
     names = list(docs.columns)
-    out = docs.withColumn("quality", F.lit(0.0)).schema
+    out = docs.withColumn(column, F.lit(0.0)).schema
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -133,7 +133,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 batch = whole.slice(at, 1000)
                 x = _matrix(batch.column(batch.schema.get_field_index("text")).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(vote(_latent(x, model.idf, model.basis), model))], [*names, "quality"])
+                    [*batch.columns, pa.array(vote(_latent(x, model.idf, model.basis), model))], [*names, column])
 
     return docs.mapInArrow(mapped, out)
 

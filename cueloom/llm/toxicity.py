@@ -281,12 +281,12 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, s
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds toxicity, 0 to 1, to every row, in place of any such column; a null text counts as empty, other columns stay."""
-    docs = docs.drop("toxicity")
+def score(docs: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:
+    """Adds a column of toxicity, 0 to 1, to every row, in place of any of that name; a null text counts as empty, other columns stay."""
+    docs = docs.drop(column)
     bias, slope, length = model.curve
     names = list(docs.columns)
-    out = docs.withColumn("toxicity", F.lit(0.0)).schema
+    out = docs.withColumn(column, F.lit(0.0)).schema
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _Weights(model)
@@ -294,7 +294,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             found = np.array([evidence(t or "", table) for t in texts], np.float64).reshape(-1, 2)
             scores = 1 / (1 + np.exp(-np.clip(bias + slope * found[:, 0] + length * found[:, 1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*names, column])
 
     return docs.mapInArrow(mapped, out)
 

@@ -180,6 +180,36 @@ def test_pipeline(spark):
         tuple(r) for r in pieces.groupBy("doc_id").agg(F.sum("length").alias("n")).orderBy("doc_id").collect()]
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null ids, nulls in any column, empty and long texts, repeated rows and further columns that clash go through every stage; an empty table gives nothing."""
+    import corpus_pipeline as p
+
+    known = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").where("doc_id < 400")
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    odd = [(None, "a row without an id that is read all the same", None, None, None), (None, "a row without an id that is read all the same", None, None, None), (5000, None, None, None, None), (5001, "", "en", "s", 0),
+           (5002, "long words " * 30_000, "en", "s", 330_000), (5003, "the very same text in three rows of one id", "en", "s", 1), (5003, "the very same text in three rows of one id", "en", "s", 1), (5003, "and another one", "en", "s", 1)]
+    docs = known.unionByName(spark.createDataFrame(odd, kind))
+    for c in ("toxicity", "quality", "component_id", "_row", "label", "fingerprint", "part", "start", "length"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    folder = str(tmp_path / "sf")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels_of = spark.read.parquet(f"{SF}/labels.parquet").withColumn("label", F.lit("clash")).unionByName(spark.createDataFrame([(None, 1, 1, "x"), (3, None, None, None)], "doc_id long, quality int, toxic int, label string"), allowMissingColumns=True)
+    labels_of.write.parquet(f"{folder}/labels.parquet")
+    left = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in p.STAGES[:-1]:
+        before, left = left, stage(spark, left, folder).persist()
+        assert left.columns == docs.columns and 0 < left.count() <= before.count(), name
+    pieces = p.STAGES[-1][1](spark, left, folder).collect()
+    assert {r.doc_id for r in pieces} == {r.doc_id for r in left.collect()} and all(0 < r.length <= 2048 for r in pieces)
+    places = sorted((r.sequence_id, r.offset, r.length) for r in pieces)
+    assert all(b[1] == (a[1] + a[2] if a[0] == b[0] else 0) for a, b in zip(places, places[1:]))
+    assert left.where("doc_id is null").count() in (0, 2) and left.where("doc_id = 5003").count() <= 1
+    none = str(tmp_path / "none")
+    docs.limit(0).write.parquet(f"{none}/documents.parquet")
+    labels_of.limit(0).write.parquet(f"{none}/labels.parquet")
+    assert p.run(spark, none).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_with_sql(spark, name):
     con = duckdb.connect()
