@@ -7,18 +7,27 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from cueloom.llm import packing, quality, simhash, staging, toxicity
 
 
+def free(docs: DataFrame, name: str) -> str:
+    """A column name that the documents don't have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier doesn't reject; it learns from the labelled rows of the whole table."""
     known = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = toxicity.train(known, spark.read.parquet(f"{sf_dir}/labels.parquet"), corpus=docs)
-    return toxicity.score(docs, model).where(F.col("toxicity") < toxicity.THRESHOLD).select(docs.columns)
+    score = free(docs, "toxicity")
+    return toxicity.score(docs, model, score).where(F.col(score) < toxicity.THRESHOLD).select(docs.columns)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     known = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = quality.train(known, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).where(F.col("quality") >= quality.THRESHOLD).select(docs.columns)
+    score = free(docs, "quality")
+    return quality.score(docs, model, score).where(F.col(score) >= quality.THRESHOLD).select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +37,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     kept = simhash.simhash_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
     order = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    first = docs.join(kept, "doc_id", "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
+    row = free(docs, "row")
+    first = docs.join(kept, "doc_id", "left_semi").withColumn(row, F.row_number().over(order)).where(F.col(row) == 1).drop(row)
     return first.unionByName(docs.where("doc_id is null")).select(docs.columns)
 
 
