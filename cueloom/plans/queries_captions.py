@@ -9,6 +9,7 @@ from ..operators import captions as cp, joins as j, segments as sg
 from .registry import MS, cues_out, lcs, ms, register, sql
 from ..sources import sinks, subtitles as sub
 from ..streaming import captions as st, run as streams
+from .queries_text import RESEGMENT
 from .relations import table, v_boxes, v_cues, v_lines, v_noisy, v_reads
 
 
@@ -149,7 +150,7 @@ register("merge_short", lambda s, d: cues_out(sg.merge_short(v_cues(s, d).where(
  SELECT n.doc_id, n.k, CASE WHEN j THEN f.start_s ELSE n.start_s END, n.end_s, CASE WHEN j THEN trim(f.text || ' ' || n.text) ELSE n.text END, CASE WHEN j THEN f.translation ELSE n.translation END, CASE WHEN j THEN f.speaker ELSE n.speaker END, CASE WHEN j THEN f.idx ELSE f.idx + 1 END
  FROM f JOIN n ON n.doc_id = f.doc_id AND n.k = f.k + 1, LATERAL (SELECT n.dur < 1.5 AND greatest(0, f.end_s - f.start_s) + n.dur <= 12 AND length(f.text) + length(n.text) + 1 <= 84 AND n.start_s - f.end_s < 0.4::DOUBLE AS j)),
  x AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, idx ORDER BY k DESC) = 1) SELECT {CUES} FROM x""".join(["WITH ", ""]), "v_cues", recursive=True))
-register("resegment", lambda s, d: cues_out(sg.resegment(v_lines(s, d))))
+register("resegment", lambda s, d: cues_out(sg.resegment(v_lines(s, d))), sql(RESEGMENT, "v_lines", recursive=True))
 
 
 def _stream(s, d, name):

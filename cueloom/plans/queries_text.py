@@ -46,9 +46,49 @@ register("split_text", lambda s, d: v_lines(s, d).select("doc_id", "idx", x.spli
  p AS (SELECT *, list_filter(range(1, n), lambda i: substring(text, i + 1, 1) = ' ') AS sp FROM q), c AS (SELECT *, list_max(list_filter(sp, lambda i: i < g)) AS a, list_min(list_filter(sp, lambda i: i >= g)) AS b FROM p),
  z AS (SELECT *, CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a WHEN g - a <= b - g THEN a ELSE b END AS cut FROM c)
  SELECT doc_id, idx, CASE WHEN cut IS NULL THEN text ELSE trim(text[1:cut]) END AS left, CASE WHEN cut IS NULL THEN '' ELSE trim(text[cut + 1:]) END AS right FROM z""", "v_lines"))
-# greedy packing over lines of thousands of words is too slow in a recursive CTE; tests hold these against brute force
-register("split_by_length", lambda s, d: v_lines(s, d).select("doc_id", "idx", F.array_join(x.split_by_length(F.col("text"), 60), "|").alias("parts")))
-register("wrap_lines", lambda s, d: v_lines(s, d).select("doc_id", "idx", x.wrap_lines(x.collapse_ws(F.col("text")), 42, 3, "truncate").alias("wrapped"), x.wrap_lines(x.collapse_ws(F.col("text")), 42, 3).alias("kept")))
+_SPACES = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def greedy(name: str, source: str, keys: str, limit: int) -> str:
+    """Relations {name}_f and {name} (keys, k, part): the texts t of a source (keys, t, u) cut greedily, a part a step; u: 'words', 'clauses' or 'slices'."""
+    head = f"substring(rest, 1, {limit + 1})"
+    marked = f"length(regexp_extract(substring(rest, 1, {limit}), '^.*[{x._CLAUSE_END}]'))"
+    word = f"length({head}) - length(regexp_extract({head}, '[^ ]*$')) - 1"
+    size = f"""CASE WHEN length(rest) <= {limit} THEN length(rest) WHEN u = 'slices' THEN {limit} WHEN u = 'clauses' THEN CASE WHEN {marked} > 0 THEN {marked} ELSE {limit} END
+ WHEN {word} > 0 THEN {word} WHEN strpos(rest, ' ') > 0 THEN strpos(rest, ' ') - 1 ELSE length(rest) END"""
+    return f"""{name}_f AS (SELECT {keys}, u, 0 AS k, t AS rest, NULL::VARCHAR AS part FROM {source}
+ UNION ALL SELECT {keys}, u, k + 1, CASE WHEN u = 'words' THEN ltrim(substring(rest, n + 1), ' ') ELSE substring(rest, n + 1) END, substring(rest, 1, n) FROM (SELECT *, {size} AS n FROM {name}_f WHERE rest <> '')),
+ {name} AS MATERIALIZED (SELECT {keys}, k, part FROM {name}_f WHERE k > 0)"""
+
+
+LINES = f"WITH c AS MATERIALIZED (SELECT doc_id, idx, trim(regexp_replace(text, '{_SPACES}', ' ', 'g'), ' ') AS t, NOT contains(text, ' ') AS whole FROM v_lines)"
+
+
+def wrapped(text: str, lines: str, chars: int, most: int, keep: bool) -> str:
+    more = f" || CASE WHEN len({lines}) > {most} THEN CASE WHEN contains({text}, ' ') THEN ' ' || array_to_string({lines}[{most + 1}:], ' ') ELSE array_to_string({lines}[{most + 1}:], '') END ELSE '' END" if keep else ""
+    return f"CASE WHEN length({text}) <= {chars} THEN {text} ELSE array_to_string({lines}[1:{most}], chr(10)){more} END"
+
+
+register("split_by_length", lambda s, d: v_lines(s, d).select("doc_id", "idx", F.array_join(x.split_by_length(F.col("text"), 60), "|").alias("parts")),
+         sql(LINES + ", src AS (SELECT doc_id, idx, t, CASE WHEN whole AND length(t) > 60 THEN 'clauses' ELSE 'words' END AS u FROM c), " + greedy("p", "src", "doc_id, idx", 60) +
+             " SELECT doc_id, idx, string_agg(part, '|' ORDER BY k) AS parts FROM p GROUP BY ALL", "v_lines", recursive=True))
+register("wrap_lines", lambda s, d: v_lines(s, d).select("doc_id", "idx", x.wrap_lines(x.collapse_ws(F.col("text")), 42, 3, "truncate").alias("wrapped"), x.wrap_lines(x.collapse_ws(F.col("text")), 42, 3).alias("kept")),
+         sql(LINES + ", src AS (SELECT doc_id, idx, t, CASE WHEN contains(t, ' ') THEN 'words' ELSE 'slices' END AS u FROM c), " + greedy("p", "src", "doc_id, idx", 42) +
+             ", l AS (SELECT doc_id, idx, list(part ORDER BY k) AS ls FROM p GROUP BY ALL) SELECT doc_id, idx, " + wrapped("t", "ls", 42, 3, False) + " AS wrapped, " + wrapped("t", "ls", 42, 3, True) + " AS kept FROM c JOIN l USING (doc_id, idx)", "v_lines", recursive=True))
+#: Long lines in parts of 84, each wrapped at 42; a part's time is its share of the characters; short ones are joined to the one before.
+RESEGMENT = (LINES + ", src AS (SELECT doc_id, idx, t, CASE WHEN whole AND length(t) > 84 THEN 'clauses' ELSE 'words' END AS u FROM c WHERE length(t) > 84), " + greedy("long", "src", "doc_id, idx", 84) +
+             """, z AS (SELECT doc_id, idx, sum(length(part)) AS chars, max(k) AS n FROM long GROUP BY ALL),
+ pl AS (SELECT doc_id, idx, 0 AS k, idx * 3.0::DOUBLE AS at_s, NULL::DOUBLE AS s, NULL::DOUBLE AS e, NULL::VARCHAR AS t FROM z WHERE n > 1
+ UNION ALL SELECT long.doc_id, long.idx, long.k, y.e, pl.at_s, greatest(pl.at_s + 0.05::DOUBLE, y.e), long.part FROM pl JOIN long ON long.doc_id = pl.doc_id AND long.idx = pl.idx AND long.k = pl.k + 1 JOIN z ON z.doc_id = long.doc_id AND z.idx = long.idx,
+ LATERAL (SELECT least((long.idx + 1) * 3.0::DOUBLE, pl.at_s + ((long.idx + 1) * 3.0::DOUBLE - long.idx * 3.0::DOUBLE) * (length(long.part) / z.chars)) AS e) y),
+ parts AS MATERIALIZED (SELECT doc_id, idx, k, s, e, t FROM pl WHERE k > 0 UNION ALL SELECT doc_id, idx, 0, idx * 3.0::DOUBLE, (idx + 1) * 3.0::DOUBLE, t FROM c WHERE t <> '' AND (doc_id, idx) NOT IN (SELECT (doc_id, idx) FROM z WHERE n > 1)),
+ wide AS (SELECT doc_id, idx, k AS at_k, t, CASE WHEN contains(t, ' ') THEN 'words' ELSE 'slices' END AS u FROM parts WHERE length(t) > 42), """ + greedy("w", "wide", "doc_id, idx, at_k", 42) +
+             ", l AS (SELECT doc_id, idx, at_k, list(part ORDER BY k) AS ls FROM w GROUP BY ALL), done AS (SELECT parts.doc_id, parts.idx, k, s, e, " + wrapped("t", "ls", 42, 2, True) + """ AS text FROM parts LEFT JOIN l ON l.doc_id = parts.doc_id AND l.idx = parts.idx AND l.at_k = parts.k),
+ n AS MATERIALIZED (SELECT doc_id, s AS start_s, e AS end_s, text, row_number() OVER (PARTITION BY doc_id ORDER BY idx, k) AS k, greatest(0, e - s) AS dur FROM done),
+ f AS (SELECT doc_id, k, start_s, end_s, text, 0::BIGINT AS idx FROM n WHERE k = 1 UNION ALL
+ SELECT n.doc_id, n.k, CASE WHEN j THEN f.start_s ELSE n.start_s END, n.end_s, CASE WHEN j THEN trim(f.text || ' ' || n.text) ELSE n.text END, CASE WHEN j THEN f.idx ELSE f.idx + 1 END
+ FROM f JOIN n ON n.doc_id = f.doc_id AND n.k = f.k + 1, LATERAL (SELECT n.dur < 0.6::DOUBLE AND greatest(0, f.end_s - f.start_s) + n.dur <= 7 AND length(f.text) + length(n.text) + 1 <= 84 AND n.start_s - f.end_s < 0.4::DOUBLE AS j)),
+ o AS (SELECT *, '' AS translation, '' AS speaker FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, idx ORDER BY k DESC) = 1) SELECT {CUES} FROM o""")
 register("translation_key", lambda s, d: v_lines(s, d).select("doc_id", "idx", x.translation_key(F.lit("g"), F.lit("en"), F.lit("vi"), F.col("text")).alias("key")), sql(L.format("sha256('g|en|vi|' || text) AS key"), "v_lines"))
 register("voice_key", lambda s, d: v_cues(s, d).select("doc_id", "idx", x.voice_key(F.lit("p"), F.lit(0), F.col("text"), F.col("speaker"), F.lit(100)).alias("key")),
          sql("""SELECT doc_id, idx, sha256('{"provider": "p", "rate": 0, "text": "' || text || '", "voice": "' || speaker || '", "volume": 100}') AS key FROM v_cues""", "v_cues"))
