@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
+from ..functions.text import CJK
 from ..operators import captions as cp, joins as j, segments as sg
 from .registry import MS, cues_out, lcs, ms, register, sql
 from ..sources import sinks, subtitles as sub
@@ -44,8 +45,27 @@ register("drop_overlaps", lambda s, d: _frame_boxes(s, d).select("frame", F.expl
          sql("""o AS (SELECT *, (x2 - x1) * (y2 - y1) AS area, row_number() OVER (PARTITION BY frame ORDER BY (x2 - x1) * (y2 - y1) DESC, box) AS k FROM v_boxes), l AS (SELECT frame, list({'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'box': box, 'area': area} ORDER BY k) AS bs FROM o GROUP BY frame),
  f AS (SELECT frame, bs, 2 AS k, [bs[1]] AS kept FROM l UNION ALL SELECT frame, bs, k + 1, CASE WHEN len(list_filter(kept, lambda g: greatest(0, least(g.x2, bs[k].x2) - greatest(g.x1, bs[k].x1)) * greatest(0, least(g.y2, bs[k].y2) - greatest(g.y1, bs[k].y1)) / bs[k].area >= 0.7::DOUBLE)) > 0 THEN kept ELSE list_append(kept, bs[k]) END FROM f WHERE k <= len(bs))
  SELECT frame, unnest(kept).box AS box FROM f WHERE k = len(bs) + 1""".join(["WITH ", ""]), "v_boxes", recursive=True))
-register("reading_order", lambda s, d: _frame_boxes(s, d).select("frame", F.posexplode(cp.reading_order(F.col("boxes"))).alias("at", "b")).select("frame", F.col("at").cast("long").alias("at"), F.col("b.b.n").alias("box")))
-register("join_rows", lambda s, d: _frame_boxes(s, d).select("frame", cp.join_rows(F.col("boxes")).alias("r")).select("frame", "r.text", F.round("r.score", 6).alias("score")))
+def _said_boxes(s, d):
+    """Frames' boxes that say something in two scripts, some ending in a dash."""
+    n = F.col("box") % 4
+    said = F.when(n == 0, F.concat(F.lit("字幕"), "text")).when(n == 1, F.concat("text", F.lit(" -"))).when(n == 2, F.lower("text")).otherwise(F.col("text"))
+    return v_boxes(s, d).withColumn("text", said).groupBy("frame").agg(F.array_sort(F.collect_list(F.struct(F.col("box").alias("n"), "text", "score", "rect"))).alias("boxes"))
+
+
+READ = """WITH o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY y1, x1, box) AS k FROM v_boxes),
+ f AS (SELECT frame, 0::BIGINT AS k, []::STRUCT(y1 DOUBLE, y2 DOUBLE, n BIGINT)[] AS heads, NULL::STRUCT(y1 DOUBLE, y2 DOUBLE, n BIGINT) AS head, NULL::BIGINT AS box, NULL::DOUBLE AS x1 FROM (SELECT DISTINCT frame FROM o)
+ UNION ALL SELECT o.frame, o.k, CASE WHEN hit IS NULL THEN list_append(f.heads, {'y1': o.y1, 'y2': o.y2, 'n': o.box}) ELSE f.heads END, coalesce(f.heads[hit], {'y1': o.y1, 'y2': o.y2, 'n': o.box}), o.box, o.x1 FROM f JOIN o ON o.frame = f.frame AND o.k = f.k + 1,
+ LATERAL (SELECT list_position(list_transform(f.heads, lambda h: least(h.y2 - h.y1, o.y2 - o.y1) > 0 AND least(h.y2, o.y2) - greatest(h.y1, o.y1) > 0.5::DOUBLE * least(h.y2 - h.y1, o.y2 - o.y1)), true) AS hit)),
+ r AS MATERIALIZED (SELECT frame, box, head.y1 AS line, row_number() OVER (PARTITION BY frame ORDER BY head.y1, head.n, x1, box) AS k FROM f WHERE k > 0)"""
+register("reading_order", lambda s, d: _frame_boxes(s, d).select("frame", F.posexplode(cp.reading_order(F.col("boxes"))).alias("at", "b")).select("frame", F.col("at").cast("long").alias("place"), F.col("b.b.n").alias("box")),
+         sql(READ + ' SELECT frame, k - 1 AS place, box FROM r', "v_boxes", recursive=True))
+register("join_rows", lambda s, d: _said_boxes(s, d).select("frame", cp.join_rows(F.col("boxes")).alias("r")).select("frame", "r.text", F.round("r.score", 6).alias("score")),
+         sql(READ + f""", b AS MATERIALIZED (SELECT r.frame, r.k, r.line, v.x1, v.x2, v.score, CASE r.box % 4 WHEN 0 THEN '字幕' || text WHEN 1 THEN text || ' -' WHEN 2 THEN lower(text) ELSE text END AS said FROM r JOIN v_boxes v ON v.frame = r.frame AND v.box = r.box),
+ g AS (SELECT DISTINCT frame, 0::BIGINT AS k, '' AS text, -1e18::DOUBLE AS line, -1e18::DOUBLE AS edge FROM b
+ UNION ALL SELECT b.frame, b.k, kept || CASE WHEN g.line = b.line AND b.x1 < g.edge THEN substring(said, coalesce(list_max(list_filter(range(1, 13), lambda n: n <= length(kept) AND n <= length(said) AND lower(right(kept, n)) = lower(left(said, n)))), 0) + 1)
+ ELSE CASE WHEN kept = '' OR regexp_matches(kept, '[{CJK}]$') OR regexp_matches(said, '^[{CJK}]') OR regexp_matches(said, '^[,.;:!?%)\\]}}…]') THEN '' ELSE ' ' END || said END, b.line, b.x2
+ FROM g JOIN b ON b.frame = g.frame AND b.k = g.k + 1, LATERAL (SELECT CASE WHEN g.line = b.line AND regexp_matches(b.said, '^[{CJK}]') THEN regexp_replace(g.text, '[-—_]+$', '') ELSE g.text END AS kept)),
+ last AS (SELECT frame, text FROM g QUALIFY row_number() OVER (PARTITION BY frame ORDER BY k DESC) = 1) SELECT frame, text, round((SELECT avg(score) FROM v_boxes v WHERE v.frame = last.frame), 6) AS score FROM last""", "v_boxes", recursive=True))
 
 
 def _stills(s, d):
@@ -139,11 +159,26 @@ register("fuzzy_anti_join", lambda s, d: j.fuzzy_anti_join(v_noisy(s, d), v_nois
 
 
 def _fine(s, d):
-    samples = [F.struct((F.col("start_s") + k).alias("stamp_s"), (F.col("text") if k < 0.9 else F.lit("")).alias("text")) for k in (-0.3, 0.1, 0.5, 1.0)]
+    """Fine reads around each cue's bounds, some of them with an odd letter."""
+    said = F.when(F.col("event_id") % 2 == 0, F.concat("text", F.lit("s"))).when(F.col("event_id") % 7 == 0, "other").otherwise(F.col("text"))
+    samples = [F.struct((F.col(c) + k).alias("stamp_s"), t.alias("text")) for c, k, t in
+               (("start_s", -0.3, said), ("start_s", 0.1, F.col("text")), ("end_s", -0.45, said), ("end_s", -0.2, F.lit("")), ("end_s", -0.1, F.col("text")))]
     return v_cues(s, d, blanks=False).select("doc_id", F.explode(F.array(*samples)).alias("f")).select("doc_id", "f.*")
 
 
-register("refine_boundaries", lambda s, d: j.refine_boundaries(v_cues(s, d, blanks=False), _fine(s, d), 0.5, 0.99).select("doc_id", "idx", ms("start_s").alias("start_ms"), ms("end_s").alias("end_ms")))
+register("refine_boundaries", lambda s, d: j.refine_boundaries(v_cues(s, d, blanks=False), _fine(s, d), 0.5).select("doc_id", "idx", ms("start_s").alias("start_ms"), ms("end_s").alias("end_ms")),
+         sql("""WITH c AS MATERIALIZED (SELECT v_cues.doc_id, v_cues.idx, start_s, end_s, event_type AS text, event_id FROM v_cues JOIN events USING (event_id)),
+ g AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN text || 's' WHEN event_id % 7 = 0 THEN 'other' ELSE text END AS said FROM c),
+ fine AS (SELECT doc_id, unnest([{'t': start_s - 0.3::DOUBLE, 'x': said}, {'t': start_s + 0.1::DOUBLE, 'x': text}, {'t': end_s - 0.45::DOUBLE, 'x': said}, {'t': end_s - 0.2::DOUBLE, 'x': ''}, {'t': end_s - 0.1::DOUBLE, 'x': text}]) AS f FROM g),
+ q AS (SELECT DISTINCT f.x AS a, c.text AS b FROM fine JOIN c USING (doc_id) WHERE f.x <> ''), """ + lcs("q") + """,
+ w AS (SELECT c.doc_id, c.idx, f.t AS stamp, coalesce(r >= 0.8::DOUBLE, f.x = c.text) AS same, f.t BETWEEN greatest(0, start_s - 0.5::DOUBLE) AND start_s AND start_s > 0 AS early, f.t BETWEEN greatest(0, end_s - 0.5::DOUBLE) AND end_s AS late
+ FROM c JOIN fine USING (doc_id) LEFT JOIN ratios ON a = f.x AND b = c.text WHERE (f.t BETWEEN greatest(0, start_s - 0.5::DOUBLE) AND start_s AND start_s > 0) OR f.t BETWEEN greatest(0, end_s - 0.5::DOUBLE) AND end_s),
+ m AS (SELECT *, min(CASE WHEN late AND same THEN stamp END) OVER (PARTITION BY doc_id, idx) AS met FROM w),
+ b AS (SELECT doc_id, idx, min(stamp) FILTER (early AND same) AS appeared, min(stamp) FILTER (late AND NOT same AND stamp > met) AS gone FROM m GROUP BY ALL),
+ n AS MATERIALIZED (SELECT c.doc_id, c.idx, start_s, end_s, appeared, gone, row_number() OVER (PARTITION BY c.doc_id ORDER BY c.idx) AS k FROM c LEFT JOIN b USING (doc_id, idx)),
+ f AS (SELECT DISTINCT doc_id, 0::BIGINT AS k, NULL::BIGINT AS idx, 0.0::DOUBLE AS start_s, 0.0::DOUBLE AS last FROM n UNION ALL SELECT n.doc_id, n.k, n.idx, s, CASE WHEN n.gone > s + 0.05::DOUBLE THEN n.gone ELSE n.end_s END FROM f JOIN n ON n.doc_id = f.doc_id AND n.k = f.k + 1,
+ LATERAL (SELECT greatest(f.last, CASE WHEN n.appeared IS NULL THEN n.start_s ELSE least(n.appeared, n.end_s - 0.05::DOUBLE) END) AS s))
+ SELECT doc_id, idx, """ + f"{m('start_s')} AS start_ms, {m('last')} AS end_ms FROM f WHERE k > 0", "v_cues", recursive=True))
 register("merge_short", lambda s, d: cues_out(sg.merge_short(v_cues(s, d).where("text <> ''"), 1.5, 12.0, 84)),
          sql("""n AS (SELECT *, row_number() {ORDER} AS k, greatest(0, end_s - start_s) AS dur FROM v_cues WHERE text <> ''), c AS (SELECT doc_id, max(k) AS m FROM n GROUP BY doc_id),
  f AS (SELECT n.doc_id, 1::BIGINT AS k, start_s, end_s, text, translation, speaker, 0::BIGINT AS idx FROM n WHERE k = 1 UNION ALL
