@@ -34,6 +34,13 @@ class Generation:
     body: tuple
 
 
+@dataclass(frozen=True)
+class For:
+    """The turns of a conversation, one after another."""
+
+    body: tuple
+
+
 @dataclass(frozen=True)
 class Constant:
     value: object
@@ -66,8 +73,9 @@ class TemplateError(ValueError):
     """A template that does not follow the language."""
 
 
-#: The names that a template may use; nothing else can be reached from one.
+#: The names that a template of one turn may use, and those of a turn in a loop; nothing else can be reached from one.
 NAMES = ("role", "content", "first", "last", "previous_role")
+TURN_NAMES, LOOP_NAMES = ("role", "content"), ("first", "last", "previous_role")
 ESCAPE = "\u001b"
 
 
@@ -101,14 +109,15 @@ FILTERS: dict[str, Callable] = {"upper": str.upper, "lower": str.lower, "trim":
 # ---- parser
 
 _TAGS = re.compile(r"\{\{(.*?)\}\}|\{%(.*?)%\}|\{#.*?#\}", re.S)
-_TOKENS = re.compile(r"\s*(?:(?P<name>[A-Za-z_]\w*)|'(?P<single>(?:[^'\\]|\\.)*)'|\"(?P<double>(?:[^\"\\]|\\.)*)\"|(?P<mark>==|!=|[()+|]))")
+_TOKENS = re.compile(r"\s*(?:(?P<name>[A-Za-z_]\w*(?:\.\w+)?)|'(?P<single>(?:[^'\\]|\\.)*)'|\"(?P<double>(?:[^\"\\]|\\.)*)\"|(?P<mark>==|!=|[()+|]))")
 _ESCAPES = {"n": "\n", "t": "\t"}
 
 
 class _Expression:
-    """or < and < not < == != < + < | filter."""
+    """or < and < not < == != < + < | filter; ``names`` has the names that may be used and what each stands for."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, names: dict[str, str]):
+        self.names = names
         self.tokens: list[tuple[str, str]] = []
         at = 0
         source = source.strip()
@@ -184,8 +193,8 @@ class _Expression:
             return Constant(value)
         if kind == "name" and value in ("true", "false"):
             return Constant(value == "true")
-        if kind == "name" and value in NAMES:
-            return Name(value)
+        if kind == "name" and value in self.names:
+            return Name(self.names[value])
         if kind == "mark" and value == "(":
             node = self.either()
             if not self.take(")"):
@@ -195,7 +204,11 @@ class _Expression:
 
 
 def parse(source: str) -> tuple:
-    """The syntax tree of a template: text, {{ expression }}, {% if %} elif else endif, {% generation %} endgeneration."""
+    """The syntax tree of a template: text, {{ expression }}, {% if %} elif else endif, {% generation %} endgeneration, {% for %} endfor.
+
+    A template either is that of one turn, or has one loop over ``turns`` at its outermost level, inside which
+    turn.role, turn.content, loop.first, loop.last and loop.previous_role are known (turn being the loop's own name).
+    """
     parts: list[tuple[str, str]] = []
     at = 0
     for m in _TAGS.finditer(source):
@@ -209,9 +222,12 @@ def parse(source: str) -> tuple:
     if at < len(source):
         parts.append(("text", source[at:]))
     place = 0
+    looped = any(kind == "tag" and value.split(" ")[0] == "for" for kind, value in parts)
+    names = {} if looped else {name: name for name in NAMES}
+    depth = loops = 0
 
     def body(*ends: str) -> tuple[tuple, str]:
-        nonlocal place
+        nonlocal place, names, depth, loops
         nodes = []
         while place < len(parts):
             kind, value = parts[place]
@@ -219,24 +235,33 @@ def parse(source: str) -> tuple:
             if kind == "text":
                 nodes.append(Text(value))
             elif kind == "show":
-                nodes.append(Show(_Expression(value).whole()))
+                nodes.append(Show(_Expression(value, names).whole()))
             else:
                 word, _, rest = value.partition(" ")
                 if word in ends:
                     return tuple(nodes), value
+                depth += 1
                 if word == "if":
-                    branches, test = [], _Expression(rest).whole()
+                    branches, test = [], _Expression(rest, names).whole()
                     while True:
                         inner, end = body("elif", "else", "endif")
                         branches.append((test, inner))
                         if end == "endif":
                             break
-                        test = _Expression(end[5:]).whole() if end.startswith("elif") else None
+                        test = _Expression(end[5:], names).whole() if end.startswith("elif") else None
                     nodes.append(If(tuple(branches)))
                 elif word == "generation":
                     nodes.append(Generation(body("endgeneration")[0]))
+                elif word == "for" and (head := re.fullmatch(r"([A-Za-z_]\w*)\s+in\s+turns", rest.strip())) and head[1] != "loop":
+                    loops += 1
+                    if depth > 1 or loops > 1:
+                        raise TemplateError("a template has one loop, outside of anything else")
+                    names = {f"{head[1]}.{n}": n for n in TURN_NAMES} | {f"loop.{n}": n for n in LOOP_NAMES}
+                    nodes.append(For(body("endfor")[0]))
+                    names = {}
                 else:
                     raise TemplateError(f"unknown tag {value!r}")
+                depth -= 1
         if ends:
             raise TemplateError(f"missing {ends[-1]}")
         return tuple(nodes), ""
@@ -276,8 +301,8 @@ def fold(nodes: tuple, controls: tuple[str, ...] = ()) -> tuple:
         if isinstance(node, Show):
             value = _fold_expression(node.value, controls)
             add(Text(_shown(value.value)) if isinstance(value, Constant) else Show(value))
-        elif isinstance(node, Generation):
-            add(Generation(fold(node.body, controls)))
+        elif isinstance(node, (Generation, For)):
+            add(type(node)(fold(node.body, controls)))
         elif isinstance(node, If):
             open_ = []
             for test, body in node.branches:
@@ -363,12 +388,25 @@ def _writer(nodes: tuple, controls: tuple[str, ...]) -> Writer:
 
 
 def compile_template(source: str, controls: tuple[str, ...]) -> Callable[[dict], list[tuple[str, bool]]]:
-    """Parses, folds and compiles a template that renders one turn; controls are what ``escape`` breaks up in texts."""
-    write = _writer(fold(parse(source), controls), controls)
+    """Parses, folds and compiles a template; controls are what ``escape`` breaks up in texts.
+
+    The closure renders a turn at a time: with a loop, what stands before it comes with the first turn, and what stands
+    after it with the last one, so that a conversation's turns one after another are the whole rendered template.
+    """
+    tree = fold(parse(source), controls)
+    loop = next((i for i, node in enumerate(tree) if isinstance(node, For)), None)
+    if loop is None:
+        before, write, after = None, _writer(tree, controls), None
+    else:
+        before, write, after = (_writer(nodes, controls) for nodes in (tree[:loop], tree[loop].body, tree[loop + 1:]))
 
     def render(scope: dict) -> list[tuple[str, bool]]:
         out: list = []
+        if before and scope["first"]:
+            before(scope, out, False)
         write(scope, out, False)
+        if after and scope["last"]:
+            after(scope, out, False)
         return [(text, mask) for text, mask in out if text]
 
     return render
@@ -377,9 +415,9 @@ def compile_template(source: str, controls: tuple[str, ...]) -> Callable[[dict],
 # ---- the shipped template and its reader
 
 CONTROLS = ("<|turn|>", "<|says|>", "<|end|>", "</s>", "<s>", "[INST]", "[/INST]")
-TEMPLATE = ("{% if first %}<s>{% endif %}<|turn|>{{ role | escape }}<|says|>"
-            "{% if role == 'assistant' %}{% generation %}{{ content | escape }}{% endgeneration %}{% else %}{{ content | escape }}{% endif %}"
-            "<|end|>{% if last %}</s>{% endif %}")
+TEMPLATE = ("<s>{% for turn in turns %}<|turn|>{{ turn.role | escape }}<|says|>"
+            "{% if turn.role == 'assistant' %}{% generation %}{{ turn.content | escape }}{% endgeneration %}{% else %}{{ turn.content | escape }}{% endif %}"
+            "<|end|>{% endfor %}</s>")
 _READ = re.compile(r"(?:<s>)?<\|turn\|>(.*?)<\|says\|>(.*?)<\|end\|>(?:</s>)?", re.S)
 
 

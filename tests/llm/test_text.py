@@ -205,6 +205,20 @@ def test_template_language():
             chat.compile_template(bad, ())
 
 
+def test_template_with_a_loop():
+    """What stands before and after the loop comes once; the turns one after another are the whole template."""
+    render = chat.compile_template("A{{ 'b' | upper }}{% for t in turns %}{% if loop.first %}({% endif %}{{ t.role }}:{% generation %}{{ t.content }}{% endgeneration %}{% if loop.previous_role == t.role %}!{% endif %}{% if loop.last %}){% else %},{% endif %}{% endfor %}Z", ())
+    turns = [("user", "x"), ("user", "y"), ("assistant", "z")]
+    parts = [render({"role": r, "content": c, "first": i == 0, "last": i == 2, "previous_role": turns[i - 1][0] if i else None}) for i, (r, c) in enumerate(turns)]
+    assert "".join(t for p in parts for t, _ in p) == "AB(user:x,user:y!,assistant:z)Z" and [t for p in parts for t, m in p if m] == ["x", "y", "z"]
+    assert render({"role": "user", "content": "q", "first": True, "last": True, "previous_role": None}) == [("AB", False), ("(", False), ("user", False), (":", False), ("q", True), (")", False), ("Z", False)]
+    assert chat.fold(chat.parse("a{{ 'b' }}{% for t in turns %}{{ 'c' }}d{% endfor %}")) == (chat.Text("ab"), chat.For((chat.Text("cd"),)))
+    for bad in ("{% for t in turns %}{{ role }}{% endfor %}", "{% for t in turns %}{% endfor %}{{ t.role }}", "{% for t in turns %}", "{% for t in rows %}{% endfor %}", "{% for loop in turns %}{% endfor %}",
+                "{% if true %}{% for t in turns %}{% endfor %}{% endif %}", "{% for t in turns %}{% endfor %}{% for t in turns %}{% endfor %}", "{% for t in turns %}{{ t.__class__ }}{% endfor %}", "{{ first }}{% for t in turns %}{% endfor %}", "{% endfor %}"):
+        with pytest.raises(chat.TemplateError):
+            chat.compile_template(bad, ())
+
+
 def test_escapes_are_reversible():
     rng = random.Random(0)
     bits = ["<", "|", "s", ">", *chat.CONTROLS, chat.ESCAPE, "-", "a"]
