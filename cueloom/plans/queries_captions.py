@@ -11,7 +11,7 @@ from .registry import MS, cues_out, lcs, ms, register, sql
 from ..sources import sinks, subtitles as sub
 from ..streaming import captions as st, run as streams
 from .queries_text import RESEGMENT
-from .relations import table, v_boxes, v_cues, v_lines, v_noisy, v_reads
+from .relations import SAID, SAID_SQL, table, v_boxes, v_cues, v_lines, v_noisy, v_reads
 
 
 def m(e: str) -> str:
@@ -41,10 +41,11 @@ def _box_pairs(s, d):
 PAIR = "WITH p AS (SELECT x.frame, x.box AS a, y.box AS b, greatest(0, least(x.x2, y.x2) - greatest(x.x1, y.x1)) AS ox, least(x.y2, y.y2) - greatest(x.y1, y.y1) AS oy, (x.x2 - x.x1) * (x.y2 - x.y1) AS area, least(x.y2 - x.y1, y.y2 - y.y1) AS low FROM v_boxes x JOIN v_boxes y ON x.frame = y.frame AND x.box < y.box)"
 register("covered", lambda s, d: _box_pairs(s, d).select("frame", "a", "b", F.round(geo.covered(F.col("ra"), F.col("rb")), 6).alias("share")), sql(PAIR + " SELECT frame, a, b, round(ox * greatest(0, oy) / area, 6) AS share FROM p", "v_boxes"))
 register("same_line", lambda s, d: _box_pairs(s, d).select("frame", "a", "b", geo.same_line(F.col("ra"), F.col("rb")).alias("same"), geo.overlap_x(F.col("ra"), F.col("rb")).alias("overlap")), sql(PAIR + " SELECT frame, a, b, low > 0 AND oy > 0.5 * low AS same, ox AS overlap FROM p", "v_boxes"))
-register("drop_overlaps", lambda s, d: _frame_boxes(s, d).select("frame", F.explode(cp.drop_overlaps(F.col("boxes"))).alias("b")).select("frame", F.col("b.n").alias("box")),
-         sql("""o AS (SELECT *, (x2 - x1) * (y2 - y1) AS area, row_number() OVER (PARTITION BY frame ORDER BY (x2 - x1) * (y2 - y1) DESC, box) AS k FROM v_boxes), l AS (SELECT frame, list({'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'box': box, 'area': area} ORDER BY k) AS bs FROM o GROUP BY frame),
+APART = """WITH o AS (SELECT *, (x2 - x1) * (y2 - y1) AS area, row_number() OVER (PARTITION BY frame ORDER BY (x2 - x1) * (y2 - y1) DESC, box) AS k FROM v_boxes), l AS (SELECT frame, list({'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'box': box, 'area': area} ORDER BY k) AS bs FROM o GROUP BY frame),
  f AS (SELECT frame, bs, 2 AS k, [bs[1]] AS kept FROM l UNION ALL SELECT frame, bs, k + 1, CASE WHEN len(list_filter(kept, lambda g: greatest(0, least(g.x2, bs[k].x2) - greatest(g.x1, bs[k].x1)) * greatest(0, least(g.y2, bs[k].y2) - greatest(g.y1, bs[k].y1)) / bs[k].area >= 0.7::DOUBLE)) > 0 THEN kept ELSE list_append(kept, bs[k]) END FROM f WHERE k <= len(bs))
- SELECT frame, unnest(kept).box AS box FROM f WHERE k = len(bs) + 1""".join(["WITH ", ""]), "v_boxes", recursive=True))
+ SELECT frame, unnest(kept).box AS box FROM f WHERE k = len(bs) + 1"""
+register("drop_overlaps", lambda s, d: _frame_boxes(s, d).select("frame", F.explode(cp.drop_overlaps(F.col("boxes"))).alias("b")).select("frame", F.col("b.n").alias("box")),
+         sql(APART, "v_boxes", recursive=True))
 def _said_boxes(s, d):
     """Frames' boxes that say something in two scripts, some ending in a dash."""
     n = F.col("box") % 4
@@ -59,13 +60,14 @@ READ = """WITH o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY fram
  r AS MATERIALIZED (SELECT frame, box, head.y1 AS line, row_number() OVER (PARTITION BY frame ORDER BY head.y1, head.n, x1, box) AS k FROM f WHERE k > 0)"""
 register("reading_order", lambda s, d: _frame_boxes(s, d).select("frame", F.posexplode(cp.reading_order(F.col("boxes"))).alias("at", "b")).select("frame", F.col("at").cast("long").alias("place"), F.col("b.b.n").alias("box")),
          sql(READ + ' SELECT frame, k - 1 AS place, box FROM r', "v_boxes", recursive=True))
-register("join_rows", lambda s, d: _said_boxes(s, d).select("frame", cp.join_rows(F.col("boxes")).alias("r")).select("frame", "r.text", F.round("r.score", 6).alias("score")),
-         sql(READ + f""", b AS MATERIALIZED (SELECT r.frame, r.k, r.line, v.x1, v.x2, v.score, CASE r.box % 4 WHEN 0 THEN '字幕' || text WHEN 1 THEN text || ' -' WHEN 2 THEN lower(text) ELSE text END AS said FROM r JOIN v_boxes v ON v.frame = r.frame AND v.box = r.box),
+JOINED = f""", b AS MATERIALIZED (SELECT r.frame, r.k, r.line, v.x1, v.x2, v.score, SAID_HERE AS said FROM r JOIN v_boxes v ON v.frame = r.frame AND v.box = r.box),
  g AS (SELECT DISTINCT frame, 0::BIGINT AS k, '' AS text, -1e18::DOUBLE AS line, -1e18::DOUBLE AS edge FROM b
  UNION ALL SELECT b.frame, b.k, kept || CASE WHEN g.line = b.line AND b.x1 < g.edge THEN substring(said, coalesce(list_max(list_filter(range(1, 13), lambda n: n <= length(kept) AND n <= length(said) AND lower(right(kept, n)) = lower(left(said, n)))), 0) + 1)
  ELSE CASE WHEN kept = '' OR regexp_matches(kept, '[{CJK}]$') OR regexp_matches(said, '^[{CJK}]') OR regexp_matches(said, '^[,.;:!?%)\\]}}…]') THEN '' ELSE ' ' END || said END, b.line, b.x2
  FROM g JOIN b ON b.frame = g.frame AND b.k = g.k + 1, LATERAL (SELECT CASE WHEN g.line = b.line AND regexp_matches(b.said, '^[{CJK}]') THEN regexp_replace(g.text, '[-—_]+$', '') ELSE g.text END AS kept)),
- last AS (SELECT frame, text FROM g QUALIFY row_number() OVER (PARTITION BY frame ORDER BY k DESC) = 1) SELECT frame, text, round((SELECT avg(score) FROM v_boxes v WHERE v.frame = last.frame), 6) AS score FROM last""", "v_boxes", recursive=True))
+ last AS (SELECT frame, text FROM g QUALIFY row_number() OVER (PARTITION BY frame ORDER BY k DESC) = 1) SELECT frame, text, round((SELECT avg(score) FROM v_boxes v WHERE v.frame = last.frame), 6) AS score FROM last"""
+register("join_rows", lambda s, d: _said_boxes(s, d).select("frame", cp.join_rows(F.col("boxes")).alias("r")).select("frame", "r.text", F.round("r.score", 6).alias("score")),
+         sql(READ + JOINED.replace("SAID_HERE", "CASE r.box % 4 WHEN 0 THEN '字幕' || text WHEN 1 THEN text || ' -' WHEN 2 THEN lower(text) ELSE text END"), "v_boxes", recursive=True))
 
 
 def _stills(s, d):
@@ -149,10 +151,32 @@ register("merge_captions_exact", lambda s, d: cp.merge_captions_exact(v_reads(s,
 
 
 def _detections(s, d):
-    return v_boxes(s, d).select(F.floor(F.col("frame") / 200).cast("long").alias("video_id"), F.col("frame").alias("frame_idx"), (F.col("frame") / 15).alias("stamp_s"), F.col("box").alias("n"), "text", "score", "rect")
-
-
-register("captions_from_detections", lambda s, d: cp.captions_from_detections(_detections(s, d)).select("doc_id", "idx", ms("start_s").alias("start_ms"), "text"))
+    """Boxes of videos of 400 order numbers: a line of text with odd letters, a box inside it, now and then a second line, and boxes that are hardly sure."""
+    said = F.get(F.array(*map(F.lit, SAID)), (F.floor(F.col("frame") / 40) % len(SAID)).cast("int"))
+    at = F.col("frame") % 9 + 2
+    odd = F.concat(F.substring(said, F.lit(1), (at - 1).cast("int")), F.lit("x"), F.substring(said, (at + 1).cast("int"), F.lit(100)))
+    first = F.when((F.col("frame") % 3 == 0) & (said != ""), odd).otherwise(said)
+    rect = lambda *v: F.struct(*[F.lit(float(x)).alias(c) for x, c in zip(v, ("x1", "y1", "x2", "y2"))])
+    of = lambda *v: F.when(F.col("box") == 1, v[0]).when(F.col("box") == 2, v[1]).when((F.col("box") == 3) & (F.col("frame") % 40 < 12), v[2]).otherwise(v[3])
+    return v_boxes(s, d).select(F.floor(F.col("frame") / 400).cast("long").alias("video_id"), F.col("frame").alias("frame_idx"), (F.col("frame") / 15).alias("stamp_s"), F.col("box").alias("n"),
+                                of(first, F.lit("inner"), F.lit("and below"), F.col("text")).alias("text"), of(F.lit(0.95), F.lit(0.9), F.lit(0.8), F.lit(0.3)).alias("score"),
+                                of(rect(100, 50, 500, 90), rect(150, 55, 300, 85), rect(100, 200, 400, 240), rect(0, 0, 50, 30)).alias("rect"))
+
+
+DETECTED = f"""WITH said AS (SELECT frame, box, text, {SAID_SQL}[1 + (frame // 40) % {len(SAID)}] AS said FROM v_boxes),
+ v_det AS MATERIALIZED (SELECT frame, box, CASE box WHEN 1 THEN CASE WHEN frame % 3 = 0 AND said <> '' THEN substring(said, 1, frame % 9 + 1) || 'x' || substring(said, frame % 9 + 3) ELSE said END WHEN 2 THEN 'inner' ELSE 'and below' END AS text,
+ CASE box WHEN 1 THEN 0.95 WHEN 2 THEN 0.9 ELSE 0.8 END::DOUBLE AS score, CASE box WHEN 2 THEN 150 ELSE 100 END::DOUBLE AS x1, CASE box WHEN 1 THEN 50 WHEN 2 THEN 55 ELSE 200 END::DOUBLE AS y1,
+ CASE box WHEN 1 THEN 500 WHEN 2 THEN 300 ELSE 400 END::DOUBLE AS x2, CASE box WHEN 1 THEN 90 WHEN 2 THEN 85 ELSE 240 END::DOUBLE AS y2 FROM said WHERE box = 1 AND said <> '' OR box = 2 OR box = 3 AND frame % 40 < 12),
+ kept AS MATERIALIZED ({APART.replace("WITH ", "WITH RECURSIVE ", 1).replace("v_boxes", "v_det")}), v_in AS MATERIALIZED (SELECT v_det.* FROM v_det JOIN kept USING (frame, box)),
+ rows_of AS MATERIALIZED ({(READ + JOINED.replace("SAID_HERE", "text")).replace("WITH ", "WITH RECURSIVE ", 1).replace("v_boxes", "v_in")}),
+ v_noisy AS MATERIALIZED (SELECT frame // 400 AS video_id, frame AS frame_idx, frame / 15 AS stamp_s, text, score FROM rows_of), """ + (NOISY + RAW + FLICKER + FOLD.format(reads="calm"))[5:] + f""",
+ cap AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_s) AS n FROM o WHERE end_s - start_s >= 0.2::DOUBLE),
+ isl AS (SELECT *, sum(fresh) OVER (PARTITION BY video_id ORDER BY n) AS island FROM (SELECT *, CASE WHEN text = lag(text) OVER w AND start_s - lag(end_s) OVER w BETWEEN 0 AND 0.2::DOUBLE THEN 0 ELSE 1 END AS fresh FROM cap WINDOW w AS (PARTITION BY video_id ORDER BY n))),
+ one AS (SELECT video_id, island, min(start_s) AS start_s, max(end_s) AS end_s, arg_min(text, n) AS text FROM isl GROUP BY ALL),
+ nxt AS (SELECT *, lead(start_s) OVER w AS following, row_number() OVER w - 1 AS idx FROM one WINDOW w AS (PARTITION BY video_id ORDER BY start_s, end_s, island))
+ SELECT video_id AS doc_id, idx, {m('start_s')} AS start_ms, {m('CASE WHEN end_s > following - 0.04::DOUBLE THEN greatest(start_s + 0.05::DOUBLE, following - 0.04::DOUBLE) ELSE end_s END')} AS end_ms, text FROM nxt"""
+register("captions_from_detections", lambda s, d: cp.captions_from_detections(_detections(s, d)).select("doc_id", F.col("idx").cast("long").alias("idx"), ms("start_s").alias("start_ms"), ms("end_s").alias("end_ms"), "text"),
+         sql(DETECTED, "v_boxes", recursive=True))
 register("fuzzy_anti_join", lambda s, d: j.fuzzy_anti_join(v_noisy(s, d), v_noisy(s, d).select("video_id", F.when(F.col("video_id") % 2 == 0, "Paper lantern").otherwise("RAIN at noom").alias("item")).distinct()).select("video_id", "frame_idx", "text"),
          sql("WITH i AS (SELECT DISTINCT video_id, lower(CASE WHEN video_id % 2 = 0 THEN 'Paper lantern' ELSE 'RAIN at noom' END) AS item FROM v_noisy), q AS (SELECT DISTINCT lower(text) AS a, item AS b FROM v_noisy JOIN i USING (video_id) WHERE text <> ''), " + lcs("q") +
              " SELECT video_id, frame_idx, text FROM v_noisy JOIN i USING (video_id) WHERE text = '' OR NOT EXISTS (SELECT 1 FROM ratios WHERE a = lower(text) AND b = item AND (a = b OR abs(length(a) - length(b)) <= greatest(4, length(b) // 2) AND r >= 0.85::DOUBLE))", "v_cues", "v_noisy"))

@@ -63,10 +63,10 @@ def v_noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("doc_id").alias("video_id"), F.col("idx").alias("frame_idx"), F.col("start_s").alias("stamp_s"), text.alias("text"), F.round(F.least(F.col("value") / 500, F.lit(1.0)), 3).alias("score"))
 
 
-_SAID = "['" + "', '".join(SAID) + "']"
+SAID_SQL = "['" + "', '".join(SAID) + "']"
 V_NOISY = f"""v_noisy AS (SELECT doc_id AS video_id, idx AS frame_idx, start_s AS stamp_s, CASE WHEN said = '' OR event_id % 19 = 0 THEN '' WHEN event_id % 17 = 0 THEN 'C.15'
  WHEN event_id % 3 = 0 THEN substring(said, 1, event_id % 9 + 1) || 'x' || substring(said, event_id % 9 + 3) WHEN event_id % 11 = 0 THEN said || ' and so on' ELSE said END AS text,
- round(least(value / 500, 1.0), 3) AS score FROM (SELECT *, {_SAID}[1 + (doc_id * 7 + idx // 5) % {len(SAID)}] AS said FROM v_cues))"""
+ round(least(value / 500, 1.0), 3) AS score FROM (SELECT *, {SAID_SQL}[1 + (doc_id * 7 + idx // 5) % {len(SAID)}] AS said FROM v_cues))"""
 
 
 def v_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
