@@ -324,7 +324,12 @@ TRACK = """WITH q AS (SELECT doc_id AS track_id, idx AS seg, idx * 5 + k AS pos,
 register("overlay_series", lambda s, d: audit.overlay_series(*_series(s, d)), sql(TRACK + " SELECT track_id, pos, CAST(arg_max(v, seg) AS INT) AS v FROM z GROUP BY ALL", "v_cues"))
 register("overlay_series_mix", lambda s, d: audit.overlay_series(*_series(s, d), mix=True),
          sql(TRACK + ", l AS (SELECT track_id, pos, list_prepend(0::BIGINT, list(v ORDER BY seg)) AS vs FROM z GROUP BY ALL) SELECT track_id, pos, CAST(list_reduce(vs, lambda a, b: greatest(-32768, least(32767, a + b))) AS INT) AS v FROM l", "v_cues"))
-register("estimate_pitch", lambda s, d: table(s, d, "part").select("p_partkey", audit.estimate_pitch(F.transform(F.sequence(F.lit(0), F.lit(7999)), lambda k: (F.sin(k * 2 * 3.141592653589793 * (F.col("p_size") * 4 + 80) / 16000) * 9000).cast("int")), F.lit(16000)).alias("pitch")))
+register("estimate_pitch", lambda s, d: table(s, d, "part").select("p_partkey", audit.estimate_pitch(F.transform(F.sequence(F.lit(0), F.lit(7999)), lambda k: (F.sin(k * 2 * 3.141592653589793 * (F.col("p_size") * 4 + 80) / 16000) * 9000).cast("int")), F.lit(16000)).alias("pitch")).withColumn("pitch", F.round("pitch", 6)),
+         """WITH w AS (SELECT p_size, k, trunc(sin(k * 2 * 3.141592653589793::DOUBLE * (p_size * 4 + 80) / 16000) * 9000) AS v FROM (SELECT DISTINCT p_size FROM part), range(8000) r(k)),
+ c AS MATERIALIZED (SELECT p_size, list(v ORDER BY k) AS v FROM (SELECT p_size, k, v - avg(v) OVER (PARTITION BY p_size) AS v FROM w) GROUP BY p_size),
+ a AS (SELECT p_size, lag, list_inner_product(v[1:8000 - lag], v[lag + 1:8000]) AS power FROM c, range(45, 228) l(lag)),
+ b AS (SELECT p_size, lag FROM a QUALIFY row_number() OVER (PARTITION BY p_size ORDER BY power DESC, lag) = 1)
+ SELECT p_partkey, CASE WHEN 16000 / lag BETWEEN 70 AND 350 THEN round(16000 / lag, 6) ELSE 0 END AS pitch FROM part JOIN b USING (p_size)""")
 
 # ---- regions
 register("clamp_region", lambda s, d: table(s, d, "part").select("p_partkey", geo.clamp_region(F.col("p_partkey") - 50, F.col("p_size") * 40, F.col("p_size") * 3, F.lit(10), F.lit(640), F.lit(480)).alias("r")).select("p_partkey", "r.*"),
