@@ -83,9 +83,9 @@ def _choices(word: str) -> Iterator[list[tuple[str, float]]]:
     """For each character of a word, the letters that it may be and their costs; "" is none, " " the end of a word."""
     rows = [m.end() - m.start() for m in _ROW.finditer(word) for _ in range(m.end() - m.start())]
     before = ""
-    for char, row in zip(word, rows):
+    for at, (char, row) in enumerate(zip(word, rows)):
         again = char == before
-        if char == "*":
+        if char == "*" and row < 4 and word[:at].rstrip("*")[-1:].isalnum() and word[at:].lstrip("*")[:1].isalnum():  # inside a word
             yield [*((letter, VOWEL if letter in "aeiou" else CONSONANT) for letter in "abcdefghijklmnopqrstuvwxyz"), ("", SEPARATOR)]
         elif char in SEPARATORS:
             yield [("", SEPARATOR), (" ", SPACE if char == " " else STOP)]
@@ -135,6 +135,21 @@ def decode(word: str, cost) -> str:
     return "".join(reversed(letters)).strip()
 
 
+def undoubled(word: str, cost) -> str:
+    """As ``decode`` for a word of letters without rows of three or more: each pair of equal ones is one where that is likelier.
+
+    Whether a letter of a pair goes changes the costs of three characters only, so that each pair is settled by itself.
+    """
+    kinds = [0, *map(_kind, word), 0]
+    out, at = [], 0
+    for m in _DOUBLED.finditer(word):
+        x, c, y = kinds[m.start()], kinds[m.start() + 1], kinds[m.end() + 1]
+        if cost[x][c][c] + cost[c][c][y] > OF_TWO + cost[x][c][y]:
+            out.append(word[at: m.end() - 1])
+            at = m.end()
+    return "".join(out) + word[at:]
+
+
 def joined(text: str, cost: np.ndarray) -> str:
     """The text with words spelt apart joined; a row of numbers stays."""
     return _SPACED.sub(lambda m: decode(m[0], cost) if len(_LETTER.findall(m[0])) > 1 else m[0], text)
@@ -166,8 +181,12 @@ def traits(word: str) -> list[str]:
 def readings(low: str, cost: np.ndarray) -> list[str]:
     """Traits of a word as written and, if it is odd or has a doubled letter, as decoded."""
     found = traits(low)
-    if is_odd(low) or _DOUBLED.search(low):
+    if is_odd(low):
         found += [t for word in decode(low, cost).split() for t in traits(word) if t not in found]
+    elif found and _DOUBLED.search(found[0]):
+        plain = undoubled(found[0], cost)
+        if plain != found[0]:
+            found += [t for t in traits(plain) if t not in found]
     return found
 
 

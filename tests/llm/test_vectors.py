@@ -104,6 +104,15 @@ def test_clean_words_stay(cost, word):
     assert toxicity.restore(word, cost) == word and toxicity.traits(word)[:1] == [t for t in toxicity.readings(word, cost)[:1]]
 
 
+def test_pairs_of_letters_are_settled_one_by_one(cost):
+    """As the whole lattice does."""
+    import random
+
+    rng = random.Random(6)
+    words = ["good", "hall", "stuupid", "aa", "eessoo", "aabbccdd", "ééa"] + ["".join(c * rng.choice((1, 1, 2)) for c in dict.fromkeys(rng.choice("aeistlémno") for _ in range(rng.randrange(1, 9)))) for _ in range(300)]
+    assert all(toxicity.undoubled(w, cost) == toxicity.decode(w, cost) for w in words) and any(toxicity.undoubled(w, cost) != w for w in words)
+
+
 def test_viterbi_is_the_best_of_all_readings(cost):
     """Every reading of short words is priced; none is cheaper than the decoded one."""
     import itertools
