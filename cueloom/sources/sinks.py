@@ -103,13 +103,13 @@ def save_frame_cache(path: str, new: DataFrame, staging: str) -> None:
     """Upserts new rows (cache_key, frame_idx, version, rows_json) into the cache kept under a path, a folder for each cache_key.
 
     Only the folders of keys in ``new`` are read and written again (dynamic partition overwrite); the merged rows are
-    written under ``staging`` first, so that a task that is run again reads nothing that is being replaced. The keys of
-    the folders to read are few beside their rows: a semi join filters the scan by them.
+    written under ``staging`` first, so that a task that is run again reads nothing that is being replaced. Rows without
+    a key are left out.
     """
     from ..operators.audit import open_frame_cache
 
     spark = new.sparkSession
-    rows = new.select(F.col("frame_idx").cast("long").alias("frame_idx"), F.col("version").cast("long").alias("version"), "rows_json", F.col("cache_key").cast("string").alias("cache_key"))
+    rows = new.select(F.col("frame_idx").cast("long").alias("frame_idx"), F.col("version").cast("long").alias("version"), "rows_json", F.col("cache_key").cast("string").alias("cache_key")).where("cache_key is not null")
     try:
         known = open_frame_cache(spark, path)
     except AnalysisException as e:
@@ -117,14 +117,24 @@ def save_frame_cache(path: str, new: DataFrame, staging: str) -> None:
             raise
         merged = upsert_frame_cache(rows.limit(0), rows)
     else:
-        keys = rows.select("cache_key").distinct()
-        merged = upsert_frame_cache(known.join(keys, "cache_key", "left_semi"), rows)
+        merged = upsert_frame_cache(_of_keys(known, rows), rows)
     merged.write.mode("overwrite").parquet(staging)
     staged = spark.read.schema(merged.schema).parquet(staging)
     (staged.repartition("cache_key", F.floor(F.col("frame_idx") / CACHE_FRAMES)).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("cache_key").parquet(path))
 
 
+def _of_keys(known: DataFrame, rows: DataFrame) -> DataFrame:
+    """The known rows of the keys of some rows: up to ``LISTED_KEYS`` are named in the scan's filter, more are joined."""
+    keys = rows.select("cache_key").distinct()
+    listed = [r["cache_key"] for r in keys.limit(LISTED_KEYS + 1).collect()]
+    if len(listed) <= LISTED_KEYS:
+        return known.where(F.col("cache_key").isin(listed))
+    return known.join(keys, "cache_key", "left_semi")
+
+
+#: Keys that are collected to name the folders that an upsert reads, at most.
+LISTED_KEYS = 10_000
 #: Frames of one file of a key, about, so that a long video's folder is written by many tasks.
 CACHE_FRAMES = 100_000
 

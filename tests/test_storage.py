@@ -64,7 +64,7 @@ def test_names_are_composed_and_safe(spark):
 
 # ---- the frame cache
 
-def test_only_touched_folders_are_written(spark, tmp_path):
+def test_only_touched_folders_are_written(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "cache")
     kind = "cache_key string, frame_idx long, version long, rows_json string, clash string"
     rows = lambda *r: spark.createDataFrame([(*x, "c") for x in r], kind)
@@ -80,6 +80,11 @@ def test_only_touched_folders_are_written(spark, tmp_path):
         ("k1", 0, "[]"), ("k1", 1, "new"), ("k1", 2, "[]"), ("k2", 0, "[]"), ("k3", 5, "[]"), ("k4", 0, "[]")]
     plan = audit.read_frame_cache(cache, "k2", 10)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(cache_key" in plan and "k2" in plan.split("PartitionFilters")[1].split("]")[0]
+    some = rows(("k1", 1, 9, "[]"), ("k3", 1, 9, "[]"))
+    scanned = sinks._of_keys(cache, some)
+    assert "PartitionFilters: [cache_key" in scanned._jdf.queryExecution().executedPlan().toString() and {os.path.basename(os.path.dirname(f)) for f in scanned.inputFiles()} >= {"cache_key=k1", "cache_key=k3"}
+    monkeypatch.setattr(sinks, "LISTED_KEYS", 1)
+    assert sorted(tuple(r) for r in sinks._of_keys(cache, some).select("cache_key", "frame_idx").collect()) == sorted(tuple(r) for r in scanned.select("cache_key", "frame_idx").collect())
     assert audit.read_frame_cache(cache, "k3", 10).count() == 1 and audit.read_frame_cache(cache, "k3", 5).count() == 0
 
 
