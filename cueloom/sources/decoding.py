@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType
@@ -25,9 +27,9 @@ def _plausibility(data: bytes, encoding: str) -> float:
         text = data.decode(encoding)
     except UnicodeDecodeError:
         return -1.0
-    leads = [c.encode(encoding)[0] for c in text if not c.isascii()]
-    hits = sum(any(low <= lead <= high for low, high in FREQUENT[encoding]) for lead in leads)
-    return hits / len(leads) if leads else 0.0
+    found = {c: n for c, n in Counter(text).items() if not c.isascii()}  # each character is looked at once
+    hits = sum(n for c, n in found.items() if any(low <= c.encode(encoding)[0] <= high for low, high in FREQUENT[encoding]))
+    return hits / sum(found.values()) if found else 0.0
 
 
 def encoding_of(data: bytes) -> str:
