@@ -34,10 +34,10 @@ def stabbed(points: DataFrame, at: str, spans: DataFrame) -> DataFrame:
     real = (F.col("end_s") > F.col("start_s")) & ~F.isnan("end_s") & (F.abs("start_s") < 1e15)
     leveled = spans.where(real).withColumn("_level", _level(F.col("start_s"), F.col("end_s")))
     placed = leveled.withColumn("_cell", F.explode(F.sequence(_cell(F.col("start_s"), F.col("_level")), _cell(F.least("end_s", F.lit(1e15)), F.col("_level")))))
-    occurring = leveled.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_level") - _FINEST)).alias("_levels")).withColumn("_one", F.lit(1))  # one row
+    occurring = leveled.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_level") - _FINEST)).alias("levels")).scalar()  # one number
     levels = F.filter(F.sequence(F.lit(_FINEST), F.lit(_COARSEST)), lambda n: F.call_function("shiftright", F.col("_levels"), n - _FINEST).bitwiseAND(F.lit(1).cast("long")) == 1)
-    asked = (points.where(F.abs(at) < 1e15).withColumn("_one", F.lit(1)).join(F.broadcast(occurring), "_one").withColumn("_level", F.explode(levels))
-             .withColumn("_cell", _cell(F.col(at), F.col("_level"))).drop("_one", "_levels"))
+    asked = (points.where(F.abs(at) < 1e15).withColumn("_levels", occurring).withColumn("_level", F.explode(levels))
+             .withColumn("_cell", _cell(F.col(at), F.col("_level"))).drop("_levels"))
     return asked.join(placed, ["doc_id", "_level", "_cell"]).where((F.col("start_s") <= F.col(at)) & (F.col(at) < F.col("end_s"))).drop("_level", "_cell")
 
 
