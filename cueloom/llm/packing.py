@@ -16,8 +16,8 @@ from .vocab import default_path, json_tokenizer, rank_encoding, usual
 
 WINDOW = 2048
 END_ID = 1
-#: Words whose ids a Python worker keeps; further ones are encoded each time: it bounds memory and changes no result.
-KEPT_WORDS = 250_000
+#: Words whose ids a task keeps; further ones are encoded each time: it bounds memory and changes no result.
+KEPT_WORDS = 100_000
 
 
 class _WordIds(dict):
@@ -34,20 +34,15 @@ class _WordIds(dict):
         return ids
 
 
-@lru_cache(2)
-def _word_ids(ranks: str) -> _WordIds:
-    return _WordIds(ranks)
-
-
 @lru_cache(2)
 def _specials(path: str) -> tuple[str, ...]:
     return tuple(t.content for t in json_tokenizer(path).get_added_tokens_decoder().values())
 
 
-def encode(text: str, path: str, ranks: str | None) -> bytes:
+def encode(text: str, path: str, ranks: str | None, words_of: _WordIds | None = None) -> bytes:
     """Ids of a whole text as the tokenizers library gives them, little-endian unsigned 32-bit.
 
-    ``ranks`` is a rank file of the same vocabulary. Where single spaces part the words, no match of the split pattern
+    ``ranks`` is a rank file of the same vocabulary, ``words_of`` the words of it that are known already. Where single spaces part the words, no match of the split pattern
     goes beyond a word and the space before it, so that words can be encoded one by one and kept. A text with a special
     string, or with characters outside the blocks of ``vocab``, goes to the tokenizers library whole.
     """
@@ -57,7 +52,8 @@ def encode(text: str, path: str, ranks: str | None) -> bytes:
     if not text or "  " in text or text[0] == " " or text[-1] == " ":
         return array("I", encoding.encode_ordinary(text)).tobytes()
     first, *words = text.split(" ")
-    return array("I", encoding.encode_ordinary(first)).tobytes() + b"".join(map(_word_ids(ranks).__getitem__, words))
+    words_of = _WordIds(ranks) if words_of is None else words_of
+    return array("I", encoding.encode_ordinary(first)).tobytes() + b"".join(map(words_of.__getitem__, words))
 
 
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text",
@@ -75,12 +71,13 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, ranks: str | Non
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
+        known = _WordIds(ranks) if ranks else None  # for this task only: workers are used again
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 doc, start, length, ids, total = [], [], [], [], []
                 for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    got = encode(text, path, ranks) + end
+                    got = encode(text, path, ranks, known) + end
                     n = len(got) // 4
                     for s in range(0, n, window):
                         piece = got[4 * s: 4 * (s + window)]

@@ -22,7 +22,7 @@ LEAST_Z = 3.5
 #: Strongest distinct words of a document that count.
 STRONGEST = 8
 THRESHOLD = 0.5
-KEPT_WORDS = 250_000
+KEPT_WORDS = 100_000
 
 #: What a character may stand for besides itself.
 STANDS_FOR = {"0": "o", "1": "il", "!": "il", "|": "il", "3": "e", "4": "a", "@": "a", "5": "s", "$": "s", "7": "t", "+": "t", "8": "b", "9": "g"}
