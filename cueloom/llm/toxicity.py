@@ -22,7 +22,8 @@ LEAST_Z = 3.5
 #: Strongest distinct words of a document that count.
 STRONGEST = 8
 THRESHOLD = 0.5
-KEPT_WORDS = 100_000
+#: Words whose weight, and whose traits, a task keeps; others are looked at each time: it bounds memory and changes no result.
+KEPT_WORDS, KEPT_TRAITS = 250_000, 50_000
 
 #: What a character may stand for besides itself.
 STANDS_FOR = {"0": "o", "1": "il", "!": "il", "|": "il", "3": "e", "4": "a", "@": "a", "5": "s", "$": "s", "7": "t", "+": "t", "8": "b", "9": "g"}
@@ -199,7 +200,7 @@ class _Traits(dict):
 
     def __missing__(self, word: str) -> list[str]:
         found = readings(word.lower(), self.cost)
-        if len(self) < KEPT_WORDS:
+        if len(self) < KEPT_TRAITS:
             self[word] = found
         return found
 
@@ -235,11 +236,22 @@ class _Weights(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.cost = model, model.cost.tolist()
+        self.model, self.weights, self.cost = model, model.weights, model.cost.tolist()
+
+    def strongest(self, plain: str) -> float:
+        """The largest log-odds among ``traits`` of a word of letters."""
+        weight = self.weights.get(plain, 0.0)
+        for n in range(4, min(7, len(plain))):
+            weight = max(weight, self.weights.get(f"{plain[:n]}-", 0.0))
+        return weight
 
     def __missing__(self, word: str) -> float:
-        found = readings(word.lower(), self.cost)
-        weight = max((self.model.weights.get(t, 0.0) for t in found), default=0.0)
+        low = word.lower()
+        plain = low.strip(".,;:?\"'()")
+        if plain.isalpha() and not _DOUBLED.search(plain):  # most words: neither odd nor doubled
+            weight = self.strongest(plain) if len(plain) > 2 else 0.0
+        else:
+            weight = max((self.weights.get(t, 0.0) for t in readings(low, self.cost)), default=0.0)
         if len(self) < KEPT_WORDS:
             self[word] = weight
         return weight
