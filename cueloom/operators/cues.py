@@ -144,7 +144,7 @@ def split_cues(cues: DataFrame, cuts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cues, rejects): each cut (doc_id, idx, t) well inside its cue splits it in two; others are rejects."""
     cut = cues.join(cuts.select("doc_id", "idx", "t"), ["doc_id", "idx"], "left")
     good = (F.col("t") >= F.col("start_s") + MIN_DURATION) & (F.col("t") <= F.col("end_s") - MIN_DURATION)
-    share = (F.col("t") - F.col("start_s")) / (F.col("end_s") - F.col("start_s"))
+    share = F.try_divide(F.col("t") - F.col("start_s"), F.col("end_s") - F.col("start_s"))
     marked = cut.withColumns({"good": F.coalesce(good, F.lit(False)), "a": tx.split_text(F.col("text"), share), "b": tx.split_text(F.col("translation"), share)})
     whole = F.array(F.struct(F.lit(0).alias("half"), "start_s", "end_s", "text", "translation"))
     halves = F.array(

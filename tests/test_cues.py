@@ -70,6 +70,12 @@ def test_edits(spark):
     assert rejects.count() == 1
 
 
+def test_cut_in_a_cue_without_length_is_a_reject(spark):
+    halves, rejects = c.split_cues(cues(spark, (4, 4, "boats leave"), (5, 7, "gulls follow")), spark.createDataFrame([(1, 0, 4.0), (1, 1, 6.0)], "doc_id long, idx long, t double"))
+    assert [(r.idx, r.start_s, r.end_s, r.text) for r in halves.orderBy("idx").collect()] == [(0, 4, 4, "boats leave"), (1, 5, 6, "gulls"), (2, 6, 7, "follow")]
+    assert [(r.idx, r.t) for r in rejects.collect()] == [(0, 4.0)]
+
+
 def test_merge_exact_repeats(spark):
     got = t.merge_exact_repeats(cues(spark, (20, 21, "echo"), (21.15, 22, "echo"), (22.5, 23, "echo"))).orderBy("idx").collect()
     assert [(r.start_s, r.end_s) for r in got] == [(20, 22), (22.5, 23)]
