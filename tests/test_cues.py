@@ -238,6 +238,16 @@ def test_dominant_color(spark):
     assert (got.r, got.g, got.b) == (245, 245, 25)
 
 
+def test_costly_rows_of_one_file_are_spread(spark, tmp_path, sf_dir):
+    from cueloom.operators.spread import tasks_of
+    from cueloom.plans import registry
+
+    spark.read.parquet(f"{sf_dir}/part.parquet").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    got = registry.QUERIES["estimate_pitch"](spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() == tasks_of(got) >= 8 * spark.sparkContext.defaultParallelism
+    assert got.count() == spark.read.parquet(f"{sf_dir}/part.parquet").count()
+
+
 def test_captions_from_detections(spark):
     rect = (10., 10., 200., 40.)
     rows = [(1, f, f / 10, 1, "paper lantern" if f < 10 else "", .95, rect) for f in range(12)] + [(1, f, f / 10, 2, "noise", .2, (300., 10., 350., 40.)) for f in range(12)]
