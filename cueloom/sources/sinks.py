@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 from ..functions.timecode import format_ass, format_srt, format_vtt
 from ..operators.cues import display_text
 from ..operators.folds import fold_in_order
+from ..operators.spread import spread_files
 
 #: The head of a script and its one style.
 ASS_HEAD = ("[Script Info]\nScriptType: v4.00+\nPlayResX: {x}\nPlayResY: {y}\nWrapStyle: 0\nScaledBorderAndShadow: yes\n\n[V4+ Styles]\n"
@@ -120,7 +121,7 @@ def save_frame_cache(path: str, new: DataFrame, staging: str) -> None:
         merged = upsert_frame_cache(_of_keys(known, rows), rows)
     merged.write.mode("overwrite").parquet(staging)
     staged = spark.read.schema(merged.schema).parquet(staging)
-    (staged.repartition("cache_key", F.floor(F.col("frame_idx") / CACHE_FRAMES)).write.mode("overwrite")
+    (spread_files(staged, "cache_key", staged, F.floor(F.col("frame_idx") / CACHE_FRAMES)).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("cache_key").parquet(path))
 
 

@@ -88,6 +88,21 @@ def test_only_touched_folders_are_written(spark, tmp_path, monkeypatch):
     assert audit.read_frame_cache(cache, "k3", 10).count() == 1 and audit.read_frame_cache(cache, "k3", 5).count() == 0
 
 
+def test_folders_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from cueloom.operators import spread
+
+    rows = spark.range(60).select(F.col("id").cast("string").alias("k"), "id")
+    monkeypatch.setattr(spread, "FILES_A_TASK", 1)
+    by_key = spread.spread_files(rows, "k", rows, F.floor(F.col("id") / 7))
+    assert by_key.rdd.getNumPartitions() == 60 and by_key.count() == 60
+    monkeypatch.setattr(spread, "FILES_A_TASK", 500)
+    assert spread.spread_files(rows, "k", rows).rdd.getNumPartitions() == 8 * spark.sparkContext.defaultParallelism
+    seen = []
+    monkeypatch.setattr(sinks, "spread_files", lambda df, *a: seen.append(a[0]) or spread.spread_files(df, *a))
+    sinks.save_frame_cache(str(tmp_path / "cache"), spark.createDataFrame([("k1", 0, 1, "[]")], "cache_key string, frame_idx long, version long, rows_json string"), str(tmp_path / "s"))
+    assert seen == ["cache_key"] and audit.open_frame_cache(spark, str(tmp_path / "cache")).count() == 1
+
+
 # ---- audio
 
 def chunk(name, body):
