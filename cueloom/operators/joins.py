@@ -148,10 +148,10 @@ def refine_boundaries(cues: DataFrame, fine: DataFrame, step: float, threshold:
     seen = near.where(early | late).withColumns({"early": early, "late": late})
     same = (F.col("read") == F.col("text")) | F.coalesce((F.length("read") > 0) & (text_ratio(F.col("read"), F.col("text")) >= threshold), F.lit(False))
     told = seen.withColumn("same", same)
-    w = Window.partitionBy("doc_id", "idx", "late").orderBy("stamp_s").rowsBetween(Window.unboundedPreceding, -1)
-    told = told.withColumn("matched", F.coalesce(F.max(F.when(F.col("late"), F.col("same"))).over(w), F.lit(False)))
+    # a read at the very moment of the first match is not after it, in whatever order the two come
+    told = told.withColumn("met", F.min(F.when(F.col("late") & F.col("same"), F.col("stamp_s"))).over(Window.partitionBy("doc_id", "idx")))
     bounds = told.groupBy("doc_id", "idx").agg(F.min(F.when(F.col("early") & F.col("same"), F.col("stamp_s"))).alias("appeared"),
-                                              F.min(F.when(F.col("late") & ~F.col("same") & F.col("matched"), F.col("stamp_s"))).alias("gone"))
+                                              F.min(F.when(F.col("late") & ~F.col("same") & (F.col("stamp_s") > F.col("met")), F.col("stamp_s"))).alias("gone"))
     rows = cues.join(bounds, ["doc_id", "idx"], "left")
     schema = f"doc_id {cues.schema['doc_id'].dataType.simpleString()}, idx long, start_s double, end_s double, text string, translation string, speaker string"
     return fold_in_order(rows.select("doc_id", "idx", "start_s", "end_s", "text", "translation", "speaker", "appeared", "gone"), "doc_id", "idx", lambda _: _Refined(), schema)

@@ -149,3 +149,15 @@ def test_spots_and_clusters_are_the_first_that_fit(spark):
         else:
             near[:] = [*((a * near[3] + b * w) / (near[3] + w) for a, b in zip(near, c)), near[3] + w]
     assert got == {1: tuple(round(v) for v in max(means, key=lambda m: m[3])[:3]), 3: (9, 9, 9)}
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_reads_of_one_moment_count_in_no_order(spark, turned):
+    """The text is met at 7.0 first; what else is read at 7.0 is not after that, so that the cue ends where it did."""
+    from cueloom.operators.joins import refine_boundaries
+
+    cue = spark.createDataFrame([(1, 0, 2.0, 7.2, "rain", "", "")], "doc_id long, idx long, start_s double, end_s double, text string, translation string, speaker string")
+    at_once = [(1, 7.0, "rain"), (1, 7.0, "other"), (1, 7.0, "")]
+    fine = lambda *more: spark.createDataFrame([*(at_once[::-1] if turned else at_once), *more], "doc_id long, stamp_s double, text string").coalesce(1)
+    assert refine_boundaries(cue, fine(), 0.5).first()["end_s"] == 7.2
+    assert refine_boundaries(cue, fine((1, 7.1, "other")), 0.5).first()["end_s"] == 7.1
