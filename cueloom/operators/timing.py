@@ -21,10 +21,17 @@ def remove_overlaps(cues: DataFrame, min_gap: float = 0.04) -> DataFrame:
 
 
 def check_timing(cues: DataFrame, max_cps: float = MAX_CPS, least: float = LEAST, most: float = MOST, max_gap: float = MAX_GAP,
-                 max_ratio: float = MAX_RATIO) -> DataFrame:
-    """(doc_id, idx, kind, severity, message): the issues of each cue; the next cue is the next in list order."""
+                 max_ratio: float = MAX_RATIO, digits: int | None = None) -> DataFrame:
+    """(doc_id, idx, kind, severity, message): the issues of each cue; the next cue is the next in list order.
+
+    Times that were written as decimals have differences that binary fractions miss by a little; with ``digits`` these are
+    rounded to as many decimals, so that a gap of just 15 s between such times is not over 15 s.
+    """
     m = cue_metrics(cues).withColumn("following", F.lead("start_s").over(in_order()))
     d, gap = F.col("duration_s"), F.col("following") - F.col("end_s")
+    if digits is not None:
+        d, gap = F.round(d, digits), F.round(gap, digits)
+        m = m.withColumn("cps", F.when(d > 0, F.col("chars") / d).otherwise(0.0))
     issue = lambda kind, severity, message: F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), message.alias("message"))
     place = (F.col("idx") + 2).cast("long")
     found = F.array(

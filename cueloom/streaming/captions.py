@@ -129,9 +129,9 @@ def stream_merge_captions(reads: DataFrame, fps: float = 15.0, threshold: float
 def stream_subtitle_qc(files: DataFrame, sink):
     """A started query over subtitle files (doc_id, value) as they land: ``sink(issues, batch_id)`` gets each batch's issues.
 
-    A file is whole in its batch, so that no state is kept.
+    A file is whole in its batch, so that no state is kept. Files tell times as decimals, and are held to limits as such.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
-        sink(check_timing(read_subtitles(batch)[0]), batch_id)
+        sink(check_timing(read_subtitles(batch)[0], digits=6), batch_id)
 
     return files.writeStream.foreachBatch(each)

@@ -148,3 +148,19 @@ def test_quality_check_of_files(spark, sf_dir, tmp_path):
     got = sorted((r.doc_id.rsplit("/", 1)[1], r.idx, r.kind) for rows in seen.values() for r in rows)
     files = spark.createDataFrame(list(texts.items()), "doc_id string, value string")
     assert got == sorted((r.doc_id, r.idx, r.kind) for r in check_timing(subtitles.read_subtitles(files)[0]).collect()) and len(got) > 50
+
+
+def test_times_of_files_are_held_to_limits_as_decimals(spark):
+    """Lengths of just 0.5 and 8 s and gaps of just 15 s are no issues, wherever in the file they stand."""
+    from cueloom.operators.timing import check_timing
+    from cueloom.sources.subtitles import read_subtitles
+
+    clock = lambda ms: f"{ms // 3600000:02d}:{ms // 60000 % 60:02d}:{ms // 1000 % 60:02d},{ms % 1000:03d}"
+    bounds, at = [], 1
+    for k in range(300):
+        bounds.append((at, at + (500, 8000)[k % 2]))
+        at = bounds[-1][1] + 15000
+    text = "\n".join(f"{n}\n{clock(a)} --> {clock(b)}\nhi\n" for n, (a, b) in enumerate(bounds, 1))
+    shifted = "\n".join(f"{n}\n{clock(a + 372)} --> {clock(b + 372)}\nhi\n" for n, (a, b) in enumerate(bounds, 1))
+    cues = read_subtitles(spark.createDataFrame([("a.srt", text), ("b.srt", shifted)], "doc_id string, value string"))[0]
+    assert check_timing(cues).count() > 0 and check_timing(cues, digits=6).count() == 0
