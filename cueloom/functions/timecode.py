@@ -9,8 +9,9 @@ _PLAIN = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
 def strip(text: Column) -> Column:
-    """Without white space at either end, Unicode's included."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space at either end, Unicode's included; a text that begins and ends in visible ASCII is taken as it is."""
+    visible = F.left(text, F.lit(1)).between("!", "~") & F.right(text, F.lit(1)).between("!", "~")
+    return F.when(visible, text).otherwise(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
 
 
 def parse_timecode(text: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 from pyspark.sql.types import DoubleType, StringType
 
 from ..functions.timecode import parse_timecode, strip
+from .spread import spread
 
 SECRET = r"(?i)api.?key|token|password|passwd|login|cookie|proxy"
 
@@ -26,6 +27,7 @@ def list_configs(configs: DataFrame, unused: str = "not used") -> DataFrame:
 
 def read_config_cues(configs: DataFrame) -> DataFrame:
     """Cues of each configuration's data_table rows [n, "a --> b", speaker, original, translation]."""
+    configs = spread(configs.select("id", "value"), "id")  # reading JSON costs much more than its bytes
     rows = configs.select(F.col("id").alias("doc_id"), F.posexplode(F.from_json(F.get_json_object("value", "$.data_table"), "array<array<string>>")).alias("pos", "r"))
     halves = F.split(F.get("r", F.lit(1)), "-->", 2)
     text = lambda n: strip(F.coalesce(F.get("r", F.lit(n)), F.lit("")))

@@ -103,6 +103,26 @@ def test_folders_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
     assert seen == ["cache_key"] and audit.open_frame_cache(spark, str(tmp_path / "cache")).count() == 1
 
 
+def test_configurations_of_one_file_are_spread(spark):
+    from cueloom.operators.spread import tasks_of
+
+    value = '{"data_table": [["1", "00:00:01,000 --> 00:00:02,500", "A", " x ", "y"]]}'
+    got = audit.read_config_cues(spark.createDataFrame([(i, "n", value) for i in range(50)], "id long, name string, value string").coalesce(1))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id#" in plan and f", {tasks_of(got)}), REPARTITION_BY_NUM" in plan and plan.count("hashpartitioning") == 1
+    assert [tuple(r)[1:] for r in got.distinct().collect()][0] == (0, 1.0, 2.5, "x", "y", "A") and got.count() == 50
+
+
+def test_subtitles_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from cueloom.operators import spread
+
+    seen = []
+    monkeypatch.setattr(sinks, "spread_files", lambda df, *a: seen.append(spread.spread_files(df, *a).rdd.getNumPartitions()) or spread.spread_files(df, *a))
+    cue = spark.range(40).select(F.concat(F.col("id").cast("string"), F.lit(".srt")).alias("doc_id"), F.lit(0).cast("long").alias("idx"), F.lit(1.0).alias("start_s"), F.lit(2.0).alias("end_s"), F.lit("t").alias("text"), F.lit("").alias("translation"), F.lit("").alias("speaker"))
+    sinks.save_subtitles(cue, str(tmp_path / "out"))
+    assert seen == [8 * spark.sparkContext.defaultParallelism] and spark.read.text(str(tmp_path / "out"), wholetext=True).count() == 40
+
+
 # ---- audio
 
 def chunk(name, body):
