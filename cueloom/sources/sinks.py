@@ -65,7 +65,7 @@ def to_text(cues: DataFrame, mode: str = "original") -> DataFrame:
 def save_subtitles(cues: DataFrame, path: str, kind: str | None = None, mode: str = "original") -> None:
     """Writes one text a document under doc_id=..., in the format of the id's ending unless ``kind`` names one; the commit protocol makes it all or nothing."""
     made = to_text(cues, mode) if kind is None else {"srt": to_srt, "vtt": to_vtt, "ass": to_ass}[kind](cues, mode)
-    made.repartition("doc_id").write.partitionBy("doc_id").mode("overwrite").text(path)
+    spread_files(made, "doc_id", cues).write.partitionBy("doc_id").mode("overwrite").text(path)
 
 
 def export_manifest(projects: DataFrame, cues: DataFrame) -> DataFrame:
