@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import html as entities
-import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -22,9 +21,9 @@ RUN, PAGES, SHARE = 6, 3, 0.1
 COVERED = 0.8
 #: Pages whose article or main elements share this much of their runs hold one text, near copies of each other.
 SAME = 0.7
-#: Pages that are compared at once, about. Larger hosts are dealt into cells by a hash, which report the runs that
-#: are on so many of their pages; pages are then counted over the whole host. The share is one of so many pages at most.
-CELL, CANDIDATE = 128, 2
+#: Pages that are compared at once, about: a host's pages are dealt into cells by a hash, which report the texts of their
+#: runs; these are then counted over the whole host. The share is one of so many pages at most.
+CELL = 128
 #: Rows (host, number of cells) that are broadcast, at most.
 BROADCAST_ROWS = 200_000
 
@@ -306,7 +305,7 @@ def _spread(begin: np.ndarray, n: int, run: int) -> np.ndarray:
 
 
 def _texts(pages: list[list[tuple[str, int]]]) -> list[str]:
-    """The main text of each of one host's pages."""
+    """The main text of each of one host's pages, compared all at once: what ``extract_text`` gives, for tests."""
     index: dict[str, int] = {}
     tokens, owner, kinds, spans = [], [], [], []
     for number, blocks in enumerate(pages):
@@ -330,18 +329,6 @@ def _table(ids: list, urls: list, texts: list[str]) -> pa.RecordBatch:
                                       ["page_id", "url", "text", "n_chars"])
 
 
-def _cell(table: pa.Table) -> pa.Table:
-    rows = table.select(["page_id", "url", "host", "blocks"]).to_pydict()
-    of_host: dict[str, list[int]] = {}
-    for at, host in enumerate(rows["host"]):
-        of_host.setdefault(host, []).append(at)
-    texts = [""] * len(rows["host"])
-    for places in of_host.values():
-        for at, text in zip(places, _texts([[(b["text"], b["kind"]) for b in rows["blocks"][p]] for p in places])):
-            texts[at] = text
-    return pa.Table.from_batches([_table(rows["page_id"], rows["url"], texts)])
-
-
 def _stream(blocks: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """(a number of 32 bits for each word of a page, the kind of the block that each is in, where the blocks end)."""
     if not blocks:
@@ -368,43 +355,48 @@ def _run_codes(tokens: np.ndarray, run: int = RUN) -> np.ndarray:
     return code.view(np.int64)
 
 
-def _candidates(table: pa.Table) -> pa.Table:
-    """(host, run, source) for the runs of a cell that are on some of its pages, with as many of those pages' texts as could decide, and for every text of the cell with no run."""
-    rows = table.select(["host", "tokens", "kinds"]).to_pydict()
-    host = rows["host"][0]
-    streams = [np.frombuffer(t, np.uint32) for t in rows["tokens"]]
+def _told(streams: list[np.ndarray], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, source, asked) for the runs of some of a host's pages and the texts that they are on; texts alone have run 0 and asked -1.
+
+    asked is 1 for runs that touch a block about which they may decide. A text is known by the least of its pages' hashes.
+    """
     sizes = [len(s) for s in streams]
-    tokens, kinds = np.concatenate(streams).astype(np.int64), np.frombuffer(b"".join(rows["kinds"]), np.uint8)
-    runs = sources = np.zeros(0, np.int64)
+    tokens = np.concatenate(streams).astype(np.int64)
     whole = [int.from_bytes(hashlib.blake2b(s[k != DROPPED].tobytes() or s.tobytes(), digest_size=8).digest(), "little", signed=True)
              for s, k in zip(streams, np.split(kinds, np.cumsum(sizes)[:-1]))]
     filled = np.array([w for w, n in zip(whole, sizes) if n], np.int64)
-    texts = np.unique(filled)
+    texts, runs, sources, asked = np.unique(filled), *[np.zeros(0, np.int64)] * 3
     if len(tokens) >= RUN:
         page = np.repeat(np.arange(len(streams)), sizes)
         number = np.cumsum(np.concatenate(([0], np.diff(page) != 0)))
         at, group = _runs(tokens, page, RUN)
         source = _sources(tokens, number, kinds >= BARE, at, group, RUN)
-        # a text is known by the least of its pages' hashes
         names = np.full(len(source), np.iinfo(np.int64).max)
         np.minimum.at(names, source, filled)
         texts = np.unique(names[source])
-        used = np.concatenate(([0], np.cumsum(kinds != DROPPED)))
-        first = np.full(len(tokens) + 1, -1, np.int64)
-        asked = used[at + RUN] > used[at]
-        first[group[asked]] = at[asked]
-        asked = first[group] >= 0
-        at, group = at[asked], group[asked]
-        pairs = np.unique(group * len(texts) + np.searchsorted(texts, names)[source[number[at]]])
+        open_ = np.concatenate(([0], np.cumsum((kinds == LOOSE) | (kinds == BARE))))
+        first, open_groups = np.zeros(len(tokens) + 1, np.int64), np.zeros(len(tokens) + 1, np.int64)
+        first[group] = at
+        open_groups[group[open_[at + RUN] > open_[at]]] = 1
+        pairs = np.unique(group * len(texts) + np.searchsorted(texts, names[source[number[at]]]))
         group, text = pairs // len(texts), pairs % len(texts)
-        place = _numbered(group)
-        on = np.bincount(place)
-        nth = np.arange(len(pairs)) - (np.cumsum(on) - on)[place]
-        told = (on[place] >= CANDIDATE) & (nth < max(PAGES, math.ceil(SHARE * CELL)))
-        runs, sources = _run_codes(tokens.astype(np.uint32))[first[group[told]]], texts[text[told]]
-    return pa.table({"host": pa.array([host] * (len(runs) + len(texts)), pa.string()),
-                     "run": pa.concat_arrays([pa.array(runs, pa.int64()), pa.nulls(len(texts), pa.int64())]),
-                     "source": pa.array(np.concatenate([sources, texts]), pa.int64())})
+        runs, sources, asked = _run_codes(tokens.astype(np.uint32))[first[group]], texts[text], open_groups[group]
+    none = np.zeros(len(texts), np.int64)
+    return np.concatenate([runs, none]), np.concatenate([sources, texts]), np.concatenate([asked, none - 1])
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """(host, run, source, asked) of ``_told`` for each host and cell in the table."""
+    rows = table.select(["host", "cell", "tokens", "kinds"]).to_pydict()
+    of: dict[tuple[str, int], list[int]] = {}
+    for at, key in enumerate(zip(rows["host"], rows["cell"])):
+        of.setdefault(key, []).append(at)
+    parts = []
+    for (host, _), places in of.items():
+        runs, sources, asked = _told([np.frombuffer(rows["tokens"][p], np.uint32) for p in places],
+                                     np.frombuffer(b"".join(rows["kinds"][p] for p in places), np.uint8))
+        parts.append(pa.table({"host": pa.repeat(pa.scalar(host, pa.string()), len(runs)), "run": runs, "source": sources, "asked": asked.astype(np.int32)}))
+    return pa.concat_tables(parts)
 
 
 def _without(blocks: list[tuple[str, int]], runs: np.ndarray) -> str:
@@ -424,25 +416,27 @@ def _without(blocks: list[tuple[str, int]], runs: np.ndarray) -> str:
 def extract_text(pages: DataFrame, cell: int = CELL) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages`` (page_id, url, html): the main text.
 
-    Each page's structure gives its blocks. The blocks' token streams of a host's pages are compared with a suffix
-    array, and blocks that repeated runs cover are removed as boilerplate, in an article or main element as well if they
-    are in no heading, paragraph or other element of running text; the text of mirrored pages and near copies stays. Hosts of more than ``cell`` pages are compared in cells, and the
-    pages of the runs found there are counted over the whole host. Blocks are joined by one newline. Null and empty
+    Each page's structure gives its blocks. On hosts with blocks that may be either, the token streams of all pages are
+    compared with a suffix array, and such blocks that repeated runs cover are removed as boilerplate, in an article or main
+    element as well if they are in no heading, paragraph or other element of running text; the text of mirrored pages and
+    near copies stays. Hosts of all sizes go one way: each run's texts are counted over the whole host. Near copies are
+    found among about ``cell`` pages at once, equal texts over the whole host. Blocks are joined by one newline. Null and empty
     html give an empty text; null urls form one host; repeated rows, null ids and clashing further columns do no harm.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
         F.coalesce(F.regexp_extract(F.lower("url"), r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")).alias("host"))
-    kind = pa.list_(pa.struct([("text", pa.string()), ("kind", pa.int32())]))
 
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def undecided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                found = [[{"text": t, "kind": k} for t, k in blocks_of(page)] for page in batch.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(found, kind)],
-                                                 ["page_id", "url", "host", "blocks"])
+                hosts: set[str] = set()
+                for page, host in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if host not in hosts and any(k in (LOOSE, BARE) for _, k in blocks_of(page)):
+                        hosts.add(host)
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(hosts), pa.string())], ["host"])
 
     def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -460,26 +454,24 @@ def extract_text(pages: DataFrame, cell: int = CELL) -> DataFrame:
                 yield _table(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
                              [_without(blocks_of(page), r) for page, r in zip(batch.column(2).to_pylist(), runs)])
 
-    out = "page_id long, url string, text string, n_chars long"
-    sizes = rows.groupBy("host").count()
-    total = pages.count()
-    large = sizes.where(F.col("count") > cell).select("host", F.ceil(F.col("count") / cell).alias("cells"))
-    shared = max(1, total // cell)
-    large = stage(large, "hosts")
-    # large hosts are few as a rule; beyond this many rows the join is left to a shuffle
-    near = F.broadcast if large.count() <= BROADCAST_ROWS else lambda df: df
-    parsed = rows.join(near(large), "host", "left_anti").select("page_id", "url", "html", "host").mapInArrow(
-        mapped, "page_id long, url string, host string, blocks array<struct<text string, kind int>>")
-    small = parsed.withColumn("cell", F.pmod(F.xxhash64("host"), F.lit(shared))).groupBy("cell").applyInArrow(_cell, out)
-    dealt = rows.join(near(large), "host").select("html", "host", F.pmod(F.xxhash64("url", "page_id"), F.col("cells")).alias("cell"))
-    found = stage(dealt.mapInArrow(streamed, "host string, cell long, tokens binary, kinds binary").groupBy("host", "cell")
-                  .applyInArrow(_candidates, "host string, run long, source long").groupBy("host", "run", "source").count()
-                  .groupBy("host", "run").agg(F.count("*").alias("texts")), "runs")
+    sizes = rows.groupBy("host").count().where(F.col("count") >= PAGES)
+    asking = rows.select("html", "host").mapInArrow(undecided, "host string").distinct()
+    compared = stage(asking.join(sizes, "host").select("host", "count", F.ceil(F.col("count") / cell).alias("cells")), "hosts")
+    hosts, total = compared.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
+    # compared hosts are few as a rule; beyond this many rows the join is left to a shuffle
+    near = F.broadcast if hosts <= BROADCAST_ROWS else lambda df: df
+    dealt = rows.join(near(compared), "host").select("html", "host", F.pmod(F.xxhash64("url", "page_id"), F.col("cells")).alias("cell"))
+    told = (dealt.mapInArrow(streamed, "host string, cell long, tokens binary, kinds binary")
+            .groupBy(F.pmod(F.xxhash64("host", "cell"), F.lit(max(1, total // cell))).alias("shared"))
+            .applyInArrow(_counted, "host string, run long, source long, asked int"))
+    found = stage(told.groupBy("host", F.when(F.col("asked") >= 0, F.col("run")).alias("run"), "source").agg(F.max("asked").alias("asked"))
+                  .groupBy("host", "run").agg(F.count("*").alias("texts"), F.max("asked").alias("asked"))
+                  .where((F.col("asked") != 0) & (F.col("run").isNull() | (F.col("texts") >= PAGES))), "runs")
     need = found.where("run is null").select("host", F.greatest(F.lit(PAGES), F.lit(SHARE) * F.least("texts", F.lit(CELL))).alias("need"))
     often = stage(found.where("run is not null").join(near(need), "host").where("texts >= need").groupBy("host").agg(F.sort_array(F.collect_set("run")).alias("runs")), "often")
     held = often.agg(F.sum(F.size("runs") + 1)).first()[0] or 0
-    of_large = rows.join(near(large), "host", "left_semi").join(F.broadcast(often) if held <= BROADCAST_ROWS * 5 else often, "host", "left")
-    return small.unionByName(of_large.select("page_id", "url", "html", "runs").mapInArrow(cleaned, out))
+    known = rows.join(F.broadcast(often) if held <= BROADCAST_ROWS * 5 else often, "host", "left")
+    return known.select("page_id", "url", "html", "runs").mapInArrow(cleaned, "page_id long, url string, text string, n_chars long")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -277,6 +277,19 @@ def test_repeats_are_counted_over_the_whole_host(spark):
     assert got == dict(enumerate(texts)) | {1000 + i: texts[1] for i in range(100)}
 
 
+def test_hosts_of_all_sizes_go_one_way(spark):
+    """What is cut does not depend on how many pages are compared at once: notices on three of a host's pages, loose or kept elsewhere."""
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randint(0, 99999)}" for _ in range(30)) for _ in range(27)]
+    notice = [" ".join(f"n{k}{c}" for c in "abcdefghij") for k in range(9)]
+    pages = [f"<body><article><p>{t}</p>{f'<p>{notice[i % 9]}</p>' if i < 9 else f'<div>{notice[i % 9]}</div>'}</article></body>" for i, t in enumerate(texts)]
+    want = dict(enumerate(extract._texts([extract.blocks_of(p) for p in pages])))
+    assert want == {i: t if i >= 9 else f"{t}\n{notice[i]}" for i, t in enumerate(texts)}
+    df = spark.createDataFrame([(i, f"http://h/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    for cell in (3, 8, 128):
+        assert {r.page_id: r.text for r in extract.extract_text(df, cell).collect()} == want
+
+
 def test_repeated_runs_against_brute_force():
     rng = np.random.default_rng(0)
     page = np.repeat(np.arange(8), 40)
