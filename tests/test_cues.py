@@ -296,3 +296,14 @@ def test_encodings(spark, tmp_path, encoding):
 
     (tmp_path / "a.srt").write_bytes(LEGACY[encoding].encode(encoding))
     assert read_encoded_files(spark, str(tmp_path)).first().value == LEGACY[encoding]
+
+
+def test_strip_and_times_hold_their_text_once(spark):
+    from cueloom.functions.timecode import parse_timecode, strip
+
+    nested = strip(strip(strip(strip(F.col("sometext")))))
+    assert str(nested).count("sometext") == 1 and str(parse_timecode(F.col("sometext"))).count("sometext") == 1
+    blanks = "".join(c for c in map(chr, range(0x3001)) if c in "\t\n\x0b\x0c\r \x85\xa0     　" or 0x2000 <= ord(c) <= 0x200a)
+    texts = [f"{b}x{b}y{b}{b}" for b in blanks] + ["\x1cx​", "", blanks]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert rows.where(~strip(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).count() == 0
