@@ -23,6 +23,13 @@ class State(Protocol):
         """Rows that are settled once no row is left."""
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, by column: numbers without nulls are taken as arrays."""
+    columns = [c.to_numpy().tolist() if c.null_count == 0 and (pa.types.is_integer(c.type) or pa.types.is_floating(c.type)) else c.to_pylist() for c in batch.columns]
+    names = batch.schema.names
+    return (dict(zip(names, values)) for values in zip(*columns))
+
+
 def fold_in_order(rows: DataFrame, key: str, order: str, start: Callable[[object], State], schema: str) -> DataFrame:
     """Rows of ``schema`` from one state a key, which ``start(key)`` makes and which takes the key's rows by ``order``."""
     kinds = to_arrow_schema(StructType.fromDDL(schema))
@@ -34,7 +41,7 @@ def fold_in_order(rows: DataFrame, key: str, order: str, start: Callable[[object
         now, state = None, None
         for batch in batches:
             out: list[tuple] = []
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 if state is None or row[key] != now:
                     out += state.end() if state is not None else ()
                     now, state = row[key], start(row[key])
@@ -44,7 +51,10 @@ def fold_in_order(rows: DataFrame, key: str, order: str, start: Callable[[object
         if state is not None and (out := list(state.end())):
             yield batch_of(out)
 
-    return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(mapped, schema)
+    placed = rows.repartition(key).sortWithinPartitions(key, order)
+    if isinstance(rows.schema[order].dataType, StructType):  # states take what it stands for from other columns
+        placed = placed.drop(order)
+    return placed.mapInArrow(mapped, schema)
 
 
 class PieceState(State, Protocol):
@@ -96,7 +106,7 @@ def fold_in_pieces(rows: DataFrame, key: str, order: list[str], start: Callable[
         seen = False
         now = None
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 fresh = seen and row[key] != now
                 if state is None or fresh:
                     if fresh and not head and piece is not None:  # the key before has ended here
@@ -144,7 +154,7 @@ def fold_in_pieces(rows: DataFrame, key: str, order: list[str], start: Callable[
                     out.append((now, count, *settled))  # noqa: B023
                     count += 1
 
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 if not seen or row[key] != now:
                     if state is not None:
                         put(state.end())

@@ -298,6 +298,27 @@ def test_encodings(spark, tmp_path, encoding):
     assert read_encoded_files(spark, str(tmp_path)).first().value == LEGACY[encoding]
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_static_texts_folds_its_boxes_once(spark):
+    boxes = spark.createDataFrame([(1, f, 0, "Live", 5.0, 5.0) for f in range(10)], "video_id long, frame_idx long, n int, text string, x double, y double")
+    frames = spark.createDataFrame([(1, 10)], "video_id long, frames long")
+    got = cp.static_texts(boxes, frames)
+    assert _plan(got).split("== Initial Plan ==")[0].count("MapInArrow") == 1
+    assert [tuple(r) for r in got.collect()] == [(1, "live")]
+
+
+def test_a_spot_is_seen_once_a_frame(spark):
+    """Two boxes of a frame at one spot are one sight of it: 7 frames aren't 8."""
+    kinds = "video_id long, frame_idx long, n int, text string, x double, y double"
+    frames = spark.createDataFrame([(1, 10)], "video_id long, frames long")
+    rows = [(1, f, n, "Live", 5.0 + n, 5.0) for f in range(7) for n in range(2)]
+    assert cp.static_texts(spark.createDataFrame(rows, kinds), frames).count() == 0
+    assert cp.static_texts(spark.createDataFrame([*rows, (1, 7, 0, "Live", 5.0, 5.0)], kinds), frames).count() == 1
+
+
 def test_strip_and_times_hold_their_text_once(spark):
     from cueloom.functions.timecode import parse_timecode, strip
 
