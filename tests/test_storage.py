@@ -200,3 +200,19 @@ def test_middle_heights_without_lists(spark):
         own = sorted(h for v, h in rows if v == r.video_id and h is not None)
         assert (r.low, r.high, r.middle) == (pytest.approx(median(own) * 0.62, abs=0.051), pytest.approx(median(own) * 1.75, abs=0.051), own[len(own) // 2])
     assert out.where("video_id = 99").count() == 0
+
+
+def test_decoding_holds_a_piece_of_a_batch_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from cueloom.sources import decoding
+
+    texts = [chr(65 + i % 26) * 20_000 for i in range(2_000)] + [None]
+    content = pa.array([t and (t.encode() if i % 2 else b"\xff\xfe" + t.encode("utf-16-le")) for i, t in enumerate(texts)], pa.binary())
+    tracemalloc.start()
+    got = decoding.decode_text.func(content)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == texts and peak < 16e6
