@@ -51,7 +51,10 @@ class _Fold:
 
 
 class _Captions(StatefulProcessor):
-    """Reads wait until the watermark has gone by, and then are folded in frame order; timers tell when."""
+    """Reads wait until the watermark has gone by, and then are folded in frame order; timers tell when.
+
+    Videos may be many: each call to the state costs about as much as a video's fold, and so does an empty frame of rows.
+    """
 
     def __init__(self, idle_ms: int, **fold):
         self.idle_ms, self.settings = idle_ms, dict(fold, idle_ms=idle_ms)
@@ -65,17 +68,17 @@ class _Captions(StatefulProcessor):
         found = [r for pdf in rows for r in pdf[_WAITING].itertuples(index=False, name=None) if isinstance(r[3], str)]
         if found:
             self.waiting.appendList([(int(f), int(at), float(stamp), text, float(score)) for f, at, stamp, text, score in found])
-            known, wake = self.fold.get() if self.fold.exists() else (None, None)
+            known, wake = self.fold.get() or (None, None)
             first = min(int(r[1]) for r in found) + 1
             if wake is None or first < wake:
                 self._wake(known, wake, first)
-        yield pd.DataFrame([], columns=_COLUMNS)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        known, _ = self.fold.get() if self.fold.exists() else (None, None)
+        known, _ = self.fold.get() or (None, None)
         fold = _Fold(**self.settings, known=json.loads(known) if known else None)
-        waiting = sorted(self.waiting.get()) if self.waiting.exists() else []
+        waiting = sorted(self.waiting.get())
         later = [r for r in waiting if r[1] >= now]
         out = []
         for frame, at, stamp, text, score in waiting:
@@ -92,7 +95,7 @@ class _Captions(StatefulProcessor):
             self.fold.clear()
         else:
             self._wake(json.dumps(fold.known()), None, wake)
-        yield pd.DataFrame([(key[0], *row) for row in out], columns=_COLUMNS)
+        return iter([pd.DataFrame([(key[0], *row) for row in out], columns=_COLUMNS)] if out else [])
 
     def _wake(self, known: str | None, before: int | None, at: int) -> None:
         """One timer a video: the first moment at which a read that waits may be folded, or at which the video is idle."""

@@ -164,3 +164,27 @@ def test_times_of_files_are_held_to_limits_as_decimals(spark):
     shifted = "\n".join(f"{n}\n{clock(a + 372)} --> {clock(b + 372)}\nhi\n" for n, (a, b) in enumerate(bounds, 1))
     cues = read_subtitles(spark.createDataFrame([("a.srt", text), ("b.srt", shifted)], "doc_id string, value string"))[0]
     assert check_timing(cues).count() > 0 and check_timing(cues, digits=6).count() == 0
+
+
+def test_videos_without_ended_captions_cost_no_frame_and_few_calls():
+    """A first read takes one call each to append, to look up, to set a timer and to store; nothing is given out."""
+    import pandas as pd
+
+    from cueloom.streaming import captions
+
+    class Handle:
+        calls: list[str] = []
+
+        def getListState(self, *_):
+            return self
+
+        getValueState = getListState
+
+        def __getattr__(self, name):
+            return lambda *_: self.calls.append(name)
+
+    processor = captions._Captions(1_000, threshold=0.8, least=0.2, step=0.1, votes=1, flicker=False)
+    processor.init(Handle())
+    rows = pd.DataFrame([(1, 5, 0.1, "a", 0.5)], columns=["frame_idx", "at_ms", "stamp_s", "text", "score"])
+    assert list(processor.handleInputRows((1,), iter([rows]), None)) == []
+    assert sorted(Handle.calls) == ["appendList", "get", "registerTimer", "update"]
