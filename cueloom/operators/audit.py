@@ -135,9 +135,20 @@ def map_project_config(configs: DataFrame) -> DataFrame:
 _BOXES = "array<struct<order:array<double>,text:string,score:double,rect:array<double>>>"
 
 
+CACHE = "frame_idx long, version long, rows_json string, cache_key string"
+
+
 def open_frame_cache(spark: SparkSession, path: str) -> DataFrame:
     """The frame cache that ``sinks.save_frame_cache`` keeps under a path; a filter on cache_key reads that key's folder only."""
-    return spark.read.schema("frame_idx long, version long, rows_json string, cache_key string").parquet(path)
+    return spark.read.schema(CACHE).parquet(path)
+
+
+def whole_frame_cache(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a frame cache, for readers of many keys: tasks list and read the folders, where they can."""
+    from ..sources import folders
+
+    root = folders.mounted(spark, path)
+    return folders.read_folders(folders.folders(spark, root, "cache_key"), root, "cache_key", CACHE) if root else open_frame_cache(spark, path)
 
 
 def read_frame_cache(cache: DataFrame, cache_key: str, total: int) -> DataFrame:

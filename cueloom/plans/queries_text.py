@@ -219,7 +219,7 @@ def _stored_cache(s, d):
     folder = streams.shared_folder(s, "frame-cache")
     for n, part in enumerate(("idx % 3 = 0", "idx % 3 = 1 and doc_id % 2 = 0", "idx % 3 = 2 and doc_id % 5 > 0")):
         sinks.save_frame_cache(f"{folder}/cache", rows.where(part), f"{folder}/staging-{n}")
-    return audit.open_frame_cache(s, f"{folder}/cache")
+    return audit.whole_frame_cache(s, f"{folder}/cache")
 
 
 register("save_frame_cache", lambda s, d: _stored_cache(s, d).select("cache_key", "frame_idx", "version", F.get(F.from_json("rows_json", "array<struct<text string>>"), F.lit(0))["text"].alias("text")),

@@ -13,7 +13,8 @@ from pyspark.sql.types import StringType
 from ..functions.timecode import format_ass, format_srt, format_vtt
 from ..operators.cues import display_text
 from ..operators.folds import fold_in_order
-from ..operators.spread import spread_files
+from ..operators.spread import spread, spread_files
+from . import folders
 
 #: The head of a script and its one style.
 ASS_HEAD = ("[Script Info]\nScriptType: v4.00+\nPlayResX: {x}\nPlayResY: {y}\nWrapStyle: 0\nScaledBorderAndShadow: yes\n\n[V4+ Styles]\n"
@@ -103,14 +104,21 @@ def upsert_frame_cache(cache: DataFrame, new: DataFrame) -> DataFrame:
 def save_frame_cache(path: str, new: DataFrame, staging: str) -> None:
     """Upserts new rows (cache_key, frame_idx, version, rows_json) into the cache kept under a path, a folder for each cache_key.
 
-    Only the folders of keys in ``new`` are read and written again (dynamic partition overwrite); the merged rows are
-    written under ``staging`` first, so that a task that is run again reads nothing that is being replaced. Rows without
-    a key are left out.
+    Only the folders of keys in ``new`` are read and written again, and all new files are made before the first old one is
+    replaced. New rows are written under ``staging`` first, so that they are made once. Rows without a key are left out.
     """
-    from ..operators.audit import open_frame_cache
+    from ..operators.audit import CACHE, open_frame_cache
 
     spark = new.sparkSession
-    rows = new.select(F.col("frame_idx").cast("long").alias("frame_idx"), F.col("version").cast("long").alias("version"), "rows_json", F.col("cache_key").cast("string").alias("cache_key")).where("cache_key is not null")
+    rows = new.select(F.col("frame_idx").cast("long").alias("frame_idx"), F.col("version").cast("long").alias("version"), "rows_json", F.col("cache_key").cast("string").alias("cache_key")).where("cache_key <> ''")
+    rows.write.mode("overwrite").parquet(f"{staging}/new")
+    rows = spark.read.schema(rows.schema).parquet(f"{staging}/new")
+    chunk = F.floor(F.col("frame_idx") / CACHE_FRAMES)
+    if root := folders.mounted(spark, path):
+        known = folders.read_folders(spread(rows.select("cache_key").distinct(), "cache_key"), root, "cache_key", CACHE)
+        merged = spread_files(upsert_frame_cache(known, rows), "cache_key", rows, chunk)
+        folders.write_over(merged, root, "cache_key", folders.ParquetFile, f"frames-{CACHE_FRAMES}", chunk, ("frame_idx",))
+        return
     try:
         known = open_frame_cache(spark, path)
     except AnalysisException as e:
@@ -119,9 +127,10 @@ def save_frame_cache(path: str, new: DataFrame, staging: str) -> None:
         merged = upsert_frame_cache(rows.limit(0), rows)
     else:
         merged = upsert_frame_cache(_of_keys(known, rows), rows)
-    merged.write.mode("overwrite").parquet(staging)
-    staged = spark.read.schema(merged.schema).parquet(staging)
-    (spread_files(staged, "cache_key", staged, F.floor(F.col("frame_idx") / CACHE_FRAMES)).write.mode("overwrite")
+    # a task that is run again must read nothing that is being replaced
+    merged.write.mode("overwrite").parquet(f"{staging}/merged")
+    staged = spark.read.schema(merged.schema).parquet(f"{staging}/merged")
+    (spread_files(staged, "cache_key", staged, chunk).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("cache_key").parquet(path))
 
 
@@ -136,7 +145,7 @@ def _of_keys(known: DataFrame, rows: DataFrame) -> DataFrame:
 
 #: Keys that are collected to name the folders that an upsert reads, at most.
 LISTED_KEYS = 10_000
-#: Frames of one file of a key, about, so that a long video's folder is written by many tasks.
+#: Frames of one file of a key, about, so that a long video's folder is written by many tasks. Files' names tell it, so that another number replaces them.
 CACHE_FRAMES = 100_000
 
 

@@ -88,6 +88,85 @@ def test_only_touched_folders_are_written(spark, tmp_path, monkeypatch):
     assert audit.read_frame_cache(cache, "k3", 10).count() == 1 and audit.read_frame_cache(cache, "k3", 5).count() == 0
 
 
+CACHE = "cache_key string, frame_idx long, version long, rows_json string"
+ODD = ["k", "a/b:c%41", "\u00fc {x}[y]^#'*?\\\"", " x ", "k=1", "007", "2024-01-01", "null", "tab\tline\nend"]
+
+
+def _cached(cache):
+    return sorted(tuple(r) for r in cache.select("cache_key", "frame_idx", "version", "rows_json").collect())
+
+
+def _files(path):
+    return sorted(os.path.join(os.path.relpath(d, path), f) for d, _, fs in os.walk(path) for f in fs)
+
+
+def test_a_key_has_one_file_and_nothing_beside_it(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    rows = lambda v: spark.createDataFrame([(k, i, v, f"{k} {v}") for k in ODD for i in range(v, v + 9)], CACHE)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a key's rows come in several batches
+    try:
+        for v in (1, 2):
+            sinks.save_frame_cache(path, rows(v), str(tmp_path / f"s{v}"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = sorted((k, i, 1 if i < 2 else 2, f"{k} {1 if i < 2 else 2}") for k in ODD for i in range(1, 11))
+    assert _cached(audit.whole_frame_cache(spark, path)) == _cached(audit.open_frame_cache(spark, path)) == want
+    assert len(_files(path)) == len(ODD) + 1 and len(os.listdir(path)) == len(ODD) + 1
+    assert all(audit.read_frame_cache(audit.open_frame_cache(spark, path).withColumn("rows_json", F.lit("[]")), k, 99).count() == 10 for k in ODD)
+
+
+def test_names_of_folders_are_those_of_spark(spark):
+    from cueloom.sources import folders
+
+    escape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    for c in [chr(i) for i in range(1, 400)] + ["%41", "%4", "a%zzb", "\U0001f600"]:
+        assert folders.folder_name("k", c) == "k=" + escape.escapePathName(c) and folders.value_of(folders.folder_name("k", c)) == c
+    assert folders.value_of(folders.folder_name("k", None)) is None and folders.folder_name("k", "") == folders.folder_name("k", None)
+
+
+def test_caches_of_both_writers_are_upserted_by_both(spark, tmp_path, monkeypatch):
+    from cueloom.sources import folders
+
+    path, mounted = str(tmp_path / "cache"), folders.mounted
+    rows = lambda *r: spark.createDataFrame(list(r), CACHE)
+    want = {}
+    for n, own in enumerate((False, True, True, False, True)):
+        monkeypatch.setattr(folders, "mounted", mounted if own else lambda *_: None)
+        monkeypatch.setattr(sinks, "CACHE_FRAMES", (2, 2, 3, 3, 2)[n])  # several files a key
+        new = [(k, i, n, f"{n}") for k in ("a", "b/c") for i in range(n, n + 5)] + [("a", 0, -1, "stale"), (f"only {n}", 0, n, ""), (None, 0, 9, "no key"), ("", 0, 9, "no key")]
+        sinks.save_frame_cache(path, rows(*new), str(tmp_path / f"s{n}"))
+        for k, i, v, text in new:
+            if k and v >= want.get((k, i), (-9,))[0]:
+                want[k, i] = v, text
+        for read in (audit.open_frame_cache, audit.whole_frame_cache):
+            assert _cached(read(spark, path)) == sorted((k, i, *x) for (k, i), x in want.items())
+
+
+def test_an_upsert_that_fails_changes_nothing(spark, tmp_path, monkeypatch):
+    from cueloom.sources import folders
+
+    path = str(tmp_path / "cache")
+    rows = lambda v: spark.createDataFrame([(f"k{k}", 0, v, "[]") for k in range(20 * v)], CACHE)
+    sinks.save_frame_cache(path, rows(1), str(tmp_path / "s1"))
+    before, was = _files(path), _cached(audit.open_frame_cache(spark, path))
+
+    class Full(folders.ParquetFile):
+        def close(self):
+            super().close()
+            if self.path.split("/")[-2] == "cache_key=k31":
+                raise OSError("no space")
+
+        def __init__(self, path, first):
+            super().__init__(path, first)
+            self.path = path
+
+    monkeypatch.setattr(folders, "ParquetFile", Full)
+    with pytest.raises(Exception, match="no space"):
+        sinks.save_frame_cache(path, rows(2), str(tmp_path / "s2"))
+    assert [f for f in _files(path) if "/." not in f] == before and _cached(audit.open_frame_cache(spark, path)) == _cached(audit.whole_frame_cache(spark, path)) == was
+
+
 def test_folders_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
     from cueloom.operators import spread
 
