@@ -282,8 +282,9 @@ def _streamed_files(s, d):
     """Timing issues of files that land in a folder, in about three triggers."""
     folder = _saved(s, d)
     a_trigger = table(s, d, "events").select("user_id").distinct().count() // 3 + 1
-    files = sub.subtitle_file_stream(s, folder, a_trigger, saved=True)
-    found = streams.rows_of_batches(lambda sink: st.stream_subtitle_qc(files, sink), s, "issues", "doc_id string, idx long, kind string, severity string, message string, batch_id int")
+    with streams.small_files(s):
+        files = sub.subtitle_file_stream(s, folder, a_trigger, saved=True)
+        found = streams.rows_of_batches(lambda sink: st.stream_subtitle_qc(files, sink, read_once=True), s, "issues", "doc_id string, idx long, kind string, severity string, message string, batch_id int")
     return found.select("doc_id", "idx", "kind", "severity")
 
 

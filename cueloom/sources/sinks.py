@@ -28,45 +28,69 @@ def _joined(rows: DataFrame, block: Column, order: str, head: str, mark: str, ta
     return rows.groupBy("doc_id").agg(F.concat(F.lit(head), F.array_join(F.transform(ordered, lambda x: x["b"]), mark), F.lit(tail)).alias("value"))
 
 
+def _srt_block() -> Column:
+    return F.concat(F.col("n").cast("string"), F.lit("\n"), format_srt(F.col("start_s")), F.lit(" --> "), format_srt(F.col("end_s")), F.lit("\n"), "shown", F.lit("\n"))
+
+
 def to_srt(cues: DataFrame, mode: str = "original") -> DataFrame:
     """(doc_id, value); only cues that show something are numbered."""
     rows = cues.withColumn("shown", display_text(mode)).where("shown <> ''")
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("idx")))
-    block = F.concat(F.col("n").cast("string"), F.lit("\n"), format_srt(F.col("start_s")), F.lit(" --> "), format_srt(F.col("end_s")), F.lit("\n"), "shown", F.lit("\n"))
-    return _joined(rows, block, "n", "", "\n")
+    return _joined(rows, _srt_block(), "n", "", "\n")
+
+
+VTT_HEAD = "WEBVTT\n\n"
+
+
+def _vtt_block() -> Column:
+    return F.concat(format_vtt(F.col("start_s")), F.lit(" --> "), format_vtt(F.col("end_s")), F.lit("\n"), "shown", F.lit("\n"))
 
 
 def to_vtt(cues: DataFrame, mode: str = "original") -> DataFrame:
     rows = cues.withColumn("shown", display_text(mode)).where("shown <> ''")
-    block = F.concat(format_vtt(F.col("start_s")), F.lit(" --> "), format_vtt(F.col("end_s")), F.lit("\n"), "shown", F.lit("\n"))
-    return _joined(rows, block, "idx", "WEBVTT\n\n", "\n")
+    return _joined(rows, _vtt_block(), "idx", VTT_HEAD, "\n")
+
+
+def _ass_head(font: str = "Arial", font_size: int = 48, primary: str = "&H00FFFFFF", outline_color: str = "&H00000000", back: str = "&H80000000", bold: bool = True,
+              outline: float = 2.0, shadow: float = 1.0, alignment: int = 2, margin_v: int = 40, x: int = 1920, y: int = 1080) -> str:
+    return ASS_HEAD.format(x=x, y=y, font=font, size=font_size, primary=primary, outline=outline_color, back=back, bold=-1 if bold else 0, border=f"{outline:g}",
+                           shadow=f"{shadow:g}", alignment=alignment, margin=margin_v)
+
+
+def _ass_line() -> Column:
+    return F.concat(F.lit("Dialogue: 0,"), format_ass(F.col("start_s")), F.lit(","), format_ass(F.col("end_s")), F.lit(",Default,"),
+                    F.replace("speaker", F.lit(","), F.lit(" ")), F.lit(",0,0,0,,"), F.replace("shown", F.lit("\n"), F.lit("\\N")))
 
 
 def to_ass(cues: DataFrame, mode: str = "original", font: str = "Arial", font_size: int = 48, primary: str = "&H00FFFFFF", outline_color: str = "&H00000000",
            back: str = "&H80000000", bold: bool = True, outline: float = 2.0, shadow: float = 1.0, alignment: int = 2, margin_v: int = 40, x: int = 1920, y: int = 1080) -> DataFrame:
-    head = ASS_HEAD.format(x=x, y=y, font=font, size=font_size, primary=primary, outline=outline_color, back=back, bold=-1 if bold else 0, border=f"{outline:g}",
-                           shadow=f"{shadow:g}", alignment=alignment, margin=margin_v)
+    head = _ass_head(font, font_size, primary, outline_color, back, bold, outline, shadow, alignment, margin_v, x, y)
     rows = cues.withColumn("shown", display_text(mode)).where("shown <> ''")
-    line = F.concat(F.lit("Dialogue: 0,"), format_ass(F.col("start_s")), F.lit(","), format_ass(F.col("end_s")), F.lit(",Default,"),
-                    F.replace("speaker", F.lit(","), F.lit(" ")), F.lit(",0,0,0,,"), F.replace("shown", F.lit("\n"), F.lit("\\N")))
-    return _joined(rows, line, "idx", head, "\n", "\n")
+    return _joined(rows, _ass_line(), "idx", head, "\n", "\n")
 
 
 def to_text(cues: DataFrame, mode: str = "original") -> DataFrame:
-    """(doc_id, value): each document in the format that its id's ending names, .srt for any other."""
+    """(doc_id, value): each document in the format that its id's ending names, .srt for any other. Cues are read once for all formats."""
     name = F.lower(F.col("doc_id").cast("string"))
     kind = F.when(name.endswith(".vtt"), "vtt").when(name.rlike(r"\.(ass|ssa)$"), "ass").otherwise("srt")
-    out = None
-    for k, made in (("srt", to_srt), ("vtt", to_vtt), ("ass", to_ass)):
-        one = made(cues.where(kind == k), mode)
-        out = one if out is None else out.unionByName(one)
-    return out
+    rows = cues.withColumn("shown", display_text(mode)).where("shown <> ''").withColumn("kind", kind)
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("idx")))
+    of = {k: F.col("kind") == k for k in ("vtt", "ass")}
+    rows = rows.withColumn("block", F.when(of["vtt"], _vtt_block()).when(of["ass"], _ass_line()).otherwise(_srt_block()))
+    rows = rows.withColumn("n", F.when(of["vtt"] | of["ass"], F.col("idx").cast("long")).otherwise(F.col("n").cast("long")))
+    made = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "block"))), lambda x: x["block"]), "\n")
+    return rows.groupBy("doc_id", "kind").agg(made.alias("value")).select(
+        "doc_id", F.when(of["vtt"], F.concat(F.lit(VTT_HEAD), "value")).when(of["ass"], F.concat(F.lit(_ass_head()), "value", F.lit("\n"))).otherwise(F.col("value")).alias("value"))
 
 
 def save_subtitles(cues: DataFrame, path: str, kind: str | None = None, mode: str = "original") -> None:
-    """Writes one text a document under doc_id=..., in the format of the id's ending unless ``kind`` names one; the commit protocol makes it all or nothing."""
+    """Writes one text a document under doc_id=..., in the format of the id's ending unless ``kind`` names one; all or nothing."""
     made = to_text(cues, mode) if kind is None else {"srt": to_srt, "vtt": to_vtt, "ass": to_ass}[kind](cues, mode)
-    spread_files(made, "doc_id", cues).write.partitionBy("doc_id").mode("overwrite").text(path)
+    made = spread_files(made, "doc_id", cues)
+    if root := folders.mounted(cues.sparkSession, path):
+        folders.write_new(made, root, "doc_id", folders.TextFile)
+    else:
+        made.write.partitionBy("doc_id").mode("overwrite").text(path)
 
 
 def export_manifest(projects: DataFrame, cues: DataFrame) -> DataFrame:

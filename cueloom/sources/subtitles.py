@@ -30,10 +30,20 @@ def subtitle_file_stream(spark: SparkSession, path: str, files_a_trigger: int |
     doc_id is the file's path, or with ``saved`` the id under which ``save_subtitles`` wrote it. A file that is still being
     written must not be in the folder yet: move it there, as Spark's own writers do.
     """
-    reader = spark.readStream.format("text").schema("value string, doc_id string" if saved else "value string").option("wholetext", True)
+    reader = spark.readStream.format("text").schema("value string").option("wholetext", True)
+    if saved:  # looking for key columns takes Spark's driver a time that grows with the square of the number of folders
+        reader = reader.option("recursiveFileLookup", True)
     if files_a_trigger:
         reader = reader.option("maxFilesPerTrigger", files_a_trigger)
-    return reader.load(path).select(F.col("doc_id") if saved else F.col("_metadata.file_path").alias("doc_id"), "value")
+    at = F.col("_metadata.file_path")
+    return reader.load(path).select((_saved_id(at) if saved else at).alias("doc_id"), "value")
+
+
+def _saved_id(at: Column) -> Column:
+    """The id in a path .../doc_id=.../file: once encoded as a folder's name, and once as a part of a URL."""
+    plain = lambda c: F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+    folder = plain(F.regexp_extract(at, "/doc_id=([^/]*)/[^/]*$", 1))
+    return F.when(~folder.isin("", "__HIVE_DEFAULT_PARTITION__"), plain(folder))
 
 
 def _lines(text: Column) -> Column:

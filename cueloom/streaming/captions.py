@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -129,12 +130,19 @@ def stream_merge_captions(reads: DataFrame, fps: float = 15.0, threshold: float
     return timed.groupBy("video_id").transformWithStateInPandas(processor, _OUT, "Append", "EventTime")
 
 
-def stream_subtitle_qc(files: DataFrame, sink):
+def stream_subtitle_qc(files: DataFrame, sink, read_once: bool = False):
     """A started query over subtitle files (doc_id, value) as they land: ``sink(issues, batch_id)`` gets each batch's issues.
 
     A file is whole in its batch, so that no state is kept. Files tell times as decimals, and are held to limits as such.
+    Each format reads the batch; with ``read_once`` a copy of it on the executors' disks, where many small files cost much to open.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
-        sink(check_timing(read_subtitles(batch)[0], digits=6), batch_id)
+        if read_once:
+            batch = batch.persist(StorageLevel.DISK_ONLY)
+        try:
+            sink(check_timing(read_subtitles(batch)[0], digits=6), batch_id)
+        finally:
+            if read_once:
+                batch.unpersist()
 
     return files.writeStream.foreachBatch(each)

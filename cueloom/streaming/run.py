@@ -9,6 +9,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.spread import tasks_of
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under ``spark.checkpoint.dir``; where that is unset, a temporary one if the session runs on one machine."""
@@ -21,17 +23,31 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 _STORE = "spark.sql.streaming.stateStore.providerClass"
+#: What opening a file costs, as the bytes that could be read meanwhile; Spark's 4 MB make a task of every few files.
+_OPENING = 1 << 18
 
 
 @contextmanager
-def state_on_disk(spark: SparkSession) -> Iterator[None]:
-    """Streams that are started inside keep their state in RocksDB, in the executors' own scratch space, with changes in the checkpoint."""
-    before = spark.conf.get(_STORE, None)
-    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def _settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def state_on_disk(spark: SparkSession):
+    """Streams that are started inside keep their state in RocksDB, in the executors' own scratch space, with changes in the checkpoint."""
+    return _settings(spark, **{_STORE: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"})
+
+
+def small_files(spark: SparkSession):
+    """Reads that are planned and streams that are started inside list folders in as many tasks as other work has, not one for
+    each folder, and read hundreds of small files in a task."""
+    return _settings(spark, **{"spark.sql.sources.parallelPartitionDiscovery.parallelism": str(tasks_of(spark.range(0))), "spark.sql.files.openCostInBytes": str(_OPENING)})
 
 
 def rows_of_stream(stream: DataFrame, name: str) -> DataFrame:

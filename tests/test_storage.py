@@ -202,6 +202,65 @@ def test_subtitles_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
     assert seen == [8 * spark.sparkContext.defaultParallelism] and spark.read.text(str(tmp_path / "out"), wholetext=True).count() == 40
 
 
+def _slates(spark, ids):
+    rows = [(d, i, i + 1.0, i + 2.0, f"{d} {i}", "", "") for d in ids for i in range(3)]
+    return spark.createDataFrame(rows, "doc_id string, idx long, start_s double, end_s double, text string, translation string, speaker string")
+
+
+def test_saved_files_are_streamed_by_their_ids(spark, tmp_path, monkeypatch):
+    """Both writers, odd names, a second save over the first; each batch's files are opened once."""
+    from cueloom.sources import folders, subtitles
+    from cueloom.streaming import captions, run
+
+    ids, mounted, made = [k + e for k in ODD if "\n" not in k for e in (".srt", "+ %.VTT", ".ass", "")], folders.mounted, []
+    for own in (True, False):
+        path = str(tmp_path / f"saved {own}%20+")
+        monkeypatch.setattr(folders, "mounted", mounted if own else lambda *_: None)
+        sinks.save_subtitles(_slates(spark, ["stale"]), path)
+        sinks.save_subtitles(_slates(spark, ids), path)
+        seen, plans = {}, []
+
+        def sink(issues, batch):
+            plans.append(issues._jdf.queryExecution().optimizedPlan().toString())
+            seen[batch] = issues.collect()
+
+        with run.small_files(spark):
+            files = subtitles.subtitle_file_stream(spark, path, len(ids) // 2, saved=True)
+            got = []
+            q = files.writeStream.foreachBatch(lambda rows, _: got.extend((r.doc_id, r.value) for r in rows.collect()))
+            q.option("checkpointLocation", str(tmp_path / f"rows{own}")).trigger(availableNow=True).start().awaitTermination()
+            q = captions.stream_subtitle_qc(files, sink, read_once=True)
+            q.option("checkpointLocation", str(tmp_path / f"qc{own}")).trigger(availableNow=True).start().awaitTermination()
+        assert spark.conf.get("spark.sql.files.openCostInBytes") in ("4194304", "4194304b", "4MB")
+        assert sorted(got) == sorted(map(tuple, subtitles.read_saved(spark, path).collect())) and sorted(d for d, _ in got) == sorted(ids)
+        assert len(seen) >= 2 and all("InMemoryRelation" in p and "Relation [value" not in p for p in plans)
+        assert {r.doc_id for rows in seen.values() for r in rows} <= set(ids)
+        made.append(sorted(got))
+        if own:
+            assert len(_files(path)) == len(ids) + 1 and len(os.listdir(tmp_path)) <= 3  # no checksums, nothing beside the folder
+    assert made[0] == made[1]
+
+
+def test_ids_that_are_empty_share_a_folder(spark, tmp_path, monkeypatch):
+    from cueloom.sources import folders, subtitles
+
+    sinks.save_subtitles(_slates(spark, ["", None, "a"]), str(tmp_path / "out"))
+    got = subtitles.read_saved(spark, str(tmp_path / "out")).collect()
+    assert sorted((r.doc_id or "") + r.value.split("\n")[2] for r in got) == sorted(["None 0", " 0", "aa 0"])
+
+
+def test_all_formats_of_a_text_are_made_from_one_reading(spark):
+    ids = ["a.srt", "b.vtt", "c.ass", "d.SSA", "e", None]
+    cues = _slates(spark, ids).unionByName(_slates(spark, ["f.srt"]).withColumn("text", F.lit("")))
+    made = sinks.to_text(cues)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + made._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") <= 2
+    got = {r.doc_id: r.value for r in made.collect()}
+    for kind, of in ((sinks.to_srt, ("a.srt", "e", None)), (sinks.to_vtt, ("b.vtt",)), (sinks.to_ass, ("c.ass", "d.SSA"))):
+        want = {r.doc_id: r.value for r in kind(cues).collect()}
+        assert all(got[d] == want[d] for d in of)
+    assert set(got) == set(ids)
+
+
 # ---- audio
 
 def chunk(name, body):
